@@ -15,7 +15,16 @@ ROLLOUTS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores (a small file).
+
+    A large table already has more splits, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _letter(position: Column) -> Column:
@@ -346,3 +355,86 @@ SELECT reply_id, doc_id, role, role_idx, task_type, gold,
        CASE WHEN left_open THEN 'none' ELSE source END AS source,
        left_open
 FROM replies"""
+
+# ---------------------------------------------------------------- answer forms
+# The ways an answer may be written, over every order.
+SQL_INPUTS["answer_forms"] = r"""
+SELECT sample_index, sample_id,
+       CASE (sample_index // 12) % 4 WHEN 0 THEN 'yes_no' WHEN 1 THEN 'multiple_choice' WHEN 2 THEN 'mixed' ELSE 'other' END AS task_type,
+       CASE sample_index % 12 WHEN 0 THEN '(' || lower(letter) || ')' WHEN 1 THEN letter || '.' WHEN 2 THEN ' yes '
+            WHEN 3 THEN 'Yeah' WHEN 4 THEN 'y' WHEN 5 THEN 'No.' WHEN 6 THEN '' WHEN 7 THEN NULL
+            WHEN 8 THEN '__UNSCORABLE__' WHEN 9 THEN '((' || letter || ')).' WHEN 10 THEN 'N' ELSE letter || letter END AS answer,
+       CASE custkey % 7 WHEN 0 THEN 'YES' WHEN 1 THEN 'no' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE letter END AS gold
+FROM (SELECT *, chr(CAST(65 + custkey % 5 AS INT)) AS letter FROM samples)"""
+
+
+def answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, letter = F.col("sample_index"), _letter(F.col("custkey") % 5)
+    kinds = F.array(*[F.lit(t) for t in ("yes_no", "multiple_choice", "mixed", "other")])
+    form, gold = index % 12, F.col("custkey") % 7
+    return samples(spark, sf_dir).select(
+        "sample_index", "sample_id",
+        F.element_at(kinds, (F.floor(index / 12) % 4 + 1).cast("int")).alias("task_type"),
+        F.when(form == 0, F.concat(F.lit("("), F.lower(letter), F.lit(")")))
+        .when(form == 1, F.concat(letter, F.lit(".")))
+        .when(form == 2, " yes ").when(form == 3, "Yeah").when(form == 4, "y").when(form == 5, "No.")
+        .when(form == 6, "").when(form == 7, None).when(form == 8, "__UNSCORABLE__")
+        .when(form == 9, F.concat(F.lit("(("), letter, F.lit(")).")))
+        .when(form == 10, "N").otherwise(F.concat(letter, letter)).alias("answer"),
+        F.when(gold == 0, "YES").when(gold == 1, "no").when(gold == 2, None).when(gold == 3, "")
+        .otherwise(letter).alias("gold"),
+    )
+
+
+SQL_INPUTS["math_forms"] = r"""
+SELECT sample_index, a, b, CASE form WHEN 0 THEN CAST(a AS VARCHAR) WHEN 1 THEN a || '.0' WHEN 2 THEN '\frac{' || a || '}{' || b || '}'
+            WHEN 3 THEN '\dfrac{' || a || '}{' || b || '}' WHEN 4 THEN '\text{' || a || '}' WHEN 5 THEN 'x +  ' || a
+            WHEN 6 THEN ' ' || a || ' ' WHEN 7 THEN a || 'e0' WHEN 8 THEN '' ELSE NULL END AS answer,
+       CASE form WHEN 2 THEN a / b WHEN 3 THEN a / b WHEN 5 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE a END AS number,
+       CASE other WHEN 0 THEN CAST(a AS VARCHAR) WHEN 1 THEN CAST(a + 1 AS VARCHAR) WHEN 2 THEN 'x + ' || a
+            WHEN 3 THEN '\frac{' || (a * 2) || '}{' || (b * 2) || '}' ELSE '' END AS gold,
+       CASE other WHEN 0 THEN a WHEN 1 THEN a + 1 WHEN 3 THEN a / b ELSE NULL END AS gold_number, form, other
+FROM (SELECT sample_index, custkey % 97 AS a, 1 + custkey % 4 AS b, sample_index % 10 AS form, (sample_index // 10) % 5 AS other FROM samples)"""
+
+
+def math_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = samples(spark, sf_dir).select(
+        "sample_index", (F.col("custkey") % 97).alias("a"), (F.col("custkey") % 4 + 1).alias("b"),
+        (F.col("sample_index") % 10).alias("form"), (F.floor(F.col("sample_index") / 10) % 5).alias("other"),
+    )
+    a, b, form, other = (F.col(c).cast("string") if c in "ab" else F.col(c) for c in ("a", "b", "form", "other"))
+
+    def frac(name: str, x: Column, y: Column) -> Column:
+        return F.concat(F.lit(name + "{"), x, F.lit("}{"), y, F.lit("}"))
+
+    twice = [(F.col(c) * 2).cast("string") for c in ("a", "b")]
+    return base.select(
+        "sample_index",
+        F.when(form == 0, a).when(form == 1, F.concat(a, F.lit(".0"))).when(form == 2, frac("\\frac", a, b))
+        .when(form == 3, frac("\\dfrac", a, b)).when(form == 4, F.concat(F.lit("\\text{"), a, F.lit("}")))
+        .when(form == 5, F.concat(F.lit("x +  "), a)).when(form == 6, F.concat(F.lit(" "), a, F.lit(" ")))
+        .when(form == 7, F.concat(a, F.lit("e0"))).when(form == 8, "").alias("answer"),
+        F.when(other == 0, a).when(other == 1, (F.col("a") + 1).cast("string"))
+        .when(other == 2, F.concat(F.lit("x + "), a)).when(other == 3, frac("\\frac", *twice)).otherwise("").alias("gold"),
+    )
+
+
+# SQL forms of the label rules, written independently of the Spark columns.
+def sql_match_label(value: str, task: str) -> str:
+    label = f"upper(trim(trim(trim(coalesce({value}, '')), '()'), '.'))"
+    return (
+        f"CASE WHEN {task} IN ('yes_no', 'mixed') AND {label} IN ('YES', 'Y') THEN 'Y' "
+        f"WHEN {task} IN ('yes_no', 'mixed') AND {label} IN ('NO', 'N') THEN 'N' "
+        f"ELSE substr({label}, 1, 1) END"
+    )
+
+
+def sql_vote_label(value: str, task: str) -> str:
+    label = f"upper(trim(trim(trim({value}), '().'), '.'))"
+    word = f"CASE WHEN {label} IN ('YES', 'Y') THEN 'YES' WHEN {label} IN ('NO', 'N') THEN 'NO' END"
+    letter = f"CASE WHEN regexp_full_match({label}, '[A-Z]') THEN {label} END"
+    return (
+        f"CASE WHEN trim({value}) = '' THEN NULL WHEN {task} = 'yes_no' THEN {word} "
+        f"WHEN {task} = 'multiple_choice' THEN {letter} WHEN {task} = 'mixed' THEN coalesce({letter}, {word}) "
+        f"ELSE trim({value}) END"
+    )

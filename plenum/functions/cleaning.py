@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import let, lines, present, rstrip, strip
+from plenum.functions.text import let, lines, present, rstrip, split_at, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (patterns and word lists that define the cleaned text)
@@ -65,15 +65,16 @@ _FLAGS = "(?isU)"
 def strip_think(text: Column) -> Column:
     """Remove closed, then unterminated thinking blocks, then stray end tags."""
     raw = F.coalesce(text, F.lit(""))
+    out = raw
     for pattern in (THINK_CLOSED, THINK_OPEN, THINK_STRAY):
-        raw = F.regexp_replace(raw, pattern, "\n")
-    return strip(raw)
+        out = F.regexp_replace(out, pattern, "\n")
+    return strip(F.when(raw.contains("<"), out).otherwise(raw))
 
 
 def unclosed_think(text: Column) -> Column:
     """True when a thinking block was opened and never closed."""
-    rest = F.regexp_replace(F.coalesce(text, F.lit("")), THINK_CLOSED, "")
-    return rest.rlike(THINK_ANY)
+    raw = F.coalesce(text, F.lit(""))
+    return raw.contains("<") & F.regexp_replace(raw, THINK_CLOSED, "").rlike(THINK_ANY)
 
 
 def unwrap_choice_tags(text: Column) -> Column:
@@ -144,7 +145,7 @@ def collapse_adjacent(paragraphs: Column) -> Column:
 
 
 def _kept_fragments(line: Column) -> Column:
-    fragments = F.transform(F.split(line, SENTENCE_GAP), strip)
+    fragments = F.transform(split_at(line, SENTENCE_GAP), strip)
     resolved = F.transform(
         fragments, lambda f: F.when(has_placeholder(f), _after_placeholder(f)).otherwise(f)
     )
@@ -168,7 +169,7 @@ def _per_line(text: Column, rewrite) -> Column:
         kept = F.filter(F.transform(lines(p), rewrite), present)
         return strip(F.array_join(kept, "\n"))
 
-    parts = F.transform(F.split(text, PARAGRAPH_GAP), paragraph)
+    parts = F.transform(split_at(text, PARAGRAPH_GAP), paragraph)
     return F.array_join(F.filter(parts, lambda p: F.length(p) > 0), "\n\n")
 
 
@@ -177,8 +178,14 @@ def drop_placeholder_fragments(text: Column) -> Column:
 
 
 def _line_without_empty_claims(line: Column) -> Column:
+    """A line that does not say "answer" only has its sentence gaps closed up."""
+    plain = strip(F.regexp_replace(line, SENTENCE_GAP, " "))
+    return F.when(F.lower(line).contains("answer"), _drop_claims(line)).otherwise(plain)
+
+
+def _drop_claims(line: Column) -> Column:
     cut = rstrip(F.regexp_replace(line, EMPTY_CLAIM_TAIL, ""))
-    fragments = F.transform(F.split(cut, SENTENCE_GAP), strip)
+    fragments = F.transform(split_at(cut, SENTENCE_GAP), strip)
     kept = F.filter(
         fragments, lambda f: (F.length(f) > 0) & ~f.rlike(f"^{EMPTY_CLAIM}\\z")
     )
@@ -192,16 +199,26 @@ def drop_empty_claims(text: Column) -> Column:
 
 def paragraphs_of(text: Column) -> Column:
     return F.filter(
-        F.transform(F.split(text, PARAGRAPH_GAP), strip), lambda p: F.length(p) > 0
+        F.transform(split_at(text, PARAGRAPH_GAP), strip), lambda p: F.length(p) > 0
     )
 
 
 def visible_text(text: Column) -> Column:
-    """Text outside thinking blocks with line ends and control tokens settled."""
-    raw = F.regexp_replace(strip_think(text), "\r\n?", "\n")
-    raw = F.regexp_replace(raw, r"(?iU)<\s*eoa\s*>", "")
-    raw = F.regexp_replace(raw, r"(?imUd)^\s*/no_think\s*$", "")
-    return F.regexp_replace(raw, r"(?iU)\b/no_think\b", "")
+    """Text outside thinking blocks with line ends and control tokens settled.
+
+    The guards are literal searches: most rows never reach the patterns.
+    """
+    def settle(raw: Column) -> Column:
+        ends = F.when(
+            raw.contains("\r"), F.regexp_replace(raw, "\r\n?", "\n")
+        ).otherwise(raw)
+        tags = F.regexp_replace(ends, r"(?iU)<\s*eoa\s*>", "")
+        tags = F.when(raw.contains("<"), tags).otherwise(ends)
+        switch = F.regexp_replace(tags, r"(?imUd)^\s*/no_think\s*$", "")
+        switch = F.regexp_replace(switch, r"(?iU)\b/no_think\b", "")
+        return F.when(F.lower(raw).contains("/no_think"), switch).otherwise(tags)
+
+    return let(strip_think(text), settle)
 
 
 def squeeze(text: Column) -> Column:
@@ -210,21 +227,31 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+def _settled_paragraphs(parts: Column) -> Column:
+    return F.when(
+        F.size(parts) > 1, collapse_adjacent(drop_template_paragraphs(parts))
+    ).otherwise(parts)
+
+
 def with_clean_response(df: DataFrame, source: str, target: str) -> DataFrame:
     """Add the cleaned text.  Each stage is its own column, so Catalyst keeps
     the expensive steps separate instead of repeating them."""
     visible, parts = f"__{target}_visible", f"__{target}_parts"
-    kept = collapse_adjacent(drop_template_paragraphs(F.col(parts)))
+    text = F.col(target)
     return (
         df.withColumn(visible, visible_text(F.col(source)))
         .withColumn(parts, paragraphs_of(F.col(visible)))
-        .withColumn(parts, kept)
+        .withColumn(parts, _settled_paragraphs(F.col(parts)))
         .withColumn(
             target,
             F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(F.col(visible)),
         )
-        .withColumn(target, drop_placeholder_fragments(F.col(target)))
-        .withColumn(target, normalize_angle(F.col(target)))
-        .withColumn(target, squeeze(drop_empty_claims(F.col(target))))
+        .withColumn(
+            target,
+            F.when(text.contains("<"), normalize_angle(drop_placeholder_fragments(text))).otherwise(
+                text
+            ),
+        )
+        .withColumn(target, squeeze(drop_empty_claims(text)))
         .drop(visible, parts)
     )

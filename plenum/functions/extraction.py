@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import let, lines, strip
+from plenum.functions.text import CUT, let, lines, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (sources, confidences and patterns that define an answer)
@@ -191,7 +191,7 @@ def balanced_braces(text: Column) -> Column:
 
 
 def _last_balanced(text: Column, opener: str) -> Column:
-    parts = F.split(F.regexp_replace(text, opener, f"{_ANSWER}$0"), _ANSWER)
+    parts = F.split(F.regexp_replace(text, opener, f"{CUT}$0"), CUT)
 
     def pick(pieces: Column) -> Column:
         contents = F.transform(
@@ -229,7 +229,7 @@ def yes_no_letter(answer: Column) -> Column:
 
 def clean_math_token(answer: Column) -> Column:
     """Cut the explanation behind the answer; a leading number stands alone."""
-    head = F.element_at(F.split(clean_token(answer), MATH_STOP_WORDS, 2), 1)
+    head = F.substring_index(F.regexp_replace(clean_token(answer), MATH_STOP_WORDS, CUT), CUT, 1)
     number = F.regexp_extract(head, MATH_LEADING_NUMBER, 1)
     return F.when(F.length(number) > 0, number).otherwise(strip(head))
 

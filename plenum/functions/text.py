@@ -10,8 +10,10 @@ BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# The characters that end a line.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# The characters that end a line besides "\n".
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# A Unicode noncharacter, used to cut text at the matches of a pattern.
+CUT = "\uffff"
 
 ALPHABET = [chr(65 + i) for i in range(26)]
 
@@ -40,7 +42,15 @@ def present(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK)
+    """Lines of a text.  A two-character line end yields an extra empty line,
+    which all callers drop together with the other blank lines."""
+    return F.split(F.translate(text, OTHER_LINE_ENDS, "\n" * len(OTHER_LINE_ENDS)), "\n")
+
+
+def split_at(text: Column, pattern: str) -> Column:
+    """Split at a pattern.  ``split`` compiles its pattern for every row,
+    ``regexp_replace`` keeps it, so the cut is made on a single character."""
+    return F.split(F.regexp_replace(text, pattern, CUT), CUT)
 
 
 def letter_at(position: Column) -> Column:

@@ -256,36 +256,48 @@ def plurality_unique(rows: DataFrame, keys: list[str], order: str = "role_idx")
     )
 
 
+def transition_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Correctness in the first, second and last round of each key."""
+    def at(round_: int) -> Column:
+        return F.bool_or(F.when(F.col("round") == round_, F.col("correct")))
+
+    return (
+        rows.groupBy(*keys)
+        .agg(
+            at(0).alias("first_correct"),
+            at(1).alias("second_correct"),
+            F.max_by("correct", "round").alias("last_correct"),
+            F.count(F.lit(1)).alias("__rounds"),
+        )
+        .filter(F.col("__rounds") > 1)
+        .select(
+            *keys,
+            "first_correct",
+            "second_correct",
+            "last_correct",
+            (~F.col("first_correct") & F.col("last_correct")).alias("corrected"),
+            (F.col("first_correct") & ~F.col("last_correct")).alias("harmed"),
+        )
+    )
+
+
 def round_transitions(rows: DataFrame, cell: list[str], key: str = "sample_index") -> DataFrame:
     """Wrong-to-right and right-to-wrong counts from round 0 to 1 and to the last.
 
     ``rows`` holds one (cell, key, round, correct) row per decision.
     """
-    def at(round_: Column) -> Column:
-        return F.max(F.when(F.col("round") == round_, F.col("correct").cast("int")))
-
-    spans = rows.groupBy(*cell).agg(F.max("round").alias("__last"))
-    per_key = (
-        rows.join(spans, cell)
-        .groupBy(*cell, key)
-        .agg(
-            at(F.lit(0)).alias("r0"),
-            at(F.lit(1)).alias("r1"),
-            at(F.col("__last")).alias("rn"),
-            F.count(F.lit(1)).alias("rounds"),
-        )
-        .filter(F.col("rounds") > 1)
-    )
+    flips = transition_rows(rows, [*cell, key])
 
-    def moved(a: str, x: int, b: str, y: int) -> Column:
-        return F.count_if((F.col(a) == x) & (F.col(b) == y))
+    def moved(after: str, gained: bool) -> Column:
+        before, now = F.col("first_correct"), F.col(after)
+        return F.count_if(~before & now if gained else before & ~now)
 
-    totals = per_key.groupBy(*cell).agg(
+    totals = flips.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("samples"),
-        moved("r0", 0, "r1", 1).alias("r0_wrong_r1_right"),
-        moved("r0", 1, "r1", 0).alias("r0_right_r1_wrong"),
-        moved("r0", 0, "rn", 1).alias("r0_wrong_last_right"),
-        moved("r0", 1, "rn", 0).alias("r0_right_last_wrong"),
+        moved("second_correct", True).alias("r0_wrong_r1_right"),
+        moved("second_correct", False).alias("r0_right_r1_wrong"),
+        moved("last_correct", True).alias("r0_wrong_last_right"),
+        moved("last_correct", False).alias("r0_right_last_wrong"),
     )
     names = [c for c in totals.columns if c.startswith("r0_")]
     return totals.select(
