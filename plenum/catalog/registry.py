@@ -13,6 +13,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _quoted(sql: str) -> str:
+    return re.sub(r"(?<!')\bnatural\b(?!')", '"natural"', sql)
+
+
 def with_inputs(sql: str) -> str:
     """Prefix the SQL with the derived input tables it mentions."""
     needed: list[str] = []
@@ -24,10 +28,13 @@ def with_inputs(sql: str) -> str:
                 if name not in needed:
                     needed.append(name)
 
+    # NATURAL is a keyword of the twin's dialect and a column name here
     visit(sql)
+    quoted = {n: _quoted(b) for n, b in SQL_INPUTS.items()}
+    sql = _quoted(sql)
     if not needed:
         return sql
-    head = ",\n".join(f"{name} AS ({SQL_INPUTS[name]})" for name in needed)
+    head = ",\n".join(f"{name} AS ({quoted[name]})" for name in needed)
     stripped = sql.strip()
     if stripped.upper().startswith("WITH "):
         return f"WITH {head},\n{stripped[5:]}"
