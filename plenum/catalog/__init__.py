@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL twin."""
 
-from plenum.catalog import lengths, preference, sampling, voting  # noqa: F401
+from plenum.catalog import lengths, preference, sampling, texts, voting  # noqa: F401
 from plenum.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

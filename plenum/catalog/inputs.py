@@ -438,3 +438,20 @@ def sql_vote_label(value: str, task: str) -> str:
         f"WHEN {task} = 'multiple_choice' THEN {letter} WHEN {task} = 'mixed' THEN coalesce({letter}, {word}) "
         f"ELSE trim({value}) END"
     )
+
+# ------------------------------------------------------- texts with known result
+# Whole document texts reduced to words, wrapped in the debris the cleaner removes.
+SQL_INPUTS["debris"] = r"""
+SELECT doc_id, words, letter, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w2
+FROM (SELECT doc_id, text, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS words,
+             chr(CAST(65 + doc_id % 4 AS INT)) AS letter FROM documents)"""
+
+
+def debris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("words"),
+        _letter(F.col("doc_id") % 4).alias("letter"),
+    )
+
+
+SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
