@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions.extraction import balanced_braces
-from plenum.functions.text import let, letters_for, strip
+from plenum.functions.text import let, letters_for, split_at, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (category names, markers and labels of the benchmark files)
@@ -271,7 +271,7 @@ def bbh_options(text: Column) -> Column:
         text, F.lit(1), F.length(text) - F.length(block) - len(OPTIONS_MARKER)
     )
     labels = F.regexp_extract_all(block, F.lit(OPTION_LABEL), F.lit(1))
-    parts = F.split(F.regexp_replace(block, OPTION_LABEL, "￿"), "￿")
+    parts = split_at(block, OPTION_LABEL)
     choices = F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip)
     complete = (F.instr(text, OPTIONS_MARKER) > 0) & (F.size(labels) > 0)
     return F.when(
