@@ -100,8 +100,8 @@ FROM (SELECT b.*, CASE WHEN k = 10 THEN NULL WHEN k < 5 + round THEN gold
             CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS t(round)) b) c"""
 
 
-def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = each_int(each(samples(spark, sf_dir), ROLES, "role_idx", "role"), range(5), "round")
+def completions(spark: SparkSession, sf_dir: str, names=ROLES) -> DataFrame:
+    grid = each_int(each(samples(spark, sf_dir), names, "role_idx", "role"), range(5), "round")
     index, cust, k = F.col("sample_index"), F.col("custkey"), F.col("k")
     wrong = F.when(
         F.col("task_type") == "yes_no", F.when(F.col("gold") == "YES", "NO").otherwise("YES")
@@ -127,9 +127,17 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+AGENTS = ("agent0", "agent1", "agent2", "agent3")
+# the same rule for four equal agents
+SQL_INPUTS["agent_completions"] = SQL_INPUTS["completions"].replace(
+    "(0, 'direct'), (1, 'evidence'), (2, 'verification')",
+    "(0, 'agent0'), (1, 'agent1'), (2, 'agent2'), (3, 'agent3')",
+)
+
+
+def votes(spark: SparkSession, sf_dir: str, names=ROLES) -> DataFrame:
     """Completions as answered rows: answer, parsed, correct, truncated."""
-    return completions(spark, sf_dir).select(
+    return completions(spark, sf_dir, names).select(
         F.lit("full").alias("variant"),
         "dataset", "sample_index", "sample_id", "task_type", "subject", "gold",
         "round", "role", "role_idx", "truncated",
@@ -145,6 +153,32 @@ SELECT 'full' AS variant, dataset, sample_index, sample_id, task_type, subject,
        coalesce(label = gold, false) AS correct
 FROM completions"""
 
+SQL_INPUTS["agent_votes"] = SQL_INPUTS["votes"].replace("FROM completions", "FROM agent_completions")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records: one row per sample and role with its five rounds."""
+    rows = completions(spark, sf_dir)
+
+    def turn(round_: int) -> Column:
+        completion = F.struct(
+            F.col("tail_text").alias("raw_response"), F.col("tail_text").alias("response"),
+            F.col("label").alias("answer"), F.col("label").isNotNull().alias("parsed"),
+            F.coalesce(F.col("label") == F.col("gold"), F.lit(False)).alias("correct"), "truncated",
+        )
+        return F.max(
+            F.when(
+                F.col("round") == round_,
+                F.struct(F.col("round"), F.struct(completion.alias("completion")).alias("actor")),
+            )
+        )
+
+    return rows.groupBy("dataset", "sample_index", "sample_id", "role", "role_idx").agg(
+        F.max("task_type").alias("task_type"), F.max("gold").alias("gold"),
+        F.array(*[turn(r) for r in range(5)]).alias("rounds"),
+    )
+
+
 SQL_INPUTS["ballots"] = """
 SELECT dataset, sample_index, sample_id, task_type, gold, round, d, e, v, d_cut, e_cut, v_cut,
        CASE WHEN d IS NOT NULL AND (d = e OR d = v) THEN d WHEN e IS NOT NULL AND e = v THEN e ELSE d END AS final,
@@ -455,3 +489,28 @@ def debris(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+# ---------------------------------------------------------------- result cells
+# Accuracy per model, dataset, run and round; the customer picks the model.
+MODEL_NAMES = ("Llama3-8B", "mistral_7b", "gemma-2-2b", "phi4_mini", "qwen25_3b")
+RUNS = ("sft_only", "sft_base_critic", "sft_trained_critic", "no_sft_full", "full")
+SQL_INPUTS["cells"] = f"""
+SELECT [{", ".join(f"'{m}'" for m in MODEL_NAMES)}][1 + (custkey % 5)::INT] AS model, dataset,
+       [{", ".join(f"'{r}'" for r in RUNS)}][1 + ((sample_index // 5) % 5)::INT] AS source, round,
+       count(*) AS samples, count(*) FILTER (WHERE coalesce(label = gold, false)) / count(*) AS accuracy,
+       count(label) / count(*) AS parse_rate
+FROM completions GROUP BY ALL"""
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one_of(names, index: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (index % 5 + 1).cast("int"))
+
+    rows = completions(spark, sf_dir)
+    hit = F.coalesce(F.col("label") == F.col("gold"), F.lit(False))
+    n = F.count(F.lit(1))
+    return rows.groupBy(
+        one_of(MODEL_NAMES, F.col("custkey")).alias("model"), "dataset",
+        one_of(RUNS, F.floor(F.col("sample_index") / 5)).alias("source"), "round",
+    ).agg(n.alias("samples"), (F.count_if(hit) / n).alias("accuracy"), (F.count("label") / n).alias("parse_rate"))
