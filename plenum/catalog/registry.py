@@ -14,7 +14,9 @@ ORACLES: dict[str, str] = {}
 
 
 def _quoted(sql: str) -> str:
-    return re.sub(r"(?<!')\bnatural\b(?!')", '"natural"', sql)
+    pieces = re.split(r"('(?:[^']|'')*')", sql)
+    pieces[::2] = [re.sub(r"\bnatural\b", '"natural"', p) for p in pieces[::2]]
+    return "".join(pieces)
 
 
 def with_inputs(sql: str) -> str:
