@@ -133,3 +133,11 @@ LENGTH_GROUP = _struct(
     token_histogram=T.MapType(_S, _L),
 )
 LENGTH_STATS = _struct(schema_version=_I, by_max_tokens=T.MapType(_S, LENGTH_GROUP))
+
+_SIMPLE = {"string": _S, "bigint": _L, "int": _I, "double": _D, "boolean": _B}
+
+
+def simple(columns: str) -> T.StructType:
+    """Flat schema from "name type, name type" (no session needed)."""
+    pairs = [part.split() for part in columns.split(",")]
+    return _struct(**{name: _SIMPLE[kind] for name, kind in pairs})
