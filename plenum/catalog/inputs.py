@@ -305,9 +305,9 @@ SELECT doc_id, doc_id * 3 + role_idx AS reply_id, role, role_idx, task_type, gol
             WHEN k % 6 = 0 THEN 'final_result' WHEN k % 6 = 1 THEN 'final_answer'
             WHEN k % 6 = 5 OR (task_type = 'math' AND k % 6 = 3) THEN 'weak_tail'
             ELSE 'tail_claim' END AS source,
-       CASE WHEN doc_id % 7 = 0 THEN '<think>' || text || '</think>' || chr(10) || chr(10) || tail_text
+       CASE WHEN doc_id % 7 = 0 THEN '<think>' || text || '</think>' || chr(10) || chr(10) || 'Reply below' || chr(10) || tail_text
             WHEN doc_id % 11 = 1 THEN '<think>' || text || chr(10) || tail_text
-            ELSE text || chr(10) || chr(10) || tail_text END AS raw,
+            ELSE text || chr(10) || chr(10) || 'Reply below' || chr(10) || tail_text END AS raw,
        doc_id % 7 <> 0 AND doc_id % 11 = 1 AS left_open
 FROM (SELECT *, CASE WHEN label IS NULL THEN 'I cannot decide.'
              WHEN k % 6 = 0 THEN 'The final result is ' || label || '.'
@@ -344,7 +344,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 4, F.concat(F.lit("Answer: "), label))
         .otherwise(label)
     )
-    nl = F.lit("\n")
+    # a line of its own keeps the end of the text apart from the answer
+    nl, below = F.lit("\n"), F.lit("\n\nReply below\n")
     open_think = (doc % 7 != 0) & (doc % 11 == 1)
     return (
         each(table(spark, sf_dir, "documents"), ROLES, "role_idx", "role")
@@ -371,9 +372,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("tail_text", tail)
         .withColumn(
             "raw",
-            F.when(doc % 7 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>"), nl, nl, "tail_text"))
+            F.when(doc % 7 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>"), below, "tail_text"))
             .when(doc % 11 == 1, F.concat(F.lit("<think>"), "text", nl, "tail_text"))
-            .otherwise(F.concat("text", nl, nl, "tail_text")),
+            .otherwise(F.concat("text", below, "tail_text")),
         )
         .select(
             "doc_id", (doc * 3 + F.col("role_idx")).alias("reply_id"), "role", "role_idx",

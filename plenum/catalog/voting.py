@@ -235,8 +235,8 @@ def last_round(spark, d):
 
 @query(
     "macro_accuracy",
-    """WITH cells AS (SELECT role AS model, dataset, round, count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM votes GROUP BY ALL),
-            means AS (SELECT model, round, avg(accuracy) * 100.0::DOUBLE AS macro_accuracy FROM cells GROUP BY ALL)
+    """WITH per_role AS (SELECT role AS model, dataset, round, count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM votes GROUP BY ALL),
+            means AS (SELECT model, round, avg(accuracy) * 100.0::DOUBLE AS macro_accuracy FROM per_role GROUP BY ALL)
        SELECT model, round, round(macro_accuracy, 9) AS macro_accuracy FROM means
        UNION ALL SELECT 'Mean', round, round(avg(macro_accuracy), 9) FROM means GROUP BY round""",
 )
