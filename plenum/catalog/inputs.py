@@ -299,17 +299,21 @@ FROM lengths"""
 
 # --------------------------------------------------------------------- replies
 # One reply per document and role: the whole text, then a line with the answer.
+# Eight lines in between keep the end of the text out of the answer's tail.
+BRIDGE = "\n\n" + "".join(
+    f"line {n}\n" for n in ("one", "two", "three", "four", "five", "six", "seven", "eight")
+)
 SQL_INPUTS["replies"] = r"""
 SELECT doc_id, doc_id * 3 + role_idx AS reply_id, role, role_idx, task_type, gold, label, k, kind,
        CASE WHEN label IS NULL THEN 'none'
             WHEN k % 6 = 0 THEN 'final_result' WHEN k % 6 = 1 THEN 'final_answer'
             WHEN k % 6 = 5 OR (task_type = 'math' AND k % 6 = 3) THEN 'weak_tail'
             ELSE 'tail_claim' END AS source,
-       CASE WHEN doc_id % 7 = 0 THEN '<think>' || text || '</think>' || chr(10) || chr(10) || 'Reply below' || chr(10) || tail_text
+       CASE WHEN doc_id % 7 = 0 THEN '<think>' || text || '</think>' || bridge || tail_text
             WHEN doc_id % 11 = 1 THEN '<think>' || text || chr(10) || tail_text
-            ELSE text || chr(10) || chr(10) || 'Reply below' || chr(10) || tail_text END AS raw,
+            ELSE text || bridge || tail_text END AS raw,
        doc_id % 7 <> 0 AND doc_id % 11 = 1 AS left_open
-FROM (SELECT *, CASE WHEN label IS NULL THEN 'I cannot decide.'
+FROM (SELECT *, BRIDGE AS bridge, CASE WHEN label IS NULL THEN 'I cannot decide.'
              WHEN k % 6 = 0 THEN 'The final result is ' || label || '.'
              WHEN k % 6 = 1 THEN 'Final Answer: ' || label
              WHEN k % 6 = 2 THEN CASE WHEN task_type = 'math' THEN 'The answer is ' ELSE 'The correct answer is ' END || label || '.'
@@ -331,6 +335,9 @@ FROM (SELECT *, CASE WHEN label IS NULL THEN 'I cannot decide.'
                         CROSS JOIN (VALUES (0, 'direct'), (1, 'evidence'), (2, 'verification')) AS r(role_idx, role)))))"""
 
 
+SQL_INPUTS["replies"] = SQL_INPUTS["replies"].replace("BRIDGE", "'" + BRIDGE.replace("\n", "' || chr(10) || '") + "'")
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, size, k, label = F.col("doc_id"), F.col("n_chars"), F.col("k"), F.col("label")
     kind, math = F.col("kind"), F.col("task_type") == "math"
@@ -344,8 +351,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 4, F.concat(F.lit("Answer: "), label))
         .otherwise(label)
     )
-    # a line of its own keeps the end of the text apart from the answer
-    nl, below = F.lit("\n"), F.lit("\n\nReply below\n")
+    nl, below = F.lit("\n"), F.lit(BRIDGE)
     open_think = (doc % 7 != 0) & (doc % 11 == 1)
     return (
         each(table(spark, sf_dir, "documents"), ROLES, "role_idx", "role")
