@@ -150,7 +150,7 @@ def scan_nested_examples(spark, d):
     docs = named.groupBy("subject").agg(F.to_json(F.struct(F.array_sort(F.collect_list(example)).alias("examples"))).alias("value"))
     docs.repartition("subject").write.partitionBy("subject").text(root)
     # the folder carries the category here, so it is read as such
-    files = spark.read.option("wholetext", "true").text(root)
+    files = spark.read.text(root, wholetext=True)
     parsed = files.withColumn("d", F.from_json("value", benchmarks.EXAMPLES_SCHEMA))
     quality.enforce(parsed.filter(F.coalesce(F.size("d.examples"), F.lit(0)) <= 0).select("subject"), "empty category")
     quality.enforce(named.select("subject").distinct().join(parsed.select("subject"), "subject", "left_anti"), "missing category")

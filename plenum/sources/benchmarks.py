@@ -86,7 +86,7 @@ def scan_examples(spark: SparkSession, folder: str, categories: DataFrame | None
     Expected categories without examples are an error.
     """
     files = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+        spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
         .select("value", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("subject"))
     )
     parsed = files.withColumn("d", F.from_json("value", EXAMPLES_SCHEMA))

@@ -94,8 +94,8 @@ def scan_documents(
 
     A file whose root is no object fails the job when it is read.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    whole = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    whole = text.select("value", F.col("_metadata.file_path").alias("file"))
     rows = _parsed(whole, schema)
     message = F.concat(F.lit("no JSON object: "), F.col("file"))
     good = rows.filter(F.when(F.col("__broken"), F.raise_error(message).cast("boolean")).otherwise(True))
