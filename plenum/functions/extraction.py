@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import CUT, let, lines, strip
+from plenum.functions.text import CUT, let, lines, strip, swap
 
 # ---------------------------------------------------------------------------
 # Fixed values (sources, confidences and patterns that define an answer)
@@ -98,6 +98,32 @@ MATH_NUMBER_TAIL = [
     r"(?:therefore|thus)\s+(-?[0-9]+(?:\.[0-9]+)?)\s*\.?\s*$",
     r"^=\s*(-?[0-9]+(?:\.[0-9]+)?)\s*\.?\s*$",
 ]
+# Words without which a pattern of a rule cannot match (any of them; the order
+# follows the patterns).  A literal search is far cheaper than the pattern.
+NEEDED = {
+    "MC_FINAL_RESULT": ["result"],
+    "MC_FINAL_ANSWER": ["final", "final"],
+    "MC_TAIL_CLAIM": [
+        "answer", "the", "correct|best", "diagnosis|conclusion", "therefore",
+        "therefore|thus|so|hence|overall|finally", "choose|select|pick", "go", "my", "option",
+        "is", "correct|best",
+    ],
+    "MC_WEAK_TAIL": ["", "option", "(", "is"],
+    "YN_FINAL_RESULT": ["result"],
+    "YN_FINAL_ANSWER": ["final"],
+    "YN_TAIL_CLAIM": [
+        "yes|no", "answer", "answer", "answer", "therefore", "actually|finally|end", "choose|answer",
+    ],
+    "YN_WEAK_TAIL": ["yes|no", "yes|no"],
+    "AB_FINAL_RESULT": ["result"],
+    "AB_FINAL_ANSWER": ["final"],
+    "AB_TAIL_CLAIM": ["answer", "answer", "choose|answer"],
+    "AB_WEAK_TAIL": ["", ":|："],
+    "MATH_FINAL_RESULT": ["result"],
+    "MATH_FINAL_ANSWER": ["final", "final"],
+    "MATH_TAIL_CLAIM": ["answer", "therefore", "the", "="],
+    "MATH_NUMBER_TAIL": ["", "therefore|thus|so|equal|is", "therefore|thus", "="],
+}
 BOXED_IN_BRACES = r"\{\\boxed\s*\{"
 BOXED = r"(?i)boxed\s*\{"
 MATH_STOP_WORDS = r"(?iU)\s+(?:because|since|as|with)\b"
@@ -125,30 +151,51 @@ def tail_lines(text: Column, keep: int = TAIL_LINES) -> Column:
 
 
 def without_marks(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _MARKS, "")
+    return swap(F.coalesce(text, F.lit("")), _MARKS, "")
+
+
+def _replaced(text: Column, old: str, new: str) -> Column:
+    return F.when(text.contains(old), F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+
+
+def half_width_colon(text: Column) -> Column:
+    return _replaced(text, "：", ":")
 
 
 def answer_markup(text: Column) -> Column:
     """Full-width colon to ``:`` and Markdown emphasis removed."""
-    plain = F.translate(text, "：", ":")
+    plain = half_width_colon(text)
     for marker in ("**", "__", "*"):
-        plain = F.replace(plain, F.lit(marker), F.lit(""))
-    return plain
+        plain = _replaced(plain, marker, "")
+    return F.when(text.rlike("[*_：]"), plain).otherwise(text)
+
 
+def folded(text: Column) -> Column:
+    """Lower case with the letters that only case folding maps to ASCII."""
+    return F.lower(swap(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
-def last_match(text: Column, patterns: list[str]) -> Column:
+
+def last_match(
+    text: Column, patterns: list[str], needed: list[str] | None = None, low: Column | None = None
+) -> Column:
     """struct(start, rank, answer, span) of the winning match, NULL without one.
 
     ``regexp_replace`` writes the captured answer and the span between marks in
     front of the rest of the text, so the last mark tells answer, span and the
-    distance to the end in one pass per pattern.
+    distance to the end in one pass per pattern.  With ``needed`` words and the
+    folded text, patterns that cannot match are not tried.
     """
-    marked = F.array(
-        *[
-            F.regexp_replace(text, _DIALECT + p, f"{_ANSWER}$1{_SPAN}$0{_END}")
-            for p in patterns
-        ]
-    )
+    def mark(pattern: str, words: str) -> Column:
+        marked = F.regexp_replace(text, _DIALECT + pattern, f"{_ANSWER}$1{_SPAN}$0{_END}")
+        if not words or low is None:
+            return marked
+        possible = F.lit(False)
+        for word in words.split("|"):
+            possible = possible | F.contains(low, F.lit(word))
+        return F.when(possible, marked)
+
+    words = needed or [""] * len(patterns)
+    marked = F.array(*[mark(p, w) for p, w in zip(patterns, words, strict=True)])
 
     def locate(m: Column, rank: Column) -> Column:
         last = F.substring_index(m, _ANSWER, -1)
@@ -248,42 +295,44 @@ def _found(match: Column, source: str, shape) -> Column:
     )
 
 
-def _tiers(rules) -> Column:
-    return F.coalesce(
-        *[_found(last_match(text, patterns), source, shape) for source, text, patterns, shape in rules]
-    )
+class _Texts:
+    """The prepared text, its tail, and both folded for literal searches."""
 
+    def __init__(self, body: str, tail: str, low_body: str, low_tail: str):
+        self.body, self.tail = F.col(body), F.col(tail)
+        self._low = {"body": F.col(low_body), "tail": F.col(low_tail)}
 
-def _mc(text: Column, tail: Column) -> Column:
-    return _tiers(
-        [
-            ("final_result", text, MC_FINAL_RESULT, F.upper),
-            ("final_answer", text, MC_FINAL_ANSWER, F.upper),
-            ("tail_claim", tail, MC_TAIL_CLAIM, F.upper),
-            ("weak_tail", tail, MC_WEAK_TAIL, F.upper),
-        ]
-    )
+    def rule(self, source: str, where: str, name: str, shape) -> Column:
+        match = last_match(getattr(self, where), globals()[name], NEEDED[name], self._low[where])
+        return _found(match, source, shape)
 
 
-def _yes_no(text: Column, tail: Column) -> Column:
-    return _tiers(
-        [
-            ("final_result", text, YN_FINAL_RESULT, yes_no_word),
-            ("final_answer", text, YN_FINAL_ANSWER, yes_no_word),
-            ("tail_claim", tail, YN_TAIL_CLAIM, yes_no_word),
-            ("weak_tail", tail, YN_WEAK_TAIL, yes_no_word),
-            ("final_result", text, AB_FINAL_RESULT, yes_no_letter),
-            ("final_answer", text, AB_FINAL_ANSWER, yes_no_letter),
-            ("tail_claim", tail, AB_TAIL_CLAIM, yes_no_letter),
-            ("weak_tail", tail, AB_WEAK_TAIL, yes_no_letter),
-        ]
-    )
+def _mc(t: _Texts) -> list[Column]:
+    return [
+        t.rule("final_result", "body", "MC_FINAL_RESULT", F.upper),
+        t.rule("final_answer", "body", "MC_FINAL_ANSWER", F.upper),
+        t.rule("tail_claim", "tail", "MC_TAIL_CLAIM", F.upper),
+        t.rule("weak_tail", "tail", "MC_WEAK_TAIL", F.upper),
+    ]
+
 
+def _yes_no(t: _Texts) -> list[Column]:
+    return [
+        t.rule("final_result", "body", "YN_FINAL_RESULT", yes_no_word),
+        t.rule("final_answer", "body", "YN_FINAL_ANSWER", yes_no_word),
+        t.rule("tail_claim", "tail", "YN_TAIL_CLAIM", yes_no_word),
+        t.rule("weak_tail", "tail", "YN_WEAK_TAIL", yes_no_word),
+        t.rule("final_result", "body", "AB_FINAL_RESULT", yes_no_letter),
+        t.rule("final_answer", "body", "AB_FINAL_ANSWER", yes_no_letter),
+        t.rule("tail_claim", "tail", "AB_TAIL_CLAIM", yes_no_letter),
+        t.rule("weak_tail", "tail", "AB_WEAK_TAIL", yes_no_letter),
+    ]
 
-def _math(text: Column, tail: Column) -> Column:
+
+def _math(t: _Texts) -> list[Column]:
     # An empty box counts as found: the row is unparsed and later rules stay off.
     boxed = let(
-        extract_boxed(text),
+        extract_boxed(t.body),
         lambda b: F.when(
             b.isNotNull(),
             F.struct(
@@ -293,17 +342,13 @@ def _math(text: Column, tail: Column) -> Column:
             ),
         ),
     )
-    return F.coalesce(
-        _tiers([("final_result", text, MATH_FINAL_RESULT, clean_math_token)]),
+    return [
+        t.rule("final_result", "body", "MATH_FINAL_RESULT", clean_math_token),
         boxed,
-        _tiers(
-            [
-                ("final_answer", text, MATH_FINAL_ANSWER, clean_math_token),
-                ("tail_claim", tail, MATH_TAIL_CLAIM, clean_math_token),
-                ("weak_tail", tail, MATH_NUMBER_TAIL, lambda a: a),
-            ]
-        ),
-    )
+        t.rule("final_answer", "body", "MATH_FINAL_ANSWER", clean_math_token),
+        t.rule("tail_claim", "tail", "MATH_TAIL_CLAIM", clean_math_token),
+        t.rule("weak_tail", "tail", "MATH_NUMBER_TAIL", lambda a: a),
+    ]
 
 
 def _settle(found: Column) -> Column:
@@ -332,22 +377,26 @@ def with_extracted(
     The prepared text and its tail are columns of their own, so each is built
     once per row, and only the rules of the row's task type are evaluated.
     """
-    plain, bare, tail = f"__{target}_plain", f"__{target}_bare", f"__{target}_tail"
+    plain, bare, tail, low, low_tail = (
+        f"__{target}_{part}" for part in ("plain", "bare", "tail", "low", "low_tail")
+    )
     task = F.col(task_type)
     is_math = F.coalesce(task == "math", F.lit(False))
-    body, end = F.col(bare), F.col(tail)
-    choice = F.when(task.isin("multiple_choice", "mixed"), _mc(body, end))
-    word = F.when(task.isin("yes_no", "mixed"), _yes_no(body, end))
-    maths = F.when(is_math, _math(body, end))
+    texts = _Texts(bare, tail, low, low_tail)
+    choice = F.when(task.isin("multiple_choice", "mixed"), F.coalesce(*_mc(texts)))
+    word = F.when(task.isin("yes_no", "mixed"), F.coalesce(*_yes_no(texts)))
+    maths = F.when(is_math, F.coalesce(*_math(texts)))
     return (
         df.withColumn(plain, without_marks(F.col(text)))
         .withColumn(
             bare,
-            F.when(is_math, F.translate(F.col(plain), "：", ":")).otherwise(
+            F.when(is_math, half_width_colon(F.col(plain))).otherwise(
                 answer_markup(F.col(plain))
             ),
         )
         .withColumn(tail, tail_lines(F.col(bare)))
+        .withColumn(low, folded(F.col(bare)))
+        .withColumn(low_tail, folded(F.col(tail)))
         .withColumn(target, _settle(F.coalesce(choice, word, maths)))
-        .drop(plain, bare, tail)
+        .drop(plain, bare, tail, low, low_tail)
     )

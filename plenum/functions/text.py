@@ -41,10 +41,17 @@ def present(text: Column) -> Column:
     return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
 
 
+def swap(text: Column, old: str, new: str) -> Column:
+    """``translate`` for rare characters: it looks up every single character,
+    so rows without any of them skip it after one quick scan."""
+    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in old) + "]"
+    return F.when(text.rlike(rare), F.translate(text, old, new)).otherwise(text)
+
+
 def lines(text: Column) -> Column:
     """Lines of a text.  A two-character line end yields an extra empty line,
     which all callers drop together with the other blank lines."""
-    return F.split(F.translate(text, OTHER_LINE_ENDS, "\n" * len(OTHER_LINE_ENDS)), "\n")
+    return F.split(swap(text, OTHER_LINE_ENDS, "\n" * len(OTHER_LINE_ENDS)), "\n")
 
 
 def split_at(text: Column, pattern: str) -> Column:

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # plain JVM case mapping has a fast path for ASCII text
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
