@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.catalog import inputs
-from plenum.operators.fusion import align_roles, fusion_metrics, majority_vote
-from plenum.operators.records import with_answer
+from plenum.plans import jobs
 
 ROUND_METRICS_SQL = """
 SELECT {keys}, count(*) AS samples, count(*) FILTER (WHERE ok) AS correct,
@@ -43,6 +42,4 @@ def fused_accuracy_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.completions(spark, sf_dir).select(
         "dataset", "sample_index", "round", "role", "task_type", "gold", "truncated", "tail_text"
     )
-    scored = with_answer(rows, "tail_text", "task_type", "gold")
-    decided = majority_vote(align_roles(scored, ["dataset", "sample_index", "round"]))
-    return fusion_metrics(decided, ["dataset", "round"])
+    return jobs.round_lattice(rows, "tail_text")

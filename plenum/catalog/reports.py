@@ -9,6 +9,7 @@ from plenum.catalog.flagship import round_metrics_sql
 from plenum.catalog.registry import query
 from plenum.catalog.voting import SCORES
 from plenum.operators import audit, baselines, fusion, joins, metrics, records, report
+from plenum.plans import jobs
 
 # ------------------------------------------------------------------- baselines
 
@@ -399,8 +400,4 @@ def job_fuse(spark, d):
     flat = records.flatten_rounds(
         inputs.records(spark, d), ["dataset", "sample_index", "role", "task_type", "gold"]
     )
-    final = records.last_round(
-        flat, ["dataset", "sample_index", "role"], ["task_type", "gold", "answer", "parsed", "correct", "truncated"]
-    )
-    decided = fusion.majority_vote(fusion.align_roles(final, ["dataset", "sample_index"]))
-    return fusion.fusion_metrics(decided, ["dataset"], oracle_name="oracle_any_actor_accuracy")
+    return jobs.fuse(flat)

@@ -1,0 +1 @@
+"""Plans that chain several operators into one job."""
