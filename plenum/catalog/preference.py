@@ -339,7 +339,7 @@ def previous_round_state(spark, d):
     rows = inputs.table(spark, d, "conversations").select(
         "conv_id", "turn", F.when(F.length("text") % 5 > 0, state).alias("state"), F.lit("start").alias("initial")
     )
-    return preference.previous_state(rows, ["conv_id"], "turn", "state", "initial").select(
+    return preference.previous_state(rows, ["conv_id"], "turn", "state", "initial", width=2).select(
         "conv_id", "turn", "previous"
     )
 

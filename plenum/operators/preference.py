@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.matching import answers_match
 from plenum.functions.text import present, ratio, strip
+from plenum.operators.ranking import match_groups
 
 # Candidate names, rules and drop reasons of the pair tables.
 CANDIDATES = ("natural", "guided_positive", "guided_negative")
@@ -340,14 +341,27 @@ def agent_quality(pairs: DataFrame, agents: DataFrame, cases: list[str]) -> Data
 
 
 def previous_state(
-    rows: DataFrame, keys: list[str], round_: str, state: str, initial: str
+    rows: DataFrame, keys: list[str], round_: str, state: str, initial: str, width: int | None = None
 ) -> DataFrame:
     """State before a round: the last known state of earlier rounds, else the
-    initial one.  Rows are unique per (keys, round), so a window holds at most
-    the rounds of one dialogue."""
-    before = (
-        Window.partitionBy(*keys).orderBy(round_).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return rows.withColumn(
-        "previous", F.coalesce(F.last(state, ignorenulls=True).over(before), F.col(initial))
+    initial one.
+
+    Dialogues of a few rounds need one window.  With ``width`` the rounds are
+    cut into ranges of that many, so a key with very many rounds is shared by
+    many tasks: the last state of earlier ranges comes from a small aggregate.
+    """
+    whole = Window.partitionBy(*keys).orderBy(round_).rowsBetween(Window.unboundedPreceding, -1)
+    if width is None:
+        known = F.last(state, ignorenulls=True).over(whole)
+        return rows.withColumn("previous", F.coalesce(known, F.col(initial)))
+    ranged = rows.withColumn("__range", F.floor(F.col(round_) / width))
+    at = F.when(F.col(state).isNotNull(), F.col(round_))
+    ends = ranged.groupBy(*keys, "__range").agg(F.max_by(state, at).alias("__end"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(
+        *keys, "__range", F.last("__end", ignorenulls=True).over(earlier).alias("__before")
     )
+    inside = Window.partitionBy(*keys, "__range").orderBy(round_).rowsBetween(Window.unboundedPreceding, -1)
+    joined = match_groups(ranged, before, [*keys, "__range"])
+    known = F.coalesce(F.last(state, ignorenulls=True).over(inside), F.col("__before"), F.col(initial))
+    return joined.withColumn("previous", known).drop("__range", "__before")

@@ -35,6 +35,15 @@ def _offsets(df: DataFrame, groups: list[str], bucket: str) -> DataFrame:
     )
 
 
+def match_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL, so no row gets lost."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"__k_{k}"])
+    return left.join(renamed, same).drop(*[f"__k_{k}" for k in keys])
+
+
 def with_position(
     df: DataFrame,
     groups: list[str],
@@ -45,12 +54,12 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row inside its group.
 
-    ``bucket`` must not decrease along ``order``.  ``groups`` must not hold
-    NULLs.  With ``limit`` only positions below it are kept, and buckets that
-    start beyond it are dropped before anything is sorted.
+    ``bucket`` must not decrease along ``order``.  With ``limit`` only positions
+    below it are kept, and buckets that start beyond it are dropped before
+    anything is sorted.
     """
     named = df.withColumn("__bucket", bucket)
-    joined = named.join(_offsets(named, groups, "__bucket"), [*groups, "__bucket"])
+    joined = match_groups(named, _offsets(named, groups, "__bucket"), [*groups, "__bucket"])
     if limit is not None:
         joined = joined.filter(F.col("__before") < limit)
     inside = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.seeds import order_hash
-from plenum.operators.ranking import _offsets, hash_bucket, key_bucket, with_position
+from plenum.operators.ranking import _offsets, hash_bucket, key_bucket, match_groups, with_position
 
 
 def _positive(n: int | None) -> None:
@@ -40,10 +40,9 @@ def _stratified(named: DataFrame, groups: list[str], limit: Column, quota: Colum
     inner = [*groups, "__group"]
     per_group = _offsets(named, inner, "__bucket").withColumnRenamed("__before", "__in_group")
     overall = _offsets(named, groups, "__bucket").withColumnRenamed("__before", "__in_all")
-    open_rows = (
-        named.join(per_group, [*inner, "__bucket"])
-        .join(overall, [*groups, "__bucket"])
-        .filter((F.col("__in_group") < quota) | (F.col("__in_all") < limit))
+    placed = match_groups(named, per_group, [*inner, "__bucket"])
+    open_rows = match_groups(placed, overall, [*groups, "__bucket"]).filter(
+        (F.col("__in_group") < quota) | (F.col("__in_all") < limit)
     )
     inside = Window.partitionBy(*inner, "__bucket").orderBy("__hash", "__key")
     flagged = open_rows.withColumn(
@@ -102,7 +101,7 @@ def sample_bundle(
     kept_whole = named.filter(F.col("__n").isNull()).select(*df.columns)
     sized = named.filter(F.col("__n").isNotNull())
     strata = sized.groupBy(split).agg(F.countDistinct("__group").alias("__groups"))
-    sized = sized.join(strata, split)
+    sized = match_groups(sized, strata, [split])
     quota = F.greatest(F.lit(1), F.floor(F.col("__n") / F.col("__groups")))
     chosen = _stratified(sized, [split], F.col("__n"), quota)
     return kept_whole.unionByName(chosen.select(*df.columns))
@@ -170,7 +169,7 @@ def split_stratified(
         .when(F.col("__rank") < n_test + n_val, "validation")
         .otherwise("train")
     )
-    cut = ranked.join(quotas.drop("size"), category).withColumn("source_split", split)
+    cut = match_groups(ranked, quotas.drop("size"), [category]).withColumn("source_split", split)
     numbered = with_position(
         cut.drop("n_test", "n_validation", "__rank"), ["source_split"], order,
         hash_bucket(F.col("__hash")), "source_index",

@@ -111,3 +111,10 @@ def test_checks_raise_in_strict_mode(spark):
         quality.coverage(df.filter("sample_id != 'a'"), df, ["sample_id"]), "sample_id"
     )
     assert rows(report) == [("missing", "a", 1)]
+
+
+def test_rows_with_missing_groups_stay(spark):
+    df = spark.createDataFrame([(f"k{i}", None if i % 2 else "a") for i in range(40)], "key string, subject string")
+    out = sampling.split_stratified(df, "key", 1)
+    assert out.count() == 40
+    assert sampling.source_position(df.withColumn("n", F.length("key")), ["subject"], "n").count() == 40
