@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from plenum.catalog import ORACLES, QUERIES
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ SOME = (
     "last_match", "bbh_standardize", "check_pairs", "check_alignment", "som_metrics", "join_contrast",
     "dedup_requests", "render_actor_prompts", "stage_manifest", "scan_jsonl", "stream_running_counts",
 )
-NAMES = list(entry.queries()) if os.environ.get("PLENUM_ALL") else SOME
+NAMES = list(QUERIES) if os.environ.get("PLENUM_ALL") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -34,4 +35,4 @@ def test_query_equals_twin(spark, twin, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
