@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, decontaminate, pu_quality, simhash
+from plenum.llm import byte_bpe, decontaminate, line_dedup, pu_quality, simhash
 from plenum.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,12 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pu_quality")
 def pu_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k_id", "k_text")
+
+
+@query("op8_line_dedup")
+def line_dedup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 20 code points with their class, named by its first line; -1: no document id."""
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("k_id").alias("doc_id"), "line_no", F.col("class_k_id").alias("class_doc_id"), "class_line_no", "n_links", "kept"
+    )
