@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, decontaminate, line_dedup, pu_quality, simhash
+from plenum.llm import byte_bpe, decontaminate, line_dedup, pu_quality, simhash, url_filter
 from plenum.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def line_dedup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("k_id").alias("doc_id"), "line_no", F.col("class_k_id").alias("class_doc_id"), "class_line_no", "n_links", "kept"
     )
+
+
+@query("op4_url_filter")
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
