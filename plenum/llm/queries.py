@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, decontaminate, line_dedup, pu_quality, simhash, url_filter
+from plenum.llm import byte_bpe, decontaminate, line_dedup, pu_quality, simhash, token_files, url_filter
 from plenum.llm.common import prepared, table
+from plenum.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,10 @@ def line_dedup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_url_filter")
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op5_token_files")
+def token_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.stored_documents(spark, path)
