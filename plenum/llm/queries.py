@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, decontaminate, line_dedup, pu_quality, simhash, token_files, url_filter
+from plenum.llm import byte_bpe, decontaminate, divergence, line_dedup, pu_quality, simhash, token_files, url_filter
 from plenum.llm.common import prepared, table
 from plenum.session import scratch_path
 
@@ -89,3 +89,8 @@ def token_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path)
     return token_files.stored_documents(spark, path)
+
+
+@query("op6_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
