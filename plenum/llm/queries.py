@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, decontaminate, divergence, line_dedup, pu_quality, simhash, token_files, url_filter
+from plenum.llm import byte_bpe, decontaminate, divergence, license_scan, line_dedup, pu_quality, simhash, token_files, url_filter, weak_pii
 from plenum.llm.common import prepared, table
 from plenum.session import scratch_path
 
@@ -94,3 +94,21 @@ def token_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op3_weak_pii")
+def weak_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every document; spans are license:start:end, comma-joined in order."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    each = F.transform("found", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"]))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_spans"),
+        F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
+        F.array_join(each, ",").alias("spans"),
+        F.array_min("found.coverage").alias("least_coverage"),
+    )
