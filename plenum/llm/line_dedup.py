@@ -6,8 +6,11 @@ a pair, cut into ``EDITS + 1`` segments, has one segment that the longer line
 contains unchanged, near the same place (Li et al., Pass-Join).  Each distinct
 line gives the segments of its own length to an index, and looks up the
 substrings that the segments of lines up to ``EDITS`` shorter can match; the
-bounds on their places are the multi-match-aware ones.  Candidates are verified
-with a banded bit-parallel edit distance.
+bounds on their places are the multi-match-aware ones.  An edit changes at most
+two character counts by one, so a pair must also agree in its counts of
+characters by class but for ``2 * EDITS``; the join itself checks that, so that
+lines which share a long passage are not paired for it.  Candidates are
+verified with a banded bit-parallel edit distance.
 
 Texts are read where they lie: only hashes of lines and segments are shuffled,
 and the texts of lines that have a candidate.  Copies of a line never meet in
@@ -16,6 +19,7 @@ pairs, as only its first document takes part for it.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +118,30 @@ def probe_keys(edits: int) -> Column:
     return F.array(*keys)
 
 
+CLASSES, _BITS = 16, 4
+
+
+@F.pandas_udf(T.LongType())
+def _class_counts(lines: pd.Series) -> pd.Series:
+    """Counts of the code points by their last four bits, each modulo 16, in one long."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4") % CLASSES
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    owners = np.repeat(np.arange(len(lines)) * CLASSES, sizes)
+    counts = np.bincount(owners + points, minlength=CLASSES * len(lines)).reshape(-1, CLASSES) % (1 << _BITS)
+    packed = (counts.astype(np.uint64) << (np.arange(CLASSES, dtype=np.uint64) * np.uint64(_BITS))).sum(1, dtype=np.uint64)
+    return pd.Series(packed.view(np.int64))
+
+
+def _count_distance(a: str, b: str) -> Column:
+    """Lower bound of the sum of differences of two packed counts."""
+    total = F.lit(0)
+    for at in range(0, CLASSES * _BITS, _BITS):
+        one, two = (F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int") for c in (a, b))
+        gap = F.abs(one - two)
+        total = total + F.least(gap, F.lit(1 << _BITS) - gap)
+    return total
+
+
 def _maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
     """Broadcast a written table of checked size; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
@@ -125,12 +153,17 @@ def _candidates(documents: DataFrame, repeated: DataFrame, edits: int, min_chars
     first = lines.join(repeated.select("h", "g", "first_id"), ["h", "g"], "left").filter(
         F.col("first_id").isNull() | (F.col("first_id") == F.col("k_id"))
     )
-    index = first.select("h", "n", F.explode(index_keys(edits)).alias("key")).select("key", F.col("h").alias("a"), F.col("n").alias("na"))
-    probe = first.select("h", "n", F.explode(probe_keys(edits)).alias("key")).select("key", F.col("h").alias("b"), F.col("n").alias("nb"))
+    keyed = saved(
+        first.select("h", "n", _class_counts("line").alias("counts"), index_keys(edits).alias("own"), probe_keys(edits).alias("sought")),
+        "line-segments",
+    )
+    index = keyed.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.explode("own").alias("key"))
+    probe = keyed.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.explode("sought").alias("key"))
     # of two lines of one length the greater hash looks up the other
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = index.join(probe, (index.key == probe.key) & ordered)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    near = (F.col("a") != F.col("b")) & ordered & (_count_distance("ca", "cb") <= 2 * edits)
+    met = index.join(probe, (index.key == probe.key) & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
