@@ -116,6 +116,26 @@ _DIGESTS = T.StructType(
 )
 
 
+def _digests(ids: np.ndarray, coder: tiktoken.Encoding) -> tuple[int, str, str]:
+    return len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decode_ids(ids, coder)).hexdigest()
+
+
+def encoded(documents: DataFrame, rank_file: str | None = None) -> DataFrame:
+    """Per row doc_id, ids, n_tokens, ids_sha256 and decoded_sha256 of every whole text; see ``round_trip``."""
+    path = _rank_file(rank_file)
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *_DIGESTS.fields])
+
+    @F.pandas_udf(kind)
+    def rows_of(texts: pd.Series) -> pd.DataFrame:
+        coder, rows = encoding(path), []
+        for raw in texts:
+            ids = encode_text(text_of(raw), coder)
+            rows.append((ids.astype("<i4"), *_digests(ids, coder)))
+        return pd.DataFrame(rows, columns=kind.names)
+
+    return documents.select("doc_id", rows_of(F.col("text").cast("binary")).alias("d")).select("doc_id", "d.*")
+
+
 def round_trip(documents: DataFrame, rank_file: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every whole text; per row doc_id, n_tokens and digests of ids and bytes.
 
@@ -130,7 +150,7 @@ def round_trip(documents: DataFrame, rank_file: str | None = None, doc_id: str =
         coder, rows = encoding(path), []
         for raw in texts:
             ids = encode_text(text_of(raw), coder)
-            rows.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decode_ids(ids, coder)).hexdigest()))
+            rows.append(_digests(ids, coder))
         return pd.DataFrame(rows, columns=_DIGESTS.names)
 
     return documents.select(

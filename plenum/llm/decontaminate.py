@@ -68,7 +68,9 @@ def _positions(documents: DataFrame, sizes: list[int]) -> DataFrame:
     hashes = [F.when(fits, _shingle_hash(k, F.col("pos"))) for k, fits in zip(sizes, whole)]
     if len(sizes) == 1:
         return placed.withColumn("h", hashes[0])
-    return placed.select("*", F.explode(F.array(*hashes)).alias("h"))
+    # the row of the document itself must stay one row
+    each = F.when(F.col("pos") < 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(*hashes))
+    return placed.select("*", F.explode(each).alias("h"))
 
 
 def _hits(documents: DataFrame, shingles: DataFrame, window: int, shingle: int, most: int) -> DataFrame:

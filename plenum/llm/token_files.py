@@ -6,10 +6,12 @@ delta-encoded, with row groups and pages of chosen size.  Parquet's page
 indexes let a reader take the metadata columns alone, or the ids of a range of
 documents, without touching the rest.
 
-A chunk of text that starts with a single blank before a character that is no
-white space is encoded the same alone as inside its text, since no match of
-the split pattern crosses such a place.  Chunks repeat a lot, so each worker
-encodes a chunk once and keeps its ids; new chunks go to the library together.
+Texts are cut where no match of the tokenizer's split pattern can cross: before
+a blank that a character other than white space follows, between a letter or
+digit and a full stop or comma, and around a lone line feed.  The chunks are
+encoded the same alone as inside their text, and repeat a lot, so each worker
+has the library encode a chunk once and keeps its ids; new chunks go to the
+library together, one text with a line feed between them.
 """
 
 from __future__ import annotations
@@ -36,12 +38,29 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 CACHED_CHUNKS = 700_000  # some 150 bytes each in a worker
 
-_SAFE = re.compile(r"(?= [^\s])")
-_DOUBTFUL = re.compile(r" (?=\s|\Z)")
+_SAFE = re.compile(r"(?= [^\s])|(?<=[^\W_])(?=[.,])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+# Texts with any of these take the pattern above, others the same cuts by plain replacement:
+# white space in a row or of another kind, and points after anything but a letter or digit.
+_ROWS = ("  ", " \n", "\n ", "\n\n", "\0")
+_OTHER_BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_POINT = re.compile(r"[.,](?<![^\W_][.,])")
+
+
+def chunks_of(text: str) -> list[str]:
+    doubtful = (
+        text[:1].isspace() or text[-1:].isspace() or any(map(text.__contains__, _ROWS))
+        or any(map(text.__contains__, _OTHER_BLANKS)) or _POINT.search(text)
+    )
+    if doubtful:
+        return _SAFE.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
 
 
 class ChunkEncoder:
-    """A tokenizer with the ids of chunks it has seen, as bytes; the store is emptied when full."""
+    """A tokenizer with the ids of chunks it has seen, as bytes.
+
+    When full, the store falls back to its first entries, which hold the frequent chunks.
+    """
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_file(file)
@@ -51,43 +70,40 @@ class ChunkEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.core: dict[str, bytes] = {}
         self.chars = 0
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that all start at a safe place as one text, and cut the ids at their ends."""
-        text = "".join(chunks)
+        """Encode chunks as one text with line feeds between them, and cut the ids at their ends."""
+        text = "\n".join(chunks)
         ids = self._plain(text)
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks)))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks)) + 1) - 1
         stops = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
         raw, start = ids.tobytes(), 0
         for chunk, stop in zip(chunks, stops.tolist()):
             self.known[chunk] = raw[start:stop]
-            start = stop
+            start = stop + 4  # over the line feed
         self.chars += len(text)
 
-    def _chunks(self, text: str) -> list[str]:
-        if _DOUBTFUL.search(text):
-            return _SAFE.split(text)
-        # every blank is a safe place: the parts keep theirs
-        head, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _SAFE.split(text)
-        return [head, *rest]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit integers."""
         if len(self.known) > CACHED_CHUNKS or self.chars > 16 * CACHED_CHUNKS:
-            self.known, self.chars = {}, 0
-        split = [self._chunks(text) for text in texts]
-        # the head of a text starts anywhere, so it is encoded by itself and not kept
-        heads = [self._plain(chunks[0]).tobytes() for chunks in split]
-        fresh = set().union(*(chunks[1:] for chunks in split)) - self.known.keys()
-        if fresh:
-            self._learn(list(fresh))
+            self.known, self.chars = dict(self.core) or {"": b""}, 0
+        split = [chunks_of(text) for text in texts]
+        fresh = set().union(*split) - self.known.keys()
+        apart = [c for c in fresh if c[-1].isspace() or c[0].isspace() and (c[0] != " " or c[1:2].isspace())]
+        for chunk in apart:  # a line feed beside it would join its white space
+            self.known[chunk] = self._plain(chunk).tobytes()
+        if len(apart) < len(fresh):
+            self._learn(list(fresh.difference(apart)))
+        if not self.core and len(self.known) > CACHED_CHUNKS // 2:
+            self.core = dict(self.known)
         ids = self.known.__getitem__
-        return [np.frombuffer(head + b"".join(map(ids, chunks[1:])), dtype="<u4") for head, chunks in zip(heads, split)]
+        return [np.frombuffer(b"".join(map(ids, chunks)), dtype="<u4") for chunks in split]
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +169,7 @@ def write_tokens(
             "parquet.page.row.count.limit": str(page_rows),
             "parquet.writer.version": "v2",
             "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
-            "compression": "zstd",
+            "compression": "snappy",
         }
     ).parquet(path)
 
