@@ -100,8 +100,11 @@ FROM (SELECT b.*, CASE WHEN k = 10 THEN NULL WHEN k < 5 + round THEN gold
             CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS t(round)) b) c"""
 
 
-def completions(spark: SparkSession, sf_dir: str, names=ROLES) -> DataFrame:
+def completions(spark: SparkSession, sf_dir: str, names=ROLES, trials: int | None = None) -> DataFrame:
     grid = each_int(each(samples(spark, sf_dir), names, "role_idx", "role"), range(5), "round")
+    if trials is not None:
+        grid = each_int(grid, range(trials), "trial")
+    shift = F.col("trial") * 3 if trials is not None else F.lit(0)
     index, cust, k = F.col("sample_index"), F.col("custkey"), F.col("k")
     wrong = F.when(
         F.col("task_type") == "yes_no", F.when(F.col("gold") == "YES", "NO").otherwise("YES")
@@ -110,7 +113,7 @@ def completions(spark: SparkSession, sf_dir: str, names=ROLES) -> DataFrame:
     return (
         grid.withColumn(
             "k",
-            (index * 31 + cust * 17 + F.col("role_idx") * (index % 7 + 13) + F.col("round") * 7) % 11,
+            (index * 31 + cust * 17 + F.col("role_idx") * (index % 7 + 13) + F.col("round") * 7 + shift) % 11,
         )
         .withColumn("truncated", k % 13 == 0)
         .withColumn("label", F.when(k == 10, None).when(k < F.col("round") + 5, F.col("gold")).otherwise(wrong))
@@ -127,6 +130,13 @@ def completions(spark: SparkSession, sf_dir: str, names=ROLES) -> DataFrame:
     )
 
 
+# five trials of all rounds
+SQL_INPUTS["trial_completions"] = (
+    SQL_INPUTS["completions"]
+    .replace("round * 7) % 11 AS k", "round * 7 + trial * 3) % 11 AS k, trial")
+    .replace("AS t(round)) b) c", "AS t(round) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS z(trial)) b) c")
+)
+
 AGENTS = ("agent0", "agent1", "agent2", "agent3")
 # the same rule for four equal agents
 SQL_INPUTS["agent_completions"] = SQL_INPUTS["completions"].replace(
@@ -135,10 +145,10 @@ SQL_INPUTS["agent_completions"] = SQL_INPUTS["completions"].replace(
 )
 
 
-def votes(spark: SparkSession, sf_dir: str, names=ROLES) -> DataFrame:
+def votes(spark: SparkSession, sf_dir: str, names=ROLES, trials: int | None = None) -> DataFrame:
     """Completions as answered rows: answer, parsed, correct, truncated."""
-    return completions(spark, sf_dir, names).select(
-        F.lit("full").alias("variant"),
+    return completions(spark, sf_dir, names, trials).select(
+        F.lit("full").alias("variant"), *(["trial"] if trials is not None else []),
         "dataset", "sample_index", "sample_id", "task_type", "subject", "gold",
         "round", "role", "role_idx", "truncated",
         F.col("label").alias("answer"),
@@ -156,9 +166,10 @@ FROM completions"""
 SQL_INPUTS["agent_votes"] = SQL_INPUTS["votes"].replace("FROM completions", "FROM agent_completions")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested records: one row per sample and role with its five rounds."""
-    rows = completions(spark, sf_dir)
+def records(spark: SparkSession, sf_dir: str, trials: int | None = None) -> DataFrame:
+    """Nested records: one row per (trial,) sample and role with its five rounds."""
+    rows = completions(spark, sf_dir, trials=trials)
+    keys = ["dataset", "sample_index", "sample_id", "role", "role_idx", *(["trial"] if trials is not None else [])]
 
     def turn(round_: int) -> Column:
         completion = F.struct(
@@ -173,7 +184,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
 
-    return rows.groupBy("dataset", "sample_index", "sample_id", "role", "role_idx").agg(
+    return rows.groupBy(*keys).agg(
         F.max("task_type").alias("task_type"), F.max("gold").alias("gold"),
         F.array(*[turn(r) for r in range(5)]).alias("rounds"),
     )
@@ -192,6 +203,13 @@ FROM (SELECT dataset, sample_index, sample_id, task_type, gold, round,
              bool_or(role = 'verification' AND truncated) AS v_cut
       FROM completions GROUP BY ALL)"""
 
+SQL_INPUTS["trial_votes"] = SQL_INPUTS["votes"].replace("'full' AS variant", "'full' AS variant, trial").replace(
+    "FROM completions", "FROM trial_completions"
+)
+SQL_INPUTS["trial_ballots"] = (
+    SQL_INPUTS["ballots"].replace("FROM completions", "FROM trial_completions").replace("gold, round,", "gold, trial, round,")
+)
+
 # -------------------------------------------------------------------- rollouts
 SQL_INPUTS["rollouts"] = """
 SELECT sample_id, sample_index, round, cand_idx, candidate, rollout,

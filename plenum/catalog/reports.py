@@ -92,7 +92,7 @@ def job_baselines(spark, d):
 @query(
     "join_gold",
     """SELECT c.sample_id, c.role, c.round, c.gold, CASE WHEN c.sample_index % 10 = 3 THEN 'multiple_choice' ELSE c.task_type END AS task_type,
-              CASE WHEN c.sample_index % 9 = 4 THEN coalesce(label, '') = '' ELSE coalesce(label = c.gold, false) END AS correct
+              c.sample_index % 9 <> 4 AND coalesce(label = c.gold, false) AS correct, c.sample_index % 9 <> 4 AS known
        FROM (SELECT * REPLACE (CASE WHEN sample_index % 9 = 4 THEN NULL ELSE gold END AS gold,
                                CASE WHEN sample_index % 9 = 4 THEN 'multiple_choice' ELSE task_type END AS task_type), label AS l FROM completions) c""",
 )
@@ -102,7 +102,7 @@ def join_gold(spark, d):
         "sample_id", "gold", F.when(index % 10 == 3, "").otherwise(F.col("task_type")).alias("task_type")
     )
     rows = inputs.completions(spark, d).select("sample_id", "role", "round", F.col("label").alias("answer"))
-    return joins.attach_gold(rows, known, rows=1000).drop("answer")
+    return joins.attach_gold(rows, known).drop("answer")
 
 
 REQUEST_SQL = "SELECT sample_index, role, round, CASE WHEN custkey % 3 = 0 THEN 'hot prompt' ELSE 'prompt ' || (custkey % 50) || role END AS prompt FROM completions"
@@ -125,7 +125,7 @@ def dedup_requests(spark, d):
     answers = joins.distinct_requests(asked).select(
         "prompt_hash", "users", F.concat(F.lit("answer to "), "prompt").alias("response")
     )
-    return joins.fan_back(asked, answers, rows=5000).select("sample_index", "role", "round", "users", "response")
+    return joins.fan_back(asked, answers).select("sample_index", "role", "round", "users", "response")
 
 
 # ---------------------------------------------------------------- sort and merge
@@ -373,31 +373,65 @@ def job_paper_audit(spark, d):
 
 # ------------------------------------------------------------- evaluation jobs
 
-
-@query(
-    "job_evaluate",
-    """WITH t AS (SELECT dataset, role, round AS trial, count(*) AS samples, count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM votes GROUP BY ALL)
-       SELECT dataset, role, count(*) AS count, round(avg(accuracy), 9) AS mean, round(stddev_samp(accuracy), 9) AS sample_std,
-              round(1.96::DOUBLE * stddev_samp(accuracy) / sqrt(count(*)), 9) AS ci95_normal_half_width, 0::BIGINT AS violations FROM t GROUP BY ALL""",
-)
+EVALUATED_SQL = """
+WITH scored AS (SELECT dataset, role, trial, count(*) FILTER (WHERE correct) / count(*) AS accuracy
+                FROM (SELECT * FROM trial_votes WHERE NOT (role = 'evidence' AND trial = 2 AND sample_index % 97 = 3)
+                             AND NOT (role = 'verification' AND trial = 1 AND sample_index % 83 = 7)
+                      UNION ALL SELECT * FROM trial_votes WHERE role = 'direct' AND trial = 3 AND sample_index % 89 = 5)
+                WHERE round = 4 GROUP BY dataset, role, trial),
+means AS (SELECT dataset, role, count(*) AS count, avg(accuracy) AS mean, stddev_samp(accuracy) AS std FROM scored GROUP BY dataset, role),
+bad AS (SELECT dataset, count(*) FILTER (WHERE sample_index % 97 = 3) AS lost, count(*) FILTER (WHERE sample_index % 89 = 5) AS twice,
+               count(*) FILTER (WHERE sample_index % 83 = 7) AS cut FROM samples GROUP BY dataset)
+SELECT dataset, role, count, round(mean, 9) AS mean, round(std, 9) AS sample_std, round(1.96::DOUBLE * std / sqrt(count), 9) AS ci95_normal_half_width,
+       CASE WHEN dataset <> 'arc' THEN round(mean + CASE dataset WHEN 'sciq' THEN 0.02 WHEN 'mmlu' THEN 0.004 ELSE 0 END, 9) END AS reference,
+       dataset NOT IN ('arc', 'sciq') AS reproduced,
+       CASE WHEN role = 'evidence' THEN lost ELSE 0 END AS missing, CASE WHEN role = 'direct' THEN twice ELSE 0 END AS duplicates,
+       CASE WHEN role = 'verification' THEN cut ELSE 0 END AS rounds, CASE WHEN role = 'evidence' AND lost > 0 THEN 1 ELSE 0 END::BIGINT AS trials
+FROM means JOIN bad USING (dataset)"""
+
+
+@query("job_evaluate", EVALUATED_SQL)
 def job_evaluate(spark, d):
-    """Nested records: checks first, then trial scores and their summary."""
-    from plenum.operators import quality
-
-    rows = inputs.records(spark, d)
-    broken = quality.rounds_not_contiguous(rows, "sample_id", count=5).agg(F.count(F.lit(1))).scalar()
-    flat = records.flatten_rounds(rows, ["dataset", "role"]).withColumnRenamed("round", "trial")
-    out = metrics.summarize(metrics.score_counts(flat, ["dataset", "role", "trial"]), ["dataset", "role"], "accuracy")
-    return out.select(
-        "dataset", "role", "count", *[F.round(c, 9).alias(c) for c in ("mean", "sample_std", "ci95_normal_half_width")],
-        broken.alias("violations"),
+    """Five trials with planted errors: lost, repeated and cut records, and references that are off or absent."""
+    index, trial, role = F.col("sample_index"), F.col("trial"), F.col("role")
+    clean = inputs.records(spark, d, trials=5)
+    lost = (role == "evidence") & (trial == 2) & (index % 97 == 3)
+    cut = (role == "verification") & (trial == 1) & (index % 83 == 7)
+    rows = clean.filter(~lost).withColumn("rounds", F.when(cut, F.slice("rounds", 1, 4)).otherwise(F.col("rounds")))
+    rows = rows.unionByName(clean.filter((role == "direct") & (trial == 3) & (index % 89 == 5)))
+    samples = inputs.each(inputs.samples(spark, d), inputs.ROLES, "role_idx", "role").select("dataset", "role", "sample_id")
+    keep = ["dataset", "role"]
+    exact = jobs.evaluate(rows, keep, samples).summary
+    off = F.when(F.col("dataset") == "sciq", 0.02).when(F.col("dataset") == "mmlu", 0.004).otherwise(0.0)
+    reference = exact.filter("dataset <> 'arc'").withColumn("mean", F.col("mean") + off)
+    out = jobs.evaluate(rows, keep, samples, reference=reference)
+    part = F.split("key", "/")
+    counted = out.violations.groupBy(part[0].alias("dataset"), part[1].alias("role")).pivot(
+        "check", ["missing", "duplicates", "rounds", "trials"]
+    ).count()
+    checks = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("missing", "duplicates", "rounds", "trials")]
+    return out.summary.join(counted, keep, "left").select(
+        *keep, "count", *[F.round(c, 9).alias(c) for c in ("mean", "sample_std", "ci95_normal_half_width", "reference")], "reproduced", *checks
     )
 
 
-@query("job_fuse", round_metrics_sql("dataset", "(SELECT * FROM ballots WHERE round = 4)", "oracle_any_actor_accuracy"))
+FUSED = ("accuracy", "parse_rate", "majority_coverage", "majority_conditional_accuracy", "fallback_accuracy",
+         "oracle_any_actor_accuracy", "direct_accuracy", "evidence_accuracy", "verification_accuracy")
+
+
+@query(
+    "job_fuse",
+    f"""SELECT dataset, metric, count(*) AS count, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sample_std,
+               round(1.96::DOUBLE * stddev_samp(value) / sqrt(count(*)), 9) AS ci95_normal_half_width
+        FROM (UNPIVOT ({round_metrics_sql("dataset, trial", "(SELECT * FROM trial_ballots WHERE round = 4)", "oracle_any_actor_accuracy")})
+              ON {", ".join(FUSED)} INTO NAME metric VALUE value) GROUP BY ALL""",
+)
 def job_fuse(spark, d):
-    """Role records to final decisions to one row of metrics per dataset."""
+    """Role records of five trials to decisions, trial metrics and their summary."""
     flat = records.flatten_rounds(
-        inputs.records(spark, d), ["dataset", "sample_index", "role", "task_type", "gold"]
+        inputs.records(spark, d, trials=5), ["dataset", "trial", "sample_index", "role", "task_type", "gold"]
+    )
+    summary = jobs.fuse(flat, trials=5).summary
+    return summary.select(
+        "dataset", "metric", "count", *[F.round(c, 9).alias(c) for c in ("mean", "sample_std", "ci95_normal_half_width")]
     )
-    return jobs.fuse(flat)

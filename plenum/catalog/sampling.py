@@ -167,7 +167,7 @@ def limit_prefix(spark, d):
               ('0x' || substr(sha256('42:critic_data:1:' || (custkey % 4) || ':' || sample_index), 1, 8))::BIGINT & 2147483647 AS preference_seed,
               ('0x' || substr(sha256('42:sft:' || sample_index || ':direct:' || printf('%.8f', (custkey % 3) * 0.5::DOUBLE)), 1, 8))::BIGINT & 2147483647 AS sft_seed,
               (('0x' || substr(sha256(custkey || ':' || sample_index || ':empty-response-retry:2'), 1, 16))::UBIGINT & 9223372036854775807::UBIGINT)::BIGINT AS retry_seed,
-              (42::BIGINT << 31) | ((sample_index % 8388608) << 8) | (custkey % 256) AS request_seed,
+              (42::BIGINT << 31) | (sample_index << 8) | (sample_index % 5) AS request_seed,
               42 + (custkey % 5) * 1000003 + (custkey % 3) * 100003 + sample_index AS debate_seed,
               42 + (custkey % 5) * 100 + 20 AS offset_seed, 42 + (custkey % 4) * 10000019 + sample_index * 1009 AS shard_seed
        FROM samples""",
@@ -180,7 +180,7 @@ def derive_seeds(spark, d):
         seeds.preference_seed(42, F.lit("critic_data"), F.lit(1), cust % 4, index).alias("preference_seed"),
         seeds.sft_seed(42, index, F.lit("direct"), (cust % 3) * 0.5).alias("sft_seed"),
         seeds.retry_seed(cust, index, F.lit(2)).alias("retry_seed"),
-        seeds.request_seed(42, index % seeds.MAX_REQUESTS, cust % seeds.MAX_STREAMS).alias("request_seed"),
+        seeds.request_seed(42, index, index % 5).alias("request_seed"),
         seeds.debate_seed(42, cust % 5, cust % 3, index).alias("debate_seed"),
         seeds.offset_seed(42, cust % 5, F.lit(20)).alias("offset_seed"),
         seeds.shard_batch_seed(42, cust % 4, index).alias("shard_seed"),

@@ -9,6 +9,7 @@ from plenum.catalog.flagship import fused_accuracy_by_round, round_metrics_sql
 from plenum.catalog.registry import query
 from plenum.functions import matching
 from plenum.operators import audit, fusion, metrics, records
+from plenum.plans import jobs
 
 KEYS = ["dataset", "sample_index", "sample_id", "round"]
 
@@ -20,7 +21,7 @@ def decided(spark, d, rounds=None):
     return fusion.majority_vote(fusion.align_roles(rows, KEYS))
 
 
-query("job_round_lattice", round_metrics_sql("dataset, round"))(fused_accuracy_by_round)
+query("job_round_lattice", round_metrics_sql("dataset, round", pairs=True))(fused_accuracy_by_round)
 
 
 @query("fusion_metrics_by_round", round_metrics_sql("dataset, round"))
@@ -41,15 +42,13 @@ def majority_vote(spark, d):
     return decided(spark, d).select("sample_id", "round", "decision.*", "decision_correct")
 
 
-query(
+@query(
     "fusion_metrics_by_trial",
-    round_metrics_sql("trial", "(SELECT *, round AS trial FROM ballots)", "oracle_any_actor_accuracy"),
-)(
-    lambda spark, d: fusion.fusion_metrics(
-        decided(spark, d).withColumnRenamed("round", "trial"), ["trial"],
-        oracle_name="oracle_any_actor_accuracy",
-    )
+    round_metrics_sql("dataset, trial", "(SELECT * FROM trial_ballots WHERE round = 4)", "oracle_any_actor_accuracy"),
 )
+def fusion_metrics_by_trial(spark, d):
+    """The last round of five trials, one metrics row per data set and trial."""
+    return jobs.fuse(inputs.votes(spark, d, trials=5), trials=5).trials
 
 
 @query(

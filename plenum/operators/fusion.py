@@ -23,14 +23,46 @@ def align_roles(
     shared: Sequence[str] = ("task_type", "gold"),
     roles: Sequence[str] = ROLES,
 ) -> DataFrame:
-    """One row per key with a struct per role: one shuffle instead of n-1 joins."""
-    def of(role: str, *columns: str) -> Column:
-        return F.max(F.when(F.col("role") == role, F.struct(*columns)))
+    """One row per key with a struct per role: one shuffle instead of n-1 joins.
 
-    out = rows.groupBy(*keys).agg(
-        of(roles[0], *shared).alias("__shared"), *[of(r, *values).alias(r) for r in roles]
+    The job fails unless every key has exactly one row of each role and all of
+    them carry the same shared columns (``alignment_problems`` lists such keys).
+    Rows of other roles are left out.
+    """
+    counted = _counted_roles(rows, keys, shared, roles, [_of(r, *values).alias(r) for r in roles])
+    message = F.concat(F.lit("roles are not aligned: "), F.to_json(F.struct(*keys)))
+    whole = F.when(F.col("__problem").isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+    return counted.filter(whole).select(*keys, "__shared.*", *roles)
+
+
+def _of(role: str, *columns: str) -> Column:
+    return F.max(F.when(F.col("role") == role, F.struct(*columns)))
+
+
+def _counted_roles(
+    rows: DataFrame, keys: list[str], shared: Sequence[str], roles: Sequence[str], more: Sequence[Column] = ()
+) -> DataFrame:
+    """Keys with ``__shared`` and ``__problem``: missing, repeated or different, else null."""
+    facts = F.struct(*shared)
+    counts = [F.count_if(F.col("role") == r).alias(f"__n{i}") for i, r in enumerate(roles)]
+    out = rows.filter(F.col("role").isin(*roles)).groupBy(*keys).agg(
+        F.min(facts).alias("__shared"), F.max(facts).alias("__other"), *counts, *more
+    )
+    numbers = [F.col(f"__n{i}") for i in range(len(roles))]
+    problem = (
+        F.when(F.least(*numbers) == 0, "missing")
+        .when(F.greatest(*numbers) > 1, "repeated")
+        .when(~F.col("__shared").eqNullSafe(F.col("__other")), "different")
     )
-    return out.select(*keys, "__shared.*", *roles)
+    return out.withColumn("__problem", problem)
+
+
+def alignment_problems(
+    rows: DataFrame, keys: list[str], shared: Sequence[str] = ("task_type", "gold"), roles: Sequence[str] = ROLES
+) -> DataFrame:
+    """(keys, problem) where a role is missing or repeated, or shared columns differ."""
+    counted = _counted_roles(rows, keys, shared, roles)
+    return counted.filter("__problem is not null").select(*keys, F.col("__problem").alias("problem"))
 
 
 def _vote_of_three(votes: list[Column], fallback: int, roles: Sequence[str]) -> Column:
@@ -120,8 +152,12 @@ def fusion_metrics(
     groups: list[str],
     roles: Sequence[str] = ROLES,
     oracle_name: str = "oracle_any_role_accuracy",
+    pairs: bool = False,
 ) -> DataFrame:
-    """All decision counters and rates per group from one aggregation."""
+    """All decision counters and rates per group from one aggregation.
+
+    ``pairs`` adds how often two roles agree, and agree on the gold answer.
+    """
     correct = F.col("decision_correct")
     reached = F.col("decision.majority_reached")
     any_role = flag(F.col(f"{roles[0]}.correct"))
@@ -141,6 +177,13 @@ def fusion_metrics(
     for role in roles:
         for field in ("correct", "parsed", "truncated"):
             counters[f"{role}_{field}"] = F.count_if(flag(F.col(f"{role}.{field}")))
+    agreements = []
+    for left, right in combinations(roles, 2) if pairs else ():
+        agree = flag(F.col(f"vote_{left}") == F.col(f"vote_{right}"))
+        match = answers_match(F.col(f"vote_{left}"), F.col("gold"), F.col("task_type"))
+        counters[f"{left}_{right}_agree"] = F.count_if(agree)
+        counters[f"{left}_{right}_agree_correct"] = F.count_if(agree & match)
+        agreements += [f"{left}_{right}_agree", f"{left}_{right}_agree_correct"]
     totals = decided.groupBy(*groups).agg(*[c.alias(n) for n, c in counters.items()])
 
     def share(part: str, whole: str = "samples") -> Column:
@@ -162,7 +205,7 @@ def fusion_metrics(
             share(f"{role}_parsed").alias(f"{role}_parse_rate"),
             share(f"{role}_truncated").alias(f"{role}_truncation_rate"),
         ]
-    return totals.select(*groups, "samples", "correct", *rates)
+    return totals.select(*groups, "samples", "correct", *rates, *agreements)
 
 
 def pair_rows(decided: DataFrame, keep: list[str], roles: Sequence[str] = ROLES) -> DataFrame:
@@ -210,13 +253,14 @@ def pair_agreement(
 def answer_tally(rows: DataFrame, keys: list[str], order: str = "role_idx") -> DataFrame:
     """Votes per key and normalized answer with the first voter's position.
 
-    Blank and missing answers are left out.
+    Blank and missing answers are one row with a null label and no votes, so a
+    key without any vote is still there.
     """
-    labelled = rows.withColumn("label", vote_label(F.col("answer"), F.col("task_type")))
+    label = vote_label(F.col("answer"), F.col("task_type"))
     return (
-        labelled.filter(F.length("label") > 0)
+        rows.withColumn("label", F.when(F.length(label) > 0, label))
         .groupBy(*keys, "label")
-        .agg(F.count(F.lit(1)).alias("votes"), F.min(order).alias("first_seen"))
+        .agg(F.count("label").alias("votes"), F.min(order).alias("first_seen"))
     )
 
 
@@ -224,18 +268,13 @@ def plurality_first(rows: DataFrame, keys: list[str], order: str = "role_idx") -
     """Most common answer, ties by first seen; at least two votes decide."""
     best = F.max_by(F.struct("label", "votes"), F.struct(F.col("votes"), -F.col("first_seen")))
     top = answer_tally(rows, keys, order).groupBy(*keys).agg(best.alias("__b"))
-    count = F.coalesce(F.col("__b.votes"), F.lit(0))
-    return (
-        rows.select(*keys)
-        .distinct()
-        .join(top, keys, "left")
-        .select(
-            *keys,
-            F.when(count >= 2, "majority").otherwise("judge").alias("source"),
-            F.when(count >= 2, F.col("__b.label")).alias("final_answer"),
-            F.col("__b.label").alias("majority_answer"),
-            count.alias("majority_count"),
-        )
+    count = F.col("__b.votes")
+    return top.select(
+        *keys,
+        F.when(count >= 2, "majority").otherwise("judge").alias("source"),
+        F.when(count >= 2, F.col("__b.label")).alias("final_answer"),
+        F.col("__b.label").alias("majority_answer"),
+        count.alias("majority_count"),
     )
 
 
@@ -248,12 +287,7 @@ def plurality_unique(rows: DataFrame, keys: list[str], order: str = "role_idx")
         .groupBy(*keys)
         .agg(F.max_by(F.struct("ties", "label"), F.col("votes")).alias("__b"))
     )
-    return (
-        rows.select(*keys)
-        .distinct()
-        .join(top, keys, "left")
-        .select(*keys, F.when(F.col("__b.ties") == 1, F.col("__b.label")).alias("prediction"))
-    )
+    return top.select(*keys, F.when(F.col("__b.ties") == 1, F.col("__b.label")).alias("prediction"))
 
 
 def transition_rows(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins that survive a hot key, request deduplication, ordered merges."""
+"""Gold answers, request deduplication, unions and ordered merges."""
 
 from __future__ import annotations
 
@@ -10,67 +10,42 @@ from pyspark.sql import functions as F
 
 from plenum.functions.matching import answers_match, task_or_default
 
-# Rows of one key that a single task may take before the key counts as hot.
-HOT_ROWS = 1_000_000
 
+def attach_gold(completions: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Gold answer and task type beside each completion, the match, and ``known``.
 
-def hot_keys(facts: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows.
-
-    The count is combined before its shuffle.  There can be at most
-    (all rows / ``rows``) such keys, so the result is small by construction.
+    A completion whose sample does not exist is not known and not correct; a
+    missing answer matches a missing gold of a known sample only.  Adaptive
+    execution splits a key that holds a large share of the completions.
     """
-    return (
-        facts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > rows)
-        .select(*keys, F.lit(True).alias("__hot"))
+    lookup = samples.select(key, "gold", "task_type", F.lit(True).alias("known"))
+    joined = completions.join(lookup, key, "left")
+    typed = joined.withColumns(
+        {"task_type": task_or_default(F.col("task_type")), "known": F.coalesce("known", F.lit(False))}
     )
+    hit = answers_match(F.col("answer"), F.col("gold"), F.col("task_type"))
+    return typed.withColumn("correct", F.col("known") & hit)
 
 
-def skew_join(
-    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", rows: int = HOT_ROWS
-) -> DataFrame:
-    """Join facts to a lookup with unique keys when a key may hold a large
-    share of the facts.
-
-    Rows of hot keys stay where they are and meet the few lookup rows of those
-    keys; all other rows go through the ordinary shuffled join.
-    """
-    hot = hot_keys(facts, keys, rows)
-    marked = facts.join(F.broadcast(hot), keys, "left")
-    cold = marked.filter("__hot is null").drop("__hot").join(lookup, keys, how)
-    hot_lookup = lookup.join(F.broadcast(hot.drop("__hot")), keys, "left_semi")
-    warm = marked.filter("__hot").drop("__hot").join(F.broadcast(hot_lookup), keys, how)
-    return cold.unionByName(warm)
-
-
-def attach_gold(
-    completions: DataFrame, samples: DataFrame, key: str = "sample_id", rows: int = HOT_ROWS
-) -> DataFrame:
-    """Gold answer and task type beside each completion, and the match."""
-    joined = skew_join(completions, samples.select(key, "gold", "task_type"), [key], "left", rows)
-    known = joined.withColumn("task_type", task_or_default(F.col("task_type")))
-    return known.withColumn("correct", answers_match(F.col("answer"), F.col("gold"), F.col("task_type")))
+def unmatched_completions(completions: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Completions per key that no sample has, as violations."""
+    return completions.join(samples.select(key), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("completions"))
 
 
 def distinct_requests(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Each prompt once, with its hash and how often it is asked.
 
-    Only valid for deterministic requests.  Counting combines before the
-    shuffle, so a prompt that fills a third of the table is no problem.
+    Only valid for deterministic requests.  The count works on hashes alone and
+    combines before the shuffle; the texts are dealt out once.
     """
-    return requests.groupBy(F.sha2(F.col(prompt), 256).alias("prompt_hash")).agg(
-        F.first(prompt).alias(prompt), F.count(F.lit(1)).alias("users")
-    )
+    hashed = requests.select(F.sha2(F.col(prompt), 256).alias("prompt_hash"), prompt)
+    users = hashed.groupBy("prompt_hash").agg(F.count(F.lit(1)).alias("users"))
+    return hashed.dropDuplicates(["prompt_hash"]).join(users, "prompt_hash").select("prompt_hash", prompt, "users")
 
 
-def fan_back(
-    requests: DataFrame, answers: DataFrame, prompt: str = "prompt", rows: int = HOT_ROWS
-) -> DataFrame:
-    """Give every request the answer of its prompt."""
-    hashed = requests.withColumn("prompt_hash", F.sha2(F.col(prompt), 256))
-    return skew_join(hashed, answers, ["prompt_hash"], "left", rows)
+def fan_back(requests: DataFrame, answers: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Give every request the answer of its prompt; adaptive execution splits a hot prompt."""
+    return requests.withColumn("prompt_hash", F.sha2(F.col(prompt), 256)).join(answers, "prompt_hash", "left")
 
 
 def union_parts(parts: Sequence[DataFrame | None], strict: bool = False) -> DataFrame:
@@ -100,9 +75,12 @@ def unsorted_rows(part: DataFrame, key: str, position: str, width: int = 100_000
     """
     ranged = part.withColumn("__r", F.floor(F.col(position) / width))
     inside = Window.partitionBy("__r").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    tops = ranged.groupBy("__r").agg(F.max(key).alias("__top"))
-    before = tops.select("__r", F.max("__top").over(earlier).alias("__before"))
+    # ranges are linked in two levels, so no task sees more than `width` of them
+    tops = ranged.groupBy("__r").agg(F.max(key).alias("__top")).withColumn("__s", F.floor(F.col("__r") / width))
+    near = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    far = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    spans = tops.groupBy("__s").agg(F.max("__top").alias("__most")).select("__s", F.max("__most").over(far).alias("__far"))
+    before = tops.join(spans, "__s").select("__r", F.greatest(F.max("__top").over(near), F.col("__far")).alias("__before"))
     largest = F.greatest(F.col("__before"), F.max(key).over(inside))
     return ranged.join(before, "__r").withColumn("__largest", largest).filter(
         F.col(key) < F.col("__largest")

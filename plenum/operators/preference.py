@@ -143,13 +143,20 @@ def select_pairs(rewards: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
 
 def with_texts(selected: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the candidates of the round as one struct column per candidate."""
-    return selected.join(
-        candidates_wide(candidates, keys, ["prompt", "response"]).select(
-            *keys, *[F.col(c).alias(f"text_{c}") for c in CANDIDATES]
-        ),
-        keys,
+    """Attach the candidates of the round as one struct column per candidate.
+
+    The job fails for a rewarded round whose candidate texts are missing: to
+    leave it out would shrink the totals without a word.
+    """
+    wide = candidates_wide(candidates, keys, ["prompt", "response"]).select(
+        *keys, *[F.col(c).alias(f"text_{c}") for c in CANDIDATES]
     )
+    joined = selected.join(wide, keys, "left")
+    there = F.lit(True)
+    for c in CANDIDATES:
+        there = there & F.col(f"text_{c}").isNotNull()
+    message = F.concat(F.lit("a rewarded round has no candidate texts: "), F.to_json(F.struct(*keys)))
+    return joined.filter(F.when(there, True).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def _text_of(key: str, field: str) -> Column:

@@ -84,14 +84,10 @@ def coverage(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def coverage_report(violations: DataFrame, key: str, first: int = 10) -> DataFrame:
-    """Count per side, and the first few keys of each side as rows."""
+def coverage_report(violations: DataFrame) -> DataFrame:
+    """Every violation, with the count of its side as ``total``."""
     counts = violations.groupBy("problem").agg(F.count(F.lit(1)).alias("total"))
-    sides = [
-        violations.filter(F.col("problem") == side).orderBy(key).limit(first)
-        for side in ("missing", "extra")
-    ]
-    return reduce(DataFrame.unionByName, sides).join(counts, "problem")
+    return violations.join(counts, "problem")
 
 
 def candidate_grid(
@@ -216,8 +212,8 @@ def accounting(summary: DataFrame, samples: int | Column, pairs: Column, rounds:
 
 def trials_not_contiguous(rows: DataFrame, groups: list[str], sample: str) -> DataFrame:
     """Groups whose trials are not 0..n-1 or do not cover the same samples."""
-    per_trial = rows.groupBy(*groups, "trial").agg(
-        F.countDistinct(sample).alias("samples"),
+    per_trial = rows.select(*groups, "trial", sample).distinct().groupBy(*groups, "trial").agg(
+        F.count(sample).alias("samples"),
         F.sum(F.xxhash64(sample).cast("decimal(20,0)")).alias("set_hash"),
     )
     return (
@@ -241,7 +237,8 @@ def registered(rows: DataFrame, registry: DataFrame, keys: list[str]) -> DataFra
 
 
 def set_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows (with multiplicity) on one side only."""
-    missing = expected.exceptAll(actual).withColumn("side", F.lit("missing"))
-    extra = actual.exceptAll(expected).withColumn("side", F.lit("extra"))
-    return missing.unionByName(extra)
+    """Rows (with multiplicity) on one side only, from one signed count per row."""
+    signed = expected.withColumn("__n", F.lit(1)).unionByName(actual.withColumn("__n", F.lit(-1)))
+    surplus = signed.groupBy(*expected.columns).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+    side = F.when(F.col("__n") > 0, "missing").otherwise("extra").alias("side")
+    return surplus.select(*expected.columns, side, F.explode(F.expr("sequence(1L, abs(__n))")).alias("__copy")).drop("__copy")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.matching import answers_match, audit_label, vote_label
 from plenum.operators import baselines, fusion, lengths, metrics, preference, records, report, sft
+from plenum.plans import jobs
 from tests.conftest import rows
 
 
@@ -53,6 +54,37 @@ def test_majority_vote(spark, answers, answer, source, count):
     assert decision.selected_role == ("direct" if source.startswith("fixed") else None)
 
 
+ROLE_ROWS = "k int, role string, answer string, parsed boolean, correct boolean, truncated boolean, task_type string, gold string"
+
+
+@pytest.mark.parametrize("problem", ["missing", "repeated", "different"])
+def test_roles_must_be_aligned(spark, problem):
+    data = [(k, r, "A", True, True, False, "multiple_choice", "A") for k in (1, 2) for r in fusion.ROLES]
+    if problem == "missing":
+        data.pop()
+    elif problem == "repeated":
+        data.append((2, "direct", "B", True, False, False, "multiple_choice", "A"))
+    else:
+        data[-1] = (2, "verification", "A", True, True, False, "multiple_choice", "B")
+    df = spark.createDataFrame(data, ROLE_ROWS)
+    assert rows(fusion.alignment_problems(df, ["k"])) == [(2, problem)]
+    with pytest.raises(Exception, match="not aligned"):
+        fusion.align_roles(df, ["k"]).collect()
+
+
+def test_fuse_keeps_trials_apart(spark):
+    kind = "dataset string, trial int, sample_index int, round int, role string, answer string, parsed boolean, correct boolean, truncated boolean, task_type string, gold string"
+    data = [("d", t, 1, r, role, "AB"[t], True, t == 0, False, "multiple_choice", "A") for t in (0, 1) for r in (0, 1) for role in fusion.ROLES]
+    fused = jobs.fuse(spark.createDataFrame(data, kind), trials=2)
+    assert [(r.trial, r.accuracy) for r in fused.trials.orderBy("trial").collect()] == [(0, 1.0), (1, 0.0)]
+    assert {r.metric: r["mean"] for r in fused.summary.collect()}["accuracy"] == 0.5
+    assert fused.decisions.count() == 2
+    with pytest.raises(Exception, match="not complete"):
+        jobs.fuse(spark.createDataFrame(data, kind), trials=3).trials.collect()
+    with pytest.raises(Exception, match="not complete"):
+        jobs.fuse(spark.createDataFrame([r for r in data if r[1] == 1], kind)).trials.collect()
+
+
 def test_vote_of_many(spark):
     roles = ("direct", "b", "c", "d", "e")
     assert vote(spark, ["A", "B", "C", "D", "B"], roles).decision.answer == "B"

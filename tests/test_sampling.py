@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from plenum.functions import seeds
 from plenum.operators import joins, quality, sampling
 from tests.conftest import rows
 
@@ -88,11 +89,21 @@ def test_trials_and_shards(spark):
         sampling.shard(df, "sample_index", 2, 2)
 
 
-def test_skew_join_equals_plain_join(spark):
-    facts = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    lookup = spark.range(45).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    for limit in (10, 1000, 10**6):
-        assert rows(joins.skew_join(facts, lookup, ["k"], rows=limit)) == rows(facts.join(lookup, ["k"], "left"))
+def test_attach_gold_keeps_unknown_samples_wrong(spark):
+    samples = spark.createDataFrame([("a", "A", "multiple_choice"), ("n", None, "math")], "sample_id string, gold string, task_type string")
+    found = spark.createDataFrame([("a", "A"), ("a", "B"), ("x", None), ("n", None)], "sample_id string, answer string")
+    out = joins.attach_gold(found, samples).select("sample_id", "answer", "correct", "known")
+    assert rows(out) == sorted([("a", "A", True, True), ("a", "B", False, True), ("n", None, True, True), ("x", None, False, False)], key=repr)
+    assert rows(joins.unmatched_completions(found, samples)) == [("x", 1)]
+
+
+def test_request_seed_refuses_what_does_not_fit(spark):
+    df = spark.createDataFrame([(0, 0), (seeds.MAX_REQUESTS - 1, 255)], "i long, s long")
+    out = [r[0] for r in df.select(seeds.request_seed(1, F.col("i"), F.col("s"))).collect()]
+    assert out == [1 << 31, (1 << 31) | ((seeds.MAX_REQUESTS - 1) << 8) | 255]
+    for bad in ((seeds.MAX_REQUESTS, 0), (0, 256), (-1, 0)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.createDataFrame([bad], "i long, s long").select(seeds.request_seed(1, F.col("i"), F.col("s"))).collect()
 
 
 def test_order_check(spark):
@@ -108,7 +119,7 @@ def test_checks_raise_in_strict_mode(spark):
     with pytest.raises(quality.ContractError):
         quality.enforce(bad, "sample ids")
     report = quality.coverage_report(
-        quality.coverage(df.filter("sample_id != 'a'"), df, ["sample_id"]), "sample_id"
+        quality.coverage(df.filter("sample_id != 'a'"), df, ["sample_id"])
     )
     assert rows(report) == [("missing", "a", 1)]
 
