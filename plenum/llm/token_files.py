@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -56,6 +56,20 @@ def chunks_of(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
 
 
+# Characters below this are letters in any version of Unicode that tells them so.
+_LATIN = "\u0250"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for a byte in a byte-level vocabulary, where it is not the same; line feeds stay."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + at) for at, b in enumerate(hidden) if b != 10}
+
+
+_BYTE_CHARS = _byte_characters()
+
+
 class ChunkEncoder:
     """A tokenizer with the ids of chunks it has seen, as bytes.
 
@@ -70,6 +84,9 @@ class ChunkEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
+        # the same merges over words that are mapped already, one to a line
+        self.words = Tokenizer.from_file(file)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.known: dict[str, bytes] = {"": b""}
         self.core: dict[str, bytes] = {}
         self.chars = 0
@@ -78,16 +95,37 @@ class ChunkEncoder:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks as one text with line feeds between them, and cut the ids at their ends."""
-        text = "\n".join(chunks)
-        ids = self._plain(text)
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks)) + 1) - 1
+        """Have the library encode new chunks, as few texts of many chunks."""
+        # a chunk of letters is one match of the split pattern, so only the merges are left to do
+        plain = [c for c in chunks if c.isascii() and (c.isalpha() or c[0] == " " and c[1:].isalpha())]
+        if plain:
+            self._store(plain, self._merge("\n".join(plain).replace(" ", _BYTE_CHARS[32])), 0)
+        rest = set(chunks).difference(plain) if len(plain) < len(chunks) else ()
+        other = [c for c in rest if (c.isalpha() or c[0] == " " and c[1:].isalpha()) and max(c) < _LATIN]
+        if other:
+            self._store(other, self._merge("\n".join(other).encode().decode("latin-1").translate(_BYTE_CHARS)), 0)
+        joined = []
+        for chunk in set(rest).difference(other):
+            if chunk[-1].isspace() or chunk[0].isspace() and (chunk[0] != " " or chunk[1:2].isspace()):
+                self.known[chunk] = self._plain(chunk).tobytes()  # a line feed beside it would join its white space
+            else:
+                joined.append(chunk)
+        if joined:
+            self._store(joined, self._plain("\n".join(joined)), 1)
+
+    def _merge(self, mapped: str) -> np.ndarray:
+        return np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _store(self, chunks: list[str], ids: np.ndarray, between: int) -> None:
+        """Cut ids at the ends of the chunks; ``between`` ids (of a line feed) stand between two."""
+        lengths = np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks))
+        ends = np.cumsum(lengths + between) - between
         stops = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
         raw, start = ids.tobytes(), 0
         for chunk, stop in zip(chunks, stops.tolist()):
             self.known[chunk] = raw[start:stop]
-            start = stop + 4  # over the line feed
-        self.chars += len(text)
+            start = stop + 4 * between
+        self.chars += int(lengths.sum())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit integers."""
@@ -95,11 +133,8 @@ class ChunkEncoder:
             self.known, self.chars = dict(self.core) or {"": b""}, 0
         split = [chunks_of(text) for text in texts]
         fresh = set().union(*split) - self.known.keys()
-        apart = [c for c in fresh if c[-1].isspace() or c[0].isspace() and (c[0] != " " or c[1:2].isspace())]
-        for chunk in apart:  # a line feed beside it would join its white space
-            self.known[chunk] = self._plain(chunk).tobytes()
-        if len(apart) < len(fresh):
-            self._learn(list(fresh.difference(apart)))
+        if fresh:
+            self._learn(list(fresh))
         if not self.core and len(self.known) > CACHED_CHUNKS // 2:
             self.core = dict(self.known)
         ids = self.known.__getitem__
