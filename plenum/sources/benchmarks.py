@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.operators import quality, standardize
-from plenum.operators.sampling import source_position
+from plenum.operators.sampling import sample_bundle, source_position, split_stratified
 
 # ---------------------------------------------------------------------------
 # Fixed values (data sets, split names and sizes)
@@ -82,12 +82,15 @@ def scan_splits(
 def scan_examples(spark: SparkSession, folder: str, categories: DataFrame | None = None) -> DataFrame:
     """Category files with an examples list to one row per example.
 
-    The category is the file name, the position in the file the source index.
-    Expected categories without examples are an error.
+    The category is the file name, or the folder ``subject=...`` where Spark
+    wrote the files; the position in the file is the source index.  Expected
+    categories without examples are an error.
     """
+    by_folder = F.regexp_extract("_metadata.file_path", r"/subject=([^/]+)/[^/]*$", 1)
+    by_name = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
     files = (
         spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
-        .select("value", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("subject"))
+        .select("value", F.coalesce(F.nullif(by_folder, F.lit("")), by_name).alias("subject"))
     )
     parsed = files.withColumn("d", F.from_json("value", EXAMPLES_SCHEMA))
     bad = parsed.filter(F.col("d").isNull() | (F.coalesce(F.size("d.examples"), F.lit(0)) <= 0))
@@ -114,27 +117,66 @@ def map_splits(rows: DataFrame, mode: str = "by_subject") -> DataFrame:
         (F.col("source_split") == "auxiliary_train") if mode == "by_subject" else F.lit(False),
         "auxiliary_train",
     ).otherwise("unknown")
-    return rows.withColumn("split", split).filter(F.col("split").isNotNull()).withColumn(
-        "subject", F.coalesce("subject", missing)
-    )
+    unknown = F.concat(F.lit("unknown split: "), F.coalesce("source_split", F.lit("null")))
+    known = F.coalesce(split, F.raise_error(unknown).cast("string"))
+    return rows.withColumn("split", known).withColumn("subject", F.coalesce("subject", missing))
 
 
 def load_parquet(
-    spark: SparkSession, name: str, root: str, key: str, sizes: Mapping[str, int] | None = None
+    spark: SparkSession, name: str, root: str, key: str, sizes: Mapping[str, int] | None = None, mode: str = "all"
 ) -> DataFrame:
     """A staged parquet data set, numbered per split and standardized.
 
-    Files have no order, so ``key`` says what the positions follow.
+    Every split of the registry must be there.  Files have no order, so ``key``
+    says what the positions follow.
     """
     entry = resolve(name)
     if entry.layout != "parquet":
         raise ValueError(f"{name} is not staged as parquet")
-    files = {s: [f"{root}/{name}/{s}"] for s in entry.splits if _exists(spark, f"{root}/{name}/{s}")}
-    raw = scan_splits(spark, files, sizes).withColumn("dataset", F.lit(name))
-    numbered = source_position(raw, ["source_split"], key)
-    rows = standardize.STANDARDIZERS[name](numbered)
+    raw = scan_splits(spark, {s: [f"{root}/{name}/{s}"] for s in entry.splits}, sizes).withColumn("dataset", F.lit(name))
+    rows = standardize.STANDARDIZERS[name](source_position(raw, ["source_split"], key))
     required = quality.REQUIRED_SPLITS.get(name, quality.DEFAULT_SPLITS)
     wanted = spark.createDataFrame([(name, s) for s in required], "dataset string, split string")
-    mapped = map_splits(rows, "all")
+    mapped = map_splits(rows, mode)
     quality.enforce(quality.required_splits(mapped, wanted), "required split")
     return mapped
+
+
+def load_examples(
+    spark: SparkSession, name: str, root: str, seed: int, test: float | None = None, validation: float | None = None
+) -> DataFrame:
+    """A data set of category files, cut into splits per category and standardized.
+
+    All categories must be there.  Without ratios the published split sizes are
+    cut if there are rows enough, else a quarter and a tenth of each category.
+    """
+    wanted = spark.createDataFrame([(c,) for c in standardize.BBH_CATEGORIES], "subject string")
+    rows = scan_examples(spark, f"{root}/{name}", wanted)
+    keyed = rows.withColumn("__key", F.concat_ws("/", "subject", "source_index")).drop("source_index")
+    published = standardize.BBH_TEST_ROWS + standardize.BBH_VALIDATION_ROWS
+    exact = test is None and validation is None and rows.count() >= published
+    if exact:
+        cut = split_stratified(keyed, "__key", seed, "subject", standardize.BBH_TEST_ROWS, standardize.BBH_VALIDATION_ROWS, True)
+    else:
+        cut = split_stratified(keyed, "__key", seed, "subject", 0.25 if test is None else test, 0.10 if validation is None else validation)
+    return standardize.STANDARDIZERS[name](cut).withColumn("split", F.col("source_split"))
+
+
+def load_dataset(
+    spark: SparkSession, name: str, root: str, key: str, seed: int = 42, load_mode: str = "by_subject",
+    test: float | None = None, validation: float | None = None, sampling: DataFrame | None = None,
+    sizes: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Any registered data set below ``root``: scanned, checked, standardized, sampled.
+
+    ``load_mode`` names missing subjects (mmlu); ``test`` and ``validation`` are
+    split ratios of category files; ``sampling`` has a strategy, size and seed
+    offset per split.  ``sizes`` are expected rows per source split; for arc the
+    published ones hold unless others are given.
+    """
+    if resolve(name).layout == "examples":
+        rows = load_examples(spark, name, root, seed, test, validation)
+    else:
+        expected = ARC_SPLIT_SIZES if name == "arc" and sizes is None else sizes
+        rows = load_parquet(spark, name, root, key, expected, load_mode if name == "mmlu" else "all")
+    return rows if sampling is None else sample_bundle(rows, sampling, "source_index", "split", seed)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions.fingerprint import table_fingerprint
+from plenum.sources.records import below
 
 MANIFEST_SCHEMA = "stage string, fingerprint string, artifact string, rows bigint, content_hash string"
 
@@ -87,10 +88,10 @@ def shard_blockers(expected: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Size and sha-256 of every file below root, hashed on the executors."""
+    """Path below root, size and sha-256 of every file, hashed on the executors (a file must fit one cell, 2 GB)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(
-        F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), F.col("length").alias("bytes"),
+        below(F.col("path"), root).alias("path"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 

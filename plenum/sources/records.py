@@ -7,6 +7,8 @@ word, the parser marks arrays, scalars and broken lines as corrupt.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ MISSING_TOKENS = ("", "-", "--", "n/a", "na", "nan", "none", "null")
 _BAD = "_corrupt_record"
 
 
-def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+def parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     guarded = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     record = F.from_json("value", guarded, options)
@@ -36,7 +38,15 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def jsonl_violations(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Lines that are no JSON object of the schema, with their file."""
-    return _parsed(_lines(spark, path), schema).filter("__broken").select("file", "value")
+    return parsed_lines(_lines(spark, path), schema).filter("__broken").select("file", "value")
+
+
+def _checked(rows: DataFrame, strict: bool) -> DataFrame:
+    if not strict:
+        return rows.filter("not __broken")
+    # the start of the line is enough for the message
+    message = F.concat(F.lit("broken line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))
+    return rows.filter(F.when(F.col("__broken"), F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def scan_jsonl(
@@ -47,12 +57,7 @@ def scan_jsonl(
     Strict: a broken line fails the job when its row is read, naming the file;
     otherwise broken lines are left out (see ``jsonl_violations``).
     """
-    rows = _parsed(_lines(spark, path), schema)
-    if strict:
-        message = F.concat(F.lit("broken line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))
-        rows = rows.filter(F.when(F.col("__broken"), F.raise_error(message).cast("boolean")).otherwise(True))
-    else:
-        rows = rows.filter("not __broken")
+    rows = _checked(parsed_lines(_lines(spark, path), schema), strict)
     return rows.select(*[F.col(f"r.{name}").alias(name) for name in schema.names])
 
 
@@ -62,29 +67,50 @@ def count_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return _lines(spark, path).count()
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def below(path: Column, root: str) -> Column:
+    """A file's path relative to a folder; ``path`` is a URI as Spark reports it, ``root`` absolute."""
+    plain = re.sub(_SCHEME, "", root).rstrip("/")
+    if not plain.startswith("/"):
+        raise ValueError(f"the folder must be absolute: {root}")
+    found = F.url_decode(F.replace(F.regexp_replace(path, _SCHEME, ""), F.lit("+"), F.lit("%2B")))
+    return F.when(found.startswith(plain + "/"), F.substring(found, len(plain) + 2, F.length(found)))
+
+
 def scan_manifest_files(
-    spark: SparkSession, root: str, schema: T.StructType, manifest: DataFrame, spread: int | None = None
+    spark: SparkSession, root: str, schema: T.StructType, manifest: DataFrame, spread: int | None = None, strict: bool = True
 ) -> DataFrame:
     """Gzip JSON-lines files named in a manifest (path below root, cell columns).
 
-    Gzip cannot be split, so a file is one task; the rows are spread afterwards.
+    Only the listed files are read (their names go to the reader, one per
+    file).  A listed file that is absent is an error, and so is one whose
+    sha-256 differs, where the manifest gives it.  Broken lines fail the job,
+    or are left out if not strict.  Gzip cannot be split, so a file is one
+    task; the rows are spread afterwards.
     """
-    rows = (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", "true")
-        .json(root)
-        .select("*", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1).alias("path"))
-    )
-    out = rows.join(manifest, "path")
+    paths = sorted(r["path"] for r in manifest.select("path").distinct().collect())
+    enforce(unlisted_files(spark, root, manifest), "file is missing")
+    if "sha256" in manifest.columns:
+        wrong = file_hashes(spark, root, paths).withColumnRenamed("sha256", "found").join(manifest, "path")
+        enforce(wrong.filter(~F.col("sha256").eqNullSafe(F.col("found"))).select("path"), "hash differs")
+    rows = _checked(parsed_lines(_lines(spark, [f"{root.rstrip('/')}/{p}" for p in paths]), schema), strict)
+    located = rows.select(below(F.col("file"), root).alias("path"), *[F.col(f"r.{name}").alias(name) for name in schema.names])
+    out = located.join(manifest.drop("sha256"), "path")
     return out.repartition(spread) if spread else out
 
 
+def file_hashes(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, sha256) of files below root, hashed on the executors; a file must fit one cell (2 GB)."""
+    files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths])
+    return files.select(below(F.col("path"), root).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def unlisted_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Manifest entries without a file."""
-    found = spark.read.option("recursiveFileLookup", "true").text(root).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1).alias("path")
-    )
-    return manifest.join(found.distinct(), "path", "left_anti")
+    """Manifest entries without a file; files are listed, not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return manifest.join(found.select(below(F.col("path"), root).alias("path")), "path", "left_anti")
 
 
 def scan_documents(
@@ -96,7 +122,7 @@ def scan_documents(
     """
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     whole = text.select("value", F.col("_metadata.file_path").alias("file"))
-    rows = _parsed(whole, schema)
+    rows = parsed_lines(whole, schema)
     message = F.concat(F.lit("no JSON object: "), F.col("file"))
     good = rows.filter(F.when(F.col("__broken"), F.raise_error(message).cast("boolean")).otherwise(True))
     extra = [
@@ -125,7 +151,9 @@ def missing_cells(rows: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV without missing cells, cast to the schema."""
+    """Headered CSV without missing cells, cast to the schema; the one pass fails at a missing cell."""
     rows = read_csv_text(spark, path, schema.names)
-    enforce(missing_cells(rows), f"missing value in {path}")
+    lacking = F.array_compact(F.array(*[F.when(_missing(c), F.lit(c)) for c in rows.columns]))
+    message = F.concat(F.lit(f"missing value in {path}: "), F.array_join(lacking, ", "))
+    rows = rows.filter(F.when(F.size(lacking) > 0, F.raise_error(message).cast("boolean")).otherwise(True))
     return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -13,17 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plenum.functions.text import strip
 from plenum.session import shared_dir
+from plenum.sources import records
 
 
 def record_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """JSON-lines files of a folder as a stream, schema given."""
-    reader = spark.readStream.schema(schema)
+    """JSON-lines files of a folder as a stream, schema given.
+
+    ``_broken`` holds a line that is no object of the schema and is null
+    otherwise; blank lines are skipped.  Sinks keep broken lines apart.
+    """
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    lines = reader.text(path).filter(F.length(strip(F.col("value"))) > 0)
+    parsed = records.parsed_lines(lines, schema)
+    return parsed.select(
+        *[F.col(f"r.{name}").alias(name) for name in schema.names], F.when(F.col("__broken"), F.col("value")).alias("_broken")
+    )
+
+
+def whole_rows(stream: DataFrame) -> DataFrame:
+    """The rows of a record stream that are not broken."""
+    return stream.filter("_broken is null").drop("_broken")
 
 
 def checkpoint_path(spark: SparkSession, job: str, fingerprint: str) -> str:
@@ -51,11 +66,22 @@ def batch_sink(target: str) -> Callable[[DataFrame, int], None]:
 
 
 def score_incrementally(
-    stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str
+    stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, violations: str
 ) -> DataFrame:
-    """Score arriving records and return the table of all committed batches."""
+    """Score arriving records and return the table of all committed batches.
+
+    Broken lines of a batch go to ``violations``, under the same batch id.
+    """
     spark = stream.sparkSession
-    run_batches(score(stream), batch_sink(target), checkpoint)
+    scored, broken = batch_sink(target), batch_sink(violations)
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        broken(batch.filter("_broken is not null").select("_broken"), batch_id)
+        scored(score(whole_rows(batch)), batch_id)
+        batch.unpersist()
+
+    run_batches(stream, both, checkpoint)
     return spark.read.option("basePath", target).parquet(target)
 
 
@@ -67,7 +93,7 @@ def running_counts(
     Update mode writes only changed groups, each with its batch id.
     """
     spark = stream.sparkSession
-    counted = stream.groupBy(*groups).agg(
+    counted = whole_rows(stream).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("samples"),
         *[F.count_if(F.expr(test)).alias(name) for name, test in conditions.items()],
     )
@@ -89,7 +115,7 @@ def first_of_each_id(
     With an event time the state is bounded by the allowed delay; without one
     every id stays in the state, as an exact check over all time needs.
     """
-    spark = stream.sparkSession
+    spark, stream = stream.sparkSession, whole_rows(stream)
     if event_time is not None:
         fresh = stream.withWatermark(event_time, delay or "1 day").dropDuplicatesWithinWatermark(keys)
     else:

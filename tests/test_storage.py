@@ -50,8 +50,8 @@ def test_csv_without_missing(spark, tmp_path):
     good = put(tmp_path, "g.csv", "a,b", "x,1", "y,2")
     assert rows(records.scan_csv(spark, good, ROW)) == [("x", 1), ("y", 2)]
     bad = put(tmp_path, "b.csv", "a,b", "x,1", " N/A ,2")
-    with pytest.raises(RuntimeError, match="missing value"):
-        records.scan_csv(spark, bad, ROW)
+    with pytest.raises(Exception, match="missing value"):
+        records.scan_csv(spark, bad, ROW).count()
 
 
 def test_examples(spark, tmp_path):
@@ -90,16 +90,41 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path):
         return fn(stream, *args)
 
     score = lambda df: df.withColumn("n", F.length("k"))
-    assert run(incremental.score_incrementally, score, target, target + "-c").count() == 2
-    put(source, "2.json", '{"k": "a", "ok": true}')
-    assert run(incremental.score_incrementally, score, target, target + "-c").count() == 3
+    assert run(incremental.score_incrementally, score, target, target + "-c", target + "-v").count() == 2
+    put(source, "2.json", '{"k": "a", "ok": true}', '{"k": "cut', "[]", "  ")
+    assert run(incremental.score_incrementally, score, target, target + "-c", target + "-v").count() == 3
+    assert [r[0] for r in spark.read.parquet(target + "-v").select("_broken").orderBy("_broken").collect()] == ["[]", '{"k": "cut']
 
     counts = run(incremental.running_counts, ["k"], {"good": "ok"}, target + "-n", target + "-nc")
-    batch = spark.read.schema(schema).json(str(source)).groupBy("k").agg(F.count("*"), F.count_if("ok"))
+    batch = records.scan_jsonl(spark, str(source), schema, strict=False).groupBy("k").agg(F.count("*"), F.count_if("ok"))
     assert rows(counts) == rows(batch)
 
     kept = run(incremental.first_of_each_id, ["k"], target + "-d", target + "-dc")
-    received = spark.read.schema(schema).json(str(source))
+    received = records.scan_jsonl(spark, str(source), schema, strict=False)
     assert rows(incremental.dropped_rows(received, kept.select("k"))) == [(3, 2, 1)]
     assert "fp1" in incremental.checkpoint_path(spark, "score", "fp1")
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_manifest_files(spark, tmp_path):
+    for folder, line in (("a/x", '{"a": "1", "b": 1}'), ("b/x", '{"a": "2", "b": 2}')):
+        put(tmp_path / folder, "f+ 1.json", line)
+    put(tmp_path, "top.json", "{")
+    root = str(tmp_path)
+    both = spark.createDataFrame([("a/x/f+ 1.json", "one"), ("b/x/f+ 1.json", "two")], "path string, cell string")
+    out = records.scan_manifest_files(spark, root, ROW, both).select("path", "cell", "a")
+    assert rows(out) == [("a/x/f+ 1.json", "one", "1"), ("b/x/f+ 1.json", "two", "2")]
+    one = both.filter("cell = 'one'")
+    assert records.scan_manifest_files(spark, root, ROW, one).count() == 1
+    absent = one.unionByName(spark.createDataFrame([("c/x/f+ 1.json", "three")], "path string, cell string"))
+    assert rows(records.unlisted_files(spark, root, absent)) == [("c/x/f+ 1.json", "three")]
+    with pytest.raises(Exception, match="missing"):
+        records.scan_manifest_files(spark, root, ROW, absent)
+    hashes = records.file_hashes(spark, root, ["a/x/f+ 1.json"])
+    assert records.scan_manifest_files(spark, root, ROW, one.join(hashes, "path")).count() == 1
+    with pytest.raises(Exception, match="hash"):
+        records.scan_manifest_files(spark, root, ROW, one.withColumn("sha256", F.lit("0")))
+    top = spark.createDataFrame([("top.json", "t")], "path string, cell string")
+    with pytest.raises(Exception, match="broken line"):
+        records.scan_manifest_files(spark, root, ROW, top).collect()
+    assert records.scan_manifest_files(spark, root, ROW, top, strict=False).count() == 0
