@@ -302,24 +302,61 @@ def math_equal(spark, d):
     )
 
 
-AUDIT_SQL = """
-SELECT dataset, round, count(*) AS decisions, count(*) FILTER (WHERE sample_index % 101 = 7 AND final IS NOT NULL) AS vote_mismatches,
-       count(*) FILTER (WHERE sample_index % 103 = 5) AS majority_mismatches,
-       count(*) FILTER (WHERE sample_index % 107 = 3) AS correct_mismatches,
-       0::BIGINT AS invalid_gold, count(*) FILTER (WHERE coalesce(final = gold, false)) AS correct,
-       count(*) FILTER (WHERE majority) AS majority, count(*) FILTER (WHERE unanimous) AS unanimous
-FROM ballots GROUP BY ALL"""
+STORED_SQL = """
+SELECT * FROM ballots WHERE NOT (sample_index % 113 = 2 AND round = 3)
+UNION ALL SELECT * FROM ballots WHERE sample_index % 109 = 11 AND round = 0"""
+CHECKED = [
+    *["accuracy", "majority_coverage", "unanimous_rate", "oracle_any_role_accuracy", "parse_rate"],
+    *[f"{r}_accuracy" for r in fusion.ROLES],
+    *[f"{p}_{k}" for p in ("direct_evidence", "direct_verification", "evidence_verification") for k in ("agree", "agree_correct")],
+]
+PLANTED = {
+    "accuracy": "CASE WHEN st.dataset = 'bbh' AND round = 2 THEN 0.01 ELSE 0 END",
+    "parse_rate": "CASE WHEN round = 1 THEN 1e-13 ELSE 0 END",
+    "direct_evidence_agree": "CASE WHEN st.dataset = 'arc' AND round = 4 THEN 1 ELSE 0 END",
+}
+AUDIT_SQL = f"""
+WITH s AS MATERIALIZED ({STORED_SQL}),
+counted AS (SELECT dataset, round, count(*) AS decisions, count(*) FILTER (WHERE sample_index % 101 = 7 AND final IS NOT NULL) AS vote_mismatches,
+                   count(*) FILTER (WHERE sample_index % 103 = 5) AS majority_mismatches, count(*) FILTER (WHERE sample_index % 107 = 3) AS correct_mismatches,
+                   0::BIGINT AS invalid_gold, count(*) FILTER (WHERE coalesce(final = gold, false)) AS correct,
+                   count(*) FILTER (WHERE majority) AS majority, count(*) FILTER (WHERE unanimous) AS unanimous FROM s GROUP BY ALL),
+re AS ({round_metrics_sql("dataset, round", "s", pairs=True)}),
+st AS ({round_metrics_sql("dataset, round", "ballots", pairs=True)}),
+ids AS (SELECT dataset, count(*) AS samples, count(*) FILTER (WHERE sample_index % 109 = 11) AS duplicate_ids,
+               count(*) FILTER (WHERE sample_index % 113 = 2) AS broken_rounds FROM samples GROUP BY ALL)
+SELECT dataset, round, decisions, vote_mismatches, majority_mismatches, correct_mismatches, invalid_gold, c.correct, majority, unanimous,
+       {len(CHECKED)} AS aggregate_checks,
+       {" + ".join(f"CASE WHEN abs(re.{n} - (st.{n} + {PLANTED.get(n, '0')})) <= 1e-12 THEN 0 ELSE 1 END" for n in CHECKED)} AS aggregate_mismatches,
+       ids.samples, duplicate_ids, broken_rounds
+FROM counted c JOIN re USING (dataset, round) JOIN st USING (dataset, round) JOIN ids USING (dataset)"""
 
 
 @query("decision_audit", AUDIT_SQL)
 def decision_audit(spark, d):
-    """Stored decisions with planted errors; the audit must find each one."""
-    index = F.col("sample_index")
-    stored = decided(spark, d).select(
+    """Stored decisions, ids, rounds and metrics with planted errors; the audit must find each one."""
+    index, number, name = F.col("sample_index"), F.col("round"), F.col("dataset")
+    rows = decided(spark, d)
+    stored = rows.select(
         "dataset", "sample_index", "round", "task_type", F.col("gold").alias("gold_answer"),
         *[f"vote_{r}" for r in fusion.ROLES],
         F.when(index % 101 != 7, F.col("decision.answer")).alias("stored_answer"),
         (F.col("decision.majority_reached") != (index % 103 == 5)).alias("stored_majority"),
         (F.col("decision_correct") != (index % 107 == 3)).alias("stored_correct"),
     )
-    return audit.decision_audit(stored, ["dataset", "round"])
+    lost = (index % 113 == 2) & (number == 3)
+    stored = stored.filter(~lost).unionByName(stored.filter((index % 109 == 11) & (number == 0)))
+    recorded = fusion.fusion_metrics(rows, ["dataset", "round"], pairs=True).withColumns(
+        {
+            "accuracy": F.col("accuracy") + F.when((name == "bbh") & (number == 2), 0.01).otherwise(0.0),
+            "parse_rate": F.col("parse_rate") + F.when(number == 1, 1e-13).otherwise(0.0),
+            "direct_evidence_agree": F.col("direct_evidence_agree") + F.when((name == "arc") & (number == 4), 1).otherwise(0),
+        }
+    )
+    audited = audit.decision_audit(stored, ["dataset", "round"])
+    checked = audit.aggregate_checks(audited, recorded, ["dataset", "round"])
+    ids = audit.identity_problems(stored, ["dataset"], "sample_index", 5)
+    return checked.join(ids, "dataset").select(
+        "dataset", "round", "decisions", "vote_mismatches", "majority_mismatches", "correct_mismatches", "invalid_gold", "correct",
+        "majority", "unanimous", "aggregate_checks", "aggregate_mismatches", "samples", "duplicate_ids", "broken_rounds",
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,27 @@ def rederive(stored: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     )
 
 
-def decision_audit(stored: DataFrame, cell: list[str]) -> DataFrame:
+# Stored rates that must follow from the re-derived counts.
+AUDITED_RATES = {
+    "accuracy": "correct", "majority_coverage": "majority", "unanimous_rate": "unanimous", "oracle_any_role_accuracy": "oracle", "parse_rate": "parsed",
+}
+
+
+def decision_audit(stored: DataFrame, cell: list[str], roles: Sequence[str] = ROLES) -> DataFrame:
     """Mismatch counters and re-derived totals per cell, in one aggregation."""
     def differs(stored_name: str, name: str) -> Column:
         return F.count_if(~F.col(stored_name).eqNullSafe(F.col(name)))
 
+    right = {r: flag(F.col(f"label_{r}") == F.col("__gold")) for r in roles}
+    oracle = F.lit(False)
+    for hit in right.values():
+        oracle = oracle | hit
+    agreements = []
+    for left, other in combinations(roles, 2):
+        agree = flag(F.col(f"label_{left}") == F.col(f"label_{other}"))
+        agreements.append(F.count_if(agree).alias(f"{left}_{other}_agree"))
+        agreements.append(F.count_if(agree & right[left]).alias(f"{left}_{other}_agree_correct"))
+
     return (
         rederive(stored)
         .groupBy(*cell)
@@ -56,10 +73,45 @@ def decision_audit(stored: DataFrame, cell: list[str]) -> DataFrame:
             F.count_if("correct").alias("correct"),
             F.count_if("majority").alias("majority"),
             F.count_if("unanimous").alias("unanimous"),
+            F.count_if(F.col("answer").isNotNull()).alias("parsed"),
+            F.count_if(oracle).alias("oracle"),
+            *[F.count_if(hit).alias(f"{r}_correct") for r, hit in right.items()],
+            *agreements,
         )
     )
 
 
+def aggregate_checks(audited: DataFrame, recorded: DataFrame, cell: list[str], roles: Sequence[str] = ROLES) -> DataFrame:
+    """Add how many stored metrics were compared, and how many differ from the re-derived counts.
+
+    Rates may differ by ``DECISION_TOLERANCE``, pair counts not at all; a cell
+    without stored metrics fails in all of them.
+    """
+    rates = AUDITED_RATES | {f"{r}_accuracy": f"{r}_correct" for r in roles}
+    pairs = [f"{a}_{b}_{kind}" for a, b in combinations(roles, 2) for kind in ("agree", "agree_correct")]
+    names = [*rates, *pairs]
+    known = recorded.select(*cell, *[F.col(n).alias(f"__{n}") for n in names])
+    tests = [F.abs(F.col(count) / F.col("decisions") - F.col(f"__{rate}")) <= DECISION_TOLERANCE for rate, count in rates.items()]
+    tests += [F.col(p) == F.col(f"__{p}") for p in pairs]
+    failed = F.lit(0)
+    for test in tests:
+        failed = failed + F.when(F.coalesce(test, F.lit(False)), 0).otherwise(1)
+    joined = audited.join(known, cell, "left")
+    return joined.select(*audited.columns, F.lit(len(names)).alias("aggregate_checks"), failed.alias("aggregate_mismatches"))
+
+
+def identity_problems(stored: DataFrame, cell: list[str], key: str, rounds: int, round_: str = "round") -> DataFrame:
+    """Per cell: ids that occur twice in a round, and ids without exactly the rounds 0..n-1."""
+    per_round = stored.groupBy(*cell, key, round_).agg(F.count(F.lit(1)).alias("rows"))
+    per_id = per_round.groupBy(*cell, key).agg(
+        F.max("rows").alias("most"), F.count(F.lit(1)).alias("n"), F.min(round_).alias("first"), F.max(round_).alias("last")
+    )
+    whole = (F.col("n") == rounds) & (F.col("first") == 0) & (F.col("last") == rounds - 1)
+    return per_id.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if(F.col("most") > 1).alias("duplicate_ids"), F.count_if(~whole).alias("broken_rounds")
+    )
+
+
 def tolerance_violations(
     observed: DataFrame, expected: DataFrame, keys: list[str], value: str, tolerance: float
 ) -> DataFrame:
@@ -75,3 +127,12 @@ def tolerance_violations(
 def long_form(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Value columns to rows (metric, value)."""
     return df.unpivot(keys, values, "metric", "value")
+
+
+def section(name: str, compared: DataFrame, failed: DataFrame, values: int = 1) -> DataFrame:
+    """One row: the compared rows times ``values``, and the failures."""
+    checks = compared.agg((F.count(F.lit(1)) * values).alias("n"), F.lit(0).cast("bigint").alias("bad"))
+    bad = failed.agg(F.lit(0).cast("bigint").alias("n"), F.count(F.lit(1)).alias("bad"))
+    return checks.unionByName(bad).agg(F.sum("n").alias("checks"), F.sum("bad").alias("failures")).select(
+        F.lit(name).alias("section"), "checks", "failures"
+    )
