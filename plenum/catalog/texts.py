@@ -200,7 +200,8 @@ _extract("extract_by_task", None)
 
 @query(
     "extract_boxed",
-    r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\frac{' || n_chars || '}{7}' WHEN 1 THEN '{a}' || n_chars ELSE NULL END AS boxed FROM documents""",
+    r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\frac{' || n_chars || '}{7}' WHEN 1 THEN '{a}' || n_chars ELSE NULL END AS boxed,
+              CASE doc_id % 3 WHEN 0 THEN 'boxed{\frac{' || n_chars || '}{7}}' WHEN 1 THEN '{\boxed {{a}' || n_chars || '}' ELSE NULL END AS raw_span FROM documents""",
 )
 def extract_boxed(spark, d):
     doc, size = F.col("doc_id"), F.col("n_chars").cast("string")
@@ -211,7 +212,8 @@ def extract_boxed(spark, d):
         .otherwise("\n\\boxed{{open")
     )
     rows = inputs.table(spark, d, "documents").select("doc_id", F.concat(body, tail).alias("text"))
-    return rows.select("doc_id", extraction.extract_boxed(F.col("text")).alias("boxed"))
+    found = rows.withColumn("b", extraction.last_boxed(F.col("text")))
+    return found.select("doc_id", F.col("b.content").alias("boxed"), F.col("b.span").alias("raw_span"))
 
 
 # ------------------------------------------------------------ completion rows

@@ -238,27 +238,45 @@ def balanced_braces(text: Column) -> Column:
 
 
 def _last_balanced(text: Column, opener: str) -> Column:
-    parts = F.split(F.regexp_replace(text, opener, f"{CUT}$0"), CUT)
-
-    def pick(pieces: Column) -> Column:
-        contents = F.transform(
-            F.sequence(F.lit(2), F.size(pieces)),
-            lambda i: let(
-                F.regexp_replace(
-                    F.array_join(F.slice(pieces, i, F.size(pieces)), ""), "^" + opener, ""
-                ),
-                balanced_braces,
-            ),
+    """struct(content, span) of the last opener whose brace closes, NULL without one.
+
+    Walks back from the last opener and stops at the first one that closes.
+    """
+    pieces = F.split(F.regexp_replace(text, opener, f"{CUT}$0"), CUT)
+    none = F.lit(None).cast("string")
+
+    def step(acc: Column, piece: Column) -> Column:
+        rest = F.concat(piece, acc["rest"])
+        head = F.regexp_extract(piece, "^" + opener, 0)
+        content = let(F.struct(rest.alias("rest"), head.alias("head")), lambda x: balanced_braces(
+            F.substring(x["rest"], F.length(x["head"]) + 1, F.length(x["rest"]))
+        ))
+        found = acc["content"].isNotNull()
+        return F.struct(
+            F.when(found, acc["rest"]).otherwise(rest).alias("rest"),
+            F.when(found, acc["head"]).otherwise(head).alias("head"),
+            F.when(found, acc["content"]).otherwise(content).alias("content"),
         )
-        found = F.filter(contents, lambda c: c.isNotNull())
-        return let(found, lambda f: F.when(F.size(f) > 0, F.element_at(f, -1)))
 
-    return F.when(F.contains(text, F.lit("{")) & text.rlike(opener), let(parts, pick))
+    start = F.struct(F.lit("").alias("rest"), none.alias("head"), none.alias("content"))
+    last = F.aggregate(
+        F.reverse(F.slice(pieces, F.lit(2), F.size(pieces))), start, step,
+        lambda acc: F.when(
+            acc["content"].isNotNull(),
+            F.struct(acc["content"].alias("content"), F.concat(acc["head"], acc["content"], F.lit("}")).alias("span")),
+        ),
+    )
+    return F.when(F.contains(text, F.lit("{")) & text.rlike(opener), last)
+
+
+def last_boxed(text: Column) -> Column:
+    """struct(content, span) of the last balanced ``boxed{...}``, preferring ``{\\boxed{``; the span is cut from the text."""
+    return F.coalesce(_last_balanced(text, BOXED_IN_BRACES), _last_balanced(text, BOXED))
 
 
 def extract_boxed(text: Column) -> Column:
-    """Content of the last balanced ``boxed{...}``, preferring ``{\\boxed{``."""
-    return F.coalesce(_last_balanced(text, BOXED_IN_BRACES), _last_balanced(text, BOXED))
+    """Content of the last balanced box."""
+    return last_boxed(text)["content"]
 
 
 def clean_token(answer: Column) -> Column:
@@ -332,13 +350,13 @@ def _yes_no(t: _Texts) -> list[Column]:
 def _math(t: _Texts) -> list[Column]:
     # An empty box counts as found: the row is unparsed and later rules stay off.
     boxed = let(
-        extract_boxed(t.body),
+        last_boxed(t.body),
         lambda b: F.when(
             b.isNotNull(),
             F.struct(
-                strip(b).alias("answer"),
+                strip(b["content"]).alias("answer"),
                 F.lit("boxed").alias("source"),
-                F.concat(F.lit("boxed{"), b, F.lit("}")).alias("span"),
+                b["span"].alias("span"),
             ),
         ),
     )

@@ -90,3 +90,9 @@ def test_unclosed_think(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.u for r in df.withColumn("u", unclosed_think(F.col("t"))).orderBy("i").collect()]
     assert got == [False, True, False, False, False]
+
+
+@pytest.mark.parametrize("text, span", [("{\\boxed{7}}", "{\\boxed{7}"), ("Boxed {8}", "Boxed {8}"), ("\\boxed{1} \\boxed{2", "boxed{1}")])
+def test_raw_span_of_a_box_is_cut_from_the_text(spark, text, span):
+    df = with_extracted(spark.createDataFrame([(text, "math")], "text string, task string"), "text", "task")
+    assert df.select("extracted.raw_span").first()[0] == span
