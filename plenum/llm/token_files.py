@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +56,9 @@ def chunks_of(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
 
 
-# Characters below this are letters in any version of Unicode that tells them so.
-_LATIN = "\u0250"
+# Chunks of letters that are letters in every version of Unicode; with others the library decides.
+_ASCII_WORD = re.compile(r"^ ?[A-Za-z]+$", re.M)
+_LATIN_WORD = re.compile(r"^ ?[A-Za-z]*[À-ÖØ-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ]*$", re.M)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -94,47 +95,45 @@ class ChunkEncoder:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """Have the library encode new chunks, as few texts of many chunks."""
         # a chunk of letters is one match of the split pattern, so only the merges are left to do
-        plain = [c for c in chunks if c.isascii() and (c.isalpha() or c[0] == " " and c[1:].isalpha())]
+        lines = "\n".join(chunks)
+        plain, other = _ASCII_WORD.findall(lines), _LATIN_WORD.findall(lines)
         if plain:
-            self._store(plain, self._merge("\n".join(plain).replace(" ", _BYTE_CHARS[32])), 0)
-        rest = set(chunks).difference(plain) if len(plain) < len(chunks) else ()
-        other = [c for c in rest if (c.isalpha() or c[0] == " " and c[1:].isalpha()) and max(c) < _LATIN]
+            self._store(plain, map(len, plain), self._merge("\n".join(plain).replace(" ", _BYTE_CHARS[32])), 0)
         if other:
-            self._store(other, self._merge("\n".join(other).encode().decode("latin-1").translate(_BYTE_CHARS)), 0)
+            mapped = "\n".join(other).encode().decode("latin-1").translate(_BYTE_CHARS)
+            self._store(other, map(len, map(str.encode, other)), self._merge(mapped), 0)
         joined = []
-        for chunk in set(rest).difference(other):
+        for chunk in chunks.difference(plain, other):
             if chunk[-1].isspace() or chunk[0].isspace() and (chunk[0] != " " or chunk[1:2].isspace()):
                 self.known[chunk] = self._plain(chunk).tobytes()  # a line feed beside it would join its white space
             else:
                 joined.append(chunk)
         if joined:
-            self._store(joined, self._plain("\n".join(joined)), 1)
+            self._store(joined, map(len, map(str.encode, joined)), self._plain("\n".join(joined)), 1)
 
     def _merge(self, mapped: str) -> np.ndarray:
         return np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _store(self, chunks: list[str], ids: np.ndarray, between: int) -> None:
+    def _store(self, chunks: list[str], lengths: Iterable[int], ids: np.ndarray, between: int) -> None:
         """Cut ids at the ends of the chunks; ``between`` ids (of a line feed) stand between two."""
-        lengths = np.fromiter(map(len, map(str.encode, chunks)), dtype=np.int64, count=len(chunks))
-        ends = np.cumsum(lengths + between) - between
+        ends = np.cumsum(np.fromiter(lengths, dtype=np.int64, count=len(chunks)) + between) - between
         stops = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
-        raw, start = ids.tobytes(), 0
-        for chunk, stop in zip(chunks, stops.tolist()):
-            self.known[chunk] = raw[start:stop]
-            start = stop + 4 * between
-        self.chars += int(lengths.sum())
+        starts = np.concatenate([[0], stops[:-1] + 4 * between])
+        cut = map(slice, starts.tolist(), stops.tolist())
+        self.known.update(zip(chunks, map(ids.tobytes().__getitem__, cut)))
+        self.chars += int(ends[-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit integers."""
         if len(self.known) > CACHED_CHUNKS or self.chars > 16 * CACHED_CHUNKS:
             self.known, self.chars = dict(self.core) or {"": b""}, 0
         split = [chunks_of(text) for text in texts]
-        fresh = set().union(*split) - self.known.keys()
+        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if fresh:
-            self._learn(list(fresh))
+            self._learn(fresh)
         if not self.core and len(self.known) > CACHED_CHUNKS // 2:
             self.core = dict(self.known)
         ids = self.known.__getitem__
@@ -238,10 +237,26 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     return _with_start(read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", F.input_file_name().alias("file")))
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(row).astype("<u4").tobytes()) for row in ids], dtype="int64")
+def _with_crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ids by their unsigned crc32 as little-endian unsigned 32-bit integers."""
+    for batch in batches:
+        lists = batch.column("ids")
+        raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
+        bounds = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+        sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+        kept = [batch.column(name) for name in _CHECKED.names[:4]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64())], names=_CHECKED.names)
+
+
+_CHECKED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("ids_crc32", T.LongType()),
+    ]
+)
 
 
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -250,5 +265,5 @@ def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     Repeated rows follow each other, each with its own start; an empty table
     gives no rows.
     """
-    rows = read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", ids_crc32("ids").alias("ids_crc32"), F.input_file_name().alias("file"))
-    return _with_start(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", F.input_file_name().alias("file"), "ids")
+    return _with_start(rows.mapInArrow(_with_crc32, _CHECKED)).select("doc_id", "start", "n_tokens", "ids_crc32")
