@@ -216,14 +216,18 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return rows if last is None else rows.filter(F.col("doc_id") <= last)
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
-    """Add ``start``, the ids before a row; ``rows`` are token rows with their ``file``, ids left out.
+def _named_rows(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    return read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", F.input_file_name().alias("file"), *more)
+
+
+def _with_start(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Add ``start``, the ids before a row, to token rows with their ``file``.
 
     Files hold ascending ranges, so a start is the ids of earlier files (one
     row per file, from the metadata columns alone) plus those of earlier rows
     of the own file.
     """
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"), F.count("doc_id").alias("named"))
+    files = metadata.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"), F.count("doc_id").alias("named"))
     # one row per file: the only list that is ordered in one task; a file of null ids alone is the first
     earlier = Window.orderBy(F.col("named") > 0, "first").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
@@ -234,7 +238,8 @@ def _with_start(rows: DataFrame) -> DataFrame:
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text_hash, n_tokens, start) from the metadata columns alone."""
-    return _with_start(read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", F.input_file_name().alias("file")))
+    rows = _named_rows(spark, path)
+    return _with_start(rows, rows)
 
 
 def _with_crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,5 +270,5 @@ def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     Repeated rows follow each other, each with its own start; an empty table
     gives no rows.
     """
-    rows = read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", F.input_file_name().alias("file"), "ids")
-    return _with_start(rows.mapInArrow(_with_crc32, _CHECKED)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    checked = _named_rows(spark, path, "ids").mapInArrow(_with_crc32, _CHECKED)
+    return _with_start(checked, _named_rows(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
