@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_PREFIX = 3  # 16 ** 3 = 4096 buckets
+from plenum.session import scratch_path
+
+# Hex digits of the hash that make a bucket, 16 ** 3 = 4096 of them.  A task sorts one bucket of a
+# group, so take one more digit for each 16 times the rows; results do not depend on it.
+HASH_PREFIX = 3
 KEY_WIDTH = 100_000  # distinct integer keys per bucket
 
 
@@ -24,13 +28,28 @@ def key_bucket(key: Column, width: int = KEY_WIDTH) -> Column:
     return F.floor(key / width)
 
 
-def _offsets(df: DataFrame, groups: list[str], bucket: str) -> DataFrame:
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table below the shared folder and go on from its files.
+
+    What several later steps read is then computed once, and outlives executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucket_counts(df: DataFrame, groups: list[str], bucket: str = "__bucket") -> DataFrame:
+    """Rows per (group, bucket): one small table that all offsets come from."""
+    return df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def offsets(counts: DataFrame, groups: list[str], bucket: str = "__bucket") -> DataFrame:
     """Rows of the group in all earlier buckets, per (group, bucket)."""
     before = (
         Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     )
-    counts = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.select(
+    summed = counts.groupBy(*groups, bucket).agg(F.sum("__n").alias("__n"))
+    return summed.select(
         *groups, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
 
@@ -51,15 +70,18 @@ def with_position(
     bucket: Column,
     target: str = "position",
     limit: Column | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row inside its group.
 
     ``bucket`` must not decrease along ``order``.  With ``limit`` only positions
     below it are kept, and buckets that start beyond it are dropped before
-    anything is sorted.
+    anything is sorted.  ``counts`` are the rows per (group, bucket) where the
+    caller has them already.
     """
     named = df.withColumn("__bucket", bucket)
-    joined = match_groups(named, _offsets(named, groups, "__bucket"), [*groups, "__bucket"])
+    before = offsets(bucket_counts(named, groups) if counts is None else counts, groups)
+    joined = match_groups(named, before, [*groups, "__bucket"])
     if limit is not None:
         joined = joined.filter(F.col("__before") < limit)
     inside = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.seeds import order_hash
-from plenum.operators.ranking import _offsets, hash_bucket, key_bucket, match_groups, with_position
+from plenum.operators.ranking import (
+    HASH_PREFIX, bucket_counts, hash_bucket, key_bucket, match_groups, offsets, staged, with_position,
+)
 
 
 def _positive(n: int | None) -> None:
@@ -31,15 +33,18 @@ def sample_random(df: DataFrame, key: str, n: int | None, seed: int) -> DataFram
     ).drop("__hash", "__position")
 
 
-def _stratified(named: DataFrame, groups: list[str], limit: Column, quota: Column) -> DataFrame:
+def _stratified(
+    named: DataFrame, counts: DataFrame, groups: list[str], limit: Column, quota: Column, digits: int
+) -> DataFrame:
     """Shared core: a quota per stratum first, the rest by hash, ``limit`` in all.
 
-    ``named`` has __hash, __bucket, __key and __group; ``groups`` are outer
-    groups (splits).  Only rows that can still be chosen are ever sorted.
+    ``named`` has __hash, __bucket, __key and __group, ``counts`` its rows per
+    stratum and bucket; ``groups`` are outer groups (splits).  Only rows that
+    can still be chosen are ever sorted.
     """
     inner = [*groups, "__group"]
-    per_group = _offsets(named, inner, "__bucket").withColumnRenamed("__before", "__in_group")
-    overall = _offsets(named, groups, "__bucket").withColumnRenamed("__before", "__in_all")
+    per_group = offsets(counts, inner).withColumnRenamed("__before", "__in_group")
+    overall = offsets(counts, groups).withColumnRenamed("__before", "__in_all")
     placed = match_groups(named, per_group, [*inner, "__bucket"])
     open_rows = match_groups(placed, overall, [*groups, "__bucket"]).filter(
         (F.col("__in_group") < quota) | (F.col("__in_all") < limit)
@@ -50,13 +55,13 @@ def _stratified(named: DataFrame, groups: list[str], limit: Column, quota: Colum
     ).drop("__bucket", "__in_group", "__in_all")
     tier = F.when(F.col("__first"), "0").otherwise("1")
     return with_position(
-        flagged, groups, [tier, F.col("__hash"), F.col("__key")],
-        F.concat(tier, hash_bucket(F.col("__hash"))), "__position", limit=limit,
+        staged(flagged, "open-rows"), groups, [tier, F.col("__hash"), F.col("__key")],
+        F.concat(tier, hash_bucket(F.col("__hash"), digits)), "__position", limit=limit,
     )
 
 
 def sample_stratified(
-    df: DataFrame, key: str, n: int | None, seed: int, group: str = "subject"
+    df: DataFrame, key: str, n: int | None, seed: int, group: str = "subject", digits: int = HASH_PREFIX
 ) -> DataFrame:
     """n rows in all, at least max(1, n div groups) of every group first."""
     _positive(n)
@@ -66,17 +71,18 @@ def sample_stratified(
         df.withColumn("__group", F.coalesce(F.nullif(F.col(group), F.lit("")), F.lit("unknown")))
         .withColumn("__key", F.col(key))
         .withColumn("__hash", order_hash(seed, F.col(key)))
-        .withColumn("__bucket", hash_bucket(F.col("__hash")))
+        .withColumn("__bucket", hash_bucket(F.col("__hash"), digits))
     )
-    groups = named.agg(F.countDistinct("__group")).scalar()
+    counts = staged(bucket_counts(named, ["__group"]), "strata")
+    groups = counts.agg(F.countDistinct("__group")).scalar()
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / groups))
     # with one group the quota is n itself, so the choice is the random one
-    chosen = _stratified(named, [], F.lit(n), quota)
+    chosen = _stratified(named, counts, [], F.lit(n), quota, digits)
     return chosen.select(*df.columns)
 
 
 def sample_bundle(
-    df: DataFrame, settings: DataFrame, key: str, split: str, base_seed: int, group: str = "subject"
+    df: DataFrame, settings: DataFrame, key: str, split: str, base_seed: int, group: str = "subject", digits: int = HASH_PREFIX
 ) -> DataFrame:
     """Per-split strategy, size and seed offset from a small settings table.
 
@@ -96,14 +102,15 @@ def sample_bundle(
         )
         .withColumn("__key", F.col(key))
         .withColumn("__hash", order_hash(F.col("__seed"), F.col(key)))
-        .withColumn("__bucket", hash_bucket(F.col("__hash")))
+        .withColumn("__bucket", hash_bucket(F.col("__hash"), digits))
     )
     kept_whole = named.filter(F.col("__n").isNull()).select(*df.columns)
     sized = named.filter(F.col("__n").isNotNull())
-    strata = sized.groupBy(split).agg(F.countDistinct("__group").alias("__groups"))
+    counts = staged(bucket_counts(sized, [split, "__group"]), "strata")
+    strata = counts.groupBy(split).agg(F.countDistinct("__group").alias("__groups"))
     sized = match_groups(sized, strata, [split])
     quota = F.greatest(F.lit(1), F.floor(F.col("__n") / F.col("__groups")))
-    chosen = _stratified(sized, [split], F.col("__n"), quota)
+    chosen = _stratified(sized, counts, [split], F.col("__n"), quota, digits)
     return kept_whole.unionByName(chosen.select(*df.columns))
 
 
@@ -155,14 +162,17 @@ def split_stratified(
     test: int | float = 0.25,
     validation: int | float = 0.10,
     exact: bool = False,
+    digits: int = HASH_PREFIX,
 ) -> DataFrame:
     """Per category: test, validation and train cut from a seeded order, then
-    numbered from 0 inside each split."""
-    sizes = df.groupBy(category).agg(F.count(F.lit(1)).alias("size"))
-    quotas = split_quotas(sizes, test, validation, exact, category)
+    numbered from 0 inside each split.  The rows are read twice, once to count."""
     hashed = df.withColumn("__hash", order_hash(seed, F.col(key)))
+    bucket = hash_bucket(F.col("__hash"), digits)
+    counts = staged(bucket_counts(hashed.withColumn("__bucket", bucket), [category]), "categories")
+    sizes = counts.groupBy(category).agg(F.sum("__n").alias("size"))
+    quotas = split_quotas(sizes, test, validation, exact, category)
     order = [F.col("__hash"), F.col(key)]
-    ranked = with_position(hashed, [category], order, hash_bucket(F.col("__hash")), "__rank")
+    ranked = with_position(hashed, [category], order, bucket, "__rank", counts=counts)
     n_test, n_val = F.col("n_test"), F.col("n_validation")
     split = (
         F.when(F.col("__rank") < n_test, "test")
@@ -171,8 +181,7 @@ def split_stratified(
     )
     cut = match_groups(ranked, quotas.drop("size"), [category]).withColumn("source_split", split)
     numbered = with_position(
-        cut.drop("n_test", "n_validation", "__rank"), ["source_split"], order,
-        hash_bucket(F.col("__hash")), "source_index",
+        staged(cut.drop("n_test", "n_validation", "__rank"), "split-rows"), ["source_split"], order, bucket, "source_index",
     )
     return numbered.drop("__hash")
 
