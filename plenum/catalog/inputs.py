@@ -100,8 +100,8 @@ FROM (SELECT b.*, CASE WHEN k = 10 THEN NULL WHEN k < 5 + round THEN gold
             CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS t(round)) b) c"""
 
 
-def completions(spark: SparkSession, sf_dir: str, names=ROLES, trials: int | None = None) -> DataFrame:
-    grid = each_int(each(samples(spark, sf_dir), names, "role_idx", "role"), range(5), "round")
+def completions(spark: SparkSession, sf_dir: str, names=ROLES, trials: int | None = None, rounds: int = 5) -> DataFrame:
+    grid = each_int(each(samples(spark, sf_dir), names, "role_idx", "role"), range(rounds), "round")
     if trials is not None:
         grid = each_int(grid, range(trials), "trial")
     shift = F.col("trial") * 3 if trials is not None else F.lit(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plenum.catalog import inputs
 from plenum.catalog.registry import query
 from plenum.operators import metrics, preference, records, sft
+from plenum.plans import jobs
 
 KEYS = ["sample_id", "sample_index", "round"]
 C = preference.CANDIDATES
@@ -40,6 +41,10 @@ def rounds(spark, d):
     )
 
 
+def preference_job(spark, d, agent):
+    return jobs.preference_data(inputs.rollouts(spark, d), inputs.candidates(spark, d), agent, 1, inputs.ROLLOUTS, "v1")
+
+
 def pairs(spark, d, agent="critic"):
     return preference.materialize_pairs(rounds(spark, d), agent, 1, inputs.ROLLOUTS, "v1")
 
@@ -140,9 +145,8 @@ def materialize_pairs(spark, d):
         FROM ({ROUNDS_SQL})""",
 )
 def job_preference_critic(spark, d):
-    return rounds(spark, d).select(
-        "sample_id", "round", *C, "case_type", "selected", "drop_reason"
-    )
+    audited, _ = preference_job(spark, d, "critic")
+    return audited.select("sample_id", "round", *C, "case_type", "selected", "drop_reason")
 
 
 @query(
@@ -151,7 +155,8 @@ def job_preference_critic(spark, d):
                'acccollab_original' AS pipeline FROM ({PAIRS_SQL})""",
 )
 def job_preference_actor(spark, d):
-    return pairs(spark, d, "actor").select(
+    _, made = preference_job(spark, d, "actor")
+    return made.select(
         "metadata.agent", "metadata.sample_id", "metadata.round", "metadata.case_type",
         "chosen", "rejected", "metadata.reward_rollouts", "metadata.pipeline",
     )

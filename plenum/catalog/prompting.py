@@ -67,17 +67,17 @@ def sql_prompt(templates: dict[str, str], agent: str) -> str:
     return f"{prefix} || CASE kind {body} END"
 
 
-def compact(df, **columns):
+def compact(df, keys=("sample_index",), **columns):
     """Length and md5 of each prompt: whole texts are compared by hash."""
     out = []
     for name, column in columns.items():
         out += [F.length(column).cast("bigint").alias(f"{name}_size"), F.md5(column).alias(name)]
-    return df.select("sample_index", *out)
+    return df.select(*keys, *out)
 
 
-def sql_compact(source: str, **columns: str) -> str:
+def sql_compact(source: str, keys: str = "sample_index", **columns: str) -> str:
     out = ", ".join(f"length({c}) AS {n}_size, md5({c}) AS {n}" for n, c in columns.items())
-    return f"SELECT sample_index, {out} FROM {source}"
+    return f"SELECT {keys}, {out} FROM {source}"
 
 
 @query(
@@ -109,10 +109,10 @@ PROBLEM_SQL = (
     " || CASE WHEN kind = 'choices' THEN chr(10) || chr(10) || 'Options:' || chr(10) || '(A) red' || chr(10) || '(B) ' || choices[2] || chr(10) || '(C) blue' ELSE '' END"
 )
 ANSWERS_SQL = """
-SELECT q.*, a0, a1, a2, a3 FROM qa q JOIN (
-  SELECT sample_index, max(tail_text) FILTER (WHERE role_idx = 0) AS a0, max(tail_text) FILTER (WHERE role_idx = 1) AS a1,
+SELECT q.*, round, a0, a1, a2, a3 FROM qa q JOIN (
+  SELECT sample_index, round + 1 AS round, max(tail_text) FILTER (WHERE role_idx = 0) AS a0, max(tail_text) FILTER (WHERE role_idx = 1) AS a1,
          max(tail_text) FILTER (WHERE role_idx = 2) AS a2, max(tail_text) FILTER (WHERE role_idx = 3) AS a3
-  FROM agent_completions WHERE round = 0 GROUP BY ALL) USING (sample_index)"""
+  FROM agent_completions WHERE round < 4 GROUP BY ALL) USING (sample_index)"""
 PEER_SQL = sql_fill(
     prompts.PEER_HEAD,
     kind="CASE kind WHEN 'choices' THEN 'multiple choice' WHEN 'open' THEN 'question-answering' ELSE 'yes-no' END",
@@ -133,20 +133,21 @@ JUDGE_SQL = sql_fill(
 
 
 def with_answers(spark, d):
-    rows = inputs.completions(spark, d, inputs.AGENTS).filter("round = 0").select(
-        "sample_index", F.col("role_idx").alias("agent"), F.col("tail_text").alias("response")
+    """Questions with the responses of the round before, for every round from the second on."""
+    rows = inputs.completions(spark, d, inputs.AGENTS, rounds=4).select(
+        "sample_index", (F.col("round") + 1).alias("round"), F.col("role_idx").alias("agent"), F.col("tail_text").alias("response")
     )
-    return qa(spark, d).join(prompts.responses_wide(rows, ["sample_index"], 4), "sample_index")
+    return qa(spark, d).join(prompts.responses_wide(rows, ["sample_index", "round"], 4), "sample_index")
 
 
 @query(
     "render_peer_prompts",
-    sql_compact(f"({ANSWERS_SQL})", peer=PEER_SQL, summary=SUMMARY_SQL, alone=sql_fill(prompts.PEER_SUMMARY, target="'direct'", problem=PROBLEM_SQL, peers=quote(prompts.NO_PEERS)), judge=JUDGE_SQL),
+    sql_compact(f"({ANSWERS_SQL})", "sample_index, round", peer=PEER_SQL, summary=SUMMARY_SQL, alone=sql_fill(prompts.PEER_SUMMARY, target="'direct'", problem=PROBLEM_SQL, peers=quote(prompts.NO_PEERS)), judge=JUDGE_SQL),
 )
 def render_peer_prompts(spark, d):
     a = [F.col(f"response_{i}") for i in range(4)]
     return compact(
-        with_answers(spark, d), peer=prompts.peer_debate_prompt(a),
+        with_answers(spark, d), ("sample_index", "round"), peer=prompts.peer_debate_prompt(a),
         summary=prompts.summary_prompt("direct", {"direct": a[0], "evidence": a[1], "elimination": a[2]}),
         alone=prompts.summary_prompt("direct", {"direct": a[0]}),
         judge=prompts.judge_prompt({"direct": a[0], "evidence": a[1]}),

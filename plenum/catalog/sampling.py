@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from plenum.catalog import inputs
 from plenum.catalog.registry import query
 from plenum.functions import seeds, targets
-from plenum.operators import sampling, sft
 from plenum.functions.text import letters_for
+from plenum.operators import sampling, sft
+from plenum.plans import jobs
 
 ORDERED = "sha256('{seed}:' || {key}), {key}"
 
@@ -260,10 +261,10 @@ MATCHED_SQL = f"SELECT * FROM ({BEST_SQL}) WHERE sample_index IN ({COMMON_SQL})"
 
 
 def sft_candidates(spark, d):
-    """Rounds 0 to 2 stand for the three temperatures of the request grid."""
-    temperature = F.element_at(F.array(*[F.lit(t) for t in TEMPERATURES]), F.col("round") % 3 + 1)
+    """One candidate per sample, role and temperature of the request grid."""
+    temperature = F.element_at(F.array(*[F.lit(t) for t in TEMPERATURES]), F.col("round") + 1)
     k = F.col("k")
-    return inputs.completions(spark, d).filter("round < 3").select(
+    return inputs.completions(spark, d, rounds=len(TEMPERATURES)).select(
         "sample_index", "sample_id", "role", temperature.alias("temperature"), F.lit("v1").alias("prompt_version"),
         F.concat(F.lit("Prompt "), "sample_id", F.lit(" "), "role").alias("prompt"),
         F.when(k % 7 == 3, " ").otherwise(F.col("tail_text")).alias("response"),
@@ -297,4 +298,4 @@ def semi_common_samples(spark, d):
                'one_correct_per_role_on_common_sample_intersection' AS selection_rule FROM ({MATCHED_SQL})""",
 )
 def job_balanced_sft(spark, d):
-    return sft.matched_rows(sft_candidates(spark, d), TEMPERATURES).drop("prompt_version")
+    return jobs.balanced_sft(sft_candidates(spark, d), TEMPERATURES).drop("prompt_version")

@@ -44,8 +44,10 @@ SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 PARAGRAPH_GAP = r"(?U)\n\s*\n+"
 # ---------------------------------------------------------------------------
 
-# <...> on one line, 1 to 120 characters, no blank at either end.
-_SPAN = r"<([^\s<>\n\u0003](?:[^<>\n\u0003]{0,118}[^\s<>\n\u0003])?)>"
+# The tests for a placeholder are one expression each, not a pattern and a helper: native columns
+# have no helper functions per match, and quantifiers must not be nested.
+# <...> on one line, 1 to 120 characters, no blank at either end; U+FDD3 marks a dropped span.
+_SPAN = r"<([^\s<>\n\ufdd3](?:[^<>\n\ufdd3]{0,118}[^\s<>\n\ufdd3])?)>"
 _SPAN_SHAPE = r"(?=[^\s<>\n](?:[^<>\n]{0,118}[^\s<>\n])?>)"
 # A span is a placeholder unless it is a choice letter: it holds a backslash,
 # a bar, dots, "e.g", a hint word, or is a bare lower-case word.
@@ -92,8 +94,8 @@ def has_placeholder(text: Column) -> Column:
 
 def normalize_angle(text: Column) -> Column:
     """Unwrap ``<X>`` to ``X``; drop the span when it is a placeholder."""
-    marked = F.regexp_replace(unwrap_choice_tags(text), _FLAGS + PLACEHOLDER_SPAN, "\u0003")
-    plain = F.translate(F.regexp_replace(marked, "(?U)" + _SPAN, "$1"), "\u0003", "")
+    marked = F.regexp_replace(unwrap_choice_tags(text), _FLAGS + PLACEHOLDER_SPAN, "\ufdd3")
+    plain = F.translate(F.regexp_replace(marked, "(?U)" + _SPAN, "$1"), "\ufdd3", "")
     return F.when(text.contains("<"), plain).otherwise(text)
 
 

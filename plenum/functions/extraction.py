@@ -132,8 +132,9 @@ TAIL_LINES = 8
 # ---------------------------------------------------------------------------
 
 _DIALECT = "(?iUd)"
-# Marks around a match; they never occur in prepared text.
-_ANSWER, _SPAN, _END = "\u0001", "\u0002", "\u0003"
+# Marks around a match: Unicode noncharacters, which no text interchange carries.  Control characters
+# of a text stay where they are; only these three are taken out of it.
+_ANSWER, _SPAN, _END = "\ufdd0", "\ufdd1", "\ufdd2"
 _MARKS = _ANSWER + _SPAN + _END
 
 EXTRACTED_TYPE = "struct<answer:string,source:string,confidence:double,raw_span:string>"

@@ -78,7 +78,10 @@ YES_NO_HISTORY = (
     "Several people have provided answers to a yes-no question. Below are their responses:"
     "\nPerson 0 said: {response}\nPerson 1 said: {feedback}\n\n"
 )
-OTHER_HISTORY = YES_NO_HISTORY.replace("yes-no", "multiple choice")
+OTHER_HISTORY = (
+    "Several people have provided answers to a multiple choice question. Below are their responses:"
+    "\nPerson 0 said: {response}\nPerson 1 said: {feedback}\n\n"
+)
 ACTOR_REVISION = {
     "bbh": YES_NO_HISTORY + (
         "You should take these answers into consideration when answering the "

@@ -77,11 +77,6 @@ def matched_rows(
     )
 
 
-def role_rows(rows: DataFrame, role: str) -> DataFrame:
-    """The narrow training schema of one role."""
-    return rows.filter(F.col("role") == role).select("prompt", "response")
-
-
 def pair_rows(pairs: DataFrame) -> DataFrame:
     """The narrow schema of preference training; blank texts are left out."""
     keep = present(F.col("prompt")) & present(F.col("chosen")) & present(F.col("rejected"))
