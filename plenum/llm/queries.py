@@ -91,9 +91,62 @@ def token_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored_documents(spark, path)
 
 
-@query("op6_quality_rules")
+_CLASS_PATTERNS = (
+    "[aeiou]", "[b-df-hj-np-tv-z]", "[A-Z]", "[0-9]", " ", r"[\x09-\x0D]", "[.,;:]", "[!?]", "[#*$%&|<>]",
+    r"[\x00-\x08\x0E-\x1F\x22\x27-\x29\x2B\x2D\x2F\x3D\x40\x5B-\x60\x7B\x7D-\x7F]", r"[^\x00-\x7F]",
+)
+_COUNTED = ", ".join(f"len(regexp_extract_all(t, '{pattern}'))" for pattern in _CLASS_PATTERNS)
+_SUMMED = ", ".join(f"sum(c[{i + 1}])::DOUBLE" for i in range(len(_CLASS_PATTERNS)))
+_HALF = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END))"
+
+
+def _distance(one: str, other: str) -> str:
+    return f"sqrt(greatest(0, ({_HALF.format(a=one, b=other)} + {_HALF.format(a=other, b=one)}) / 2))"
+
+
+QUALITY_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+runs AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 8], ' ') AS win FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 7))) AS s FROM d)),
+twice AS (SELECT doc_id, s FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+reps AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM twice) GROUP BY 1),
+base AS MATERIALIZED (
+  SELECT doc_id, lang, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS n_chars, [{_COUNTED}] AS c,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id)),
+words AS MATERIALIZED (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d WHERE lang IS NOT NULL) GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM words GROUP BY 1 HAVING sum(n) >= {divergence.REFERENCE_WORDS}),
+top AS (SELECT lang, word, n FROM words JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {divergence.COMMON_WORDS}),
+common AS (SELECT lang, list(word ORDER BY n DESC, word) AS ws, list(n ORDER BY n DESC, word) AS ns, sum(n) AS inside FROM top GROUP BY 1),
+refs AS (SELECT lang AS ref, ws, list_transform(list_append(ns, total - inside), lambda x: x::DOUBLE / total) AS q, list_transform(cs, lambda x: x / list_sum(cs)) AS qc
+         FROM common JOIN totals USING (lang) JOIN (SELECT lang, [{_SUMMED}] AS cs FROM base GROUP BY 1) USING (lang)),
+own AS MATERIALIZED (SELECT doc_id, ref, count(*) AS n, word FROM (SELECT doc_id, unnest(w) AS word FROM base WHERE len(w) >= {divergence.GUARD_WORDS}) b
+        JOIN (SELECT ref, unnest(ws) AS word FROM refs) r USING (word) GROUP BY ALL),
+hist AS (SELECT doc_id, ref, map(list(word), list(n)) AS m, sum(n) AS inside FROM own GROUP BY ALL),
+pairs AS (
+  SELECT b.doc_id, b.lang, r.ref, n_words, n_chars, qc, q, list_transform(c, lambda x: x::DOUBLE / n_chars) AS pc,
+         list_append(list_transform(ws, lambda x: coalesce(m[x], 0)::DOUBLE / n_words), (n_words - coalesce(inside, 0))::DOUBLE / n_words) AS p
+  FROM base b CROSS JOIN refs r LEFT JOIN hist h ON h.doc_id = b.doc_id AND h.ref = r.ref),
+excess AS (
+  SELECT doc_id, lang = ref AS mine, ref,
+         CASE WHEN n_chars >= {divergence.GUARD_CHARS} THEN {_distance("pc", "qc")} - {divergence.CHAR_LIMIT} - {divergence.CHAR_SLACK} / sqrt(n_chars) ELSE -1 END AS ce,
+         CASE WHEN n_words >= {divergence.GUARD_WORDS} THEN {_distance("p", "q")} - {divergence.WORD_LIMIT} - {divergence.WORD_SLACK} / sqrt(n_words) ELSE -1 END AS we
+  FROM pairs),
+best AS (
+  SELECT doc_id, ce, we FROM excess
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN mine AND greatest(ce, we) <= 0 THEN 0 ELSE 1 END, greatest(ce, we), CASE WHEN mine THEN 0 ELSE 1 END, ref) = 1)
+SELECT doc_id, n_words, word_chars, c[9] AS n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND greatest(coalesce(ce, 0), coalesce(we, 0)) <= 0 AS kept,
+       round(coalesce(ce, 0), 6) AS char_excess, round(coalesce(we, 0), 6) AS word_excess
+FROM base LEFT JOIN best USING (doc_id)
+"""
+
+
+@query("op6_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(table(spark, sf_dir, "documents"))
+    found = divergence.judge(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_excess", "word_excess")})
 
 
 @query("op3_weak_pii")
