@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plenum.functions.text import strip
 
-# Version strings and accepted model spellings.
+# Strings that stored records carry, and accepted model spellings.  They are data: the
+# operators take them as defaults from here.
+PIPELINE = "acccollab_original"
 PROMPT_VERSION = "acccollab_iclr2025_appendix_c_mmlu_v2"
 ROLE_VERSION = "acccollab_role_prefix_v1"
 MODEL_ALIASES = {
@@ -23,11 +25,11 @@ MODEL_ALIASES = {
 }
 
 
-def prompt_version(role: Column, role_version: str = ROLE_VERSION) -> Column:
+def prompt_version(role: Column, role_version: str = ROLE_VERSION, base: str = PROMPT_VERSION) -> Column:
     """Base version, with the role's version behind it for a specialized role."""
     name = strip(F.coalesce(role, F.lit("")))
-    special = F.concat(F.lit(f"{PROMPT_VERSION}+{role_version.strip()}:"), name)
-    return F.when(name.isin("", "original"), F.lit(PROMPT_VERSION)).otherwise(special)
+    special = F.concat(F.lit(f"{base}+{role_version.strip()}:"), name)
+    return F.when(name.isin("", "original"), F.lit(base)).otherwise(special)
 
 
 def model_alias(name: Column, aliases: dict[str, str] = MODEL_ALIASES) -> Column:

@@ -10,20 +10,9 @@ from plenum.functions.text import flag, ratio
 from plenum.operators.fusion import plurality_unique
 from plenum.operators.metrics import score_counts
 
-# Protocol constants and published accuracies.
+# Protocol constants.
 ROUNDS = 5
 AGENT_COUNTS = (2, 4)
-PROTOCOL_VERSION = "acccollab_inference_baselines_v1"
-SOM_REFERENCE = (
-    ("llama3", 2, "boolq", 0.812), ("llama3", 2, "mmlu", 0.620), ("llama3", 2, "bbh", 0.508),
-    ("llama3", 2, "sciq", 0.925), ("llama3", 2, "arc", 0.874),
-    ("llama3", 4, "boolq", 0.811), ("llama3", 4, "mmlu", 0.635), ("llama3", 4, "bbh", 0.514),
-    ("llama3", 4, "sciq", 0.923), ("llama3", 4, "arc", 0.874),
-    ("gemma2", 2, "boolq", 0.750), ("gemma2", 2, "mmlu", 0.580), ("gemma2", 2, "bbh", 0.454),
-    ("gemma2", 2, "sciq", 0.903), ("gemma2", 2, "arc", 0.841),
-    ("gemma2", 4, "boolq", 0.759), ("gemma2", 4, "mmlu", 0.578), ("gemma2", 4, "bbh", 0.449),
-    ("gemma2", 4, "sciq", 0.903), ("gemma2", 4, "arc", 0.843),
-)
 
 
 def direct_from_debate(records: DataFrame, keep: list[str], rounds: str = "rounds") -> DataFrame:

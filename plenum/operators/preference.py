@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.functions.names import PIPELINE
 from plenum.functions.matching import answers_match
 from plenum.functions.text import present, ratio, strip
 from plenum.operators.ranking import match_groups
@@ -17,7 +18,6 @@ BELOW_THRESHOLD = "neither_eq5_delta_reached_epsilon"
 EMPTY_CANDIDATE = "empty_candidate_response"
 IDENTICAL_TEXT = "identical_chosen_rejected"
 PAIR_RULE = "paper_eq5_if_elif"
-PIPELINE = "acccollab_original"
 EPSILON = 0.6
 PAIR_ROUNDS = 4
 
@@ -186,7 +186,7 @@ def drop_invalid(selected: DataFrame) -> DataFrame:
 
 
 def materialize_pairs(
-    selected: DataFrame, agent: str, iteration: int, rollouts: int, prompt_version: Column | str
+    selected: DataFrame, agent: str, iteration: int, rollouts: int, prompt_version: Column | str, pipeline: str = PIPELINE
 ) -> DataFrame:
     """Pair rows; both completions share the natural prompt."""
     if agent not in ("actor", "critic"):
@@ -194,7 +194,7 @@ def materialize_pairs(
     version = F.lit(prompt_version) if isinstance(prompt_version, str) else prompt_version
     metadata = F.struct(
         F.lit(1).alias("schema_version"),
-        F.lit(PIPELINE).alias("pipeline"),
+        F.lit(pipeline).alias("pipeline"),
         F.lit(agent).alias("agent"),
         F.lit(iteration).alias("iteration"),
         "sample_id",

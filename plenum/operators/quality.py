@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.functions.names import PIPELINE
 from plenum.functions.text import present, strip
 from plenum.operators.fusion import ROLES
 
@@ -22,7 +23,7 @@ EXPECTED_ROWS = {"boolq": 3270, "sciq": 1000, "bbh": 1260, "arc": 3548, "mmlu":
 PAIR_ROUNDS = (1, 4)
 MIN_PAIRS = 256
 PROTOCOL = {
-    "pipeline": "acccollab_original",
+    "pipeline": PIPELINE,
     "decision_rule": "single_final_actor_answer",
     "uses_majority_vote": False,
     "uses_judge_fallback": False,
