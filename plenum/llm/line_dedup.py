@@ -248,9 +248,10 @@ def drop_duplicate_lines(documents: DataFrame, **options: int) -> DataFrame:
         .agg(F.collect_set("line_no").alias("__gone"))  # at most the lines of one document
     )
     named = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), *identity())
-    row = F.col("__row")
-    joined = named.join(gone, ["k_id", "k_text"], "left").withColumn(
-        "__text", F.when(F.col("__gone").isNull(), row["text"]).otherwise(_without(F.coalesce(row["text"], F.lit("")), F.coalesce("__gone", F.array().cast("array<int>"))))
-    )
-    columns = {"text": F.col("__text"), "n_chars": F.when(F.col("__gone").isNull(), row["n_chars"]).otherwise(F.char_length("__text").cast("long"))} if "n_chars" in documents.columns else {"text": F.col("__text")}
-    return joined.select(*[columns.get(c, row[c]).alias(c) for c in documents.columns])
+    row, untouched = F.col("__row"), F.col("__gone").isNull()
+    shorter = _without(F.coalesce(row["text"], F.lit("")), F.coalesce("__gone", F.array().cast("array<int>")))
+    joined = named.join(gone, ["k_id", "k_text"], "left").withColumn("__text", F.when(untouched, row["text"]).otherwise(shorter))
+    changed = {"text": F.col("__text")}
+    if "n_chars" in documents.columns:
+        changed["n_chars"] = F.when(untouched, row["n_chars"]).otherwise(F.char_length("__text").cast("long"))
+    return joined.select(*[changed.get(c, row[c]).alias(c) for c in documents.columns])
