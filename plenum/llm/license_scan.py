@@ -8,12 +8,17 @@ cover enough of it and lie close together.
 The stretches come from a few words of each template.  If at least the share
 ``COVERAGE`` of its words must be aligned, any set of more than the remaining
 words has an aligned one; the set of the rarest words serves.
+
+A stretch that reaches into further copies of its template holds no word once.
+So the ranges around a probe word that hold one copy are aligned too: the
+template's own length, and the text between the neighbouring occurrences of the
+probe word, with the probe word as first anchor.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -89,6 +94,7 @@ class Templates:
         self.names = [name for name, _ in templates]
         self.words = [words(text) for _, text in templates]
         spread = Counter(w for ws in self.words for w in set(ws))
+        self.counts = [Counter(ws) for ws in self.words]
         self.probes: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for number, ws in enumerate(self.words):
             free = len(ws) - self.needed(number)
@@ -100,27 +106,83 @@ class Templates:
     def needed(self, number: int) -> int:
         return -int(-COVERAGE * len(self.words[number]) // 1)
 
-    def stretches(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """Merged ranges of text words in which each template may lie."""
+    def probed(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Places of probe words of each template (in the text, in the template)."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for place, word in enumerate(text):
             for number, at in self.probes.get(word, ()):
-                size = len(self.words[number])
-                slack = int((STRETCH - 1) * size) + 4
-                found[number].append((max(0, place - at - slack), min(len(text), place - at + size + slack)))
+                found[number].append((place, at))
         return found
 
+    def stretch(self, number: int, first: int, length: int) -> tuple[int, int]:
+        """Range of text words in which the template may lie that would begin at ``first``, had it no gaps."""
+        size = len(self.words[number])
+        slack = int((STRETCH - 1) * size) + 4
+        return max(0, first - slack), min(length, first + size + slack)
+
+    def stretches(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Ranges of text words in which each template may lie."""
+        return defaultdict(list, {n: [self.stretch(n, place - at, len(text)) for place, at in found] for n, found in self.probed(text).items()})
+
+    def _enough(self, text: list[str], number: int, start: int, stop: int) -> bool:
+        """Whether a range has as many words of a template as must be aligned, in any order."""
+        own = self.counts[number]
+        return sum(min(n, own[w]) for w, n in Counter(text[start:stop]).items() if w in own) >= self.needed(number)
+
+    def _hits(self, text: list[str], number: int, found: list[tuple[int, int]]) -> set[tuple[int, int, int]]:
+        """(first word, end word, aligned words) of a template, from the places of its probe words."""
+        template, size = self.words[number], len(self.words[number])
+        hits: set[tuple[int, int, int]] = set()
+        whole: set[int] = set()  # first words of copies without a gap
+
+        def add(pairs: list[tuple[int, int]]) -> None:
+            if len(pairs) >= self.needed(number):
+                first, last = pairs[0][0], pairs[-1][0] + 1
+                if last - first <= STRETCH * size + 4:
+                    hits.add((first, last, len(pairs)))
+                    if len(pairs) == last - first == size:
+                        whole.add(first)
+
+        def aligned(start: int, stop: int, low: int, high: int) -> list[tuple[int, int]]:
+            return [(start + p, low + q) for p, q in align(text[start:stop], template[low:high])]
+
+        likely: dict[int, tuple[int, int]] = {}
+        for first in dict.fromkeys(place - at for place, at in found):
+            start, stop = self.stretch(number, first, len(text))
+            if self._enough(text, number, start, stop):
+                likely[first] = start, stop
+        for start, stop in dict.fromkeys(likely.values()):
+            add(aligned(start, stop, 0, size))
+        for first in likely:
+            if first not in whole:
+                add(aligned(max(0, first), min(len(text), first + size), 0, size))
+        in_text: dict[str, list[int]] = defaultdict(list)
+        for place in dict.fromkeys(place for place, _ in found):
+            in_text[text[place]].append(place)
+        order = sorted(whole)
+        for place, at in found:
+            if place - at not in likely:
+                continue
+            near = bisect_right(order, place) - 1
+            if near >= 0 and place < order[near] + size:
+                continue  # nothing aligns better than a copy without a gap
+            start, stop = likely[place - at]
+            # the other occurrences of the word in this copy, as many as the template has, stay in
+            spots, i = in_text[text[place]], template[:at].count(text[place])
+            j, many = bisect_left(spots, place), self.counts[number][text[place]]
+            if j - i > 0:
+                start = max(start, spots[j - i - 1] + 1)
+            if j - i + many < len(spots):
+                stop = min(stop, spots[j - i + many])
+            add([*aligned(start, place, 0, at), (place, at), *aligned(place + 1, stop, at + 1, size)])
+        return hits
+
     def scan(self, text: list[str]) -> list[tuple[int, int, str, int, float]]:
         """(first word, end word, name, aligned words, coverage), apart from each other, in order."""
         hits = []
-        for number, ranges in self.stretches(text).items():
-            template = self.words[number]
-            for start, stop in dict.fromkeys(ranges):
-                pairs = align(text[start:stop], template)
-                if len(pairs) >= self.needed(number):
-                    first, last = start + pairs[0][0], start + pairs[-1][0] + 1
-                    if last - first <= STRETCH * len(template) + 4:
-                        hits.append((-len(pairs), -len(pairs) / len(template), last - first, first, last, self.names[number]))
+        for number, found in self.probed(text).items():
+            for first, last, aligned in self._hits(text, number, found):
+                hits.append((-aligned, -aligned / len(self.words[number]), last - first, first, last, self.names[number]))
         kept: list[tuple[int, int, str, int, float]] = []
         for aligned, share, _, first, last, name in sorted(set(hits)):  # more aligned words win, then more of the template
             at = bisect_left(kept, (first,))

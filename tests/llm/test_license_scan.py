@@ -67,3 +67,35 @@ def test_documents(make, none):
     half = " ".join(w for at, w in enumerate(text) if at % 2)
     found = license_scan.scan(make([(1, short), (2, half)])).select("doc_id", F.explode("found").alias("s")).collect()
     assert [(r["doc_id"], r["s"]["license"]) for r in found] == [(1, "MIT")] and COVERAGE <= found[0]["s"]["coverage"] < 1
+
+
+def test_consecutive_copies_are_all_found():
+    known, rng = Templates(), random.Random(6)
+    filler = rng.choices(["qwx", "xyz", "zzw", "the", "of", "and"], k=400)
+    for number, template in enumerate(known.words):
+        for copies in (1, 2, 3, 50 if len(template) < 400 else 5):
+            found = known.scan(filler + template * copies + filler)
+            places = [400 + i * len(template) for i in range(copies)]
+            assert [(first, last) for first, last, *_ in found] == [(p, p + len(template)) for p in places], (known.names[number], copies)
+
+
+def test_consecutive_copies_with_gaps_are_all_found():
+    known, rng = Templates(), random.Random(8)
+    filler = rng.choices(["qwx", "xyz", "zzw"], k=100)
+    for number, template in enumerate(known.words):
+        drop = len(template) // 2  # one word out, the same in every copy
+        short = template[:drop] + template[drop + 1 :]
+        if len(short) < known.needed(number) or len(template) > 400:
+            continue
+        for copies in (2, 3, 10):
+            found = known.scan(filler + short * copies + filler)
+            assert len(found) == copies, (known.names[number], copies)
+
+
+def test_repeated_notices_in_prose():
+    known = Templates()
+    for line, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC")):
+        for copies in (2, 3, 50):
+            text = "some prose stands before it, as in any page\n" * 9 + f"{line}\n" * copies + "and some prose stands after it\n" * 9
+            found = known.scan(words(text))
+            assert len(found) == copies and all(n.startswith(name) for _, _, n, *_ in found), (line, copies)
