@@ -29,8 +29,10 @@ from plenum.llm.common import identity, saved
 from plenum.llm.graph import components
 
 EDITS = 2
-# Shorter lines (code points) are left alone: blank lines, brackets, numbers and short headings.
+# Shorter lines (code points) are compared for equality only: two edits would make other words of them.
 MIN_CHARS = 20
+# A line of white space alone is no line to compare.
+NOT_BLANK = r"(?U)\S"
 # Rows of line hashes that may be broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -80,16 +82,21 @@ def within(a: str, b: str, edits: int) -> bool:
     return True
 
 
-def _lines(documents: DataFrame, distinct: bool, min_chars: int) -> DataFrame:
-    """Lines of at least ``min_chars``; ``distinct``: each text once for a document, without its place."""
+def _lines(documents: DataFrame, distinct: bool, min_chars: int, short: bool = False) -> DataFrame:
+    """Lines of at least ``min_chars``; ``distinct``: each text once for a document, without its place.
+
+    ``short``: shorter lines too, but for blank ones.
+    """
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     keyed = documents.select(*identity(), (F.array_distinct(split) if distinct else split).alias("lines"))
     if distinct:
         rows = keyed.select("k_id", F.explode("lines").alias("line"))
     else:
         rows = keyed.select("k_id", "k_text", F.posexplode("lines").alias("line_no", "line"))
-    long = rows.filter(F.char_length("line") >= min_chars)
-    return long.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit("g"), F.col("line"))})
+    wanted = F.char_length("line") >= min_chars
+    if short:
+        wanted = wanted | F.col("line").rlike(NOT_BLANK)
+    return rows.filter(wanted).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit("g"), F.col("line"))})
 
 
 def _bound(length: Column, part: int, edits: int) -> Column:
@@ -180,20 +187,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def duplicate_lines(
-    documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS
+    documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS, short: bool = False
 ) -> DataFrame:
-    """One row per line of at least ``min_chars`` code points.
+    """One row per line of at least ``min_chars`` code points; with ``short``, also per shorter line that is not blank.
 
     Columns: k_id, k_text (the document), line_no (from 0), class_k_id,
     class_k_text, class_line_no (the first line of the class: by document id,
     null as -1, then text hash, then place), n_links (other line texts within
     ``edits``), kept (it is that first line).  A class is a connected component
-    of equal and near lines.  Lines end at line feeds only.  Null and empty
+    of equal and near lines; shorter lines are in classes of equal ones, with
+    no links.  Lines end at line feeds only.  Null and empty
     texts have no lines; repeated rows are one document and get equal rows; no
     rows give no rows; columns other than doc_id and text are not touched.
     """
     documents = documents.select("doc_id", "text")
-    places = saved(_lines(documents, False, min_chars).drop("line"), "line-places")
+    places = saved(_lines(documents, False, min_chars, short).drop("line"), "line-places")
     counted = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("k_id").alias("first_id"))
     repeated = saved(counted.filter("n > 1"), "repeated-lines")
     pairs = saved(_candidates(documents, _maybe_broadcast(repeated, broadcast_rows), edits, min_chars), "line-pairs")
@@ -241,10 +249,10 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 def drop_duplicate_lines(documents: DataFrame, **options: int) -> DataFrame:
     """Documents without the lines that repeat an earlier line, or nearly so; n_chars, if there, follows the text.
 
-    Every document stays, some with an empty text; columns are those of the input.
+    Repeats of lines below the length of the edit join go if they are exact; blank lines stay.  Every document stays, some with an empty text; columns are those of the input.
     """
     gone = (
-        duplicate_lines(documents, **options).filter("not kept").groupBy("k_id", "k_text")
+        duplicate_lines(documents, short=True, **options).filter("not kept").groupBy("k_id", "k_text")
         .agg(F.collect_set("line_no").alias("__gone"))  # at most the lines of one document
     )
     named = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), *identity())

@@ -72,8 +72,8 @@ def pu_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def line_dedup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of at least 20 code points with their class, named by its first line; -1: no document id."""
-    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    """Lines that are not blank with their class, named by its first line; -1: no document id."""
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), short=True)
     return found.select(
         F.col("k_id").alias("doc_id"), "line_no", F.col("class_k_id").alias("class_doc_id"), "class_line_no", "n_links", "kept"
     )

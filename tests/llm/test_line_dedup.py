@@ -117,3 +117,40 @@ def test_lines_that_share_a_passage_are_not_paired(make):
     passage = "a passage that every one of these many lines begins with, word for word, "
     rows = [(i, passage + "".join(random.Random(i).choices("abcdefghijkl", k=24))) for i in range(300)]
     assert all(r["kept"] for r in line_dedup.duplicate_lines(make(rows)).collect())
+
+
+SHORT = [
+    (1, "Share this\n\n   \n分享这篇文章。\nno copy here"),
+    (2, "Share this\n\n分享这篇文章。\nShare that\n\u3000"),
+    (2, "another text of id two\nShare this"),
+    (3, "Share this\nShare this\n\u3000\n   "),
+    (4, "a line that is long enough for the edit join\nShare this"),
+    (5, "a line that is long enough for the edit joint"),
+]
+
+
+def test_exact_copies_of_short_lines(make):
+    for broadcast_rows in (line_dedup.BROADCAST_ROWS, 0):
+        got = line_dedup.duplicate_lines(make(SHORT), short=True, broadcast_rows=broadcast_rows).collect()
+        assert len(got) == sum(bool(line.strip()) for _, t in SHORT for line in t.split("\n"))
+        assert all(r["n_links"] == 0 for r in got if r["k_id"] in (1, 2, 3))
+        assert {(r["class_k_id"], r["class_line_no"]) for r in got if r["k_id"] == 3} == {(1, 0)}
+        assert sum(r["kept"] for r in got) == 5 + 1  # five short or long texts of their own, and the class of the long pair
+    texts = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_duplicate_lines(make(SHORT)).collect())
+    assert texts == [
+        (1, SHORT[0][1]),
+        (2, "\nShare that\n\u3000"),
+        (2, "another text of id two"),
+        (3, "\u3000\n   "),
+        (4, "a line that is long enough for the edit join"),
+        (5, ""),
+    ]
+
+
+def test_query_has_rows_of_short_lines(llm, make, tmp_path):
+    from plenum.llm.queries import QUERIES
+
+    make(SHORT).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_line_dedup"](llm, str(tmp_path)).collect()
+    assert len(got) == sum(bool(line.strip()) for _, t in SHORT for line in t.split("\n"))
+    assert sum(not r["kept"] for r in got) == 7
