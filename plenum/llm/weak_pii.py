@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from hashlib import sha256
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -86,10 +87,24 @@ _LOOSE = (
     (5, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
     (6, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
-_HIDDEN_AT = re.compile(r"\x20?[\[(]at[\])]\x20?|\x20at\x20")
-_HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,8}")
+_HIDDEN_AT = re.compile(r"(?ai)\x20?[\[(]at[\])]\x20?|\x20at\x20")
+_HIDDEN_DOT = re.compile(r"(?ai)[\[(]dot[\])]|\x20dot\x20")
+_HIDDEN_DOMAIN = re.compile(r"(?ai)[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,8}")
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,})")
-_NAME = re.compile(r"(?<![A-Za-z])[A-Z][a-z]{1,20}\.?\x20[A-Z][a-z]{1,20}(?![A-Za-z])")
+
+
+def _ranges(wanted) -> str:
+    """Body of a character class of all letters that ``wanted`` holds for."""
+    codes = [c for c in range(0x20000) if chr(c).isalpha() and wanted(chr(c))]
+    breaks = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1), len(codes)]
+    return "".join(f"{chr(codes[i])}-{chr(codes[j - 1])}" for i, j in zip(breaks, breaks[1:]))
+
+
+# Upper- and lower-case letters of all scripts; accents may be characters of their own.
+_UPPER, _LOWER = _ranges(str.isupper), _ranges(str.islower) + "\u0300-\u036f"
+_NAME_WORD = f"[{_UPPER}][{_LOWER}]+"
+# Pairs may overlap: of three capitalised words both pairs are candidates.
+_NAME = re.compile(rf"(?<![^\W\d_])(?=({_NAME_WORD}\.?\x20{_NAME_WORD})(?![^\W\d_])){_NAME_WORD}")
 
 # Gazetteers, fixed lists.
 TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Sr Sra".split())
@@ -142,7 +157,7 @@ def _gazetteer(kind: str, text: str) -> int:
         digits = _digits(text)
         return 1 if any(digits[:n] in CALLING_CODES for n in (1, 2)) else -1
     if kind == "name":
-        first = text.split()[0].rstrip(".")
+        first = normalize("NFC", text.split()[0].rstrip("."))
         return 1 if first in FIRST_NAMES or first in TITLES else -1
     return 0
 
@@ -152,12 +167,16 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     left, span = text[max(0, start - CONTEXT) : start], text[start:end]
     before, after = text[start - 1 : start], text[end : end + 1]
     apart = not (before.isalnum() or after.isalnum())
+    listed, against = _gazetteer(kind, span), bool(_AGAINST.search(left))
+    if kind == "name":
+        # a full stop after a word that is no known title or name mostly ends a sentence
+        against = against or (listed < 0 and ". " in span)
     return (
         1 if base else 0,
         _checksum(kind, span),
-        _gazetteer(kind, span),
+        listed,
         1 if _FOR[kind].search(left) else 0,
-        -1 if _AGAINST.search(left) else 0,
+        -1 if against else 0,
         1 if apart else -1,
     )
 
@@ -174,18 +193,21 @@ def _loose(text: str) -> list[tuple[int, int, int]]:
         for kind, pattern in _LOOSE:
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
         found += [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)]
-    if "dot" in text:
-        for m in _HIDDEN_AT.finditer(text):
-            start = m.start()
-            while start > max(0, m.start() - 64) and text[start - 1] in _LOCAL:
-                start -= 1
-            domain = _HIDDEN_DOMAIN.match(text, m.end())
-            if start < m.start() and domain and "dot" in domain.group():
+    for m in _HIDDEN_AT.finditer(text):
+        start = m.start()
+        while start > max(0, m.start() - 64) and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _HIDDEN_DOMAIN.match(text, m.end())
+        if start < m.start() and domain:
+            # "at" and a plain dot alone are prose, unless a word of the context speaks for an address
+            plain = m.group().strip().isalpha() and not _HIDDEN_DOT.search(domain.group())
+            if not plain or _FOR["email"].search(text[max(0, start - CONTEXT) : start]):
                 found.append((start, 0, domain.end()))
     for m in _NAME.finditer(text):
-        first = m.group().split()[0].rstrip(".")
-        if first in FIRST_NAMES or first in TITLES:
-            found.append((m.start(), 7, m.end()))
+        # of all capitalised pairs, those that the lists or the context speak for; no labeler knows anything for the others
+        start, end = m.span(1)
+        if _gazetteer("name", m.group(1)) > 0 or _FOR["name"].search(text[max(0, start - CONTEXT) : start]):
+            found.append((start, 7, end))
     return found
 
 

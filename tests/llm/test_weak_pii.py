@@ -98,3 +98,37 @@ def test_em_recovers_reliabilities():
     posterior, reliability = weak_pii.label_model(np.zeros(6000, dtype=int), vote, np.ones(6000))
     assert ((posterior > 0.5) == truth).mean() > 0.96
     assert np.allclose(reliability[0, :, 1, 2], right, atol=0.05)
+
+
+def pieces(text, kind):
+    return [text[s:e] for s, k, e, *_ in weak_pii.candidates(text) if weak_pii.KINDS[k] == kind]
+
+
+def test_candidates_of_names_and_hidden_addresses():
+    for text, name in (
+        ("signed by Olga Petrova, today", "Olga Petrova"), ("mit Herr Müller dort", "Herr Müller"), ("con José García ayer", "José García"),
+        ("con Juan Pérez ayer", "Juan Pérez"), ("chez Mme Lefèvre hier", "Mme Lefèvre"), ("von Jürgen Groß", "Jürgen Groß"), ("author Jean Élie", "Jean Élie"),
+        ("Dear Olga Petrova", "Olga Petrova"), ("and Dr. Élodie came", "Dr. Élodie"), ("author: Ольга Петрова", "Ольга Петрова"),
+    ):
+        assert name in pieces(text, "name"), text
+    for name in ("Jürgen Groß", "José García", "Lucía Pérez", "Ju\u0308rgen Groß"):
+        assert weak_pii.votes(name, "name", 0, len(name), False)[2] == 1
+    for text in ("jane [at] example.com", "jane [AT] example [DOT] com", "jane (at) example (Dot) com", "jane AT mail DOT com"):
+        assert pieces(f"so {text}, please", "email") == [text]
+    assert pieces("write to jane at example.com", "email") == ["jane at example.com"]
+    assert pieces("a look at example.com", "email") == []
+
+
+def test_labelers_decide_on_names(make):
+    rng, rows = random.Random(5), []
+    plain = ["Neue Tabelle", "Große Stadt", "Open Source", "Next Step", "Grand Hôtel"]
+    for i in range(300):
+        text = " ".join(rng.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=12))
+        rows.append((i, f"{text} {rng.choice(plain)} {text}. Amet {text}"))
+    rows += [(1000 + i, f"lorem ipsum name: {first} {last} lorem") for i, (first, last) in enumerate([("Anna", "Weiß"), ("Juan", "Pérez"), ("José", "García")] * 10)]
+    rows += [(2000 + i, f"lorem ipsum dolor {first} {last} lorem") for i, (first, last) in enumerate([("Jürgen", "Groß"), ("Mme", "Lefèvre")] * 10)]
+    rows += [(3000 + i, "lorem ipsum signed by Olga Petrova lorem") for i in range(10)]
+    texts = dict(rows)
+    for r in weak_pii.find(make(rows)).collect():
+        found = [texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s]
+        assert len(found) == (r["doc_id"] >= 1000), (r["doc_id"], found)
