@@ -26,8 +26,8 @@ GUARD_CHARS, GUARD_WORDS = 200, 100
 # A distance is too large above base + slack / sqrt(length).
 CHAR_LIMIT, CHAR_SLACK = 0.24, 2.0
 WORD_LIMIT, WORD_SLACK = 0.28, 2.0
-# A language needs so many words for a reference, and only the largest so many have one.
-REFERENCE_WORDS, LANGUAGES = 1_000, 500
+# A language needs so many words for a reference.
+REFERENCE_WORDS = 1_000
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -152,7 +152,7 @@ def _classes(texts: pd.Series) -> pd.Series:
 def references(documents: DataFrame, common: int = COMMON_WORDS) -> dict[str, Reference]:
     """The references of all languages, from all their documents.
 
-    At most ``LANGUAGES`` times ``common`` words come to the driver.
+    ``common`` words a language come to the driver, some 10 kB; no language is left out.
     """
     named = documents.select("lang", "text").filter("lang is not null and text is not null")
     counts = saved(
@@ -160,18 +160,18 @@ def references(documents: DataFrame, common: int = COMMON_WORDS) -> dict[str, Re
         .groupBy("lang", "word").agg(F.count("*").alias("n")),
         "language-words",
     )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS)
-    totals = {r["lang"]: r["total"] for r in totals.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()}
+    large = saved(counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS), "languages")
+    totals = {r["lang"]: r["total"] for r in large.orderBy(F.desc("total"), "lang").collect()}
     if not totals:
         return {}
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.filter(F.col("lang").isin(*totals)).withColumn("rank", rank).filter(F.col("rank") <= common)
+    top = counts.join(large, "lang", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= common)
     words: dict[str, list] = {lang: [] for lang in totals}
     for row in top.orderBy("lang", "rank").collect():
         words[row["lang"]].append((row["word"].encode(), row["n"]))
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
     chars = named.select("lang", _classes(F.col("text").cast("binary")).alias("classes")).groupBy("lang").agg(*sums)
-    rows = {r["lang"]: [float(x) for x in r[1:]] for r in chars.filter(F.col("lang").isin(*totals)).collect()}
+    rows = {r["lang"]: [float(x) for x in r[1:]] for r in chars.join(large, "lang", "left_semi").collect()}
     return {lang: Reference(rows[lang], words[lang], total) for lang, total in totals.items()}
 
 

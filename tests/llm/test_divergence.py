@@ -79,3 +79,9 @@ def test_references_cover_all_documents(make):
     top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[: divergence.COMMON_WORDS]
     assert known["ab"].words == [w.encode() for w, _ in top]
     assert known["ab"].counts.tolist() == [n for _, n in top] + [sum(total.values()) - sum(n for _, n in top)]
+
+
+def test_no_language_is_without_its_reference(make):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{rng.randrange(120)}w{i}" for _ in range(1000)), f"l{i}") for i in range(505)]
+    assert all(r["kept"] for r in divergence.judge(make(rows)).collect())
