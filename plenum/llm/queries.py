@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, decontaminate, divergence, license_scan, line_dedup, pu_quality, simhash, token_files, url_filter, weak_pii
+from plenum.llm import (
+    byte_bpe, byte_cnn, decontaminate, divergence, license_scan, line_dedup, prefix_trie, pu_quality, simhash, token_files, url_filter,
+    weak_pii, whitening,
+)
 from plenum.llm.common import prepared, table
 from plenum.session import scratch_path
 
@@ -165,3 +168,51 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(each, ",").alias("spans"),
         F.array_min("found.coverage").alias("least_coverage"),
     )
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+TRIE_SQL = """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+taken AS (
+  SELECT conv_id, s, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) % 9 AS h
+  FROM turns, crc),
+paths AS (
+  SELECT o.conv_id, list_concat(coalesce(b.s[1:o.h], []), o.s[o.h + 1:]) AS p
+  FROM taken o LEFT JOIN turns b ON b.conv_id = o.conv_id - o.conv_id % 5),
+nodes AS MATERIALIZED (
+  SELECT d, p[1:d] AS q, min(conv_id) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(p) = d), '')) AS ends
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM paths) GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, q[1:d - 1] AS q, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+known AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, q)),
+below AS (
+  SELECT e AS d, q[1:e] AS q, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+         sum(CASE WHEN d > 0 THEN (n - 1) * strlen(q[d].x) ELSE 0 END) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM known) GROUP BY 1, 2)
+SELECT k.conv_id, k.d AS depth, u.conv_id AS parent_conv_id, k.n AS n_convs, k.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM known k JOIN below USING (d, q) LEFT JOIN nodes u ON u.d = k.d - 1 AND u.q = k.q[1:k.d - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.identify(table(spark, sf_dir, "documents")).drop("k_id", "k_text")
