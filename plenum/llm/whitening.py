@@ -62,12 +62,21 @@ def _shifted(x: np.ndarray, middle: list[int], room: int) -> np.ndarray:
     return x.astype(object) - near
 
 
-def _totals(names: list[str], found: Iterator[tuple], decimal: bool) -> pa.RecordBatch:
-    rows = list(found)
-    kind = pa.decimal128(38, 0) if decimal else pa.float64()
-    columns = [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names) - 1)]
-    columns.append(pa.array([Decimal(int(r[-1])) if decimal else float(r[-1]) for r in rows], kind))
-    return pa.RecordBatch.from_arrays(columns, names)
+def _totals(found: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
+    """(i, j, high, low) of exact totals: high * 2^60 + low, so that sums of them cannot outgrow a decimal."""
+    i, j, value = zip(*((i, j, int(v)) for i, j, v in found), strict=True)
+    parts = [[Decimal(v >> 60) for v in value], [Decimal(v & ((1 << 60) - 1)) for v in value]]
+    kind = pa.decimal128(38, 0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(p, kind) for p in parts)], ["i", "j", "high", "low"]
+    )
+
+
+def _summed(points: DataFrame, partial) -> dict[tuple[int, int], int]:
+    """Exact totals over all partitions; as many as ``partial`` gives for one of them."""
+    parts = points.mapInArrow(partial, "i int, j int, high decimal(38,0), low decimal(38,0)")
+    rows = parts.groupBy("i", "j").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect()
+    return {(r["i"], r["j"]): (int(r["high"]) << 60) + int(r["low"]) for r in rows}
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +88,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = x.sum(0).astype(object)
             total = part if total is None else total + part
     if total is not None:
-        yield _totals(["i", "value"], enumerate(total), True)
+        yield _totals((i, i, v) for i, v in enumerate(total))
 
 
 def _squares(middle: list[int]):
@@ -101,9 +110,7 @@ def _squares(middle: list[int]):
                     else:
                         total[lag] += np.einsum("ij,ij->i", pair, pair).astype(object)
         if some:
-            yield _totals(
-                ["i", "j", "value"], ((i, i + lag, v) for lag in range(size) for i, v in enumerate(total[lag])), True
-            )
+            yield _totals((i, i + lag, v) for lag in range(size) for i, v in enumerate(total[lag]))
 
     return run
 
@@ -162,14 +169,11 @@ def covariance(n: int, rest: list[int], squares: dict[tuple[int, int], int]) ->
 
 def fit(points: DataFrame, components: int = COMPONENTS) -> Whitener:
     """A whitener of the distinct integer vectors ``points.x``, all of one length."""
-    sums = points.mapInArrow(_sums, "i int, value decimal(38,0)").groupBy("i").agg(F.sum("value").alias("value"))
-    total = {r["i"]: int(r["value"]) for r in sums.collect()}  # one row a dimension
+    sums = _summed(points, _sums)
     n = points.count()
-    middle = [(2 * total[i] + n) // (2 * n) for i in range(len(total))]
-    rest = [total[i] - n * middle[i] for i in range(len(total))]
-    pairs = points.mapInArrow(_squares(middle), "i int, j int, value decimal(38,0)")
-    found = pairs.groupBy("i", "j").agg(F.sum("value").alias("value")).collect()  # one row a pair of dimensions
-    matrix = covariance(n, rest, {(r["i"], r["j"]): int(r["value"]) for r in found})
+    middle = [(2 * sums[i, i] + n) // (2 * n) for i in range(len(sums))]
+    rest = [sums[i, i] - n * middle[i] for i in range(len(sums))]
+    matrix = covariance(n, rest, _summed(points, _squares(middle)))
     values, vectors = np.linalg.eigh(matrix)
     values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
     leading = np.abs(vectors).argmax(0)
@@ -190,10 +194,10 @@ def identity_error(points: DataFrame, model: Whitener) -> float | None:
                 w = model.project(_matrix(batch.column(0)))[:, keep]
                 total, sums, some = total + w.T @ w, sums + w.sum(0), True
         if some:
-            yield _totals(
-                ["i", "j", "value"],
-                [(-1, j, v) for j, v in enumerate(sums)] + [(i, j, total[i, j]) for i in range(len(keep)) for j in range(len(keep))],
-                False,
+            found = [(-1, j, v) for j, v in enumerate(sums)] + [(i, j, total[i, j]) for i in range(len(keep)) for j in range(len(keep))]
+            i, j, value = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(value, pa.float64())], ["i", "j", "value"]
             )
 
     found = points.mapInArrow(products, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
@@ -211,7 +215,7 @@ def whiten(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", com
     all get their results.  Vectors of unequal length have no common covariance:
     the length with the most distinct vectors counts (of equal ones the longer),
     rows of another length are dropped.  ``deviation`` is decimal(38,0), since its
-    exact value outgrows a long at some 10^9 distinct vectors.  A component without
+    exact value outgrows a long at some 10^9 distinct vectors; beyond 38 digits it is null.  A component without
     variance has a null ``whitened``; ``explained`` is null if there is no variance
     at all, and so is ``identity_error``.  An empty table gives an empty one.
     """
@@ -239,7 +243,8 @@ def whiten(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", com
                 white = model.project(x)
                 flat = pa.array(white.ravel(), mask=np.isnan(white.ravel()))
                 ends = pa.array(np.arange(0, white.size + 1, white.shape[1], dtype=np.int32))
-                exact = pa.array(map(Decimal, model.deviation(x)), pa.decimal128(38, 0))
+                exact = [Decimal(d) if d < 10**38 else None for d in model.deviation(x)]
+                exact = pa.array(exact, pa.decimal128(38, 0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), exact, pa.ListArray.from_arrays(ends, flat)], ["vec_id", "deviation", "white"]
                 )
