@@ -3,7 +3,9 @@
 A long text is cut before it is encoded, at places where the split pattern
 always starts a new match: before a single blank that stands between the text
 so far and a character that is no white space.  Matches never cross such a
-place, so the ids of the pieces are the ids of the text.
+place, so the ids of the pieces are the ids of the text.  Where a text has no such
+place for long, its matches are found here and merged one by one: the library's
+own pattern overflows its stack on some hundred thousand blanks in a row.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     while start < len(text):
         found = _SAFE.search(text, start + size)
         stop = found.start() if found else len(text)
-        if stop - start <= 4 * size:
+        if stop - start <= 2 * size:
             yield text[start:stop]
         else:
             yield from (m.group() for m in _pattern().finditer(text[start:stop]))
@@ -67,8 +69,14 @@ def encode_text(text: str, coder: tiktoken.Encoding) -> np.ndarray:
     """Ids of one whole text as unsigned 32-bit integers."""
     if len(text) <= PIECE_CHARS:
         return np.array(coder.encode_ordinary(text), dtype="<u4")
-    parts = [np.array(coder.encode_ordinary(p), dtype="<u4") for p in pieces(text)]
-    return np.concatenate(parts) if parts else np.empty(0, "<u4")
+    return np.concatenate([_piece_ids(p, coder) for p in pieces(text)])
+
+
+def _piece_ids(piece: str, coder: tiktoken.Encoding) -> np.ndarray:
+    if len(piece) <= 2 * PIECE_CHARS:
+        return np.array(coder.encode_ordinary(piece), dtype="<u4")
+    # longer ones are single matches: only the merges are left to do, without the library's pattern
+    return np.array(coder._core_bpe.encode_single_piece(piece.encode()), dtype="<u4")
 
 
 def decode_ids(ids: np.ndarray, coder: tiktoken.Encoding) -> bytes:

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,3 +47,30 @@ def test_texts_without_boundaries():
         ids = byte_bpe.encode_text(text, CODER)
         assert byte_bpe.decode_ids(ids, CODER) == text.encode()
         assert ids.tolist() == CODER.encode_ordinary(text)
+
+
+def by_matches(text):
+    """Ids of the matches of the pattern, one by one."""
+    return [i for m in byte_bpe._pattern().finditer(text) for i in CODER._core_bpe.encode_single_piece(m.group().encode())]
+
+
+@pytest.mark.parametrize("count", [10**5, 10**6, 10**7])
+def test_long_runs_of_white_space(count):
+    for run in (" ", "\n", "\t", " \n"):
+        run = run * (count // len(run))
+        places = (run, run + "end", "start" + run, "start of it" + run + " the end, 12") if count < 10**7 else ("start" + run + " end",)
+        for text in places:
+            ids = byte_bpe.encode_text(text, CODER)
+            assert byte_bpe.decode_ids(ids, CODER) == text.encode()
+            if count <= 10**6:
+                assert ids.tolist() == by_matches(text)
+            if count <= 10**5:
+                assert ids.tolist() == CODER.encode_ordinary(text)
+
+
+def test_long_runs_on_spark(make):
+    texts = [(i, "a" * k + c * 10**6 + " b") for i, (k, c) in enumerate([(0, " "), (1, "\n"), (2, "\t"), (3, "x"), (4, "日")])]
+    got = {r["doc_id"]: r for r in byte_bpe.round_trip(make(texts)).collect()}
+    for i, text in texts:
+        assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert got[i]["n_tokens"] == len(byte_bpe.encode_text(text, CODER))
