@@ -10,8 +10,12 @@ Texts are cut where no match of the tokenizer's split pattern can cross: before
 a blank that a character other than white space follows, between a letter or
 digit and a full stop or comma, and around a lone line feed.  The chunks are
 encoded the same alone as inside their text, and repeat a lot, so each worker
-has the library encode a chunk once and keeps its ids; new chunks go to the
-library together, one text with a line feed between them.
+keeps the ids of chunks it has met twice; new chunks go to the library together,
+one text with a line feed between them.  Tokens that the tokenizer's file adds to
+the vocabulary are found before anything else, as the library does.
+
+A task that writes a file also writes where each row begins among the ids of its
+range, so readers only add the totals of earlier ranges.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,12 +78,13 @@ _BYTE_CHARS = _byte_characters()
 class ChunkEncoder:
     """A tokenizer with the ids of chunks it has seen, as bytes.
 
-    When full, the store falls back to its first entries, which hold the frequent chunks.
+    Chunks met once wait in a store of their own, which is emptied when full; those
+    met again move to the store that every chunk is looked up in.  When that one is
+    full it falls back to its first entries, which hold the frequent chunks.
     """
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
         vocabulary = self.library.get_vocab()
         # a byte-level token has one character per byte
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -88,7 +93,15 @@ class ChunkEncoder:
         # the same merges over words that are mapped already, one to a line
         self.words = Tokenizer.from_file(file)
         self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.known: dict[str, bytes] = {"": b""}
+        added = self.library.get_added_tokens_decoder()
+        odd = {n for n, t in added.items() if t.lstrip or t.rstrip or t.single_word or t.normalized}
+        self.odd = tuple(added[n].content for n in odd)  # texts with one of these go to the library whole
+        cut = {added[n].content: n for n in added if n not in odd}
+        self.added = tuple(sorted(cut, key=len, reverse=True))
+        self.at_added = re.compile("|".join(map(re.escape, self.added)) and f"({'|'.join(map(re.escape, self.added))})")
+        self.base = {"": b""} | {content: np.array([n], "<u4").tobytes() for content, n in cut.items()}
+        self.known: dict[str, bytes] = dict(self.base)
+        self.once: dict[str, bytes] = {}
         self.core: dict[str, bytes] = {}
         self.chars = 0
 
@@ -108,7 +121,7 @@ class ChunkEncoder:
         joined = []
         for chunk in chunks.difference(plain, other):
             if chunk[-1].isspace() or chunk[0].isspace() and (chunk[0] != " " or chunk[1:2].isspace()):
-                self.known[chunk] = self._plain(chunk).tobytes()  # a line feed beside it would join its white space
+                self.once[chunk] = self._plain(chunk).tobytes()  # a line feed beside it would join its white space
             else:
                 joined.append(chunk)
         if joined:
@@ -123,21 +136,41 @@ class ChunkEncoder:
         stops = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
         starts = np.concatenate([[0], stops[:-1] + 4 * between])
         cut = map(slice, starts.tolist(), stops.tolist())
-        self.known.update(zip(chunks, map(ids.tobytes().__getitem__, cut)))
+        self.once.update(zip(chunks, map(ids.tobytes().__getitem__, cut)))
         self.chars += int(ends[-1])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts as unsigned 32-bit integers."""
-        if len(self.known) > CACHED_CHUNKS or self.chars > 16 * CACHED_CHUNKS:
-            self.known, self.chars = dict(self.core) or {"": b""}, 0
-        split = [chunks_of(text) for text in texts]
-        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+    def _chunks(self, text: str) -> list[str]:
+        if any(map(text.__contains__, self.added)):
+            parts = self.at_added.split(text)  # every second part is an added token
+            return [c for at, part in enumerate(parts) for c in ([part] if at % 2 else chunks_of(part))]
+        return chunks_of(text)
+
+    def _trim(self) -> None:
+        """Keep the stores within bounds; ids that are forgotten are found again."""
+        if len(self.known) + len(self.once) <= CACHED_CHUNKS and self.chars <= 16 * CACHED_CHUNKS:
+            return
+        self.once, self.chars = {}, 0
+        if len(self.known) > CACHED_CHUNKS // 2:
+            self.known = dict(self.core)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        self._trim()
+        split = [[] if any(map(text.__contains__, self.odd)) else self._chunks(text) for text in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        gaps = [[at for at, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        missing = {chunks[at] for chunks, places in zip(split, gaps) for at in places}
+        again = [chunk for chunk in missing if chunk in self.once]
+        fresh = missing.difference(again)
         if fresh:
             self._learn(fresh)
-        if not self.core and len(self.known) > CACHED_CHUNKS // 2:
+        for chunks, row, places in zip(split, found, gaps):
+            for at in places:
+                row[at] = self.once[chunks[at]]
+        self.known.update((chunk, self.once.pop(chunk)) for chunk in again)
+        if not self.core and len(self.known) > CACHED_CHUNKS // 4:
             self.core = dict(self.known)
-        ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, chunks)), dtype="<u4") for chunks in split]
+        return [b"".join(row) if chunks else self._plain(text).tobytes() for text, chunks, row in zip(texts, split, found)]
 
 
 @lru_cache(maxsize=2)
@@ -151,36 +184,48 @@ TOKENS = T.StructType(
         T.StructField("text_hash", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("before", T.LongType()),
     ]
 )
 
 
 def tokenized(documents: DataFrame, tokenizer_file: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, ids) in ascending order of doc_id (nulls first), partition by partition.
+    """(doc_id, text_hash, n_tokens, ids, part, before) in ascending order of doc_id (nulls first), partition by partition.
 
     Each document ends with ``end_id``; null and empty texts are that id alone.
-    Repeated rows are written as often as they come.
+    Repeated rows are written as often as they come.  ``part`` rises with the order
+    of the ranges, ``before`` counts the ids of the rows before in the same part.
+    An id with very many rows is dealt to several ranges, by its texts and, for
+    equal rows, by their place in the input.
     """
     file = tokenizer_file or public_tokenizers.path(TOKENIZER)
+    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(file)
+        coder, part, total = encoder(file), TaskContext.get().partitionId(), 0
+        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for batch in batches:
             texts = [(raw or b"").decode("utf-8", "replace") for raw in batch.column("text").to_pylist()]
-            rows = [np.append(ids, np.uint32(end_id)).astype("<i4") for ids in coder.encode(texts)]
-            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.concatenate(rows) if rows else np.empty(0, "<i4")
-            kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), ids], names=TOKENS.names
+            rows = [ids + end for ids in coder.encode(texts)]
+            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // 4
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            ids = pa.ListArray.from_arrays(
+                pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")), type=kind
             )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), ids,
+                 pa.array(np.full(len(rows), part, np.int32)), pa.array(total + offsets[:-1])],
+                names=TOKENS.names,
+            )
+            total += int(offsets[-1])
 
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text_hash").mapInArrow(encode, TOKENS)
+    ranges = rows.repartitionByRange("doc_id", "text_hash", "place").sortWithinPartitions("doc_id", "text_hash")
+    return ranges.drop("place").mapInArrow(encode, TOKENS)
 
 
 def write_tokens(
@@ -216,30 +261,19 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return rows if last is None else rows.filter(F.col("doc_id") <= last)
 
 
-def _named_rows(spark: SparkSession, path: str, *more: str) -> DataFrame:
-    return read_tokens(spark, path).select("doc_id", "text_hash", "n_tokens", F.input_file_name().alias("file"), *more)
-
-
 def _with_start(rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Add ``start``, the ids before a row, to token rows with their ``file``.
-
-    Files hold ascending ranges, so a start is the ids of earlier files (one
-    row per file, from the metadata columns alone) plus those of earlier rows
-    of the own file.
-    """
-    files = metadata.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"), F.count("doc_id").alias("named"))
-    # one row per file: the only list that is ordered in one task; a file of null ids alone is the first
-    earlier = Window.orderBy(F.col("named") > 0, "first").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return placed.join(files, "file").withColumn("start", F.col("before") + F.col("within")).drop("file", "before", "within")
+    """Add ``start``, the ids before a row, to token rows: those of earlier parts and of earlier rows of the own part."""
+    parts = metadata.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    # one row per part: the only list that is ordered in one task
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("earlier"))
+    return rows.join(parts, "part").withColumn("start", F.col("earlier") + F.col("before")).drop("part", "earlier", "before")
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text_hash, n_tokens, start) from the metadata columns alone."""
-    rows = _named_rows(spark, path)
-    return _with_start(rows, rows)
+    rows = read_tokens(spark, path).drop("ids")
+    return _with_start(rows, rows.select("part", "n_tokens"))
 
 
 def _with_crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,19 +283,11 @@ def _with_crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
         bounds = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
         sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
-        kept = [batch.column(name) for name in _CHECKED.names[:4]]
+        kept = [batch.column(name) for name in _CHECKED.names[:-1]]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64())], names=_CHECKED.names)
 
 
-_CHECKED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text_hash", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("file", T.StringType()),
-        T.StructField("ids_crc32", T.LongType()),
-    ]
-)
+_CHECKED = T.StructType([*(f for f in TOKENS.fields if f.name not in ("ids", "text_hash")), T.StructField("ids_crc32", T.LongType())])
 
 
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -270,5 +296,6 @@ def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     Repeated rows follow each other, each with its own start; an empty table
     gives no rows.
     """
-    checked = _named_rows(spark, path, "ids").mapInArrow(_with_crc32, _CHECKED)
-    return _with_start(checked, _named_rows(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = read_tokens(spark, path)
+    checked = rows.drop("text_hash").mapInArrow(_with_crc32, _CHECKED)
+    return _with_start(checked, rows.select("part", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from plenum.llm import token_files
 
@@ -16,7 +16,6 @@ from .conftest import ODD
 
 FILE = public_tokenizers.path(token_files.TOKENIZER)
 PLAIN = Tokenizer.from_file(FILE)
-PLAIN.encode_special_tokens = True
 CODER = token_files.ChunkEncoder(FILE)
 
 
@@ -27,7 +26,7 @@ def ids_of(text):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet="abZ1² \n\t\r.,'!_sé日́\x1c\x85\x00|<>endoftext", max_size=50), max_size=4))
 def test_chunks_have_the_ids_of_the_text(texts):
-    assert [r.tolist() for r in CODER.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(r, '<u4').tolist() for r in CODER.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_store_falls_back_to_its_first_entries(monkeypatch):
@@ -35,10 +34,50 @@ def test_store_falls_back_to_its_first_entries(monkeypatch):
     coder, rng = token_files.ChunkEncoder(FILE), random.Random(1)
     for _ in range(40):
         texts = [" ".join("".join(rng.choices("abcdef", k=5)) for _ in range(20)) for _ in range(3)]
-        assert [r.tolist() for r in coder.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(r, '<u4').tolist() for r in coder.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(coder.known) < 50 + 25 + 200
 
 
+def test_added_tokens_are_found_as_the_library_does(make, tmp_path):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "<|endoftext", "x<|endoftext|>y. <|endoftext|>", " <|endoftext|> \n"]
+    assert [np.frombuffer(r, "<u4").tolist() for r in CODER.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(CODER.encode(texts[:1])[0], "<u4")
+    path = str(tmp_path / "added")
+    token_files.write_tokens(make(list(enumerate(texts))), path)
+    at = 0
+    for r in sorted(token_files.stored_documents(make([]).sparkSession, path).collect(), key=lambda r: r["doc_id"]):
+        assert (r["start"], r["ids_crc32"]) == (at, zlib.crc32(ids_of(texts[r["doc_id"]]).tobytes()))
+        at += r["n_tokens"]
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "rstrip", "single_word"])
+def test_added_tokens_with_flags(tmp_path, flag):
+    other = Tokenizer.from_file(FILE)
+    other.add_special_tokens([AddedToken("<odd>", **{flag: True}), AddedToken("<plain>"), AddedToken("<plain>er")])
+    other.save(str(tmp_path / "t.json"))
+    coder, texts = token_files.ChunkEncoder(str(tmp_path / "t.json")), ["a <odd> b", "<odd>", "x<odd>y <plain> <plain>er z", "<plain>"]
+    assert [np.frombuffer(r, "<u4").tolist() for r in coder.encode(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_hot_id_is_dealt_to_several_parts(llm, make, tmp_path):
+    hot = [(7, "one text of an id with most of the rows")] * 600 + [(7, f"text {i}") for i in range(300)]
+    rows = hot + [(i, f"other {i}") for i in range(100) if i != 7]
+    path = str(tmp_path / "hot")
+    llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else this little makes one part
+    try:
+        token_files.write_tokens(make(rows).repartition(4), path)
+    finally:
+        llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = token_files.read_tokens(llm, path)
+    sizes = [r["count"] for r in stored.groupBy("part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < len(rows) / 2
+    at, last = 0, -1
+    for r in sorted(token_files.read_offsets(llm, path).collect(), key=lambda r: r["start"]):
+        assert r["start"] == at and r["doc_id"] >= last
+        at, last = at + r["n_tokens"], r["doc_id"]
+    assert at == sum(len(ids_of(t)) for _, t in rows)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_hold_the_rows_in_order(llm, odd, tmp_path, encoding):
     path = str(tmp_path / encoding)
