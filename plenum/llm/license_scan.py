@@ -5,14 +5,18 @@ in both, in the longest run that keeps the order of both; the gaps between
 anchors are aligned the same way.  A template is found where the aligned words
 cover enough of it and lie close together.
 
-The stretches come from a few words of each template.  If at least the share
-``COVERAGE`` of its words must be aligned, any set of more than the remaining
-words has an aligned one; the set of the rarest words serves.
+The stretches come from a few words of each template: from its rarest marked word
+(see below), or without marks, since at least the share ``COVERAGE`` of its words
+must be aligned, from the rarest words, one more than may be missing.
 
 A stretch that reaches into further copies of its template holds no word once.
 So the ranges around a probe word that hold one copy are aligned too: the
 template's own length, and the text between the neighbouring occurrences of the
 probe word, with the probe word as first anchor.
+
+Notices of different licenses differ in a word or two.  Those words are marked in
+the templates; they must be aligned, and a run of them must stand in the text
+without another word between, or the template is not found.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,13 +36,21 @@ from plenum.llm.license_texts import TEMPLATES
 COVERAGE = 0.8
 STRETCH = 1.5  # aligned words may lie over so many times the template's length
 
-_WORD = re.compile(r"[a-z0-9]+")
+# a version such as 2.1 is one word, so it does not begin with the word 2
+_WORD = re.compile(r"[0-9]+(?:\.[0-9]+)+|[a-z0-9]+")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def required_runs(template: str) -> list[tuple[int, int]]:
+    """Ranges of words that stand in braces."""
+    counts = [len(words(part)) for part in re.split(r"[{}]", template)]
+    ends = list(accumulate(counts))
+    return [(ends[k] - counts[k], ends[k]) for k in range(1, len(counts), 2)]
+
+
 def _longest_rising(values: list[int]) -> list[int]:
     """Indexes of a longest strictly increasing subsequence."""
     tails: list[int] = []
@@ -93,14 +106,18 @@ class Templates:
     def __init__(self, templates=TEMPLATES):
         self.names = [name for name, _ in templates]
         self.words = [words(text) for _, text in templates]
+        self.runs = [required_runs(text) for _, text in templates]
+        self.required = [Counter(w for a, b in runs for w in ws[a:b]) for ws, runs in zip(self.words, self.runs)]
         spread = Counter(w for ws in self.words for w in set(ws))
         self.counts = [Counter(ws) for ws in self.words]
         self.probes: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for number, ws in enumerate(self.words):
-            free = len(ws) - self.needed(number)
             # words of few templates first, then long ones; the choice does not change what is found
-            order = sorted(range(len(ws)), key=lambda at: (spread[ws[at]], -len(ws[at]), ws[at], at))
-            for at in order[: free + 1]:
+            rank = lambda at, ws=ws: (spread[ws[at]], -len(ws[at]), ws[at], at)
+            marked = [at for a, b in self.runs[number] for at in range(a, b)]
+            # a marked word is always aligned; without one, any set of more words than may be missing has an aligned one
+            chosen = [min(marked, key=rank)] if marked else sorted(range(len(ws)), key=rank)[: len(ws) - self.needed(number) + 1]
+            for at in chosen:
                 self.probes[ws[at]].append((number, at))
 
     def needed(self, number: int) -> int:
@@ -126,8 +143,17 @@ class Templates:
 
     def _enough(self, text: list[str], number: int, start: int, stop: int) -> bool:
         """Whether a range has as many words of a template as must be aligned, in any order."""
-        own = self.counts[number]
-        return sum(min(n, own[w]) for w, n in Counter(text[start:stop]).items() if w in own) >= self.needed(number)
+        own, there = self.counts[number], Counter(text[start:stop])
+        if any(there[w] < n for w, n in self.required[number].items()):
+            return False
+        return sum(min(n, own[w]) for w, n in there.items() if w in own) >= self.needed(number)
+
+    def _named(self, number: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether all required words are aligned, each run without a word between."""
+        place = {at: p for p, at in pairs} if self.runs[number] else {}
+        return all(
+            a in place and all(place.get(at) == place[a] + at - a for at in range(a, b)) for a, b in self.runs[number]
+        )
 
     def _hits(self, text: list[str], number: int, found: list[tuple[int, int]]) -> set[tuple[int, int, int]]:
         """(first word, end word, aligned words) of a template, from the places of its probe words."""
@@ -136,7 +162,7 @@ class Templates:
         whole: set[int] = set()  # first words of copies without a gap
 
         def add(pairs: list[tuple[int, int]]) -> None:
-            if len(pairs) >= self.needed(number):
+            if len(pairs) >= self.needed(number) and self._named(number, pairs):
                 first, last = pairs[0][0], pairs[-1][0] + 1
                 if last - first <= STRETCH * size + 4:
                     hits.add((first, last, len(pairs)))
