@@ -438,10 +438,27 @@ def stream_incremental_scoring(spark, d):
     out = incremental.score_incrementally(
         incremental.record_stream(spark, source, EVENT, files_per_batch=3), answered, target, f"{target}-checkpoint", bad
     )
-    broken = spark.read.parquet(bad).count()
+    broken = incremental.broken_lines(spark, target, f"{target}-checkpoint", bad).count()
     return out.select("event_id", "round", "answer", "parsed", "correct", F.lit(broken).cast("bigint").alias("broken_lines"))
 
 
+@query(
+    "stream_commit_log",
+    f"""SELECT 'rows' AS "table", 2 AS batches, count(*) AS rows FROM ({STREAM_SQL})
+        UNION ALL SELECT 'violations', 2, count(*) FROM events WHERE event_id % 41 IN (7, 8)""",
+)
+def stream_commit_log(spark, d):
+    """What the records of the log say about the tables of a finished run; a killed attempt's folder is not among them."""
+    source, target, bad = event_files(spark, d), scratch_path(spark, "scored"), scratch_path(spark, "broken")
+    event_rows = inputs.table(spark, d, "events").select("event_id")
+    event_rows.write.parquet(f"{target}/attempt=0-stray")
+    stream = incremental.record_stream(spark, source, EVENT, files_per_batch=3)
+    incremental.score_incrementally(stream, answered, target, f"{target}-checkpoint", bad)
+    log = incremental.batch_log(spark, target, f"{target}-checkpoint", None, violations=bad)
+    counted = log.manifest().groupBy("table").agg(F.count_distinct("batch").cast("int").alias("batches"), F.sum("rows").alias("rows"))
+    return counted.select("table", "batches", "rows")
+
+
 @query(
     "stream_running_counts",
     f"""SELECT event_type, round, count(*) AS samples, count(*) FILTER (WHERE coalesce(answer = gold, false)) AS correct, count(answer) AS parsed
@@ -451,7 +468,7 @@ def stream_running_counts(spark, d):
     source, target = event_files(spark, d), scratch_path(spark, "counts")
     stream = incremental.record_stream(spark, source, EVENT, files_per_batch=3)
     return incremental.running_counts(
-        answered(stream), ["event_type", "round"], {"correct": "correct", "parsed": "parsed"}, target, f"{target}-checkpoint"
+        answered(stream), ["event_type", "round"], {"correct": "correct", "parsed": "parsed"}, target, f"{target}-checkpoint", fold_every=1
     )
 
 

@@ -1,8 +1,10 @@
 """Scoring that goes on while records arrive.
 
-The durable batch log is Spark's own: every micro-batch is committed once in
-the checkpoint, whose path carries the fingerprint of the run, so a changed
-run never continues an old one.
+Spark's checkpoint knows which input a batch holds; ``commits.BatchLog`` knows
+which files a batch wrote.  A batch that was killed after some of its writes is
+repeated by Spark and gets its record then; readers see the tables of whole
+batches only.  The log belongs to a run (by default that of the checkpoint's
+path, which carries the fingerprint), so a changed run starts an own one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from plenum.functions.text import strip
 from plenum.session import shared_dir
 from plenum.sources import records
+from plenum.streaming import commits, seen
 
 
 def record_stream(
@@ -57,71 +60,103 @@ def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def batch_sink(target: str) -> Callable[[DataFrame, int], None]:
-    """Write a batch under its own id: a repeated batch replaces itself."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+def batch_log(spark: SparkSession, target: str, checkpoint: str, fingerprint: str | None, **tables: str) -> commits.BatchLog:
+    return commits.BatchLog(spark, target, fingerprint or checkpoint, {"rows": target} | tables)
+
+
+def _numbered(rows: DataFrame, batch_id: int) -> DataFrame:
+    return rows.withColumn("batch", F.lit(batch_id).cast("bigint"))
+
 
-    return write
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*(f for f in schema.fields if f.name != "batch"), T.StructField("batch", T.LongType())])
+
+
+def _commit_stateful(log: commits.BatchLog, batch: DataFrame, batch_id: int) -> None:
+    """Commit a batch of a stream with state; a batch that is there already is run all the same, for its state."""
+    if not log.commit(batch_id, {"rows": _numbered(batch, batch_id)}):
+        batch.write.format("noop").mode("overwrite").save()
 
 
 def score_incrementally(
-    stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, violations: str
+    stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, violations: str,
+    fingerprint: str | None = None,
 ) -> DataFrame:
-    """Score arriving records and return the table of all committed batches.
+    """Score arriving records and return the table of all committed batches, with their ``batch``.
 
-    Broken lines of a batch go to ``violations``, under the same batch id.
+    Broken lines of a batch go to ``violations``; both tables of a batch are
+    published by one record (see ``broken_lines`` to read the other one).
     """
-    spark = stream.sparkSession
-    scored, broken = batch_sink(target), batch_sink(violations)
+    log = batch_log(stream.sparkSession, target, checkpoint, fingerprint, violations=violations)
 
     def both(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        broken(batch.filter("_broken is not null").select("_broken"), batch_id)
-        scored(score(whole_rows(batch)), batch_id)
+        broken = batch.filter("_broken is not null").select("_broken")
+        log.commit(batch_id, {"violations": _numbered(broken, batch_id), "rows": _numbered(score(whole_rows(batch)), batch_id)})
         batch.unpersist()
 
     run_batches(stream, both, checkpoint)
-    return spark.read.option("basePath", target).parquet(target)
+    return log.rows("rows", _with_batch(score(whole_rows(stream)).schema))
+
+
+def broken_lines(spark: SparkSession, target: str, checkpoint: str, violations: str, fingerprint: str | None = None) -> DataFrame:
+    """(_broken, batch) of all committed batches."""
+    log = batch_log(spark, target, checkpoint, fingerprint, violations=violations)
+    return log.rows("violations", T.StructType([T.StructField("_broken", T.StringType()), T.StructField("batch", T.LongType())]))
+
+
+def _latest(changes: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    last = F.max_by(F.struct("batch", *values), "batch").alias("__last")
+    return changes.groupBy(*groups).agg(last).select(*groups, "__last.*")
 
 
 def running_counts(
-    stream: DataFrame, groups: list[str], conditions: dict[str, str], target: str, checkpoint: str
+    stream: DataFrame, groups: list[str], conditions: dict[str, str], target: str, checkpoint: str,
+    fingerprint: str | None = None, fold_every: int = 16,
 ) -> DataFrame:
     """Counters that grow with the stream; the latest value per group.
 
-    Update mode writes only changed groups, each with its batch id.
+    Update mode gives the changed groups of each batch.  Every ``fold_every``
+    batches the changes are folded into one row a group, so a reader meets at
+    most one row a group and the changes of the batches since.
     """
-    spark = stream.sparkSession
+    log = batch_log(stream.sparkSession, target, checkpoint, fingerprint)
     counted = whole_rows(stream).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("samples"),
         *[F.count_if(F.expr(test)).alias(name) for name, test in conditions.items()],
     )
-    run_batches(counted, batch_sink(target), checkpoint, "update")
-    changes = spark.read.option("basePath", target).parquet(target)
-    values = ["samples", *conditions]
-    return (
-        changes.groupBy(*groups)
-        .agg(F.max_by(F.struct(*values), "batch").alias("__last"))
-        .select(*groups, "__last.*")
-    )
+    schema, values = _with_batch(counted.schema), ["samples", *conditions]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _commit_stateful(log, batch, batch_id)
+        if batch_id - log.state().folded >= fold_every:
+            log.fold({"rows": _latest(log.rows("rows", schema), groups, values).select(*schema.names)})
+            log.forget()
+
+    run_batches(counted, write, checkpoint, "update")
+    return _latest(log.rows("rows", schema), groups, values).drop("batch")
 
 
 def first_of_each_id(
-    stream: DataFrame, keys: list[str], target: str, checkpoint: str, event_time: str | None = None, delay: str | None = None
+    stream: DataFrame, keys: list[str], target: str, checkpoint: str, event_time: str | None = None, delay: str | None = None,
+    fingerprint: str | None = None, index: seen.IndexShape = seen.IndexShape(),
 ) -> DataFrame:
     """Rows whose id was not seen before; repeats are dropped.
 
-    With an event time the state is bounded by the allowed delay; without one
-    every id stays in the state, as an exact check over all time needs.
+    With an event time the state of the stream is bounded by the allowed delay.
+    Without one, ids of all time count: they are kept in a bucketed table beside
+    the target (see ``seen``), and the stream itself has no state.
     """
-    spark, stream = stream.sparkSession, whole_rows(stream)
-    if event_time is not None:
-        fresh = stream.withWatermark(event_time, delay or "1 day").dropDuplicatesWithinWatermark(keys)
+    spark, rows = stream.sparkSession, whole_rows(stream)
+    if event_time is None:
+        log = batch_log(spark, target, checkpoint, fingerprint, ids=f"{target}/_ids", filters=f"{target}/_filters")
+        known = seen.SeenIds(log, keys, rows.select(*keys).schema, index)
+        run_batches(rows, known.keep_new, checkpoint)
     else:
-        fresh = stream.dropDuplicates(keys)
-    run_batches(fresh, batch_sink(target), checkpoint)
-    return spark.read.option("basePath", target).parquet(target)
+        log = batch_log(spark, target, checkpoint, fingerprint)
+        fresh = rows.withWatermark(event_time, delay or "1 day").dropDuplicatesWithinWatermark(keys)
+        run_batches(fresh, lambda batch, batch_id: _commit_stateful(log, batch, batch_id), checkpoint)
+    return log.rows("rows", _with_batch(rows.schema))
 
 
 def dropped_rows(received: DataFrame, kept: DataFrame) -> DataFrame:
