@@ -25,15 +25,18 @@ def index():
 # --------------------------------------------------------------------- records
 
 
-def jsonl_lines(spark, d):
-    """Records as lines; some blank, some broken, some arrays."""
+def jsonl_line():
+    """A record as a line; some blank, some broken, some arrays."""
     good = F.to_json(F.struct("sample_id", "sample_index", "dataset", F.when(index() % 7 > 0, F.col("gold")).alias("gold")), {"ignoreNullFields": "false"})
-    line = (
+    return (
         F.when(index() % 50 == 1, "[{\"sample_id\": \"x\"}]").when(index() % 50 == 2, "{\"sample_id\": ")
         .when(index() % 50 == 3, "   ").when(index() % 50 == 4, "{\"sample_id\": \"a\", \"sample_index\": \"text\"}").otherwise(good)
     )
+
+
+def jsonl_lines(spark, d):
     path = scratch_path(spark, "jsonl")
-    inputs.samples(spark, d).select(line.alias("value")).write.text(path)
+    inputs.samples(spark, d).select(jsonl_line().alias("value")).write.text(path)
     return path
 
 
@@ -58,6 +61,22 @@ def count_jsonl(spark, d):
     return broken.select(F.lit(whole).cast("bigint").alias("rows"), "broken")
 
 
+@query(
+    "jsonl_line_numbers",
+    """SELECT part, line_no, CASE sample_index % 50 WHEN 1 THEN '[{"sample_id": "x"}]' WHEN 2 THEN '{"sample_id": ' ELSE '{"sample_id": "a", "sample_index": "text"}' END AS value
+       FROM (SELECT sample_index, custkey % 8 AS part, row_number() OVER (PARTITION BY custkey % 8 ORDER BY sample_index) AS line_no FROM samples)
+       WHERE sample_index % 50 IN (1, 2, 4)""",
+)
+def jsonl_line_numbers(spark, d):
+    """Broken lines of eight files with their line numbers; blank lines count."""
+    path = scratch_path(spark, "parts")
+    rows = inputs.samples(spark, d).select("sample_index", (F.col("custkey") % 8).alias("part"), jsonl_line().alias("value"))
+    rows.repartition(8, "part").sortWithinPartitions("part", "sample_index").drop("sample_index").write.partitionBy("part").text(path)
+    found = records.jsonl_violations(spark, path, ROW)
+    part = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("bigint")
+    return found.select(part.alias("part"), F.col("line_no").cast("bigint").alias("line_no"), "value")
+
+
 DECIDED = simple("sample_id string, round int, answer string, correct boolean")
 
 
@@ -81,8 +100,7 @@ def scan_jsonl_gz(spark, d):
     for variant in ("full", "half"):
         some = rows if variant == "full" else rows.filter("cell = 'boolq'")
         some.repartition("cell").write.partitionBy("cell").option("compression", "gzip").text(f"{path}/{variant}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = files.select(records.below(F.col("path"), path).alias("path"), F.sha2("content", 256).alias("sha256"))
+    listed = manifest.inventory(spark, path)
     cells = listed.select(
         "path", "sha256", F.regexp_extract("path", "^([a-z]+)/", 1).alias("variant"), F.regexp_extract("path", "cell=([a-z]+)/", 1).alias("dataset")
     ).filter("path like '%.txt.gz'")

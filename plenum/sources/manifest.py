@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions.fingerprint import table_fingerprint
-from plenum.sources.records import below
+from plenum.sources import files
 
 MANIFEST_SCHEMA = "stage string, fingerprint string, artifact string, rows bigint, content_hash string"
 
@@ -88,17 +88,13 @@ def shard_blockers(expected: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Path below root, size and sha-256 of every file, hashed on the executors (a file must fit one cell, 2 GB)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(
-        below(F.col("path"), root).alias("path"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """Path below root, size and sha-256 of every file, read as streams on the executors."""
+    return files.digests(files.listing(spark, root), root)
 
 
-def inventory_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
+def inventory_problems(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """Listed files that are missing or differ in size or, when given, hash."""
-    have = files.select("path", F.col("bytes").alias("__bytes"), F.col("sha256").alias("__sha"))
+    have = found.select("path", F.col("bytes").alias("__bytes"), F.col("sha256").alias("__sha"))
     problem = (
         F.when(F.col("__bytes").isNull(), "missing")
         .when(F.col("__bytes") != F.col("bytes"), "size")

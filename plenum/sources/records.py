@@ -7,14 +7,14 @@ word, the parser marks arrays, scalars and broken lines as corrupt.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions.text import strip
 from plenum.operators.quality import enforce
+from plenum.sources import files
+from plenum.sources.files import below
 
 # Cell texts that mean "no value".
 MISSING_TOKENS = ("", "-", "--", "n/a", "na", "nan", "none", "null")
@@ -31,86 +31,107 @@ def parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return text.filter(F.length(strip(F.col("value"))) > 0)
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no, value) of all lines, blank ones included, numbered from 1 in every file.
+
+    A file is read in byte ranges, one task each.  A first pass counts the lines of
+    each range; the sum over the ranges before it, one small row a range, is added to
+    a line's place inside its range.  No task reads more than its ranges.
+    """
+    return _numbered(_places(spark, path)).select("file", "line_no", "value")
+
+
+def _places(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with their file, the start of their byte range, and a number that rises inside the range."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__from"),
+        F.monotonically_increasing_id().alias("__place"),
+    )
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    ranges = lines.groupBy("file", "__from").agg(F.count(F.lit(1)).alias("__lines"), F.min("__place").alias("__first"))
+    before = Window.partitionBy("file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("file", "__from", "__first", F.coalesce(F.sum("__lines").over(before), F.lit(0)).alias("__before"))
+    line_no = F.col("__before") + F.col("__place") - F.col("__first") + 1
+    # the ranges are the same in both passes, as they come from one listing of the files
+    return lines.join(starts, ["file", "__from"], "left").withColumn("line_no", line_no).drop("__from", "__place", "__first", "__before")
+
+
+def _filled(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.length(strip(F.col("value"))) > 0)
 
 
 def jsonl_violations(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Lines that are no JSON object of the schema, with their file."""
-    return parsed_lines(_lines(spark, path), schema).filter("__broken").select("file", "value")
+    """(file, line_no, value) of the lines that are no JSON object of the schema."""
+    return parsed_lines(_filled(numbered_lines(spark, path)), schema).filter("__broken").select("file", "line_no", "value")
 
 
 def _checked(rows: DataFrame, strict: bool) -> DataFrame:
     if not strict:
         return rows.filter("not __broken")
     # the start of the line is enough for the message
-    message = F.concat(F.lit("broken line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))
+    place = [F.lit(":"), F.col("line_no").cast("string")] if "line_no" in rows.columns else []
+    message = F.concat(F.lit("broken line in "), F.col("file"), *place, F.lit(": "), F.substring("value", 1, 200))
     return rows.filter(F.when(F.col("__broken"), F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def scan_jsonl(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True
+    spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True, numbered: bool = True
 ) -> DataFrame:
     """Rows of JSON-lines files; blank lines are skipped.
 
-    Strict: a broken line fails the job when its row is read, naming the file;
-    otherwise broken lines are left out (see ``jsonl_violations``).
+    Strict: a broken line fails the job when its row is read, naming file and
+    line; otherwise broken lines are left out (see ``jsonl_violations``).  The
+    line number costs a pass that counts lines; without ``numbered`` the message
+    names the file alone.
     """
-    rows = _checked(parsed_lines(_lines(spark, path), schema), strict)
+    lines = numbered_lines(spark, path) if strict and numbered else _places(spark, path).select("file", "value")
+    rows = _checked(parsed_lines(_filled(lines), schema), strict)
     return rows.select(*[F.col(f"r.{name}").alias(name) for name in schema.names])
 
 
 def count_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> int:
-    """Validated rows; 0 for an empty file."""
-    enforce(jsonl_violations(spark, path, schema), "broken record")
-    return _lines(spark, path).count()
-
-
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
-
-
-def below(path: Column, root: str) -> Column:
-    """A file's path relative to a folder; ``path`` is a URI as Spark reports it, ``root`` absolute."""
-    plain = re.sub(_SCHEME, "", root).rstrip("/")
-    if not plain.startswith("/"):
-        raise ValueError(f"the folder must be absolute: {root}")
-    found = F.url_decode(F.replace(F.regexp_replace(path, _SCHEME, ""), F.lit("+"), F.lit("%2B")))
-    return F.when(found.startswith(plain + "/"), F.substring(found, len(plain) + 2, F.length(found)))
+    """Validated rows; 0 for an empty file.  A broken line is an error that names file and line."""
+    counted = parsed_lines(_filled(numbered_lines(spark, path)), schema).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("__broken"), F.struct("file", "line_no"))).alias("first")
+    ).first()
+    if counted["first"] is not None:
+        raise RuntimeError(f"broken record in {counted['first']['file']}:{counted['first']['line_no']}")
+    return counted["n"]
 
 
 def scan_manifest_files(
     spark: SparkSession, root: str, schema: T.StructType, manifest: DataFrame, spread: int | None = None, strict: bool = True
 ) -> DataFrame:
-    """Gzip JSON-lines files named in a manifest (path below root, cell columns).
+    """Gzip or plain JSON-lines files named in a manifest (path below root, cell columns).
 
-    Only the listed files are read (their names go to the reader, one per
-    file).  A listed file that is absent is an error, and so is one whose
-    sha-256 differs, where the manifest gives it.  Broken lines fail the job,
-    or are left out if not strict.  Gzip cannot be split, so a file is one
-    task; the rows are spread afterwards.
+    The manifest stays a table: each listed file is opened by the task that holds
+    its row, and read as a stream.  A listed file that is absent is an error, and so
+    is one whose sha-256 differs, where the manifest gives it.  Broken lines fail the
+    job, naming file and line, or are left out if not strict.  A file is one task, as
+    gzip cannot be split; the rows are spread afterwards.
     """
-    paths = sorted(r["path"] for r in manifest.select("path").distinct().collect())
     enforce(unlisted_files(spark, root, manifest), "file is missing")
     if "sha256" in manifest.columns:
-        wrong = file_hashes(spark, root, paths).withColumnRenamed("sha256", "found").join(manifest, "path")
-        enforce(wrong.filter(~F.col("sha256").eqNullSafe(F.col("found"))).select("path"), "hash differs")
-    rows = _checked(parsed_lines(_lines(spark, [f"{root.rstrip('/')}/{p}" for p in paths]), schema), strict)
-    located = rows.select(below(F.col("file"), root).alias("path"), *[F.col(f"r.{name}").alias(name) for name in schema.names])
+        given = manifest.select("path", F.col("sha256").alias("given")).filter("given is not null")
+        wrong = files.digests(given, root).join(given, "path").filter("sha256 <> given")
+        enforce(wrong.select("path"), "hash differs")
+    lines = files.stream_lines(manifest.select("path").distinct(), root)
+    rows = _checked(parsed_lines(_filled(lines.withColumn("file", F.col("path"))), schema), strict)
+    located = rows.select("path", *[F.col(f"r.{name}").alias(name) for name in schema.names])
     out = located.join(manifest.drop("sha256"), "path")
     return out.repartition(spread) if spread else out
 
 
 def file_hashes(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(path, sha256) of files below root, hashed on the executors; a file must fit one cell (2 GB)."""
-    files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths])
-    return files.select(below(F.col("path"), root).alias("path"), F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of files below root, read as streams on the executors."""
+    return files.digests(spark.createDataFrame([(p,) for p in paths], "path string"), root).select("path", "sha256")
 
 
 def unlisted_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """Manifest entries without a file; files are listed, not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return manifest.join(found.select(below(F.col("path"), root).alias("path")), "path", "left_anti")
+    return manifest.join(files.listing(spark, root).select("path"), "path", "left_anti")
 
 
 def scan_documents(

@@ -1,13 +1,16 @@
 """Strict scans, atomic sinks, manifests, resumable streams."""
 
+import gzip
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plenum.schemas import simple
 from plenum.session import scratch_path, shared_dir
-from plenum.sources import benchmarks, records, sinks
+from plenum.sources import benchmarks, files, manifest, records, sinks
 from plenum.streaming import incremental
 from tests.conftest import rows
 
@@ -128,3 +131,66 @@ def test_manifest_files(spark, tmp_path):
     with pytest.raises(Exception, match="broken line"):
         records.scan_manifest_files(spark, root, ROW, top).collect()
     assert records.scan_manifest_files(spark, root, ROW, top, strict=False).count() == 0
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    rng, wanted = random.Random(2), []
+    folder = tmp_path / "many"
+    for f in range(3):
+        lines = [rng.choice(['{"a": "x", "b": 1}', "", "   ", "[1]", '{"a": "long ' + "y" * rng.randint(0, 300) + '"}']) for _ in range(700 * f + 3)]
+        put(folder, f"{f}.jsonl", *lines)
+        wanted += [(f"{f}.jsonl", n, line) for n, line in enumerate(lines, 1)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = records.numbered_lines(spark, str(folder))
+        got = [(r["file"].rsplit("/", 1)[-1], r["line_no"], r["value"]) for r in lines.collect()]
+        assert sorted(got) == sorted(wanted)
+        assert lines.rdd.getNumPartitions() > 10  # byte ranges, several to a file
+        broken = records.jsonl_violations(spark, str(folder), ROW).collect()
+        assert sorted((r["file"].rsplit("/", 1)[-1], r["line_no"]) for r in broken) == sorted(w[:2] for w in wanted if w[2] == "[1]")
+        first = min(w[:2] for w in wanted if w[2] == "[1]")
+        with pytest.raises(RuntimeError, match=f"broken record in .*{first[0]}:{first[1]}$"):
+            records.count_jsonl(spark, str(folder), ROW)
+        with pytest.raises(Exception, match=r"broken line in [^ ]*jsonl:[0-9]+: \[1\]"):
+            records.scan_jsonl(spark, str(folder), ROW).count()
+        with pytest.raises(Exception, match=r"broken line in [^ ]*jsonl: \[1\]"):
+            records.scan_jsonl(spark, str(folder), ROW, numbered=False).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_digests_are_read_in_blocks(spark, tmp_path, monkeypatch):
+    big = tmp_path / "d" / "big file+1.bin"
+    big.parent.mkdir()
+    with big.open("wb") as out:
+        out.seek((2 << 30) + 5)  # above what one cell may hold
+        out.write(b"end")
+    (tmp_path / "d" / "empty").write_bytes(b"")
+    running = hashlib.sha256()
+    with big.open("rb") as back:
+        while block := back.read(1 << 20):
+            running.update(block)
+    found = {r["path"]: (r["bytes"], r["sha256"]) for r in manifest.inventory(spark, str(tmp_path / "d")).collect()}
+    assert found == {"big file+1.bin": ((2 << 30) + 8, running.hexdigest()), "empty": (0, hashlib.sha256().hexdigest())}
+    peak = max(len(b) for b in files._blocks(str(tmp_path / "d"), "big file+1.bin"))
+    assert peak <= files.BLOCK_BYTES
+    with pytest.raises(Exception, match="none"):
+        files.digests(spark.createDataFrame([("none",)], "path string"), str(tmp_path / "d")).collect()
+
+
+def test_lines_of_streams(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "bc", "\n", "\r", "\r\n", "é"], k=rng.randint(0, 30))).encode()
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 5)))
+        blocks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)]) if a < b]
+        wanted = text.decode().replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        wanted = wanted[:-1] if not wanted[-1] else wanted
+        assert [line.decode() for line in files._split(iter(blocks))] == wanted
+        packed = gzip.compress(text[:7]) + gzip.compress(text[7:])
+        parts = [packed[i : i + 5] for i in range(0, len(packed), 5)]
+        assert b"".join(files._unpacked(iter(parts), True)) == text
+        if text:
+            with pytest.raises(EOFError):
+                list(files._unpacked(iter([packed[:-3]]), True))
