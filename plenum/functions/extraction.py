@@ -241,25 +241,27 @@ def balanced_braces(text: Column) -> Column:
 def _last_balanced(text: Column, opener: str) -> Column:
     """struct(content, span) of the last opener whose brace closes, NULL without one.
 
-    Walks back from the last opener and stops at the first one that closes.
+    The text is cut before every opener.  If the brace of an opener stays open,
+    so does that of any opener before it which has not closed by then; so the box
+    wanted closes before the next opener, and every piece is scanned by itself, from
+    the last one on, once.
     """
     pieces = F.split(F.regexp_replace(text, opener, f"{CUT}$0"), CUT)
     none = F.lit(None).cast("string")
 
     def step(acc: Column, piece: Column) -> Column:
-        rest = F.concat(piece, acc["rest"])
+        found = acc["content"].isNotNull()
         head = F.regexp_extract(piece, "^" + opener, 0)
-        content = let(F.struct(rest.alias("rest"), head.alias("head")), lambda x: balanced_braces(
-            F.substring(x["rest"], F.length(x["head"]) + 1, F.length(x["rest"]))
+        body = let(F.struct(piece.alias("piece"), head.alias("head")), lambda x: balanced_braces(
+            F.substring(x["piece"], F.length(x["head"]) + 1, F.length(x["piece"]))
         ))
-        found = acc["content"].isNotNull()
+        closes = F.contains(piece, F.lit("}"))
         return F.struct(
-            F.when(found, acc["rest"]).otherwise(rest).alias("rest"),
-            F.when(found, acc["head"]).otherwise(head).alias("head"),
-            F.when(found, acc["content"]).otherwise(content).alias("content"),
+            F.when(found, acc["head"]).when(closes, head).alias("head"),
+            F.when(found, acc["content"]).when(closes, body).alias("content"),
         )
 
-    start = F.struct(F.lit("").alias("rest"), none.alias("head"), none.alias("content"))
+    start = F.struct(none.alias("head"), none.alias("content"))
     last = F.aggregate(
         F.reverse(F.slice(pieces, F.lit(2), F.size(pieces))), start, step,
         lambda acc: F.when(

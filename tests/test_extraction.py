@@ -1,6 +1,11 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from plenum.functions import extraction
 from plenum.functions.cleaning import unclosed_think, with_clean_response
 from plenum.functions.extraction import with_extracted
 
@@ -96,3 +101,43 @@ def test_unclosed_think(spark):
 def test_raw_span_of_a_box_is_cut_from_the_text(spark, text, span):
     df = with_extracted(spark.createDataFrame([(text, "math")], "text string, task string"), "text", "task")
     assert df.select("extracted.raw_span").first()[0] == span
+
+
+def closing(text, start):
+    depth = 1
+    for at in range(start, len(text)):
+        depth += {"{": 1, "}": -1}.get(text[at], 0)
+        if not depth:
+            return at
+    return None
+
+
+def plain_box(text):
+    """The last opener, of the form in braces if one closes, whose brace closes."""
+    for pattern in (r"\{\\boxed\s*\{", r"(?i)boxed\s*\{"):
+        for opener in reversed(list(re.finditer(pattern, text))):
+            end = closing(text, opener.end())
+            if end is not None:
+                return text[opener.end() : end]
+    return None
+
+
+def test_boxes_against_a_plain_scan(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["\\boxed{", "{\\boxed{", "{", "}", "}", "x", "Boxed {"], k=rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(df.select("i", extraction.extract_boxed(F.col("t"))).collect())
+    assert [got[i] for i in range(len(texts))] == [plain_box(t) for t in texts]
+
+
+def test_unclosed_boxes_take_time_in_proportion(spark):
+    def seconds(count):
+        texts = ["\\boxed{" * count, "\\boxed{" + "{" * count, "\\boxed{a" * count + "}"]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+        began = time.perf_counter()
+        got = [r[0] for r in df.select(extraction.extract_boxed(F.col("t"))).collect()]
+        assert got == [None, None, "a"]
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 30 + 10 * seconds(10_000)  # ten times the square would be a hundred
