@@ -12,7 +12,7 @@ from plenum.functions.fingerprint import table_fingerprint
 from plenum.operators import joins, metrics, quality, records as rec, standardize
 from plenum.schemas import simple
 from plenum.session import scratch_path
-from plenum.sources import benchmarks, manifest, records, sinks
+from plenum.sources import benchmarks, hashtree, manifest, records, sinks
 from plenum.streaming import incremental
 
 ROW = simple("sample_id string, sample_index bigint, dataset string, gold string")
@@ -356,6 +356,42 @@ def stage_manifest(spark, d):
     return manifest.stage_status(expected, manifest.load(spark, path), actual)
 
 
+HASH_WIDTH, HASH_FANOUT = 64, 4
+
+
+@query(
+    "stage_hash_tree",
+    f"""WITH cut AS (SELECT o_orderstatus AS stage, min(o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
+             leaf AS (SELECT o_orderstatus AS stage, o_orderkey // {HASH_WIDTH} AS "range", count(*) AS n FROM orders GROUP BY ALL),
+             diff AS (SELECT stage, "range", n AS rows_before, n - CASE stage WHEN 'P' THEN 1 ELSE 0 END AS rows_now
+                      FROM leaf JOIN cut USING (stage) WHERE "range" = k // {HASH_WIDTH})
+        SELECT v.stage, v.status, v.cause, d."range", d."range" * {HASH_WIDTH} AS first_key, d.rows_before, nullif(d.rows_now, 0) AS rows_now
+        FROM (VALUES ('F', 'complete', NULL), ('O', 'stale', NULL), ('P', 'stale', NULL), ('closed', 'complete', NULL), ('open', 'stale', 'O'),
+                     ('all', 'stale', 'O'), ('report', 'stale', 'O')) AS v(stage, status, cause)
+        LEFT JOIN diff d USING (stage)""",
+)
+def stage_hash_tree(spark, d):
+    """Trees of the orders by status: one changed row in O, one row less in P, and the stages that follow."""
+    rows = inputs.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    least = rows.filter("o_orderstatus <> 'F'").groupBy(F.col("o_orderstatus").alias("s")).agg(F.min("o_orderkey").alias("k"))
+    at = {r["s"]: r["k"] for r in least.collect()}  # one row a status
+    hit = lambda s: (F.col("o_orderstatus") == s) & (F.col("o_orderkey") == at.get(s, -1))
+    after = rows.filter(~hit("P")).withColumn("o_custkey", F.when(hit("O"), F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    found = None
+    for stage in ("F", "O", "P"):
+        tree = lambda df: hashtree.hash_tree(
+            df.filter(F.col("o_orderstatus") == stage), "o_orderkey", ["o_orderkey", "o_custkey"], HASH_WIDTH, HASH_FANOUT
+        )
+        part = hashtree.changed_ranges(tree(rows), tree(after), HASH_WIDTH, HASH_FANOUT).withColumn("stage", F.lit(stage))
+        found = part if found is None else found.unionByName(part)
+    names = ["F", "O", "P", "closed", "open", "all", "report"]
+    edges = [("closed", "F"), ("open", "O"), ("all", "open"), ("all", "closed"), ("all", "P"), ("report", "all")]
+    stages = spark.createDataFrame([(n,) for n in names], "stage string")
+    status = stages.join(found.select("stage", F.lit("stale").alias("status")).distinct(), "stage", "left").fillna("complete", ["status"])
+    carried = hashtree.carry_staleness(status, spark.createDataFrame(edges, "stage string, upstream string"))
+    return carried.join(found.select("stage", "range", "first_key", "rows_before", "rows_now"), "stage", "left")
+
+
 @query(
     "check_upstream_stage",
     """SELECT o_orderpriority AS stage, o_orderstatus AS artifact, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'missing' WHEN '2' THEN 'stale' WHEN '3' THEN 'redirected' ELSE 'corrupted' END AS reason

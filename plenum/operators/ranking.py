@@ -89,3 +89,18 @@ def with_position(
     if limit is not None:
         ranked = ranked.filter(F.col(target) < limit)
     return ranked.drop("__bucket", "__before")
+
+
+def with_range_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the rank from 1 in the order of all rows, by ranges that are sorted task by task.
+
+    ``order`` must tell all rows apart, or rows alike are ranked in any order.  The
+    only list that one task orders has a row for each range.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = staged(sorted_rows, "ranges").withColumn("__range", F.shiftright("__at", 33))
+    ends = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(starts, "__range").withColumn(name, F.col("__before") + inside + 1).drop("__at", "__range", "__before")

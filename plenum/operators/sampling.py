@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.seeds import order_hash
 from plenum.operators.ranking import (
-    HASH_PREFIX, bucket_counts, hash_bucket, key_bucket, match_groups, offsets, staged, with_position,
+    HASH_PREFIX, bucket_counts, hash_bucket, key_bucket, match_groups, offsets, staged, with_position, with_range_rank,
 )
 
 
@@ -114,26 +114,43 @@ def sample_bundle(
     return kept_whole.unionByName(chosen.select(*df.columns))
 
 
+REMAINDER_BUCKETS = 4096
+
+
 def allocate(sizes: DataFrame, total: int, name: str = "name", size: str = "size") -> DataFrame:
     """Exact total over groups in proportion to their size: largest remainders
-    first, ties by name.  One row per group, so one small window is enough."""
+    first, ties by name.
+
+    A histogram of the remainders tells in which bucket the last one lies that
+    is rounded up.  Buckets before it are rounded up, later ones down, and only
+    the groups of that bucket are ranked, range by range; so no task holds all
+    groups, however many there are or however many remainders are equal.
+    """
     if total < 0:
         raise ValueError("total must not be negative")
-    everything = Window.partitionBy(F.lit(1))
-    all_rows = F.sum(size).over(everything)
-    quota = F.coalesce(F.try_divide((F.col(size) * total).cast("double"), all_rows.cast("double")), F.lit(0.0))
-    base = sizes.withColumn("__all", all_rows).withColumn("__quota", quota)
-    base = base.withColumn("__floor", F.floor("__quota"))
-    order = Window.partitionBy(F.lit(1)).orderBy((F.col("__quota") - F.col("__floor")).desc(), name)
-    base = base.withColumn("__rank", F.row_number().over(order)).withColumn(
-        "__left", F.lit(total) - F.sum("__floor").over(everything)
-    )
-    enough = F.when(
-        F.col("__all") >= total,
-        F.col("__floor") + (F.col("__rank") <= F.col("__left")).cast("bigint"),
-    ).otherwise(F.raise_error(F.lit(f"cannot allocate {total} rows")))
-    checked = F.when(F.col("__all") == 0, F.lit(0).cast("bigint")).otherwise(enough)
-    return base.withColumn("allocated", checked).drop("__all", "__quota", "__floor", "__rank", "__left")
+    base = staged(sizes, "sizes")
+    rows = base.agg(F.sum(size)).first()[0] or 0
+    if not rows:
+        return base.withColumn("allocated", F.lit(0).cast("bigint"))
+    if rows < total:
+        raise ValueError(f"cannot allocate {total} rows")
+    quota = F.try_divide((F.col(size) * total).cast("double"), F.lit(rows).cast("double"))
+    base = base.withColumn("__quota", F.coalesce(quota, F.lit(0.0))).withColumn("__floor", F.floor("__quota"))
+    base = base.withColumn("__rest", F.col("__quota") - F.col("__floor"))
+    base = base.withColumn("__bucket", F.floor((1 - F.col("__rest")) * REMAINDER_BUCKETS))  # in falling order of the remainder
+    histogram = base.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("__floor").alias("floor")).orderBy("__bucket").collect()
+    left = total - sum(r["floor"] for r in histogram)
+    cut = -1
+    for r in histogram:  # at most REMAINDER_BUCKETS + 1 rows
+        cut = r["__bucket"]
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    ranked = with_range_rank(base.filter(F.col("__bucket") == cut), [F.col("__rest").desc(), F.col(name)], "__rank")
+    up = F.when(F.col("__bucket") < cut, 1).otherwise((F.coalesce("__rank", F.lit(left + 1)) <= left).cast("int"))
+    apart = base.filter(F.col("__bucket") != cut).withColumn("__rank", F.lit(None).cast("bigint"))
+    both = apart.unionByName(ranked).withColumn("allocated", F.col("__floor") + up)
+    return both.drop("__quota", "__floor", "__rest", "__bucket", "__rank")
 
 
 def split_quotas(

@@ -1,12 +1,14 @@
 """Samples and splits against brute force, including one hot group."""
 
 import hashlib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plenum.functions import seeds
-from plenum.operators import joins, quality, sampling
+from plenum.operators import joins, quality, ranking, sampling
 from tests.conftest import rows
 
 
@@ -129,3 +131,32 @@ def test_rows_with_missing_groups_stay(spark):
     out = sampling.split_stratified(df, "key", 1)
     assert out.count() == 40
     assert sampling.source_position(df.withColumn("n", F.length("key")), ["subject"], "n").count() == 40
+
+
+def plain_allocation(sizes, total):
+    rows = sum(n for _, n in sizes)
+    quota = {name: float(n * total) / float(rows) for name, n in sizes}
+    floor = {name: math.floor(q) for name, q in quota.items()}
+    order = sorted(quota, key=lambda name: (-(quota[name] - floor[name]), name))
+    up = set(order[: total - sum(floor.values())])
+    return {name: floor[name] + (name in up) for name, _ in sizes}
+
+
+def test_allocation_of_many_groups(spark):
+    rng = random.Random(9)
+    for sizes, total in (
+        ([(f"n{i:05}", rng.randint(0, 50)) for i in range(3000)], 7001),
+        ([(f"n{i:05}", 5) for i in range(3000)], 1234),  # one remainder for all: the names decide
+        ([("a", 1), ("b", 1)], 2),
+    ):
+        df = spark.createDataFrame(sizes, "name string, size bigint").repartition(8)
+        got = sampling.allocate(df, total)
+        assert dict(got.select("name", "allocated").collect()) == plain_allocation(sizes, total)
+        assert "SinglePartition" not in got.filter("name > 'n'").select("allocated")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_range_ranks_have_no_common_task(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k"))
+    ranked = ranking.with_range_rank(df.repartition(6), [F.col("k").desc()], "r").collect()
+    assert [r["k"] for r in sorted(ranked, key=lambda r: r["r"])] == sorted((r["k"] for r in ranked), reverse=True)
+    assert [r["r"] for r in sorted(ranked, key=lambda r: r["r"])] == list(range(1, 20_001))

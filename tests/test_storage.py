@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plenum.schemas import simple
 from plenum.session import scratch_path, shared_dir
-from plenum.sources import benchmarks, files, manifest, records, sinks
+from plenum.sources import benchmarks, files, hashtree, manifest, records, sinks
 from plenum.streaming import incremental
 from tests.conftest import rows
 
@@ -194,3 +194,30 @@ def test_lines_of_streams(monkeypatch):
         if text:
             with pytest.raises(EOFError):
                 list(files._unpacked(iter([packed[:-3]]), True))
+
+
+def test_hash_tree_names_the_changed_range(spark):
+    old = spark.range(5000).select("id", (F.col("id") * 7).alias("v"))
+    tree = lambda df: hashtree.hash_tree(df, "id", width=10, fanout=4)
+    before = tree(old)
+    assert before.filter("level = 0").count() == 500 and before.groupBy("level").count().orderBy(F.desc("level")).first()["count"] == 1
+    changes = lambda df: rows(hashtree.changed_ranges(before, tree(df), 10, 4))
+    assert changes(old.orderBy(F.desc("v"))) == []
+    one = old.withColumn("v", F.when(F.col("id") == 1234, -1).otherwise(F.col("v")))
+    assert changes(one) == [(123, 1230, 1239, 10, 10, "changed")]
+    assert changes(old.filter("id < 4995")) == [(499, 4990, 4999, 10, 5, "changed")]
+    assert changes(old.filter("id < 4990")) == [(499, 4990, 4999, 10, None, "removed")]
+    more = old.unionByName(spark.createDataFrame([(90_000, 1), (-5, 2), (None, 3)], "id bigint, v bigint"))
+    found = hashtree.changed_ranges(before, tree(more), 10, 4).select("range", "change").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(9000, "added"), (-1, "added"), (None, "added")], key=repr)
+    empty = old.filter("false")
+    assert tree(empty).count() == 0 and len(changes(empty)) == 500
+    assert hashtree.changed_ranges(tree(empty), tree(empty), 10, 4).count() == 0
+
+
+def test_staleness_goes_to_later_stages_only(spark):
+    status = spark.createDataFrame([("a", "complete"), ("b", "stale"), ("c", "complete"), ("d", "complete"), ("e", "missing"), ("f", "complete")], "stage string, status string")
+    edges = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "c"), ("f", "a"), ("a", "f"), ("d", "e")], "stage string, upstream string")
+    assert rows(hashtree.carry_staleness(status, edges)) == [
+        ("a", "complete", None), ("b", "stale", None), ("c", "stale", "b"), ("d", "stale", "b"), ("e", "missing", None), ("f", "complete", None)
+    ]
