@@ -6,8 +6,10 @@ Learning with Non-Negative Risk Estimator).  The class prior of the unlabelled
 texts is estimated by the best-bin method of Garg et al. (Mixture Proportion
 Estimation and PU Learning): the least ratio of the two classes' upper tails.
 
-Fitting uses a bounded sample (``SAMPLE`` rows of each kind, the first by a
-hash of the id); every whole text is scored.  Negative labels are never used.
+The risk is minimised over a bounded sample (``SAMPLE`` texts of each kind, the
+first by a hash of id and text).  The centre and spread of the statistics, and the
+scores behind the class prior, cover all texts that are not held out; every whole
+text is scored.  Negative labels are never used.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenum.llm.common import identity
+from plenum.llm.common import identity, saved
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -100,49 +102,45 @@ def _adam(gradient, size: int, steps: int) -> np.ndarray:
     return weights
 
 
-def nn_risk_weights(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
-    """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with logistic loss.
+def nn_risk_weights(
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, of_positive: np.ndarray | None = None,
+    of_unlabelled: np.ndarray | None = None, steps: int = STEPS,
+) -> np.ndarray:
+    """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with logistic loss, over weighted rows.
 
     Where the second term is negative the step goes up on it instead, so the
     model cannot fit unlabelled texts as negatives below zero risk.
     """
 
+    share = lambda rows, of: np.full(len(rows), 1 / len(rows)) if of is None else of / of.sum()
+    wp, wu = share(positive, of_positive), share(unlabelled, of_unlabelled)
+
     def gradient(w: np.ndarray) -> np.ndarray:
         zp, zu = positive @ w, unlabelled @ w
-        loss_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        loss_negative = np.logaddexp(0, zu) @ wu - prior * (np.logaddexp(0, zp) @ wp)
         pull = L2 * w
-        rise = (_sigmoid(zu) @ unlabelled) / len(unlabelled) - prior * (_sigmoid(zp) @ positive) / len(positive)
+        rise = (_sigmoid(zu) * wu) @ unlabelled - prior * ((_sigmoid(zp) * wp) @ positive)
         if loss_negative < 0:
             return pull - rise
-        return pull + prior * ((_sigmoid(zp) - 1) @ positive) / len(positive) + rise
+        return pull + prior * (((_sigmoid(zp) - 1) * wp) @ positive) + rise
 
     return _adam(gradient, positive.shape[1], steps)
 
 
-def class_prior(positive_scores: np.ndarray, unlabelled_scores: np.ndarray, confidence: float = 0.1) -> float:
-    """Share of positives among the unlabelled: the best upper bin of held scores."""
-    cuts = np.unique(positive_scores)
-    above_p = 1 - np.searchsorted(np.sort(positive_scores), cuts, "left") / len(positive_scores)
-    above_u = 1 - np.searchsorted(np.sort(unlabelled_scores), cuts, "left") / len(unlabelled_scores)
-    slack = np.sqrt(np.log(4 / confidence) / 2) * (len(positive_scores) ** -0.5 + len(unlabelled_scores) ** -0.5)
+def class_prior(above_p: np.ndarray, above_u: np.ndarray, n_positive: int, n_unlabelled: int, confidence: float = 0.1) -> float:
+    """Share of positives among the unlabelled: the best upper bin of held scores.
+
+    ``above_p`` and ``above_u`` are the shares of both classes at or above each cut.
+    """
+    slack = np.sqrt(np.log(4 / confidence) / 2) * (n_positive**-0.5 + n_unlabelled**-0.5)
     best = np.argmin((above_u + slack) / np.maximum(above_p, 1e-9))
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Train on two matrices of features; without one of them every score is 0.5."""
-    size = len(FEATURES)
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(size), np.ones(size), np.zeros(size + 1), 0.5)
-    both = np.concatenate([positive, unlabelled])
-    model = Model(both.mean(0), np.maximum(both.std(0), 1e-3), np.zeros(size + 1), 0.5)
-    p, u = model.inputs(positive), model.inputs(unlabelled)
-    # a plain classifier of one half gives the scores of the other, which estimate the prior
-    model.weights = nn_risk_weights(p[::2], u[::2], 0.5)
-    held = [side[1::2] if len(side) > 1 else side for side in (p, u)]
-    model.prior = class_prior(*[_sigmoid(side @ model.weights) for side in held])
-    model.weights = nn_risk_weights(p, u, model.prior)
-    return model
+def share_above(cuts: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Share (by weight) of values at or above each rising cut."""
+    counts = np.bincount(np.searchsorted(cuts, values, "right"), weights, len(cuts) + 1)
+    return counts[::-1].cumsum()[::-1][1:] / counts.sum()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,13 +148,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _first_by_hash(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids, the first by hash; a hash bound leaves few more to sort."""
-    total = ids.count()
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    share = min(1.0, 1.2 * most / max(1, total))
-    near = ids.filter(F.pmod(order, F.lit(1 << 20)) <= int(share * (1 << 20)))
-    return near.orderBy(F.pmod(order, F.lit(1 << 20)), order).limit(most)
+def _first_by_hash(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct (k_id, k_text) of some rows with their count ``n``, the first by hash.
+
+    A hash bound leaves few more than needed before anything is sorted; repeated rows
+    count as one, with their number as weight.
+    """
+    order = F.xxhash64("k_id", "k_text", F.lit("sample"))
+    total = rows.agg(F.approx_count_distinct(order, 0.02)).first()[0]
+    share = min(1.0, (1.2 * most + 100) / max(1, total))
+    near = rows.filter(F.pmod(order, F.lit(1 << 20)) <= int(share * (1 << 20)))
+    each = near.groupBy("k_id", "k_text").agg(F.count("*").alias("n"), F.first("x").alias("x"))
+    return each.orderBy(F.pmod(order, F.lit(1 << 20)), order).limit(most)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -164,25 +167,66 @@ def _feature_rows(texts: pd.Series) -> pd.Series:
     return pd.Series([features(t) for t in texts], dtype=object)
 
 
+def featured(documents: DataFrame) -> DataFrame:
+    """(doc_id, k_id, k_text, x) of all rows, written once: later steps read some hundred bytes a text."""
+    return saved(documents.select("doc_id", *identity(), _feature_rows(F.col("text").cast("binary")).alias("x")), "features")
+
+
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.array(x.tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
+
+
+def _bins(rows: DataFrame, model: Model, cuts: np.ndarray) -> np.ndarray:
+    """How many rows score between the cuts; the driver sees one number a cut."""
+
+    @F.pandas_udf(T.IntegerType())
+    def bin_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, model.score(_matrix(x)), "right").astype("int32"))
+
+    counts = np.zeros(len(cuts) + 1)
+    for row in rows.groupBy(bin_of("x").alias("bin")).count().collect():
+        counts[row["bin"]] = row["count"]
+    return counts
+
+
+def fit(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from the features of documents; see ``train``."""
+    size = len(FEATURES)
+    usable = features.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    trusted = labels.filter("quality = 1").select("doc_id").distinct()
+    positive = _first_by_hash(usable.join(trusted, "doc_id", "left_semi"), sample).toPandas()  # at most `sample` rows
+    rest = usable.join(trusted, "doc_id", "left_anti")
+    unlabelled = _first_by_hash(rest, sample).toPandas()
+    if positive.empty or unlabelled.empty:
+        return Model(np.zeros(size), np.ones(size), np.zeros(size + 1), 0.5)
+    moments = usable.agg(*[f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(size)]).first()
+    model = Model(np.array(moments[:size]), np.maximum(np.array(moments[size:]), 1e-3), np.zeros(size + 1), 0.5)
+    positive, unlabelled = (part.sort_values(["k_text", "k_id"]) for part in (positive, unlabelled))
+    p, u = model.inputs(_matrix(positive["x"])), model.inputs(_matrix(unlabelled["x"]))
+    wp, wu = positive["n"].to_numpy(np.float64), unlabelled["n"].to_numpy(np.float64)
+    # a plain classifier of one half of the sample gives scores, which estimate the prior: those of
+    # the other half of the positives against those of all unlabelled texts
+    model.weights = nn_risk_weights(p[::2], u[::2], 0.5, wp[::2], wu[::2])
+    held, weight = (p[1::2], wp[1::2]) if len(p) > 1 else (p, wp)
+    held_scores = _sigmoid(held @ model.weights)
+    cuts = np.unique(held_scores)
+    between = _bins(rest, model, cuts)
+    above_u = between[::-1].cumsum()[::-1][1:] / between.sum()
+    model.prior = class_prior(share_above(cuts, held_scores, weight), above_u, int(weight.sum()), int(between.sum()))
+    model.weights = nn_risk_weights(p, u, model.prior, wp, wu)
+    return model
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` trusted positives and as many unlabelled texts.
+    """Fit on at most ``sample`` trusted positives and as many unlabelled texts, each with the number of its rows.
 
     Trusted are documents with label 1 that are not held out; unlabelled are
     all other documents that are not held out.  Null ids, and labels other than
     1 (null, contradicting ones beside a 1 included) trust nothing by themselves.
+    Centre, spread and class prior come from all of them.  Without positives or
+    without unlabelled texts every score is 0.5.
     """
-    trusted = labels.filter("quality = 1").select("doc_id").distinct()
-    ids = documents.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    positive = _first_by_hash(ids.join(trusted, "doc_id", "left_semi"), sample).withColumn("trusted", F.lit(True))
-    unlabelled = _first_by_hash(ids.join(trusted, "doc_id", "left_anti"), sample).withColumn("trusted", F.lit(False))
-    chosen = positive.union(unlabelled)  # bounded by twice `sample` ids
-    rows = (
-        documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .select("trusted", F.xxhash64("doc_id", "text").alias("order"), _feature_rows(F.col("text").cast("binary")).alias("x"))
-        .toPandas().sort_values("order")
-    )
-    matrix = lambda part: np.array(part["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    return fit(matrix(rows[rows["trusted"]]), matrix(rows[~rows["trusted"]]))
+    return fit(featured(documents), labels, sample)
 
 
 def score(text: Column, model: Model) -> Column:
@@ -203,8 +247,14 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
     is scored by its (zero) statistics.  Without positives or without
     unlabelled rows every score is 0.5.  Other columns are not touched.
     """
-    model = train(documents, labels, sample)
-    scored = documents.select("doc_id", *identity(), score(F.col("text"), model).alias("score"))
+    rows = featured(documents)
+    model = fit(rows, labels, sample)
+
+    @F.pandas_udf(T.DoubleType())
+    def scores(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(x)))
+
+    scored = rows.select("doc_id", "k_id", "k_text", scores("x").alias("score"))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "k_id", "k_text",

@@ -62,5 +62,45 @@ def test_odd_rows(llm, odd, none):
 
 def test_sample_is_bounded(llm, make):
     rows, truth = corpus(400)
-    got = pu_quality._first_by_hash(make(rows).select("doc_id"), 50)
-    assert got.count() == 50
+    features = pu_quality.featured(make(rows + [(7, rows[7][1])] * 300 + [(7, f"text {i} of one id") for i in range(200)]))
+    got = pu_quality._first_by_hash(features, 50).collect()
+    assert len(got) == 50 and len({(r["k_id"], r["k_text"]) for r in got}) == 50
+    every = {(r["k_id"], r["k_text"]): r["n"] for r in pu_quality._first_by_hash(features, 10_000).collect()}
+    assert len(every) == 600 and sorted(every.values())[-2:] == [1, 301]
+
+
+def plain_risk(w, p, u, prior):
+    positive, negative = np.logaddexp(0, -(p @ w)).mean(), np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    return prior * positive + max(0.0, negative) + pu_quality.L2 / 2 * (w @ w)
+
+
+def test_weights_minimise_the_risk():
+    rng = np.random.default_rng(3)
+    p = np.column_stack([rng.normal(1, 1, (300, 3)), np.ones(300)])
+    u = np.column_stack([np.concatenate([rng.normal(1, 1, (200, 3)), rng.normal(-1, 1, (200, 3))]), np.ones(400)])
+    w = pu_quality.nn_risk_weights(p, u, 0.5, steps=3000)
+    least = plain_risk(w, p, u, 0.5)
+    for _ in range(300):
+        assert plain_risk(w + rng.normal(0, 0.05, 4), p, u, 0.5) > least - 1e-4
+    # a row's weight is the number of its copies
+    copies = pu_quality.nn_risk_weights(np.concatenate([p, p[:40], p[:40]]), u, 0.5)
+    weight = np.ones(300)
+    weight[:40] = 3
+    assert np.allclose(copies, pu_quality.nn_risk_weights(p, u, 0.5, weight, np.ones(400)))
+
+
+def test_prior_of_a_known_mixture():
+    rng = np.random.default_rng(5)
+    positive, unlabelled = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 3000), rng.normal(-2, 1, 7000)])
+    cuts = np.unique(positive)
+    above = [pu_quality.share_above(cuts, v) for v in (positive, unlabelled)]
+    assert np.allclose(above[1], [(unlabelled >= c).mean() for c in cuts])
+    assert abs(pu_quality.class_prior(*above, 4000, 10_000) - 0.3) < 0.03
+
+
+def test_statistics_cover_all_texts(llm, make):
+    rows, truth = corpus(400)
+    known = [(i, truth[i]) for i in truth if i % 2]
+    model = pu_quality.train(make(rows), labels(llm, known), sample=40)
+    x = np.array([pu_quality.features(t.encode()) for i, t in rows if zlib.crc32(str(i).encode()) % 5])
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.spread, np.maximum(x.std(0), 1e-3))
