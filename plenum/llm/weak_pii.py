@@ -192,10 +192,11 @@ def _loose(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text):
         for kind, pattern in _LOOSE:
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+    if "=" in text or ":" in text:
         found += [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)]
     for m in _HIDDEN_AT.finditer(text):
         start = m.start()
-        while start > max(0, m.start() - 64) and text[start - 1] in _LOCAL:
+        while start and text[start - 1] in _LOCAL:  # runs before two marks never overlap
             start -= 1
         domain = _HIDDEN_DOMAIN.match(text, m.end())
         if start < m.start() and domain:

@@ -132,3 +132,11 @@ def test_labelers_decide_on_names(make):
     for r in weak_pii.find(make(rows)).collect():
         found = [texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s]
         assert len(found) == (r["doc_id"] >= 1000), (r["doc_id"], found)
+
+
+def test_candidates_do_not_depend_on_unrelated_text():
+    for text in ("password=correcthorsebatterystaple and", "secret: 'abcdefghijklmnop'", "write to " + "a" * 100 + " [at] example [dot] com now"):
+        alone = weak_pii.candidates(text)
+        assert alone and alone == weak_pii.candidates(text + " and the number 7")
+    (start, kind, end, base, _), = weak_pii.candidates("write to " + "a" * 100 + " [at] example [dot] com now")
+    assert (start, end, base) == (9, 9 + 100 + len(" [at] example [dot] com"), False)
