@@ -26,7 +26,7 @@ SHINGLE_WORDS = 3
 SEED = 42
 DISTANCE = 2
 BLOCKS = 5
-# Groups above this size are linked through shared one-bit neighbours, not by pairs.
+# Groups above this size are linked through shared neighbours, not by pairs.
 PAIR_GROUP = 128
 _STEP = 1 << 16
 
@@ -82,26 +82,36 @@ def _links_by_pairs(blocks: DataFrame, distance: int) -> DataFrame:
     return left.join(right, (left.c == right.c) & (left.key == right.key) & close).select("a", "b")
 
 
+def _points(blocks: DataFrame, masks: list[int], flips: int) -> DataFrame:
+    """(fp, point): all values that differ from a member in at most ``flips`` of the bits its block leaves free."""
+    free = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("c") + 1)
+    bit = F.expr("shiftleft(1L, i)")
+    level = blocks.select("fp", free.alias("free"), F.col("fp").alias("point"), F.lit(-1).alias("last"))
+    points = level
+    for _ in range(flips):
+        level = (
+            level.select("fp", "free", "point", "last", F.explode(F.expr(f"sequence(0, {BITS - 1})")).alias("i"))
+            .filter((F.col("i") > F.col("last")) & (F.col("free").bitwiseAND(bit) != 0))
+            .select("fp", "free", F.col("point").bitwiseXOR(bit).alias("point"), F.col("i").alias("last"))
+        )
+        points = points.union(level)
+    return points.select("fp", "point").distinct()
+
+
 def _links_by_neighbours(blocks: DataFrame, masks: list[int], distance: int) -> DataFrame:
     """Links inside large groups, linear in their size.
 
-    Two members at distance two or less share a point that is at most one bit
-    away from both; members that share a point are at most two bits apart.
-    Each is linked to the least member of the point, which keeps components.
+    Two members within ``distance`` share a point that is at most half of it away
+    from one (rounded down) and from the other (rounded up); members that share
+    such a point are within the distance.  Each is linked to the least of the nearer
+    members of the point, which keeps components.
     """
-    if distance != 2:
-        raise ValueError("large groups are linked through one-bit neighbours, which is distance two")
-    free = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("c") + 1)
-    bit = F.expr("shiftleft(1L, i)")
-    points = (
-        blocks.withColumn("free", free)
-        .select("fp", "free", F.explode(F.expr(f"sequence(-1, {BITS - 1})")).alias("i"))
-        .filter((F.col("i") < 0) | (F.col("free").bitwiseAND(bit) != 0))
-        .select("fp", F.when(F.col("i") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(bit)).alias("point"))
-        .distinct()
-    )
-    least = points.groupBy("point").agg(F.min("fp").alias("a"))
-    return points.join(least, "point").filter("a < fp").select("a", F.col("fp").alias("b"))
+    near, far = distance // 2, (distance + 1) // 2
+    points = _points(blocks, masks, far)
+    closer = points if near == far else _points(blocks, masks, near)
+    least = closer.groupBy("point").agg(F.min("fp").alias("a"))
+    linked = points.join(least, "point").filter("a <> fp")
+    return linked.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
 
 
 def links(

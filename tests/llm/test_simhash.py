@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -77,6 +78,20 @@ def test_large_groups_link_like_pairs(llm):
     assert both[0] == both[1]
 
 
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_large_groups_at_other_distances(llm, distance):
+    rng = random.Random(distance)
+    centre = rng.getrandbits(63)
+    prints = {centre ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(12)) for _ in range(70)}
+    df, both = llm.createDataFrame([(p,) for p in prints], "fp long"), []
+    for limit in (10_000, 2):
+        edges = simhash.links(df, distance=distance, pair_group=limit)
+        assert all(0 < (r["a"] ^ r["b"]).bit_count() <= distance and r["a"] < r["b"] for r in edges.collect())
+        roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+        both.append({p: roots.get(p, p) for p in prints})
+    assert both[0] == both[1]
+
+
 def test_one_of_each_group_stays(make, odd):
     rows = [(3, "a b c d"), (1, "a b c d"), (2, "A B C D"), (9, None), (8, ""), (None, "x y z"), (None, "x y z")]
     kept = simhash.keep_first(make(rows))
