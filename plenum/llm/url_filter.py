@@ -36,7 +36,6 @@ SEEDS = (
     "adult", "ads", "bet", "bets", "bingo", "casino", "cheap", "escort", "gambling", "jackpot", "loan", "loans",
     "lottery", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx",
 )
-WORD_CHARS = 24  # longest word a run may be split into; longer runs are split further
 _REST = r"^[^/?#]*([^?#]*)"
 
 
@@ -64,8 +63,10 @@ def _runs(text: Column) -> Column:
 
 
 def page_words(html: Column) -> Column:
-    """Letter runs of the visible text of a page."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    """Letter runs of the visible text of a page; what is opened and not closed goes on to the end of the page."""
+    bare = F.regexp_replace(
+        html, r"(?is)<(script|style)\b(?:.*?</\1\s*>|.*)|<!--(?:.*?-->|.*)|<[^>]*(?:>|\z)|&#?\w+;", " "
+    )
     return _runs(bare)
 
 
@@ -77,15 +78,26 @@ def unigrams(pages: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def viterbi(run: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
-    """The likeliest split of a run; ``known`` has the log probability of words by (start, length)."""
+    """The likeliest split of a run; ``known`` has the log probability of words by (start, length).
+
+    An unseen piece of any length costs log(10 / total) - length * log(10), never less
+    than a known word there.  The best start of an unseen piece that ends here is kept
+    on the way, so the time grows with the run and the known words in it.
+    """
+    unseen, ten = math.log(10.0 / total), math.log(10.0)
+    by_end: dict[int, list[tuple[int, float]]] = {}
+    for (start, size), logp in known.items():
+        by_end.setdefault(start + size, []).append((start, logp))
     best, back = [0.0] + [-math.inf] * len(run), [0] * (len(run) + 1)
+    top, origin = -math.inf, 0  # of best[start] + start * log(10)
     for stop in range(1, len(run) + 1):
-        for start in range(max(0, stop - WORD_CHARS), stop):
-            size = stop - start
-            # an unseen word costs more the longer it is
-            logp = known.get((start, size), math.log(10.0 / total) - size * math.log(10.0))
-            if best[start] + logp > best[stop]:
-                best[stop], back[stop] = best[start] + logp, start
+        if best[stop - 1] + (stop - 1) * ten > top:
+            top, origin = best[stop - 1] + (stop - 1) * ten, stop - 1
+        value, back[stop] = best[origin] + unseen - (stop - origin) * ten, origin
+        for start, logp in sorted(by_end.get(stop, ())):
+            if best[start] + logp > value or best[start] + logp == value and start < back[stop]:
+                value, back[stop] = best[start] + logp, start
+        best[stop] = value
     words, stop = [], len(run)
     while stop:
         words.append(run[back[stop] : stop])
@@ -94,16 +106,22 @@ def viterbi(run: str, known: dict[tuple[int, int], float], total: float) -> list
 
 
 def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run, words) for every distinct run, by the unigram counts of its substrings."""
+    """(run, words) for every distinct run, by the unigram counts of its substrings.
+
+    Substrings of all lengths that some counted word has are looked up, so words of
+    any length are found; the list of lengths is short, as long words are few.
+    """
     total = float(max(counts.agg(F.sum("n")).first()[0] or 0, 1))
+    sizes = sorted(r["size"] for r in counts.select(F.char_length("word").alias("size")).distinct().collect() if r["size"])
     runs = runs.select("run").distinct()
+    lengths = F.array(*[F.lit(size) for size in sizes]) if sizes else F.array().cast("array<int>")
     pieces = (
         runs.withColumn("start", F.explode(F.expr("sequence(0, char_length(run) - 1)")))
-        .withColumn("size", F.explode(F.expr(f"sequence(1, least({WORD_CHARS}, char_length(run) - start))")))
+        .withColumn("size", F.explode(F.filter(lengths, lambda size: size <= F.char_length("run") - F.col("start"))))
         .withColumn("word", F.expr("substring(run, start + 1, size)"))
     )
     found = pieces.join(counts, "word").groupBy("run").agg(
-        F.collect_list(F.struct("start", "size", F.log(F.col("n") / total).alias("logp"))).alias("known")  # at most WORD_CHARS per character
+        F.collect_list(F.struct("start", "size", F.log(F.col("n") / total).alias("logp"))).alias("known")  # words inside one run
     )
 
     @F.pandas_udf(T.ArrayType(T.StringType()))

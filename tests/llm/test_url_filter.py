@@ -1,6 +1,9 @@
 import math
+import time
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from plenum.llm import url_filter
 
 PAGES = "page_id long, url string, html string"
@@ -74,3 +77,32 @@ def test_viterbi_finds_the_best_of_all_splits():
                 best = max(best, sum(map(cost, parts)))
         got = url_filter.viterbi(run, known, total)
         assert "".join(got) == run and abs(sum(map(cost, got)) - best) < 1e-9
+
+
+def test_words_of_any_length_stay_whole(llm):
+    word = "donaudampfschifffahrtsgesellschaft"
+    counts = llm.createDataFrame([(word, 40), ("win", 60), ("donau", 3)], "word string, n bigint")
+    runs = llm.createDataFrame([(f"{word}win",), (f"win{word}",), ("x" * 3000 + word,)], "run string")
+    got = {r["run"]: r["words"] for r in url_filter.segment(runs, counts).collect()}
+    assert got == {f"{word}win": [word, "win"], f"win{word}": ["win", word], "x" * 3000 + word: ["x" * 3000, word]}
+
+
+def words_of(llm, *htmls):
+    df = llm.createDataFrame([(i, h) for i, h in enumerate(htmls)], "i int, html string")
+    return [r["w"] for r in df.select("i", url_filter.page_words(F.col("html")).alias("w")).orderBy("i").collect()]
+
+
+def test_visible_words(llm):
+    assert words_of(
+        llm, "<p>a b</p><script>no</script> c <STYLE x='1'>no</STYLE >d<!-- no --> e&nbsp;f", "a <script>no <p>no", "b <!-- no", "c <p no", "d < e > f", "", None
+    ) == [["a", "b", "c", "d", "e", "f"], ["a"], ["b"], ["c"], ["d", "f"], [], None]
+
+
+def test_unclosed_tags_take_time_in_proportion(llm):
+    def seconds(count):
+        began = time.perf_counter()
+        words_of(llm, "<script>" * count, "<!--" * count, "<" * count, "<p " * count, "word &amp " * count)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(80_000) < 10 + 10 * seconds(8_000)  # ten times the square would be a hundred
