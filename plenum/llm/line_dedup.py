@@ -12,6 +12,13 @@ characters by class but for ``2 * EDITS``; the join itself checks that, so that
 lines which share a long passage are not paired for it.  Candidates are
 verified with a banded bit-parallel edit distance.
 
+A segment that very many lines share (as in numbered lines of one wording) would
+pair all of them.  Such a family loses the ends that all its lines have in common,
+which changes no distance, and its lines meet on what is left of them after up to
+``EDITS`` deletions: two lines within the distance share such a variant.  That costs
+a row for each variant instead of one for each pair of lines, and is done where it
+is less.
+
 Texts are read where they lie: only hashes of lines and segments are shuffled,
 and the texts of lines that have a candidate.  Copies of a line never meet in
 pairs, as only its first document takes part for it.
@@ -19,8 +26,11 @@ pairs, as only its first document takes part for it.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +43,8 @@ EDITS = 2
 MIN_CHARS = 20
 # A line of white space alone is no line to compare.
 NOT_BLANK = r"(?U)\S"
+# Lines that share a segment, from which on they may meet on variants instead; counted in one line of SAMPLED.
+FAMILY, SAMPLED = 512, 16
 # Rows of line hashes that may be broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -154,25 +166,126 @@ def _maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _candidates(documents: DataFrame, repeated: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Distinct pairs of line hashes (a, b) that share a segment, a < b."""
+def _segments(documents: DataFrame, repeated: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(h, n, counts, own, sought): each distinct line with its index and probe keys, from its first document."""
     lines = _lines(documents, True, min_chars).withColumn("n", F.char_length("line"))
     first = lines.join(repeated.select("h", "g", "first_id"), ["h", "g"], "left").filter(
         F.col("first_id").isNull() | (F.col("first_id") == F.col("k_id"))
     )
-    keyed = saved(
+    return saved(
         first.select("h", "n", _class_counts("line").alias("counts"), index_keys(edits).alias("own"), probe_keys(edits).alias("sought")),
         "line-segments",
     )
+
+
+def _near(edits: int) -> Column:
+    """Whether a line ``b`` looks up line ``a``: of two lines of one length the greater hash the other; and their counts allow it."""
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return (F.col("a") != F.col("b")) & ordered & (_count_distance("ca", "cb") <= 2 * edits)
+
+
+def _candidates(keyed: DataFrame, families: DataFrame | None, edits: int) -> DataFrame:
+    """Distinct pairs of line hashes (a, b) that share a segment which is no family's, a < b."""
     index = keyed.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.explode("own").alias("key"))
     probe = keyed.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.explode("sought").alias("key"))
-    # of two lines of one length the greater hash looks up the other
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    near = (F.col("a") != F.col("b")) & ordered & (_count_distance("ca", "cb") <= 2 * edits)
-    met = index.join(probe, (index.key == probe.key) & near)
+    if families is not None:
+        index = index.join(families.select("key"), "key", "left_anti")
+    met = index.join(probe, (index.key == probe.key) & _near(edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def variants(core: str, edits: int) -> set[str]:
+    """A string and all that is left of it after up to ``edits`` deletions."""
+    level, found = {core}, {core}
+    for _ in range(edits):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        found |= level
+    return found
+
+
+def _variant_count(length: Column, edits: int) -> Column:
+    """Upper bound of the number of variants of a string."""
+    total, term = F.lit(1.0), F.lit(1.0)
+    for k in range(1, edits + 1):
+        term = term * F.greatest(length - (k - 1), F.lit(0)) / k
+        total = total + term
+    return total
+
+
+@F.pandas_udf(T.StructType([T.StructField("head", T.IntegerType()), T.StructField("tail", T.IntegerType())]))
+def _common_ends(lines: pd.Series, others: pd.Series) -> pd.DataFrame:
+    """Lengths of the common start and the common end of two lines."""
+    rows = []
+    for line, other in zip(lines, others):
+        rows.append((len(commonprefix([line, other])), len(commonprefix([line[::-1], other[::-1]]))))
+    return pd.DataFrame(rows, columns=["head", "tail"])
+
+
+def _families(documents: DataFrame, keyed: DataFrame, edits: int, min_chars: int, family: int, sampled: int, rows: int) -> tuple | None:
+    """(families, members) of the segments that many lines share and whose lines are alike enough for variants.
+
+    Members are (key, side, h, g, n, counts, core); side 0 is the line that has the
+    segment, 1 a line that looks it up.  None without such segments.
+    """
+    # which segments are taken decides the way, not the result, so a sample of the lines is enough to find them
+    some = keyed.filter(F.pmod("h", F.lit(sampled)) == 0).select(F.explode("own").alias("key"))
+    large = saved(some.groupBy("key").count().filter(F.col("count") * sampled > family).select("key"), "shared-segments")
+    if large.isEmpty():
+        return None
+    large = _maybe_broadcast(large, rows)
+    sides = [
+        keyed.select(F.lit(side).alias("side"), "h", "n", "counts", F.explode(F.array_distinct(keys)).alias("key")).join(large, "key", "left_semi")
+        for side, keys in enumerate(("own", "sought"))
+    ]
+    members = saved(sides[0].unionByName(sides[1]), "family-members")
+    hashes = saved(members.select("h").distinct(), "family-hashes")
+    texts = (
+        _lines(documents, True, min_chars).join(_maybe_broadcast(hashes, rows), "h", "left_semi")
+        .select("h", "g", "line").dropDuplicates(["h", "g"])
+    )
+    told = saved(members.join(texts, "h"), "family-lines")
+    firsts = told.groupBy("key").agg(F.min("line").alias("first"))
+    ends = told.join(firsts, "key").select("key", "side", "n", _common_ends("line", "first").alias("e"))
+    bounds = ends.groupBy("key").agg(
+        F.min("e.head").alias("head"), F.min("e.tail").alias("tail"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.count_if(F.col("side") == 0).alias("lines"),
+    )
+    bounds = bounds.withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
+    cost = _variant_count(F.col("most") - F.col("head") - F.col("tail"), edits)
+    families = saved(bounds.withColumn("cost", cost).filter(F.col("cost") < F.col("lines")).select("key", "head", "tail"), "families")
+    if families.isEmpty():
+        return None
+    core = F.substring(F.col("line"), F.col("head") + 1, F.col("n") - F.col("head") - F.col("tail"))
+    cores = told.join(families, "key").select("key", "side", "h", "g", "n", "counts", core.alias("core"))
+    return families, saved(cores, "family-cores")
+
+
+def _family_links(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) of nodes inside families: lines that share a variant, verified on what the family does not have in common."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(cores: pd.Series) -> pd.Series:
+        signed = lambda word: xxhash.xxh64_intdigest(word.encode()) - (1 << 63)
+        return pd.Series([[signed(word) for word in variants(core, edits)] for core in cores], dtype=object)
+
+    @F.pandas_udf(T.BooleanType())
+    def close(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([within(a, b, edits) for a, b in zip(left, right)], dtype=bool)
+
+    known = members.join(texts.select("h", "g", "node"), ["h", "g"]).withColumn("v", F.explode(keys("core")))
+    one = known.filter("side = 0").select(
+        "key", "v", F.col("h").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.col("core").alias("la"), F.col("node").alias("one")
+    )
+    two = known.filter("side = 1").select(
+        F.col("key").alias("key2"), F.col("v").alias("v2"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"),
+        F.col("core").alias("lb"), F.col("node").alias("two"),
+    )
+    # the plain distance only spares the shuffle of pairs that share a variant and are farther apart
+    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("v") == F.col("v2")) & _near(edits) & (F.levenshtein("la", "lb", edits) >= 0))
+    pairs = met.select("one", "two", "la", "lb").dropDuplicates(["one", "two"])
+    return pairs.filter(close("la", "lb")).select(F.col("one").alias("a"), F.col("two").alias("b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Links (a, b) of the nodes of ``texts`` whose lines are within ``edits``."""
 
@@ -187,7 +300,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def duplicate_lines(
-    documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS, short: bool = False
+    documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS, short: bool = False,
+    family: int = FAMILY, sampled: int = SAMPLED,
 ) -> DataFrame:
     """One row per line of at least ``min_chars`` code points; with ``short``, also per shorter line that is not blank.
 
@@ -204,14 +318,23 @@ def duplicate_lines(
     places = saved(_lines(documents, False, min_chars, short).drop("line"), "line-places")
     counted = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("k_id").alias("first_id"))
     repeated = saved(counted.filter("n > 1"), "repeated-lines")
-    pairs = saved(_candidates(documents, _maybe_broadcast(repeated, broadcast_rows), edits, min_chars), "line-pairs")
-    wanted = saved(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "paired-lines")
+    keyed = _segments(documents, _maybe_broadcast(repeated, broadcast_rows), edits, min_chars)
+    families, members = _families(documents, keyed, edits, min_chars, family, sampled, broadcast_rows) or (None, None)
+    pairs = saved(_candidates(keyed, None if families is None else _maybe_broadcast(families, broadcast_rows), edits), "line-pairs")
+    paired = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
+    wanted = saved((paired if members is None else paired.union(members.select("h"))).distinct(), "paired-lines")
     texts = saved(
         _lines(documents, True, min_chars).join(_maybe_broadcast(wanted, broadcast_rows), "h", "left_semi")
         .select("h", "g", "line").dropDuplicates(["h", "g"]).withColumn("node", F.monotonically_increasing_id()),
         "line-texts",
     )
-    links = saved(_verified(pairs, texts, edits).distinct(), "line-links")
+    found = _verified(pairs, texts, edits)
+    if members is not None:
+        inside = _family_links(members, texts, edits)
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(
+            inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        )
+    links = saved(found.distinct(), "line-links")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = texts.select("h", "g", "node").join(degree, "node").join(components(links), "node", "left")
     named = linked.select("h", "g", "n_links", F.coalesce("root", "node").alias("root"))

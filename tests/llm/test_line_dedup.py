@@ -154,3 +154,39 @@ def test_query_has_rows_of_short_lines(llm, make, tmp_path):
     got = QUERIES["op8_line_dedup"](llm, str(tmp_path)).collect()
     assert len(got) == sum(bool(line.strip()) for _, t in SHORT for line in t.split("\n"))
     assert sum(not r["kept"] for r in got) == 7
+
+
+def test_variants_meet_within_the_distance():
+    rng = random.Random(8)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices("ab", k=rng.randint(0, 7))) for _ in range(2))
+        shared = bool(line_dedup.variants(a, 2) & line_dedup.variants(b, 2))
+        assert shared or distance(a, b) > 2
+
+
+def family(numbers, width=4):
+    return [(i, f"Page {n:0{width}d} of the yearly report of the house") for i, n in enumerate(numbers)]
+
+
+def test_families_of_numbered_lines(make):
+    rng = random.Random(9)
+    rows = family(rng.sample(range(9000), 60))
+    rows += [(100 + i, t.replace("house", "hours")) for i, t in rows[:10]] + [(200 + i, t.replace("report", "reports")) for i, t in rows[10:20]]
+    rows += [(300 + i, t + "!" * (i % 3)) for i, t in rows[20:30]] + [(400 + i, t) for i, t in noisy(4)[:10]]
+    check(make, rows, family=8, sampled=1)
+    check(make, rows, family=8, sampled=1, broadcast_rows=0)
+    check(make, [(i, t) for i, t in enumerate(t for _, t in noisy(5))], family=2, sampled=1)
+
+
+def test_the_work_of_a_family_does_not_grow_with_its_square(make, monkeypatch):
+    made = []
+    plain = line_dedup._family_links
+    monkeypatch.setattr(line_dedup, "_family_links", lambda m, t, e: made.append(m.count()) or plain(m, t, e))
+    rows = family(range(0, 100_000, 50), 6)  # 2,000 lines, few of them within two edits
+    got = line_dedup.duplicate_lines(make(rows)).collect()
+    assert made and len(got) == 2000
+    numbers = [t[5:11] for _, t in rows]
+    links = {i: 0 for i in range(2000)}
+    for i in range(0, 2000, 40):
+        links[i] = sum(i != j and distance(numbers[i], numbers[j]) <= 2 for j in range(2000))
+        assert next(r["n_links"] for r in got if r["k_id"] == i) == links[i]
