@@ -178,10 +178,10 @@ def _segments(documents: DataFrame, repeated: DataFrame, edits: int, min_chars:
     )
 
 
-def _near(edits: int) -> Column:
-    """Whether a line ``b`` looks up line ``a``: of two lines of one length the greater hash the other; and their counts allow it."""
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return (F.col("a") != F.col("b")) & ordered & (_count_distance("ca", "cb") <= 2 * edits)
+def _ordered() -> Column:
+    """Whether a line ``b`` looks up line ``a``: the longer one the shorter, of two lines of one length the greater hash the other."""
+    longer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return (F.col("a") != F.col("b")) & longer
 
 
 def _candidates(keyed: DataFrame, families: DataFrame | None, edits: int) -> DataFrame:
@@ -190,7 +190,8 @@ def _candidates(keyed: DataFrame, families: DataFrame | None, edits: int) -> Dat
     probe = keyed.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.explode("sought").alias("key"))
     if families is not None:
         index = index.join(families.select("key"), "key", "left_anti")
-    met = index.join(probe, (index.key == probe.key) & _near(edits))
+    near = _ordered() & (_count_distance("ca", "cb") <= 2 * edits)
+    met = index.join(probe, (index.key == probe.key) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -224,7 +225,7 @@ def _common_ends(lines: pd.Series, others: pd.Series) -> pd.DataFrame:
 def _families(documents: DataFrame, keyed: DataFrame, edits: int, min_chars: int, family: int, sampled: int, rows: int) -> tuple | None:
     """(families, members) of the segments that many lines share and whose lines are alike enough for variants.
 
-    Members are (key, side, h, g, n, counts, core); side 0 is the line that has the
+    Members are (key, side, h, g, n, core); side 0 is the line that has the
     segment, 1 a line that looks it up.  None without such segments.
     """
     # which segments are taken decides the way, not the result, so a sample of the lines is enough to find them
@@ -234,7 +235,7 @@ def _families(documents: DataFrame, keyed: DataFrame, edits: int, min_chars: int
         return None
     large = _maybe_broadcast(large, rows)
     sides = [
-        keyed.select(F.lit(side).alias("side"), "h", "n", "counts", F.explode(F.array_distinct(keys)).alias("key")).join(large, "key", "left_semi")
+        keyed.select(F.lit(side).alias("side"), "h", "n", F.explode(F.array_distinct(keys)).alias("key")).join(large, "key", "left_semi")
         for side, keys in enumerate(("own", "sought"))
     ]
     members = saved(sides[0].unionByName(sides[1]), "family-members")
@@ -256,7 +257,7 @@ def _families(documents: DataFrame, keyed: DataFrame, edits: int, min_chars: int
     if families.isEmpty():
         return None
     core = F.substring(F.col("line"), F.col("head") + 1, F.col("n") - F.col("head") - F.col("tail"))
-    cores = told.join(families, "key").select("key", "side", "h", "g", "n", "counts", core.alias("core"))
+    cores = told.join(families, "key").select("key", "side", "h", "g", "n", core.alias("core"))
     return families, saved(cores, "family-cores")
 
 
@@ -273,15 +274,17 @@ def _family_links(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame
         return pd.Series([within(a, b, edits) for a, b in zip(left, right)], dtype=bool)
 
     known = members.join(texts.select("h", "g", "node"), ["h", "g"]).withColumn("v", F.explode(keys("core")))
+    # few bytes in, many pairs out: a fixed number of tasks, which adaptive execution does not merge
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = known.filter("side = 0").select(
-        "key", "v", F.col("h").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.col("core").alias("la"), F.col("node").alias("one")
-    )
+        "key", "v", F.col("h").alias("a"), F.col("n").alias("na"), F.col("core").alias("la"), F.col("node").alias("one")
+    ).repartition(tasks, "key", "v")
     two = known.filter("side = 1").select(
-        F.col("key").alias("key2"), F.col("v").alias("v2"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"),
-        F.col("core").alias("lb"), F.col("node").alias("two"),
-    )
+        F.col("key").alias("key2"), F.col("v").alias("v2"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("core").alias("lb"),
+        F.col("node").alias("two"),
+    ).repartition(tasks, "key2", "v2")
     # the plain distance only spares the shuffle of pairs that share a variant and are farther apart
-    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("v") == F.col("v2")) & _near(edits) & (F.levenshtein("la", "lb", edits) >= 0))
+    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("v") == F.col("v2")) & _ordered() & (F.levenshtein("la", "lb", edits) >= 0))
     pairs = met.select("one", "two", "la", "lb").dropDuplicates(["one", "two"])
     return pairs.filter(close("la", "lb")).select(F.col("one").alias("a"), F.col("two").alias("b"))
 
