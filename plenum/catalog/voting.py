@@ -8,7 +8,7 @@ from plenum.catalog import inputs
 from plenum.catalog.flagship import fused_accuracy_by_round, round_metrics_sql
 from plenum.catalog.registry import query
 from plenum.functions import matching
-from plenum.operators import audit, fusion, metrics, records
+from plenum.operators import audit, fusion, metrics, ranking, records
 from plenum.plans import jobs
 
 KEYS = ["dataset", "sample_index", "sample_id", "round"]
@@ -336,7 +336,7 @@ FROM counted c JOIN re USING (dataset, round) JOIN st USING (dataset, round) JOI
 def decision_audit(spark, d):
     """Stored decisions, ids, rounds and metrics with planted errors; the audit must find each one."""
     index, number, name = F.col("sample_index"), F.col("round"), F.col("dataset")
-    rows = decided(spark, d)
+    rows = ranking.staged(decided(spark, d), "decided")  # read for the audit, the ids and the recorded metrics
     stored = rows.select(
         "dataset", "sample_index", "round", "task_type", F.col("gold").alias("gold_answer"),
         *[f"vote_{r}" for r in fusion.ROLES],
