@@ -8,9 +8,11 @@ below a minimum length its histograms say too little, and it is kept.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -28,6 +30,8 @@ CHAR_LIMIT, CHAR_SLACK = 0.24, 2.0
 WORD_LIMIT, WORD_SLACK = 0.28, 2.0
 # A language needs so many words for a reference.
 REFERENCE_WORDS = 1_000
+# So many references, a kilobyte or two each, meet a document of another language at once.
+BLOCK = 16
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -89,59 +93,78 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> float:
 
 
 class Reference:
-    """Histograms of one language."""
+    """Histograms of one language, read from the form in which the table of references keeps them.
+
+    Three lines: the common words, their counts and that of all other words, the character classes.
+    """
+
+    def __init__(self, packed: bytes):
+        words, counts, chars = packed.split(b"\n")
+        self.words = words.split()
+        self.counts = np.array(counts.split(), dtype=np.float64)
+        self.chars = np.array(chars.split(), dtype=np.float64)
+
 
-    def __init__(self, chars: list[float], words: list[tuple[bytes, int]], total: int):
-        self.chars = np.array(chars)
-        self.words = [w for w, _ in words]
-        counts = [n for _, n in words]
-        self.counts = np.array([*counts, total - sum(counts)], dtype=np.float64)
+_reference = lru_cache(maxsize=32 * BLOCK)(Reference)
 
-    def excess(self, chars: np.ndarray, n_chars: int, number: dict[bytes, int], times: np.ndarray, n_words: int) -> tuple[float, float]:
+
+class Histograms:
+    """Character classes and words of one text."""
+
+    def __init__(self, text: bytes):
+        self.bytes, words = byte_counts(text), text.split()
+        self.chars, self.n_words = char_classes(self.bytes), len(words)
+        self.n_chars = int(self.chars.sum())
+        self.number: dict[bytes, int] = {}
+        self.ids = np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), dtype=np.int64, count=self.n_words)
+        self.times = np.bincount(self.ids, minlength=len(self.number))
+
+    def excess(self, reference: Reference) -> tuple[float, float]:
         """By how much the two distances pass their limits; never above zero below the guards."""
         char = word = -1.0
-        if n_chars >= GUARD_CHARS:
-            char = js_distance(chars, self.chars) - CHAR_LIMIT - CHAR_SLACK / np.sqrt(n_chars)
-        if n_words >= GUARD_WORDS:
-            own = [times[number[w]] if w in number else 0 for w in self.words]
-            own = np.array([*own, n_words - sum(own)], dtype=np.float64)
-            word = js_distance(own, self.counts) - WORD_LIMIT - WORD_SLACK / np.sqrt(n_words)
+        if self.n_chars >= GUARD_CHARS:
+            char = js_distance(self.chars, reference.chars) - CHAR_LIMIT - CHAR_SLACK / np.sqrt(self.n_chars)
+        if self.n_words >= GUARD_WORDS:
+            own = [self.times[self.number[w]] if w in self.number else 0 for w in reference.words]
+            own = np.array([*own, self.n_words - sum(own)], dtype=np.float64)
+            word = js_distance(own, reference.counts) - WORD_LIMIT - WORD_SLACK / np.sqrt(self.n_words)
         return float(char), float(word)
 
 
-def measure(text: bytes | None, lang: str | None, references: dict[str, Reference]) -> tuple:
-    """One document's row of ``RESULT``; null counts as empty."""
+def measure(text: bytes | None, packed: bytes | None) -> tuple:
+    """One text's row of ``MEASURED``, with the excesses over its own language's reference if it has one."""
     text = text or b""
-    count, words = byte_counts(text), text.split()
-    n_words, chars = len(words), char_classes(count)
-    n_chars = int(chars.sum())
-    word_chars = n_chars - int(count[list(BLANKS)].sum())
+    found = Histograms(text)
     seen, n_dup = set(), 0
     for line in text.split(b"\n"):
         if line.strip():
             n_dup += line in seen
             seen.add(line)
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n_words)
-    n_repeat = repeated_words(ids)
-    failed = n_words < MIN_WORDS or 100 * n_repeat > REPEAT_PERCENT * n_words
-    times, char, word = np.bincount(ids, minlength=len(number)), 0.0, 0.0
-    if references:
-        own = references.get(lang or "")
-        # a document that is far from its own language, or has none, may be near another
-        char, word = own.excess(chars, n_chars, number, times, n_words) if own else (1.0, 1.0)
-        if max(char, word) > 0:
-            for other in references.values():
-                if other is not own:
-                    char, word = min((char, word), other.excess(chars, n_chars, number, times, n_words), key=max)
-    return n_words, word_chars, int(count[list(SYMBOLS)].sum()), n_dup, n_repeat, failed, not failed and max(char, word) <= 0, char, word
-
-
-RESULT = T.StructType(
-    [T.StructField(name, T.LongType()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [T.StructField(name, T.BooleanType()) for name in ("base_failed", "kept")]
-    + [T.StructField(name, T.DoubleType()) for name in ("char_excess", "word_excess")]
-)
+    n_repeat = repeated_words(found.ids)
+    failed = found.n_words < MIN_WORDS or 100 * n_repeat > REPEAT_PERCENT * found.n_words
+    word_chars = found.n_chars - int(found.bytes[list(BLANKS)].sum())
+    char, word = (None, None) if packed is None else found.excess(_reference(packed))
+    return found.n_words, word_chars, int(found.bytes[list(SYMBOLS)].sum()), n_dup, n_repeat, failed, char, word
+
+
+def nearest(text: bytes | None, lang: str | None, block: list[dict]) -> tuple[float, int, str, float, float]:
+    """The reference of a block that a text passes least: larger excess, 0 if it is the text's language, language, both."""
+    found, best = Histograms(text or b""), []
+    for row in block:
+        char, word = found.excess(_reference(bytes(row["packed"])))
+        best.append((max(char, word), int(row["lang"] != lang), row["lang"], char, word))
+    return min(best)
+
+
+def _struct(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+
+
+_COUNTS = dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), T.LongType())
+_EXCESS = dict.fromkeys(("char_excess", "word_excess"), T.DoubleType())
+MEASURED = _struct(**_COUNTS, base_failed=T.BooleanType(), **_EXCESS)
+NEAREST = _struct(most=T.DoubleType(), foreign=T.IntegerType(), lang=T.StringType(), **_EXCESS)
+RESULT = _struct(**_COUNTS, base_failed=T.BooleanType(), kept=T.BooleanType(), **_EXCESS)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -149,11 +172,18 @@ def _classes(texts: pd.Series) -> pd.Series:
     return pd.Series([char_classes(byte_counts(t or b"")).astype(np.int64) for t in texts], dtype=object)
 
 
-def references(documents: DataFrame, common: int = COMMON_WORDS) -> dict[str, Reference]:
-    """The references of all languages, from all their documents.
+@F.pandas_udf(MEASURED)
+def _measure(texts: pd.Series, packed: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measure(t, p) for t, p in zip(texts, packed)], columns=MEASURED.names)
 
-    ``common`` words a language come to the driver, some 10 kB; no language is left out.
-    """
+
+@F.pandas_udf(NEAREST)
+def _nearest(texts: pd.Series, langs: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([nearest(*row) for row in zip(texts, langs, blocks)], columns=NEAREST.names)
+
+
+def references(documents: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
+    """(lang, packed): the reference of every language, from all its documents, as ``Reference`` reads it."""
     named = documents.select("lang", "text").filter("lang is not null and text is not null")
     counts = saved(
         named.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
@@ -161,33 +191,50 @@ def references(documents: DataFrame, common: int = COMMON_WORDS) -> dict[str, Re
         "language-words",
     )
     large = saved(counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS), "languages")
-    totals = {r["lang"]: r["total"] for r in large.orderBy(F.desc("total"), "lang").collect()}
-    if not totals:
-        return {}
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.join(large, "lang", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= common)
-    words: dict[str, list] = {lang: [] for lang in totals}
-    for row in top.orderBy("lang", "rank").collect():
-        words[row["lang"]].append((row["word"].encode(), row["n"]))
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
-    chars = named.select("lang", _classes(F.col("text").cast("binary")).alias("classes")).groupBy("lang").agg(*sums)
-    rows = {r["lang"]: [float(x) for x in r[1:]] for r in chars.join(large, "lang", "left_semi").collect()}
-    return {lang: Reference(rows[lang], words[lang], total) for lang, total in totals.items()}
+    words = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"), F.sum("n").alias("inside"))
+    sums = [F.sum(F.get("classes", F.lit(i))) for i in range(CLASSES)]
+    chars = named.select("lang", _classes(F.col("text").cast("binary")).alias("classes")).groupBy("lang").agg(F.array(*sums).alias("chars"))
+    others = F.array(F.col("total") - F.col("inside"))
+    lines = ("top.word", F.concat("top.n", others).cast("array<string>"), F.col("chars").cast("array<string>"))
+    packed = F.concat_ws("\n", *[F.array_join(line, " ") for line in lines])
+    return saved(words.join(large, "lang").join(chars, "lang").select("lang", packed.cast("binary").alias("packed")), "references")
 
 
-def judge(documents: DataFrame, known: dict[str, Reference] | None = None) -> DataFrame:
+def judge(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document row: doc_id, the base counts, base_failed, kept, and both excesses.
 
-    One row per input row, repeated rows included; a null text has no words
-    and so fails; a null or unknown language is compared with all references
-    and judged by the nearest.  No rows give no rows; columns other than
-    doc_id, text and lang are not touched.
+    A document is held against the reference of its language, joined by
+    ``lang``; only those too far from it, or without one, meet all references,
+    block by block, and the nearest one judges (of equally near ones its own,
+    then the first by name).  One row per input row, repeated rows included; a
+    null text has no words and so fails; a null or unknown language has no
+    reference of its own.  Without any reference both excesses are 0.  No rows
+    give no rows; columns other than doc_id, text and lang are not touched.
     """
     documents = documents.select("doc_id", "text", "lang")
     known = references(documents) if known is None else known
+    blocks = -(-known.count() // BLOCK)
+    content = F.col("text").cast("binary")
+    measured = documents.join(known, "lang", "left").select("doc_id", "lang", "text", _measure(content, "packed").alias("r"))
+    measured = measured.select("doc_id", "lang", "text", "r.*")
+    if not blocks:
+        return _verdicts(measured, F.lit(0.0), F.lit(0.0))
+    # a document that is far from its own language, or has none, may be near another
+    far = F.coalesce(F.greatest(*_EXCESS) > 0, F.lit(True))
+    measured = saved(
+        measured.withColumns({"row": F.monotonically_increasing_id(), "far": far, "text": F.when(far, F.col("text"))}), "measured"
+    )
+    dealt = known.groupBy(F.pmod(F.xxhash64("lang"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("lang", "packed")).alias("block_rows"))
+    met = measured.filter("far").select("row", "lang", "text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
+    best = met.join(dealt, "block").select("row", _nearest(content, "lang", "block_rows").alias("n")).groupBy("row").agg(F.min("n").alias("n"))
+    judged = measured.drop("text").join(best, "row", "left")
+    return _verdicts(judged, *[F.coalesce(f"n.{name}", name) for name in _EXCESS])
 
-    @F.pandas_udf(RESULT)
-    def rows(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t, lang, known) for t, lang in zip(texts, langs)], columns=RESULT.names)
 
-    return documents.select("doc_id", rows(F.col("text").cast("binary"), "lang").alias("r")).select("doc_id", "r.*")
+def _verdicts(measured: DataFrame, char: Column, word: Column) -> DataFrame:
+    kept = ~F.col("base_failed") & (F.greatest(char, word) <= 0)
+    return measured.select(
+        "doc_id", *_COUNTS, "base_failed", kept.alias("kept"), char.alias("char_excess"), word.alias("word_excess")
+    )

@@ -74,7 +74,7 @@ def test_distance_and_repeats():
 
 def test_references_cover_all_documents(make):
     rows = fixture()
-    known = divergence.references(make(rows))
+    known = {r["lang"]: divergence.Reference(bytes(r["packed"])) for r in divergence.references(make(rows)).collect()}
     total = collections.Counter(w for _, t, lang in rows if lang == "ab" for w in WORD.findall(t))
     top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[: divergence.COMMON_WORDS]
     assert known["ab"].words == [w.encode() for w, _ in top]
@@ -85,3 +85,32 @@ def test_no_language_is_without_its_reference(make):
     rng = random.Random(11)
     rows = [(i, " ".join(f"{rng.randrange(120)}w{i}" for _ in range(1000)), f"l{i}") for i in range(505)]
     assert all(r["kept"] for r in divergence.judge(make(rows)).collect())
+
+
+def test_documents_far_from_their_language_meet_all_references(make, monkeypatch):
+    monkeypatch.setattr(divergence, "BLOCK", 3)
+    rng = random.Random(12)
+    langs = [f"l{k}" for k in range(11)]
+    text = lambda k, n: " ".join(f"{'xyz'[k % 3] * (k % 4)}{rng.randrange(60)}w{k}" for _ in range(n))
+    rows = [(i, text(i % 11, rng.choice((30, 150, 300))), langs[i % 11]) for i in range(220)]
+    rows += [(1000 + i, text(i % 14, 200), rng.choice([*langs, "unknown", None])) for i in range(80)]
+    docs = make(rows)
+    known = divergence.references(docs).collect()
+    assert {r["lang"] for r in known} == set(langs)
+    references = {r["lang"]: divergence.Reference(bytes(r["packed"])) for r in known}
+    want = {}
+    for i, content, lang in rows:
+        found = divergence.Histograms(content.encode())
+        each = {name: found.excess(reference) for name, reference in references.items()}
+        own = each.get(lang)
+        if own is None or max(own) > 0:
+            own = min((max(e), name != lang, name, e) for name, e in each.items())[3]
+        want[i] = own
+    got = {r["doc_id"]: (r["char_excess"], r["word_excess"]) for r in divergence.judge(docs).collect()}
+    assert got == want
+    assert any(max(e) > 0 for e in want.values()) and sum(max(e) <= 0 for i, e in want.items() if i >= 1000) > 20
+
+
+def test_without_references(make):
+    got = divergence.judge(make([(1, "a b c", "en"), (2, None, None)])).collect()
+    assert [(r["char_excess"], r["word_excess"], r["kept"]) for r in got] == [(0.0, 0.0, False)] * 2
