@@ -135,25 +135,16 @@ def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
     return runs.join(found, "run", "left").select("run", split("run", "known").alias("words"))
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
-    """Per page row: page_id, host, path, rule, verdict, score.
-
-    The verdict is the rule's, else ``block`` where the log odds ``score`` of
-    the blocked class are above zero.  A null url, or one without ``://``, has
-    empty host and path and no words; it is judged by the class prior alone.
-    Repeated rows get equal results, null page ids are returned as such, null
-    html has no words; without any seed word in any url nothing is blocked by
-    the model.  Other columns are not touched; no rows give no rows.
-    """
+def _named(pages: DataFrame) -> DataFrame:
+    """Pages with host and path, and their names ``h`` and ``p``: the letter runs after the word h or p."""
     host, path = parse(F.col("url"))
-    rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    urls = (
-        pages.select("page_id", host.alias("host"), path.alias("path"))
-        .withColumns({"rule": rule, "action": action})
-        .withColumns({"h": F.concat(F.lit("h "), F.array_join(_runs(F.col("host")), " ")), "p": F.concat(F.lit("p "), F.array_join(_runs(F.col("path")), " "))})
-    )
+    name = lambda kind: F.concat(F.lit(kind[0] + " "), F.array_join(_runs(F.col(kind)), " "))
+    return pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"h": name("host"), "p": name("path")})
+
+
+def _shapes_and_words(pages: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (h, p) with their number of pages, and the segmented words of all names: (name, kind, word, times)."""
     shapes = saved(urls.groupBy("h", "p").agg(F.count("*").alias("pages")), "url-shapes")
-    # the first word of a name is h or p, for host or path
     names = saved(
         shapes.select(F.col("h").alias("name"), "pages").union(shapes.select(F.col("p").alias("name"), "pages"))
         .groupBy("name").agg(F.sum("pages").alias("pages")),
@@ -165,23 +156,49 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
         parts.join(segment(parts, counts), "run").select("name", "kind", F.explode("words").alias("word"))
         .groupBy("name", "kind", "word").agg(F.count("*").alias("times"))
     )
-    words = saved(words, "name-words")
+    return shapes, saved(words, "name-words")
+
+
+def _flagged(shapes: DataFrame, words: DataFrame, seeds) -> DataFrame:
+    """Shapes with ``bad``: a seed word stands among their words."""
     seeded = words.filter(F.col("word").isin(*seeds)).select("name").distinct().withColumn("seed", F.lit(True))
-    flagged = (
+    return (
         shapes.join(seeded.select(F.col("name").alias("h"), F.col("seed").alias("hs")), "h", "left")
         .join(seeded.select(F.col("name").alias("p"), F.col("seed").alias("ps")), "p", "left")
-        .select("h", "p", "pages", F.coalesce("hs", "ps", F.lit(False)).alias("bad"))
-    )
-    by_class = [F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("pages"))).alias("good")]
-    flagged = saved(flagged, "url-classes")
-    weights = flagged.select(F.col("h").alias("name"), "pages", "bad").union(flagged.select(F.col("p").alias("name"), "pages", "bad")).groupBy("name").agg(*by_class)
-    tokens = saved(
-        words.join(weights, "name").groupBy("kind", "word").agg(
-            F.sum(F.col("times") * F.col("bad")).alias("bad"), F.sum(F.col("times") * F.col("good")).alias("good")
-        ),
-        "url-tokens",
+        .select(*shapes.columns, F.coalesce("hs", "ps", F.lit(False)).alias("bad"))
     )
-    prior, sums = flagged.agg(*by_class).first(), tokens.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("size")).first()
+
+
+def _by_class() -> tuple[Column, Column]:
+    bad = F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0))
+    good = F.sum(F.when(F.col("bad"), 0).otherwise(F.col("pages")))
+    return bad.alias("bad"), good.alias("good")
+
+
+def _token_counts(flagged: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, word, bad, good): on how many pages of each class a word stands, repeats included."""
+    sides = [flagged.select(F.col(side).alias("name"), "pages", "bad", *keys) for side in ("h", "p")]
+    weights = sides[0].union(sides[1]).groupBy("name", *keys).agg(*_by_class())
+    times = [F.sum(F.col("times") * F.col(side)).alias(side) for side in ("bad", "good")]
+    return words.join(weights, "name").groupBy(*keys, "kind", "word").agg(*times)
+
+
+def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
+    """Per page row: page_id, host, path, rule, verdict, score.
+
+    The verdict is the rule's, else ``block`` where the log odds ``score`` of
+    the blocked class are above zero.  A null url, or one without ``://``, has
+    empty host and path and no words; it is judged by the class prior alone.
+    Repeated rows get equal results, null page ids are returned as such, null
+    html has no words; without any seed word in any url nothing is blocked by
+    the model.  Other columns are not touched; no rows give no rows.
+    """
+    rule, action = rule_of(F.col("host"), F.col("path"), rules)
+    urls = _named(pages).withColumns({"rule": rule, "action": action})
+    shapes, words = _shapes_and_words(pages, urls)
+    flagged = saved(_flagged(shapes, words, seeds), "url-classes")
+    tokens = saved(_token_counts(flagged, words), "url-tokens")
+    prior, sums = flagged.agg(*_by_class()).first(), tokens.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("size")).first()
     size = sums["size"] or 1
     shift = math.log(((sums["good"] or 0) + size) / ((sums["bad"] or 0) + size))
     odds = F.log((F.col("bad") + 1) / (F.col("good") + 1)) + shift
@@ -195,3 +212,47 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     )
     verdict = F.coalesce("action", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def masked_recall(pages: DataFrame, seeds=SEEDS, folds: int = 5, by: tuple[str, ...] = ("h", "p")) -> DataFrame:
+    """What the model knows beyond the seeds, by cross-validation: fold, urls, seeded, blocked, both.
+
+    Names are dealt to folds by a hash of ``by``: distinct urls up to digits by default, whole
+    hosts with ``("h",)``.  Those of a fold are scored by a model that was trained on the other
+    folds, and without their seed words; ``seeded`` counts the pages that hold a seed word,
+    ``blocked`` those with a score above zero, ``both`` their intersection.  So both / seeded is
+    recall and both / blocked is precision.  Words that the other folds lack weigh nothing.
+    Rules are left out; folds without pages have no row.
+    """
+    shapes, words = _shapes_and_words(pages, _named(pages))
+    dealt = shapes.withColumn("fold", F.pmod(F.xxhash64(*by), F.lit(folds)).cast("int"))
+    flagged = saved(_flagged(dealt, words, seeds), "url-classes")
+    own = saved(_token_counts(flagged, words, "fold"), "fold-tokens")
+    each = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
+    sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+    def without_own(counts: DataFrame, *keys: str) -> DataFrame:
+        """Counts of all other folds for each fold."""
+        held = counts.select("fold", *keys, F.col("bad").alias("b"), F.col("good").alias("g"))
+        rest = sums(counts, *keys).select(*keys, "bad", "good", each).join(held, ["fold", *keys], "left")
+        return rest.select("fold", *keys, *[(F.col(c) - F.coalesce(h, F.lit(0))).alias(c) for c, h in (("bad", "b"), ("good", "g"))])
+
+    tokens = saved(without_own(own, "kind", "word").filter("bad + good > 0"), "other-tokens")
+    totals = tokens.groupBy("fold").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count("*").alias("size"))
+    shift = F.log((F.col("all_good") + F.col("size")) / (F.col("all_bad") + F.col("size")))
+    odds = tokens.join(totals, "fold").select("fold", "kind", "word", (F.log((F.col("bad") + 1) / (F.col("good") + 1)) + shift).alias("odds"))
+    scores = saved(
+        words.filter(~F.col("word").isin(*seeds)).join(odds, ["kind", "word"]).groupBy("name", "fold").agg(F.sum(F.col("times") * F.col("odds")).alias("odds")),
+        "masked-scores",
+    )
+    prior = without_own(flagged.groupBy("fold").agg(*_by_class())).select(
+        "fold", F.when(F.col("bad") > 0, F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))).otherwise(F.lit(-math.inf)).alias("start")
+    )
+    scored = flagged.join(prior, "fold")
+    for side in ("h", "p"):
+        scored = scored.join(scores.select(F.col("name").alias(side), "fold", F.col("odds").alias(side + "_odds")), [side, "fold"], "left")
+    score = F.col("start") + F.coalesce("h_odds", F.lit(0.0)) + F.coalesce("p_odds", F.lit(0.0))
+    count = lambda fits: F.sum(F.when(fits, F.col("pages")).otherwise(0))
+    return scored.groupBy("fold").agg(
+        F.sum("pages").alias("urls"), count(F.col("bad")).alias("seeded"), count(score > 0).alias("blocked"), count(F.col("bad") & (score > 0)).alias("both")
+    )

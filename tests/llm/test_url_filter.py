@@ -1,7 +1,11 @@
+import collections
 import math
+import random
+import re
 import time
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from plenum.llm import url_filter
@@ -106,3 +110,79 @@ def test_unclosed_tags_take_time_in_proportion(llm):
 
     seconds(100)
     assert seconds(80_000) < 10 + 10 * seconds(8_000)  # ten times the square would be a hundred
+
+
+def mixed_urls():
+    rng = random.Random(5)
+    hosts = [f"{a}-{b}.org" for a in ("free", "garden", "tomato", "loan", "deep") for b in ("bets", "casino", "river", "stone")]
+    hosts += ["freebets.org", "gardenriver.org", "rivercasino.net", "x.y", ""]
+    return [f"http://{rng.choice(hosts)}/{rng.choice(('en', 'de/win', 'blog/river', '', 'win-win'))}/{k}" for k in range(150)] + [None, "no scheme"]
+
+
+def plain_names(urls):
+    """(h, p) of every url, and the words of every name, by plain counting."""
+    shapes = []
+    for url in urls:
+        host, path = expected(url)[:2]
+        shapes.append(("h " + " ".join(re.findall("[a-z]+", host)), "p " + " ".join(re.findall("[a-z]+", path))))
+    counts = collections.Counter(word for shape in shapes for name in shape for word in name[2:].split())
+    total = float(sum(counts.values()))
+    words = {}
+    for name in {name for shape in shapes for name in shape}:
+        found = []
+        for run in name[2:].split():
+            cuts = ((s, n) for s in range(len(run)) for n in range(1, len(run) - s + 1))
+            found += url_filter.viterbi(run, {(s, n): math.log(counts[run[s : s + n]] / total) for s, n in cuts if run[s : s + n] in counts}, total)
+        words[name] = found
+    return shapes, words
+
+
+def plain_bayes(shapes, words, bad):
+    """Log odds by (kind, word) and the log prior odds, from the given urls."""
+    tokens = {side: collections.Counter() for side in (False, True)}
+    for shape, side in zip(shapes, bad):
+        tokens[side].update((name[0], word) for name in shape for word in words[name])
+    size, sums = len(tokens[True] | tokens[False]), {side: sum(tokens[side].values()) for side in tokens}
+    odds = {t: math.log((tokens[True][t] + 1) / (tokens[False][t] + 1) * (sums[False] + size) / (sums[True] + size)) for t in tokens[True] | tokens[False]}
+    return odds, math.log((sum(bad) + 0.5) / (len(bad) - sum(bad) + 0.5))
+
+
+def test_scores_are_those_of_plain_bayes(llm):
+    urls = mixed_urls()
+    shapes, words = plain_names(urls)
+    bad = [any(word in url_filter.SEEDS for name in shape for word in words[name]) for shape in shapes]
+    odds, prior = plain_bayes(shapes, words, bad)
+    got = {r["page_id"]: r for r in url_filter.judge(pages(llm, [(k, u, None) for k, u in enumerate(urls)])).collect()}
+    for k, shape in enumerate(shapes):
+        score = prior + sum(odds[name[0], word] for name in shape for word in words[name])
+        assert abs(got[k]["score"] - score) < 1e-9, urls[k]
+        assert got[k]["rule"] is not None or got[k]["verdict"] == ("block" if score > 0 else "allow")
+    assert 0 < sum(bad) < len(bad)
+
+
+@pytest.mark.parametrize("by", [("h", "p"), ("h",)])
+def test_masked_recall_is_that_of_plain_cross_validation(llm, by):
+    urls = mixed_urls()
+    shapes, words = plain_names(urls)
+    distinct = llm.createDataFrame(sorted(set(shapes)), "h string, p string")
+    fold = {(r["h"], r["p"]): r["f"] for r in distinct.withColumn("f", F.pmod(F.xxhash64(*by), F.lit(3))).collect()}
+    bad = [any(word in url_filter.SEEDS for name in shape for word in words[name]) for shape in shapes]
+    want = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for held in set(fold.values()):
+        rest = [(shape, side) for shape, side in zip(shapes, bad) if fold[shape] != held]
+        odds, prior = plain_bayes([r[0] for r in rest], words, [r[1] for r in rest])
+        for shape, side in zip(shapes, bad):
+            if fold[shape] == held:
+                blocked = prior + sum(odds.get((name[0], word), 0) for name in shape for word in words[name] if word not in url_filter.SEEDS) > 0
+                want[held] = [a + b for a, b in zip(want[held], (1, side, blocked, side and blocked))]
+    got = url_filter.masked_recall(pages(llm, [(k, u, None) for k, u in enumerate(urls)]), folds=3, by=by).collect()
+    assert {r["fold"]: [r[c] for c in ("urls", "seeded", "blocked", "both")] for r in got} == dict(want)
+    assert url_filter.masked_recall(pages(llm, [])).collect() == []
+
+
+def test_words_beside_the_seeds_find_masked_urls(llm):
+    hosts = [f"http://{a}.org/{b}" for a in ("free-bets", "win-casino", "lucky-poker") for b in ("en", "de", "fr", "es", "it")] * 4
+    hosts += [f"http://{a}-{b}.org/{c}" for a in ("garden", "river", "stone") for b in ("tomato", "music") for c in ("en", "de", "fr", "es", "it")] * 4
+    found = url_filter.masked_recall(pages(llm, [(k, u, None) for k, u in enumerate(hosts)])).groupBy().sum("seeded", "blocked", "both").first()
+    assert found["sum(seeded)"] == 60
+    assert found["sum(both)"] >= 0.9 * 60 and found["sum(both)"] >= 0.9 * found["sum(blocked)"]
