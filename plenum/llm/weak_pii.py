@@ -81,10 +81,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # ---------------------------------------------------------------- candidates
+_NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _LOOSE = (
     (2, re.compile(r"(?<![0-9A-Za-z.+])[0-9]{12,19}(?![0-9A-Za-z])")),
     (3, re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9A-Za-z])")),
-    (5, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
+    (5, _NATIONAL),
     (6, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
 _HIDDEN_AT = re.compile(r"(?ai)\x20?[\[(]at[\])]\x20?|\x20at\x20")
@@ -138,7 +139,7 @@ def _checksum(kind: str, text: str) -> int:
     if kind == "card":
         return 1 if 12 <= len(digits) <= 19 and luhn(digits) else -1
     if kind == "phone":
-        return 1 if 9 <= len(digits) <= 15 else -1
+        return 1 if 9 <= len(digits) <= 15 and not _NATIONAL.fullmatch(text) else -1
     if kind == "iban":
         return 1 if _iban(text) else -1
     if kind == "national":

@@ -140,3 +140,95 @@ def test_candidates_do_not_depend_on_unrelated_text():
         assert alone and alone == weak_pii.candidates(text + " and the number 7")
     (start, kind, end, base, _), = weak_pii.candidates("write to " + "a" * 100 + " [at] example [dot] com now")
     assert (start, end, base) == (9, 9 + 100 + len(" [at] example [dot] com"), False)
+
+
+def planted():
+    """Rows with what is hidden in them (kind, words), among look-alikes that are none."""
+    rng, rows, truth = random.Random(21), [], {}
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "magna"]
+    for i in range(400):
+        number = lambda n: "".join(rng.choices("0123456789", k=n))  # noqa: E731, B023
+        mine = [
+            ("secret", "password: ", "".join(rng.choices("abcdefghjkmnpqrstuvwxyz23456789", k=24)) + "7"),
+            ("name", "signed by ", rng.choice(["Anna Weiß", "Juan Pérez", "Mary Poole", "Hans Groß"])),
+            ("email", "contact ", f"{rng.choice(words)} [at] example [dot] com"),
+            ("national", "ssn ", f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+            ("iban", "account ", "DE89370400440532013000"),
+        ]
+        others = [f"version {number(3)}-{number(2)}-{number(4)}", "Open Source", "page 12.34.56", f"order {number(14)}", "Neue Tabelle"]
+        text, truth[i] = " ".join(rng.choices(words, k=8)), []
+        for kind, lead, what in rng.sample(mine, rng.randint(0, 3)):
+            start = len(text) + 1 + len(lead)
+            truth[i].append((start, weak_pii.KINDS.index(kind), start + len(what)))
+            text += f" {lead}{what} " + " ".join(rng.choices(words, k=7))
+        text += f" {rng.choice(others)} " + " ".join(rng.choices(words, k=5))
+        rows.append((i, text))
+    return rows, truth
+
+
+def parsed(spans):
+    each = [s.split(":") for s in spans.split(",") if s]
+    return {(int(a), weak_pii.KINDS.index(k), int(b)) for k, a, b in each}
+
+
+def plain_chances(found):
+    """Probability of each candidate (kind, votes, shape): EM and Newton over single rows, in plain loops."""
+    n, size = len(found), len(weak_pii.LABELERS)
+    q = [1 / (1 + np.exp(-1.5 * sum(v))) for _, v, _ in found]
+    for _ in range(50):
+        mass, table = {}, {}
+        for (kind, vote, _), p in zip(found, q):
+            for side, share in ((0, 1 - p), (1, p)):
+                mass[kind, side] = mass.get((kind, side), 1) + share
+                for at, v in enumerate(vote):
+                    table[kind, at, side, v] = table.get((kind, at, side, v), 1) + share
+        share_of = lambda kind, at, side, v: table.get((kind, at, side, v), 1) / sum(table.get((kind, at, side, w), 1) for w in (-1, 0, 1))  # noqa: E731, B023
+        log = {}
+        for kind, vote, _ in set(found):
+            log[kind, vote] = np.log(mass[kind, 1] / mass[kind, 0]) + sum(
+                np.log(share_of(kind, at, 1, v) / share_of(kind, at, 0, v)) for at, v in enumerate(vote)
+            )
+        q = [1 / (1 + np.exp(-min(30, max(-30, log[kind, vote])))) for kind, vote, _ in found]
+    x = np.zeros((n, len(weak_pii.KINDS) + size + 4))
+    for row, (kind, vote, shape) in zip(x, found):
+        row[kind], row[len(weak_pii.KINDS) : -4] = 1, vote
+        row[-4:] = shape
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(w)), x.T @ (p - q) + w)
+    return 1 / (1 + np.exp(-x @ w))
+
+
+def test_whole_run_against_plain_loops(make):
+    rows = corpus() + [(1000 + i, t) for i, t in planted()[0]]
+    found, places = [], []
+    for at, (_, text) in enumerate(rows):
+        text = text or ""
+        for s, k, e, is_base, _ in weak_pii.candidates(text):
+            span = text[s:e]
+            digits = sum(c in "0123456789" for c in span)
+            shape = (len(span) > 20, 2 * digits > len(span), any(c.isalpha() for c in span), " " in span)
+            found.append((k, weak_pii.votes(text, weak_pii.KINDS[k], s, e, is_base), shape))
+            places.append((at, s, k, e, is_base))
+    kept = [{p[1:4] for p in places if p[0] == at and p[4]} for at in range(len(rows))]
+    chances = plain_chances(found)
+    for chance, (at, s, k, e, is_base) in sorted(zip(np.round(-chances, 9), places)):
+        added = [p for p in kept[at] if p not in base(rows[at][1] or "")]
+        if not is_base and -chance >= weak_pii.THRESHOLD and all(b <= s or e <= a for a, _, b in added):
+            kept[at].add((s, k, e))
+    want = sorted((repr(i), sorted(spans)) for (i, _), spans in zip(rows, kept))
+    got = sorted((repr(r["doc_id"]), sorted(parsed(r["spans"]))) for r in weak_pii.find(make(rows)).collect())
+    assert got == want
+    assert abs(chances - weak_pii.THRESHOLD).min() > 1e-6
+
+
+def test_recall_and_precision_of_added_spans(make):
+    rows, truth = planted()
+    texts, hit, said = dict(rows), 0, 0
+    for r in weak_pii.find(make(rows)).collect():
+        extra = parsed(r["spans"]) - set(base(texts[r["doc_id"]]))
+        hit, said = hit + len(extra & set(truth[r["doc_id"]])), said + len(extra)
+    total = sum(map(len, truth.values()))
+    print("recall", hit / total, "precision", hit / max(1, said))
+    assert total > 400 and hit >= 0.9 * total and hit >= 0.9 * said
