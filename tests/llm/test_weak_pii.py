@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from plenum.llm import weak_pii
 
@@ -222,13 +223,37 @@ def test_whole_run_against_plain_loops(make):
     assert got == want
     assert abs(chances - weak_pii.THRESHOLD).min() > 1e-6
 
+def planted_anew():
+    """Other words, leads and forms than ``planted``; nothing was tuned on these."""
+    rng, rows, truth = random.Random(99), [], {}
+    words = "harbor copper meadow lantern orchard pebble silver winter".split()
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    others = ["figure 12.34.56", "Monday Morning", "isbn 978-31-4841", "total 12345678901234", "Last Chance", "page 120.33.44.1"]
+    for i in range(600):
+        text, truth[i] = " ".join(rng.choices(words, k=6)), []
+        for _ in range(rng.randint(0, 2)):
+            kind, lead, what = rng.choice([
+                ("secret", rng.choice(["api_key=", "token: ", "access-key = "]), "".join(rng.choices("ABCDEFGHabcdefgh23456789_", k=20))),
+                ("name", rng.choice(["author ", "Dear ", "met with ", "spoke to "]), rng.choice(["Laura Smith", "Pierre Dupont", "Olga Petrova", "Carlos Ruiz"])),
+                ("email", rng.choice(["write to ", "mail "]), rng.choice([f"{rng.choice(words)} at mail dot org", f"{rng.choice(words)}(at)mail.net"])),
+                ("national", rng.choice(["social ", ""]), f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+                ("iban", rng.choice(["iban ", ""]), "GB29 NWBK 6016 1331 9268 19"),
+                ("phone", rng.choice(["tel ", "call ", ""]), f"0{digits(2)} {digits(3)} {digits(4)}"),
+            ])
+            start = len(text) + 1 + len(lead)
+            truth[i].append((start, weak_pii.KINDS.index(kind), start + len(what)))
+            text += f" {lead}{what} " + " ".join(rng.choices(words, k=5))
+        rows.append((i, text + f" {rng.choice(others)} {rng.choice(words)}" * rng.randint(0, 1)))
+    return rows, truth
+
 
-def test_recall_and_precision_of_added_spans(make):
-    rows, truth = planted()
+@pytest.mark.parametrize("fixture, recall, precision", [(planted, 0.95, 0.95), (planted_anew, 0.95, 0.85)])
+def test_recall_and_precision_of_added_spans(make, fixture, recall, precision):
+    rows, truth = fixture()
     texts, hit, said = dict(rows), 0, 0
     for r in weak_pii.find(make(rows)).collect():
         extra = parsed(r["spans"]) - set(base(texts[r["doc_id"]]))
         hit, said = hit + len(extra & set(truth[r["doc_id"]])), said + len(extra)
     total = sum(map(len, truth.values()))
     print("recall", hit / total, "precision", hit / max(1, said))
-    assert total > 400 and hit >= 0.9 * total and hit >= 0.9 * said
+    assert total > 400 and hit >= recall * total and hit >= precision * said
