@@ -29,6 +29,14 @@ def orders(spark, tmp_path_factory):
     return at
 
 
+def test_rewards_are_not_broadcast(spark):
+    grid = spark.createDataFrame([("a", "x"), ("b", "x")], "sample_id string, candidate string")
+    rolled = grid.withColumn("correct", F.explode(F.array(F.lit(True), F.lit(False))))
+    out = preference.rollout_rewards(rolled, ["sample_id", "candidate"], 2, grid)
+    assert "Broadcast" not in plan(out)
+    assert rows(out) == [("a", "x", 1, 2, 0.5), ("b", "x", 1, 2, 0.5)]
+
+
 def test_a_task_expands_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_ROWS", 20)
     made = spark.range(0, 2000, 1, 1).select(
