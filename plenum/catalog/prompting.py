@@ -137,7 +137,7 @@ def with_answers(spark, d):
     rows = inputs.completions(spark, d, inputs.AGENTS, rounds=4).select(
         "sample_index", (F.col("round") + 1).alias("round"), F.col("role_idx").alias("agent"), F.col("tail_text").alias("response")
     )
-    return qa(spark, d).join(prompts.responses_wide(rows, ["sample_index", "round"], 4), "sample_index")
+    return qa(spark, d).join(prompts.responses_wide(rows, ["sample_index", "round"], 4).hint("merge"), "sample_index")
 
 
 @query(
@@ -235,11 +235,14 @@ def specialize_roles(spark, d):
 
 def debate_rounds(spark, d):
     """Prompts of round t from the answers of round t-1, one role never seeing
-    another's text: rounds are self-joined on (sample, role, round - 1)."""
+    another's text: rounds are self-joined on (sample, role, round - 1).
+
+    Merge joins, as sizes guessed before the grid is expanded would broadcast it.
+    """
     answers = inputs.completions(spark, d).select("sample_index", "role", "round", "tail_text")
     previous = answers.select("sample_index", "role", (F.col("round") + 1).alias("round"), F.col("tail_text").alias("response"))
-    rows = answers.select("sample_index", "role", "round").join(previous, ["sample_index", "role", "round"], "left")
-    known = qa(spark, d).drop("response").join(rows, "sample_index")
+    rows = answers.select("sample_index", "role", "round").join(previous.hint("merge"), ["sample_index", "role", "round"], "left")
+    known = qa(spark, d).drop("response").join(rows.hint("merge"), "sample_index")
     told = F.concat(F.lit("Feedback of "), "role")
     prompt = F.when(F.col("round") == 0, prompts.actor_prompt()).otherwise(prompts.actor_prompt(F.col("response"), told))
     return known.select("sample_index", "role", "round", prompt.alias("prompt"))

@@ -37,6 +37,11 @@ def test_rewards_are_not_broadcast(spark):
     assert rows(out) == [("a", "x", 1, 2, 0.5), ("b", "x", 1, 2, 0.5)]
 
 
+@pytest.mark.parametrize("name", ["mc_rollout_reward", "job_debate_rounds", "render_peer_prompts"])
+def test_expanded_grids_are_not_broadcast(spark, orders, name):
+    assert "Broadcast" not in plan(QUERIES[name](spark, orders))
+
+
 def test_a_task_expands_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_ROWS", 20)
     made = spark.range(0, 2000, 1, 1).select(
