@@ -120,7 +120,8 @@ def scan_manifest_files(
     lines = files.stream_lines(manifest.select("path").distinct(), root)
     rows = _checked(parsed_lines(_filled(lines.withColumn("file", F.col("path"))), schema), strict)
     located = rows.select("path", *[F.col(f"r.{name}").alias(name) for name in schema.names])
-    out = located.join(manifest.drop("sha256"), "path")
+    # the lines, guessed to be as few as their files, are never the side that is held
+    out = located.join(manifest.drop("sha256").hint("shuffle_hash"), "path")
     return out.repartition(spread) if spread else out
 
 

@@ -42,6 +42,16 @@ def test_expanded_grids_are_not_broadcast(spark, orders, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, orders))
 
 
+def test_lines_of_listed_files_are_streamed_past_the_manifest(spark, tmp_path):
+    for name, size in (("a", 3), ("b", 2)):
+        with gzip.open(tmp_path / f"{name}.txt.gz", "wt") as f:
+            f.writelines(json.dumps({"n": i}) + "\n" for i in range(size))
+    listed = spark.createDataFrame([("a.txt.gz", "A"), ("b.txt.gz", "B")], "path string, cell string")
+    out = records.scan_manifest_files(spark, str(tmp_path), simple("n int"), listed).select("cell", "n")
+    assert "Broadcast" not in plan(out) and "SortMergeJoin" not in plan(out)
+    assert rows(out) == [("A", 0), ("A", 1), ("A", 2), ("B", 0), ("B", 1)]
+
+
 def test_a_task_expands_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_ROWS", 20)
     made = spark.range(0, 2000, 1, 1).select(
