@@ -56,13 +56,14 @@ def retry_seed(base: Column, index: Column, attempt: Column) -> Column:
     return F.when(high >= limit, high - limit).otherwise(high).cast("bigint")
 
 
-def request_seed(base: int, index: Column, stream: Column) -> Column:
+def request_seed(base: int | Column, index: Column, stream: Column) -> Column:
     """base (32 bits) | request index (23 bits) | stream (8 bits).
 
     An index or stream outside its field fails the job: its seed would be
     another request's.
     """
-    prefix = F.shiftleft(F.lit(base & MASK_32).cast("bigint"), 31)
+    base = base if isinstance(base, Column) else F.lit(base)
+    prefix = F.shiftleft(base.cast("bigint").bitwiseAND(F.lit(MASK_32)), 31)
     fits = index.between(0, MAX_REQUESTS - 1) & stream.between(0, MAX_STREAMS - 1)
     message = F.concat(F.lit("request "), index.cast("string"), F.lit(" or stream "), stream.cast("string"), F.lit(" is out of range"))
     value = prefix.bitwiseOR(F.shiftleft(index.cast("bigint"), 8)).bitwiseOR(stream.cast("bigint"))

@@ -52,6 +52,13 @@ def test_lines_of_listed_files_are_streamed_past_the_manifest(spark, tmp_path):
     assert rows(out) == [("A", 0), ("A", 1), ("A", 2), ("B", 0), ("B", 1)]
 
 
+def test_large_order_keys_have_seeds(spark, orders):
+    found = QUERIES["derive_seeds"](spark, orders).select("sample_index", "request_seed")
+    keys = [r.sample_index for r in inputs.samples(spark, orders).select("sample_index").collect()]
+    wanted = [(k, None if k is None else (42 << 31) | (k << 8) | (k % 5)) for k in keys]
+    assert rows(found) == sorted(wanted, key=repr)
+
+
 def test_a_task_expands_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_ROWS", 20)
     made = spark.range(0, 2000, 1, 1).select(
