@@ -35,12 +35,11 @@ def unmatched_completions(completions: DataFrame, samples: DataFrame, key: str =
 def distinct_requests(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Each prompt once, with its hash and how often it is asked.
 
-    Only valid for deterministic requests.  The count works on hashes alone and
-    combines before the shuffle; the texts are dealt out once.
+    Only valid for deterministic requests.  One count by prompt, which combines
+    before the shuffle and sorts nothing; a prompt that is null is left out.
     """
-    hashed = requests.select(F.sha2(F.col(prompt), 256).alias("prompt_hash"), prompt)
-    users = hashed.groupBy("prompt_hash").agg(F.count(F.lit(1)).alias("users"))
-    return hashed.dropDuplicates(["prompt_hash"]).join(users, "prompt_hash").select("prompt_hash", prompt, "users")
+    users = requests.filter(F.col(prompt).isNotNull()).groupBy(prompt).agg(F.count(F.lit(1)).alias("users"))
+    return users.select(F.sha2(F.col(prompt), 256).alias("prompt_hash"), prompt, "users")
 
 
 def fan_back(requests: DataFrame, answers: DataFrame, prompt: str = "prompt") -> DataFrame:

@@ -59,6 +59,14 @@ def test_large_order_keys_have_seeds(spark, orders):
     assert rows(found) == sorted(wanted, key=repr)
 
 
+def test_each_prompt_once_without_a_sort(spark):
+    asked = spark.createDataFrame([("p",), ("q",), ("p",), (None,), ("",)], "prompt string")
+    found = joins.distinct_requests(asked)
+    assert "Sort" not in plan(found)
+    assert rows(found.select("prompt", "users")) == [("", 1), ("p", 2), ("q", 1)]
+    assert rows(found.select(F.col("prompt_hash") == F.sha2("prompt", 256))) == [(True,)] * 3
+
+
 def test_a_task_expands_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_ROWS", 20)
     made = spark.range(0, 2000, 1, 1).select(
