@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import let, lines, present, rstrip, split_at, strip
+from plenum.functions.text import BLANKS, CUT, any_of, let, lines, present, rstrip, split_at, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (patterns and word lists that define the cleaned text)
@@ -42,6 +42,12 @@ EMPTY_CLAIM_TAIL = (
 EMPTY_CLAIM = r"(?isU)\s*(?:the\s+answer\s+is|answer\s*:?)\s*[.;]?\s*"
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 PARAGRAPH_GAP = r"(?U)\n\s*\n+"
+# A text without any of these is clean: no rule finds anything in it.  Tags, line ends and blanks but
+# the space; the switch; spaces at an end, in a row, behind a sentence or before its marks; a bare claim.
+UNSETTLED = (
+    any_of("<" + CUT + BLANKS.replace(" ", ""))
+    + r"|/[nN]|^ | \z|[.!?] | [ .,;:!?]|(?iu:answer(?: is|:)?[ .;]*\z)"
+)
 # ---------------------------------------------------------------------------
 
 # The tests for a placeholder are one expression each, not a pattern and a helper: native columns
@@ -237,23 +243,29 @@ def _settled_paragraphs(parts: Column) -> Column:
 
 def with_clean_response(df: DataFrame, source: str, target: str) -> DataFrame:
     """Add the cleaned text.  Each stage is its own column, so Catalyst keeps
-    the expensive steps separate instead of repeating them."""
-    visible, parts = f"__{target}_visible", f"__{target}_parts"
-    text = F.col(target)
+    the expensive steps separate instead of repeating them.  Texts in which no
+    rule can find anything skip them all."""
+    odd, visible, parts = f"__{target}_odd", f"__{target}_visible", f"__{target}_parts"
+    text, raw = F.col(target), F.coalesce(F.col(source), F.lit(""))
+
+    def where_odd(value: Column) -> Column:
+        return F.when(F.col(odd), value)
+
     return (
-        df.withColumn(visible, visible_text(F.col(source)))
-        .withColumn(parts, paragraphs_of(F.col(visible)))
-        .withColumn(parts, _settled_paragraphs(F.col(parts)))
+        df.withColumn(odd, raw.rlike(UNSETTLED))
+        .withColumn(visible, where_odd(visible_text(F.col(source))))
+        .withColumn(parts, where_odd(paragraphs_of(F.col(visible))))
+        .withColumn(parts, where_odd(_settled_paragraphs(F.col(parts))))
         .withColumn(
             target,
-            F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(F.col(visible)),
+            F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(F.coalesce(visible, raw)),
         )
         .withColumn(
             target,
-            F.when(text.contains("<"), normalize_angle(drop_placeholder_fragments(text))).otherwise(
-                text
-            ),
+            F.when(
+                F.col(odd) & text.contains("<"), normalize_angle(drop_placeholder_fragments(text))
+            ).otherwise(text),
         )
-        .withColumn(target, squeeze(drop_empty_claims(text)))
-        .drop(visible, parts)
+        .withColumn(target, where_odd(squeeze(drop_empty_claims(text))).otherwise(text))
+        .drop(odd, visible, parts)
     )

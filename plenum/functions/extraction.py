@@ -7,10 +7,12 @@ order; a later rule only runs for rows where the earlier ones found nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import CUT, let, lines, strip, swap
+from plenum.functions.text import BLANKS, CUT, OTHER_LINE_ENDS, any_of, let, lines, strip, swap
 
 # ---------------------------------------------------------------------------
 # Fixed values (sources, confidences and patterns that define an answer)
@@ -137,6 +139,13 @@ _DIALECT = "(?iUd)"
 _ANSWER, _SPAN, _END = "\ufdd0", "\ufdd1", "\ufdd2"
 _MARKS = _ANSWER + _SPAN + _END
 
+# Letters that only case folding maps to ASCII.
+_FOLDED = "\u0130\u0131\u017f\u212a"
+# A text without any of these is its own prepared text and its own tail.
+UNPREPARED = (
+    any_of(_MARKS + "*_：\n" + OTHER_LINE_ENDS + _FOLDED) + f"|^{any_of(BLANKS)}|{any_of(BLANKS)}\\z"
+)
+
 EXTRACTED_TYPE = "struct<answer:string,source:string,confidence:double,raw_span:string>"
 
 
@@ -173,7 +182,11 @@ def answer_markup(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case with the letters that only case folding maps to ASCII."""
-    return F.lower(swap(text, "\u0130\u0131\u017f\u212a", "iisk"))
+    return F.lower(swap(text, _FOLDED, "iisk"))
+
+
+def _has_any(low: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(word)) for word in words])
 
 
 def last_match(
@@ -188,12 +201,7 @@ def last_match(
     """
     def mark(pattern: str, words: str) -> Column:
         marked = F.regexp_replace(text, _DIALECT + pattern, f"{_ANSWER}$1{_SPAN}$0{_END}")
-        if not words or low is None:
-            return marked
-        possible = F.lit(False)
-        for word in words.split("|"):
-            possible = possible | F.contains(low, F.lit(word))
-        return F.when(possible, marked)
+        return F.when(_has_any(low, words.split("|")), marked) if words and low is not None else marked
 
     words = needed or [""] * len(patterns)
     marked = F.array(*[mark(p, w) for p, w in zip(patterns, words, strict=True)])
@@ -324,8 +332,11 @@ class _Texts:
         self._low = {"body": F.col(low_body), "tail": F.col(low_tail)}
 
     def rule(self, source: str, where: str, name: str, shape) -> Column:
-        match = last_match(getattr(self, where), globals()[name], NEEDED[name], self._low[where])
-        return _found(match, source, shape)
+        low, needed = self._low[where], NEEDED[name]
+        found = _found(last_match(getattr(self, where), globals()[name], needed, low), source, shape)
+        if "" in needed:
+            return found
+        return F.when(_has_any(low, sorted({w for words in needed for w in words.split("|")})), found)
 
 
 def _mc(t: _Texts) -> list[Column]:
@@ -372,22 +383,18 @@ def _math(t: _Texts) -> list[Column]:
     ]
 
 
-def _settle(found: Column) -> Column:
+def _settle(f: Column, answer: Column) -> Column:
     """Final struct; an answer that cleans to nothing makes the row unparsed."""
-    def build(f: Column) -> Column:
-        answer = clean_token(f["answer"])
-        hit = f.isNotNull() & (F.length(answer) > 0)
-        confidence = F.lit(0.0)
-        for source, value in CONFIDENCE.items():
-            confidence = F.when(f["source"] == source, F.lit(value)).otherwise(confidence)
-        return F.struct(
-            F.when(hit, answer).alias("answer"),
-            F.when(hit, f["source"]).otherwise(F.lit("none")).alias("source"),
-            F.when(hit, confidence).otherwise(F.lit(0.0)).alias("confidence"),
-            F.when(hit, strip(f["span"])).otherwise(F.lit("")).alias("raw_span"),
-        )
-
-    return let(found, build)
+    hit = f.isNotNull() & (F.length(answer) > 0)
+    confidence = F.lit(0.0)
+    for source, value in CONFIDENCE.items():
+        confidence = F.when(f["source"] == source, F.lit(value)).otherwise(confidence)
+    return F.struct(
+        F.when(hit, answer).alias("answer"),
+        F.when(hit, f["source"]).otherwise(F.lit("none")).alias("source"),
+        F.when(hit, confidence).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(hit, strip(f["span"])).otherwise(F.lit("")).alias("raw_span"),
+    )
 
 
 def with_extracted(
@@ -398,26 +405,34 @@ def with_extracted(
     The prepared text and its tail are columns of their own, so each is built
     once per row, and only the rules of the row's task type are evaluated.
     """
-    plain, bare, tail, low, low_tail = (
-        f"__{target}_{part}" for part in ("plain", "bare", "tail", "low", "low_tail")
+    odd, plain, bare, tail, low, low_tail, found, answer = (
+        f"__{target}_{part}" for part in ("odd", "plain", "bare", "tail", "low", "low_tail", "found", "answer")
     )
-    task = F.col(task_type)
+    task, raw = F.col(task_type), F.coalesce(F.col(text), F.lit(""))
     is_math = F.coalesce(task == "math", F.lit(False))
     texts = _Texts(bare, tail, low, low_tail)
     choice = F.when(task.isin("multiple_choice", "mixed"), F.coalesce(*_mc(texts)))
     word = F.when(task.isin("yes_no", "mixed"), F.coalesce(*_yes_no(texts)))
     maths = F.when(is_math, F.coalesce(*_math(texts)))
+
+    def prepared(value: Column, otherwise: Column) -> Column:
+        return F.when(F.col(odd), value).otherwise(otherwise)
+
     return (
-        df.withColumn(plain, without_marks(F.col(text)))
+        df.withColumn(odd, raw.rlike(UNPREPARED))
+        .withColumn(plain, prepared(without_marks(F.col(text)), raw))
         .withColumn(
             bare,
-            F.when(is_math, half_width_colon(F.col(plain))).otherwise(
-                answer_markup(F.col(plain))
+            prepared(
+                F.when(is_math, half_width_colon(F.col(plain))).otherwise(answer_markup(F.col(plain))),
+                F.col(plain),
             ),
         )
-        .withColumn(tail, tail_lines(F.col(bare)))
-        .withColumn(low, folded(F.col(bare)))
-        .withColumn(low_tail, folded(F.col(tail)))
-        .withColumn(target, _settle(F.coalesce(choice, word, maths)))
-        .drop(plain, bare, tail, low, low_tail)
+        .withColumn(tail, prepared(tail_lines(F.col(bare)), F.col(bare)))
+        .withColumn(low, prepared(folded(F.col(bare)), F.lower(bare)))
+        .withColumn(low_tail, prepared(folded(F.col(tail)), F.col(low)))
+        .withColumn(found, F.coalesce(choice, word, maths))
+        .withColumn(answer, clean_token(F.col(f"{found}.answer")))
+        .withColumn(target, _settle(F.col(found), F.col(answer)))
+        .drop(odd, plain, bare, tail, low, low_tail, found, answer)
     )

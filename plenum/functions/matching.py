@@ -24,6 +24,11 @@ def _single_letter(label: Column) -> Column:
     return F.when(label.rlike("^[A-Z]$"), label)
 
 
+def _letter(text: Column) -> Column:
+    """True for one letter A to Z: its own label under every rule, so that most rows skip the rules."""
+    return (F.octet_length(text) == 1) & text.between("A", "Z")
+
+
 def _vote_label(label: Column, task: Column, other: Column) -> Column:
     return (
         F.when(task == "yes_no", _yes_no(label, "YES", "NO"))
@@ -39,13 +44,21 @@ def vote_label(answer: Column, task: Column) -> Column:
         label = F.upper(F.btrim(F.btrim(text, F.lit("().")), F.lit(".")))
         return F.when(F.length(text) > 0, _vote_label(label, task, text))
 
-    return let(strip(answer), shape)
+    plain = F.when(task.isin("multiple_choice", "mixed") & _letter(answer), answer).when(
+        (task == "yes_no") & answer.isin("YES", "NO"), answer
+    )
+    return plain.otherwise(let(strip(answer), shape))
 
 
 def audit_label(answer: Column, task: Column) -> Column:
     """Label of the decision audit; math has none (see ``audit_task_known``)."""
-    label = F.upper(strip(F.btrim(strip(answer), F.lit("()."))))
-    return _vote_label(label, task, F.lit(None).cast("string"))
+    def shape(label: Column) -> Column:
+        return _vote_label(label, task, F.lit(None).cast("string"))
+
+    plain = F.when(task.isin("multiple_choice", "mixed") & _letter(answer), answer).when(
+        (task == "yes_no") & answer.isin("YES", "NO"), answer
+    )
+    return plain.otherwise(let(F.upper(strip(F.btrim(strip(answer), F.lit("().")))), shape))
 
 
 def match_label(answer: Column, task: Column) -> Column:
@@ -57,7 +70,8 @@ def match_label(answer: Column, task: Column) -> Column:
         word = F.when(task.isin("yes_no", "mixed"), _yes_no(label, "Y", "N"))
         return F.coalesce(word, first)
 
-    return let(F.upper(F.btrim(F.btrim(text, F.lit("()")), F.lit("."))), shape)
+    plain = F.when(_letter(answer) | answer.isin("YES", "NO"), F.substring(answer, 1, 1))
+    return plain.otherwise(let(F.upper(F.btrim(F.btrim(text, F.lit("()")), F.lit("."))), shape))
 
 
 _TEXT_WRAPPER = r"(?d)^\\text\{(.+)\}$"

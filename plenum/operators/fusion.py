@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.matching import answers_match, vote_label
 from plenum.functions.text import flag, let, ratio
+from plenum.operators.ranking import numbers_first
 
 # The voting roles and the one asked when no two agree.
 ROLES = ("direct", "evidence", "verification")
@@ -45,7 +46,7 @@ def _counted_roles(
     """Keys with ``__shared`` and ``__problem``: missing, repeated or different, else null."""
     facts = F.struct(*shared)
     counts = [F.count_if(F.col("role") == r).alias(f"__n{i}") for i, r in enumerate(roles)]
-    out = rows.filter(F.col("role").isin(*roles)).groupBy(*keys).agg(
+    out = rows.filter(F.col("role").isin(*roles)).groupBy(*numbers_first(rows, keys)).agg(
         F.min(facts).alias("__shared"), F.max(facts).alias("__other"), *counts, *more
     )
     numbers = [F.col(f"__n{i}") for i in range(len(roles))]
