@@ -77,12 +77,17 @@ def rounds_not_contiguous(records: DataFrame, key: str, rounds: str = "rounds",
 
 def coverage(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Expected keys without a row (missing) and rows nobody expected (extra)."""
-    left = expected.select(*keys).distinct().withColumn("__want", F.lit(True))
-    right = actual.select(*keys).distinct().withColumn("__have", F.lit(True))
-    both = left.join(right, keys, "full")
-    return both.filter("__want is null or __have is null").select(
-        *keys, F.when(F.col("__have").isNull(), "missing").otherwise("extra").alias("problem")
+    both = expected.select(*keys, F.lit(1).alias("__want"), F.lit(0).alias("__have")).unionByName(
+        actual.select(*keys, F.lit(0).alias("__want"), F.lit(1).alias("__have"))
     )
+    # counted in one group-by, not joined: sides that are dealt out by a key alike need no shuffle
+    sides = both.groupBy(*keys).agg(F.max("__want").alias("__want"), F.max("__have").alias("__have"))
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])  # such a key is equal to none
+    wanted, there = F.col("__want") == 1, F.col("__have") == 1
+    problems = F.array(
+        F.when(wanted & (~there | unknown), F.lit("missing")), F.when(there & (~wanted | unknown), F.lit("extra"))
+    )
+    return sides.filter(~(wanted & there) | unknown).select(*keys, F.explode(F.array_compact(problems)).alias("problem"))
 
 
 def coverage_report(violations: DataFrame) -> DataFrame:

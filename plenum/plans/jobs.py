@@ -102,7 +102,8 @@ def evaluate(
     def found(check: str, rows: DataFrame, key) -> DataFrame:
         return rows.select(F.lit(check).alias("check"), key.alias("key"))
 
-    expected = nested.select(*groups).distinct().join(samples.select(*keep, "sample_id"), list(keep))
+    cells = F.broadcast(nested.select(*groups).distinct())  # a row per group and trial, as in the scores
+    expected = samples.select(*keep, "sample_id").join(cells, list(keep))
     covered = quality.coverage(nested, expected, [*groups, "sample_id"])
     contiguous = nested.withColumn("__key", F.concat_ws("/", name, "sample_id"))
     violations = (
