@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.names import PIPELINE
@@ -163,16 +163,19 @@ def pair_problems(
         "blank": ~(present(F.col("prompt")) & present(F.col("chosen")) & present(F.col("rejected"))),
         "identical": F.coalesce(strip(F.col("chosen")) == strip(F.col("rejected")), F.lit(False)),
     }
-    found = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
-    single = pairs.select(*keys, F.explode(found).alias("problem"))
-    repeated = (
-        pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-        .select(*keys, F.lit("repeated").alias("problem"))
+    found = F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])
+    known = allowed.select(keys[0]).distinct().withColumn("__known", F.lit(True))
+    # the pairs are read once: every test is a column of its row
+    marked = pairs.select(*keys, found.alias("__found")).join(known.hint("merge"), keys[0], "left")
+    alike = Window.partitionBy(*keys)
+    counted = marked.withColumn("__n", F.count(F.lit(1)).over(alike)).withColumn(
+        "__at", F.row_number().over(alike.orderBy(F.lit(1)))
     )
-    foreign = pairs.join(allowed.select(keys[0]).distinct(), keys[0], "left_anti").select(
-        *keys, F.lit("unexpected sample").alias("problem")
+    more = F.array(
+        F.when((F.col("__n") > 1) & (F.col("__at") == 1), F.lit("repeated")),
+        F.when(F.col("__known").isNull(), F.lit("unexpected sample")),
     )
-    return single.unionByName(repeated).unionByName(foreign)
+    return counted.select(*keys, F.explode(F.array_compact(F.concat("__found", more))).alias("problem"))
 
 
 def unbalanced_roles(rows: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:

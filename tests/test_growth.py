@@ -9,7 +9,8 @@ from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from plenum.catalog import QUERIES, inputs
-from plenum.operators import joins, preference
+from plenum.functions import cleaning, matching
+from plenum.operators import joins, preference, quality, ranking
 from plenum.schemas import simple
 from plenum.sources import records
 
@@ -82,3 +83,73 @@ def test_records_are_nested_without_a_second_shuffle(spark, orders):
     assert plan(nested).count("Exchange") == 1
     key = ["dataset", "sample_index", "sample_id", "role", "role_idx", "trial"]
     assert nested.count() == nested.select(*key).distinct().count() == 10 * 3 * 5
+
+
+ODD = ["", None, "A", " A", "A ", "One.  Two", "One. Two", "so , yes", "a  b", "a\tb", "The answer is", "the anſwer iſ", "Answer:",
+       "Keep this. answer ;", "use /NO_think", "x <b> y", "a\nb", "a\r\nb", "a b", "\x1fA", "A　", "a￿b"]
+
+
+def test_texts_that_skip_the_cleaning_are_clean(spark):
+    df = spark.createDataFrame([(t,) for t in [*ODD, "The final result is A.", "I choose B", "Answer: C, of course!"]], "t string")
+    plain = df.filter(~F.col("t").rlike(cleaning.UNSETTLED))
+    assert {r.t for r in plain.collect()} == {"", "A", "The final result is A.", "I choose B", "Answer: C, of course!"}
+    by_rules = cleaning.squeeze(cleaning.drop_empty_claims(F.array_join(cleaning.paragraphs_of(cleaning.visible_text(F.col("t"))), "\n\n")))
+    assert plain.filter(by_rules != F.col("t")).count() == 0
+    done = cleaning.with_clean_response(plain, "t", "c")
+    assert done.filter("c <> t").count() == 0
+
+
+def test_single_labels_skip_the_rules(spark):
+    """No rule that runs row by row outside compiled code is reached by plain letters and words."""
+    values = [(a, t) for a in ("A", "Z", "YES", "NO", "Y", "yes", "(b)", "", None, "AB", "É") for t in ("yes_no", "multiple_choice", "mixed", "math", None)]
+    df = spark.createDataFrame(values, "a string, t string")
+    padded = F.concat(F.lit(" "), "a", F.lit(" "))  # not a plain label: goes through the rules
+    for rule in (matching.vote_label, matching.audit_label, matching.match_label):
+        task = F.when(F.col("t") == "math", F.lit(None)).otherwise(F.col("t")) if rule is matching.vote_label else F.col("t")
+        same = rule(F.col("a"), task).eqNullSafe(rule(padded, task))
+        assert df.filter(~same).count() == 0
+
+
+def test_checks_of_records_are_not_shuffled(spark, orders):
+    """Records are dealt out once by the sample, and what is checked by sample stays there."""
+    text = plan(QUERIES["job_evaluate"](spark, orders))
+    assert "sample_id" not in "".join(x for x in text.splitlines() if "Exchange" in x and "REPARTITION" not in x)
+
+
+def test_records_hold_the_greatest_turn_of_repeated_orders(spark, orders):
+    found = {(r.sample_index, r.role): r for r in inputs.records(spark, orders).collect()}
+    rows_ = inputs.completions(spark, orders).filter("sample_index = 7").collect()
+    for role in inputs.ROLES:
+        rounds = found[7, role].rounds
+        assert [t.round for t in rounds] == list(range(5))
+        for t in rounds:
+            texts = [r.tail_text for r in rows_ if r.role == role and r["round"] == t.round]
+            assert len(texts) == 2 and t.actor.completion.raw_response == max(texts) == t.actor.completion.response
+    assert len(found) == 30
+
+
+def test_pairs_are_read_once_for_all_problems(spark):
+    made = [(1, 1, "critic", 1, "p", "a", "b"), (1, 1, "actor", 1, " ", "a", "a "), (2, 9, "critic", 1, "p", "a", "b"), (None, 1, "critic", 1, "p", "a", "b"), (None, 1, "critic", 1, "p", "a", "b")]
+    pairs = spark.createDataFrame(made, "sample_index int, round int, agent string, iteration int, prompt string, chosen string, rejected string")
+    out = quality.pair_problems(pairs, "critic", 1, spark.createDataFrame([(1,), (1,), (None,)], "sample_index int"))
+    assert plan(out).count("Scan ExistingRDD") == 2 and "Broadcast" not in plan(out)
+    assert rows(out) == sorted([
+        (1, 1, "provenance"), (1, 1, "blank"), (1, 1, "identical"), (1, 1, "repeated"), (2, 9, "round"), (2, 9, "unexpected sample"),
+        (None, 1, "repeated"), (None, 1, "unexpected sample"), (None, 1, "unexpected sample"),
+    ], key=repr)
+
+
+def test_coverage_of_null_keys(spark):
+    keys = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    other = spark.createDataFrame([("b",), ("c",), (None,), (None,)], "k string")
+    assert rows(quality.coverage(keys, other, ["k"])) == [("a", "extra"), ("c", "missing"), (None, "extra"), (None, "missing")]
+
+
+def test_numbers_come_first_in_sorted_groups(spark):
+    df = spark.createDataFrame([("x", 1, "y")], "dataset string, sample_index bigint, role string")
+    assert ranking.numbers_first(df, ["dataset", "sample_index", "role"]) == ["sample_index", "dataset", "role"]
+
+
+@pytest.mark.parametrize("name", ["selection_summary", "check_pairs"])
+def test_texts_of_candidates_are_not_broadcast(spark, orders, name):
+    assert "Broadcast" not in plan(QUERIES[name](spark, orders))
