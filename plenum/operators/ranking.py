@@ -29,13 +29,14 @@ def key_bucket(key: Column, width: int = KEY_WIDTH) -> Column:
 
 
 def numbers_first(df: DataFrame, keys: list[str]) -> list[str]:
-    """The keys of a group-by with numbers in front.
+    """The keys of a group-by with numbers in front, long ones first.
 
     Its sort compares eight bytes of the first key before it compares whole rows,
-    and the names of a few data sets or roles would be alike in them.
+    and the names of a few data sets or roles, or the numbers of a few trials,
+    would be alike in them.
     """
-    kinds = dict(df.dtypes)
-    return sorted(keys, key=lambda k: kinds[k] not in ("tinyint", "smallint", "int", "bigint"))
+    kinds, widths = dict(df.dtypes), ("bigint", "int", "smallint", "tinyint")
+    return sorted(keys, key=lambda k: widths.index(kinds[k]) if kinds[k] in widths else len(widths))
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -78,6 +78,17 @@ def test_a_task_expands_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     assert len(sizes) > 90 and max(sizes) < 60
 
 
+def test_a_task_has_as_many_rows_with_trials_as_without(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_ROWS", 100)
+    made = spark.range(0, 2000, 1, 1).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("1-X").alias("o_orderpriority")
+    )
+    made.write.parquet(f"{tmp_path}/orders.parquet")
+    voted = inputs.votes(spark, str(tmp_path), trials=5)
+    sizes = [r[1] for r in voted.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 * 75 and max(sizes) < 60 * 75
+
+
 def test_records_are_nested_without_a_second_shuffle(spark, orders):
     nested = inputs.records(spark, orders, trials=5)
     assert plan(nested).count("Exchange") == 1
@@ -148,6 +159,8 @@ def test_coverage_of_null_keys(spark):
 def test_numbers_come_first_in_sorted_groups(spark):
     df = spark.createDataFrame([("x", 1, "y")], "dataset string, sample_index bigint, role string")
     assert ranking.numbers_first(df, ["dataset", "sample_index", "role"]) == ["sample_index", "dataset", "role"]
+    df = df.withColumn("trial", F.lit(1))
+    assert ranking.numbers_first(df, ["dataset", "trial", "sample_index", "role"]) == ["sample_index", "trial", "dataset", "role"]
 
 
 @pytest.mark.parametrize("name", ["selection_summary", "check_pairs"])
