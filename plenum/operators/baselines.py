@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from plenum.functions.matching import answers_match
 from plenum.functions.text import flag, ratio
 from plenum.operators.fusion import plurality_unique
 from plenum.operators.metrics import score_counts
+from plenum.operators.ranking import numbers_first
 
 # Protocol constants.
 ROUNDS = 5
@@ -46,7 +50,9 @@ def debate_scores(rows: DataFrame, groups: list[str]) -> DataFrame:
 def som_scores(rows: DataFrame, groups: list[str], agents: int, sample: str = "sample_index") -> DataFrame:
     """Per round: mean agent rates, and the vote where one answer is on top.
 
-    The headline accuracy is the mean over agents, not the vote.
+    The headline accuracy is the mean over agents, not the vote.  Gold and task come with
+    the tally, so votes of a sample are grouped where the sample is, without a join; rows
+    with a null in a key have no vote.
     """
     if agents not in AGENT_COUNTS:
         raise ValueError(f"supports {AGENT_COUNTS} agents, got {agents}")
@@ -58,8 +64,10 @@ def som_scores(rows: DataFrame, groups: list[str], agents: int, sample: str = "s
         F.col("parse_rate").alias("mean_agent_parse_rate"),
         F.col("truncation_rate").alias("mean_agent_truncation_rate"),
     )
-    gold = rows.groupBy(*keys, sample).agg(F.max("gold").alias("gold"), F.max("task_type").alias("task_type"))
-    votes = gold.join(plurality_unique(rows, [*keys, sample], "agent"), [*keys, sample])
+    # numbers first: the sorts compare the sample before anything else
+    by_sample = numbers_first(rows, [sample, *keys])
+    whole = reduce(and_, [F.col(k).isNotNull() for k in by_sample])
+    votes = plurality_unique(rows.filter(whole), by_sample, "agent", shared=("gold", "task_type"))
     resolved = F.col("prediction").isNotNull()
     hit = resolved & answers_match(F.col("prediction"), F.col("gold"), F.col("task_type"))
     per_vote = votes.groupBy(*keys).agg(

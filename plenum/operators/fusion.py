@@ -251,17 +251,17 @@ def pair_agreement(
     )
 
 
-def answer_tally(rows: DataFrame, keys: list[str], order: str = "role_idx") -> DataFrame:
+def answer_tally(rows: DataFrame, keys: list[str], order: str = "role_idx", shared: Sequence[str] = ()) -> DataFrame:
     """Votes per key and normalized answer with the first voter's position.
 
     Blank and missing answers are one row with a null label and no votes, so a
-    key without any vote is still there.
+    key without any vote is still there.  The greatest of each ``shared`` column comes along.
     """
     label = vote_label(F.col("answer"), F.col("task_type"))
     return (
         rows.withColumn("label", F.when(F.length(label) > 0, label))
         .groupBy(*keys, "label")
-        .agg(F.count("label").alias("votes"), F.min(order).alias("first_seen"))
+        .agg(F.count("label").alias("votes"), F.min(order).alias("first_seen"), *[F.max(c).alias(c) for c in shared])
     )
 
 
@@ -279,16 +279,17 @@ def plurality_first(rows: DataFrame, keys: list[str], order: str = "role_idx") -
     )
 
 
-def plurality_unique(rows: DataFrame, keys: list[str], order: str = "role_idx") -> DataFrame:
-    """Most common answer if it is the single top one, else NULL."""
+def plurality_unique(rows: DataFrame, keys: list[str], order: str = "role_idx", shared: Sequence[str] = ()) -> DataFrame:
+    """Most common answer if it is the single top one, else NULL, and the greatest of each ``shared`` column of the key."""
+    greatest = [F.max(c).alias(c) for c in shared]
     top = (
-        answer_tally(rows, keys, order)
+        answer_tally(rows, keys, order, shared)
         .groupBy(*keys, "votes")
-        .agg(F.count(F.lit(1)).alias("ties"), F.min("label").alias("label"))
+        .agg(F.count(F.lit(1)).alias("ties"), F.min("label").alias("label"), *greatest)
         .groupBy(*keys)
-        .agg(F.max_by(F.struct("ties", "label"), F.col("votes")).alias("__b"))
+        .agg(F.max_by(F.struct("ties", "label"), F.col("votes")).alias("__b"), *greatest)
     )
-    return top.select(*keys, F.when(F.col("__b.ties") == 1, F.col("__b.label")).alias("prediction"))
+    return top.select(*keys, F.when(F.col("__b.ties") == 1, F.col("__b.label")).alias("prediction"), *shared)
 
 
 def transition_rows(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plenum.catalog import QUERIES, inputs
 from plenum.functions import cleaning, matching
-from plenum.operators import joins, preference, quality, ranking
+from plenum.operators import baselines, joins, preference, quality, ranking
 from plenum.schemas import simple
 from plenum.sources import records
 
@@ -89,6 +89,19 @@ def test_a_task_has_as_many_rows_with_trials_as_without(spark, tmp_path, monkeyp
     assert sum(sizes) == 2000 * 75 and max(sizes) < 60 * 75
 
 
+def test_votes_of_agents_need_no_join_by_sample(spark, orders):
+    """Only the few rows of a data set and round are joined; rows with a null in a key have no vote."""
+    text = plan(QUERIES["som_metrics"](spark, orders))
+    assert text.count("Join") == 1 and "sample_index" not in "".join(x for x in text.splitlines() if "Join" in x)
+    made = [("d", 1, s, a, "multiple_choice", g, x) for s, g, answers in (
+        (1, "A", "AAB"), (2, "B", "AB "), (3, "C", "   "), (None, "A", "AAA")) for a, x in enumerate(answers)]
+    made += [(None, 1, 4, 0, "multiple_choice", "A", "A")]
+    votes = spark.createDataFrame(made, "dataset string, round int, sample_index bigint, agent int, task_type string, gold string, answer string")
+    scored = votes.withColumns({"correct": F.col("answer") == F.col("gold"), "parsed": F.col("answer") != " ", "truncated": F.lit(False)})
+    found = baselines.som_scores(scored, ["dataset"], 4).select("dataset", "agent_decisions", "samples", "plurality_vote_accuracy", "plurality_vote_coverage")
+    assert rows(found) == [("d", 12, 3, 1 / 3, 1 / 3)]
+
+
 def test_records_are_nested_without_a_second_shuffle(spark, orders):
     nested = inputs.records(spark, orders, trials=5)
     assert plan(nested).count("Exchange") == 1
