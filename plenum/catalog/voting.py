@@ -58,7 +58,7 @@ def fusion_metrics_by_trial(spark, d):
               coalesce(v = gold, false) AS verification_correct FROM ballots""",
 )
 def join_roles_nway(spark, d):
-    aligned = fusion.align_roles(inputs.votes(spark, d), ["dataset", "sample_id", "round"])
+    aligned = fusion.align_roles(inputs.votes(spark, d, by="sample_id"), ["dataset", "sample_id", "round"])
     return aligned.select(
         "dataset", "sample_id", "round", "task_type", "gold",
         *[F.col(f"{r}.answer").alias(r) for r in fusion.ROLES],
@@ -229,7 +229,7 @@ def plurality_unique(spark, d):
 
 @query("last_round", "SELECT sample_id, role, round, answer, correct FROM votes WHERE round = 4")
 def last_round(spark, d):
-    return records.last_round(inputs.votes(spark, d), ["sample_id", "role"], ["answer", "correct"])
+    return records.last_round(inputs.votes(spark, d, by="sample_id"), ["sample_id", "role"], ["answer", "correct"])
 
 
 @query(

@@ -89,6 +89,12 @@ def test_a_task_has_as_many_rows_with_trials_as_without(spark, tmp_path, monkeyp
     assert sum(sizes) == 2000 * 75 and max(sizes) < 60 * 75
 
 
+@pytest.mark.parametrize("name", ["last_round", "join_roles_nway"])
+def test_votes_by_sample_id_are_not_shuffled_again(spark, orders, name):
+    text = plan(QUERIES[name](spark, orders))
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
+
+
 def test_votes_of_agents_need_no_join_by_sample(spark, orders):
     """Only the few rows of a data set and round are joined; rows with a null in a key have no vote."""
     text = plan(QUERIES["som_metrics"](spark, orders))
