@@ -29,6 +29,22 @@ def test_chunks_have_the_ids_of_the_text(texts):
     assert [np.frombuffer(r, '<u4').tolist() for r in CODER.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_with_marks_are_learned_without_the_split_pattern(monkeypatch):
+    """Marks after letters are a match of their own; apostrophes and digits are left to the pattern."""
+    marked = [" word$$$", "word!!", " w_", "a\\^`~{|}", " Ab<br/", "x[-]", " we'll", "don't!", " w1$", " $$$", " é!!", "-", "a$b", "$a$ ,.", "end.,", "x ,y", "é.", "é,", "_.", "_,", "a\n, b", ", c"]
+    coder = token_files.ChunkEncoder(public_tokenizers.path(token_files.TOKENIZER))
+    whole = []
+    monkeypatch.setattr(coder, "_plain", lambda text, plain=coder._plain: whole.append(text) or plain(text))
+
+    def same(texts):
+        return [np.frombuffer(r, "<u4").tolist() for r in coder.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+    assert same(marked)
+    by_pattern = {line for text in whole for line in text.split("\n")}
+    assert not by_pattern & {" word$$$", "word!!", " w_"} and {" we'll", " w1$"} <= by_pattern
+    assert same(["".join(marked), "\n".join(marked)])
+
+
 def test_store_falls_back_to_its_first_entries(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_CHUNKS", 50)
     coder, rng = token_files.ChunkEncoder(FILE), random.Random(1)
