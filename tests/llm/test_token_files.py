@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -54,6 +55,44 @@ def test_store_falls_back_to_its_first_entries(monkeypatch):
         assert len(coder.known) < 50 + 25 + 200
 
 
+def test_a_chunk_is_looked_up_once_however_often_it_comes():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    coder = token_files.ChunkEncoder(FILE)
+    coder.known = known = Counted(coder.known)
+    texts = ["many words, many words.\n" * 500, "words " * 1000, "", "été. " * 500]
+    for _ in range(2):
+        assert [np.frombuffer(r, "<u4").tolist() for r in coder.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert known.asked < 100
+
+
+def test_texts_side_by_side_do_not_meet(monkeypatch):
+    """Cuts look at the bytes before and after; those of the next text do not count."""
+    ends = ["", " ", "a", ".", ",", "\n", "é", "×", "\u3000", "\u2009", "\u00a0", "a ", "a\n", " \u2028", " —", "\u1680.", "Ж,", "҂,", "日.", "<|endoftext|>"]
+    pairs = [text for one in ends for other in ends for text in (one, other, one + other)]
+    for size in (8 << 20, 1, 40):
+        monkeypatch.setattr(token_files, "PIECE_BYTES", size)
+        monkeypatch.setattr(token_files, "LEARNED_CHUNKS", 3)
+        coder = token_files.ChunkEncoder(FILE)
+        texts, got = pa.array(["of another slice", *pairs])[1:], []
+        for at, n in token_files._pieces(texts):
+            sizes, ids = coder.encode_column(texts.slice(at, n))
+            got += [part.tolist() for part in np.split(ids, np.cumsum(sizes))[:n]]
+        assert got == [PLAIN.encode(t, add_special_tokens=False).ids for t in pairs]
+
+
+def test_bytes_that_are_not_utf8_are_replaced():
+    column = pa.array([b"a\xc3", b"\xa9b", None, b"\xc3\xa9"], pa.binary())
+    assert token_files._decoded(column).to_pylist() == ["a\ufffd", "\ufffdb", "", "é"]
+    assert token_files._decoded(column[2:]).to_pylist() == ["", "é"]
+    assert list(token_files._pieces(token_files._decoded(column[:0]))) == []
+
+
 def test_added_tokens_are_found_as_the_library_does(make, tmp_path):
     texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "<|endoftext", "x<|endoftext|>y. <|endoftext|>", " <|endoftext|> \n"]
     assert [np.frombuffer(r, "<u4").tolist() for r in CODER.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
