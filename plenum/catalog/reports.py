@@ -402,19 +402,25 @@ FROM means JOIN bad USING (dataset)"""
 def job_evaluate(spark, d):
     """Five trials with planted errors: lost, repeated and cut records, and references that are off or absent."""
     index, trial, role = F.col("sample_index"), F.col("trial"), F.col("role")
-    clean = inputs.records(spark, d, trials=5, by="sample_id")  # what the checks group by, so that they need no shuffle
+    # dealt out by what the checks group by, so that they need no shuffle
+    clean, short = (inputs.records(spark, d, trials=5, by="sample_id", rounds=n) for n in (5, 4))
     lost = (role == "evidence") & (trial == 2) & (index % 97 == 3)
     cut = (role == "verification") & (trial == 1) & (index % 83 == 7)
-    rows = clean.filter(~lost).withColumn("rounds", F.when(cut, F.slice("rounds", 1, 4)).otherwise(F.col("rounds")))
-    rows = rows.unionByName(clean.filter((role == "direct") & (trial == 3) & (index % 89 == 5)))
+    twice = (role == "direct") & (trial == 3) & (index % 89 == 5)
+    copies = F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    whole = clean.filter(~lost & ~F.coalesce(cut, F.lit(False))).withColumn("__copy", copies).drop("__copy")
+    rows = whole.unionByName(short.filter(cut))
     known = inputs.samples(spark, d, "sample_id", inputs.TASK_ROWS // 5)
     samples = inputs.each(known, inputs.ROLES, "role_idx", "role").select("dataset", "role", "sample_id")
     keep = ["dataset", "role"]
     exact = jobs.evaluate(rows, keep, samples).summary
     off = F.when(F.col("dataset") == "sciq", 0.02).when(F.col("dataset") == "mmlu", 0.004).otherwise(0.0)
-    reference = exact.filter("dataset <> 'arc'").withColumn("mean", F.col("mean") + off)
+    published = F.struct(*keep, (F.col("mean") + off).alias("mean"))
+    # a published table is one list: what its rows are joined by does not reach the scores, which are made once for both
+    reference = exact.agg(F.collect_list(F.when(F.col("dataset") != "arc", published)).alias("r")).select(F.inline("r"))
     out = jobs.evaluate(rows, keep, samples, reference=reference)
-    part = F.split("key", "/")
+    # never null, so that the join below leaves no filter that would split the key of every row that is checked
+    part = [F.coalesce(F.split("key", "/")[i], F.lit("")) for i in range(2)]
     counted = out.violations.groupBy(part[0].alias("dataset"), part[1].alias("role")).pivot(
         "check", ["missing", "duplicates", "rounds", "trials"]
     ).count()

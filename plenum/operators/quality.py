@@ -68,7 +68,7 @@ def duplicate_ids(rows: DataFrame, key: str, groups: Sequence[str] = ()) -> Data
 
 def rounds_not_contiguous(records: DataFrame, key: str, rounds: str = "rounds", count: int | None = None) -> DataFrame:
     """Records whose rounds are not exactly 0..n-1 in order."""
-    found = F.transform(rounds, lambda r: r["round"].cast("int"))
+    found = F.col(rounds)["round"].cast("array<int>")  # compiled, and of a stored table only this field is read
     size = F.size(rounds) if count is None else F.lit(count)
     wanted = F.when(size > 0, F.sequence(F.lit(0), size - 1))
     broken = records.filter(~F.coalesce(found == wanted, F.lit(False)))
@@ -221,9 +221,11 @@ def accounting(summary: DataFrame, samples: int | Column, pairs: Column, rounds:
 
 def trials_not_contiguous(rows: DataFrame, groups: list[str], sample: str) -> DataFrame:
     """Groups whose trials are not 0..n-1 or do not cover the same samples."""
+    # sums of half hashes fit a bigint, a decimal is made of each row only in the sum of whole ones
+    mark = F.xxhash64(sample)
+    halves = F.struct(F.sum(F.shiftright(mark, 32)).alias("high"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"))
     per_trial = rows.select(*groups, "trial", sample).distinct().groupBy(*groups, "trial").agg(
-        F.count(sample).alias("samples"),
-        F.sum(F.xxhash64(sample).cast("decimal(20,0)")).alias("set_hash"),
+        F.count(sample).alias("samples"), halves.alias("set_hash")
     )
     return (
         per_trial.groupBy(*groups)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plenum.catalog import QUERIES, inputs
 from plenum.functions import cleaning, matching
-from plenum.operators import baselines, joins, preference, quality, ranking
+from plenum.operators import baselines, joins, preference, quality, ranking, records as answers
 from plenum.schemas import simple
 from plenum.sources import records
 
@@ -185,3 +185,43 @@ def test_numbers_come_first_in_sorted_groups(spark):
 @pytest.mark.parametrize("name", ["selection_summary", "check_pairs"])
 def test_texts_of_candidates_are_not_broadcast(spark, orders, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, orders))
+
+
+def test_orders_are_grouped_before_they_become_records(spark, orders):
+    """No record is grouped or sorted by itself, and checks of the scores' groups do not split the key of every row."""
+    text = plan(inputs.records(spark, orders, trials=5))
+    assert "role" not in "".join(x for x in text.splitlines() if "Aggregate" in x or "Sort" in x)
+    whole = plan(QUERIES["job_evaluate"](spark, orders))
+    assert "size(array(" not in whole and "size(rounds" not in whole and "isnotnull(split(" not in whole
+
+
+def test_first_rounds_of_records(spark, orders):
+    every, four = (inputs.records(spark, orders, trials=2, rounds=n) for n in (5, 4))
+    cut = every.withColumn("rounds", F.slice("rounds", 1, 4))
+    assert rows(four) == rows(cut) and four.count() == 10 * 3 * 2
+
+
+def test_only_the_fields_asked_for_are_read_of_nested_rounds(spark, tmp_path):
+    completion = "struct<raw_response:string,answer:string,parsed:boolean,correct:boolean,truncated:boolean>"
+    schema = f"id int, rounds array<struct<round:int,actor:struct<completion:{completion}>>>"
+    one = [(0, (("text", "A", True, None, False),)), None, (2, (("text", None, None, True, True),)), (3, None)]
+    made = [(1, one), (2, []), (3, None)]
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/records")
+    flat = answers.flatten_rounds(spark.read.parquet(f"{tmp_path}/records"), ["id"])
+    assert rows(flat) == sorted([
+        (1, 0, "A", True, False, False), (1, None, None, False, False, False), (1, 2, None, False, True, True), (1, 3, None, False, False, False),
+    ], key=repr)
+    assert "raw_response" not in plan(flat) and "truncated" not in plan(flat.select("id", "round", "correct")).split("ReadSchema")[1]
+
+
+def test_trials_of_unlike_samples_are_found(spark):
+    made = [("a", t, s) for t in (0, 1) for s in ("x", "y", "y", None)] + [("b", 0, "x"), ("b", 1, "y")] + [("c", 0, "x"), ("c", 2, "x")]
+    found = quality.trials_not_contiguous(spark.createDataFrame(made, "g string, trial int, s string"), ["g"], "s")
+    assert rows(found.select("g", "trials", "same_samples")) == [("b", 2, False), ("c", 2, True)]
+
+
+def test_rounds_that_are_not_contiguous(spark):
+    made = [("ok", [(0,), (1,)]), ("gap", [(0,), (2,)]), ("null", [(0,), None]), ("short", [(0,)]), ("none", None), ("empty", [])]
+    df = spark.createDataFrame(made, "k string, rounds array<struct<round:bigint>>")
+    assert rows(quality.rounds_not_contiguous(df, "k", count=2).select("k")) == [("empty",), ("gap",), ("none",), ("null",), ("short",)]
+    assert rows(quality.rounds_not_contiguous(df, "k").select("k")) == [("empty",), ("gap",), ("none",), ("null",)]
