@@ -238,10 +238,18 @@ def debate_rounds(spark, d):
     another's text: rounds are self-joined on (sample, role, round - 1).
 
     Merge joins, as sizes guessed before the grid is expanded would broadcast it.
+    Answers and questions are dealt out by the sample, and all joins are by it alone, so
+    that none shuffles or sorts the grid by more: role and round are compared beside
+    the key, among the few answers of a sample, in a form that is no key of the join.
     """
     answers = inputs.completions(spark, d).select("sample_index", "role", "round", "tail_text")
-    previous = answers.select("sample_index", "role", (F.col("round") + 1).alias("round"), F.col("tail_text").alias("response"))
-    rows = answers.select("sample_index", "role", "round").join(previous.hint("merge"), ["sample_index", "role", "round"], "left")
+    previous = answers.select(
+        "sample_index", F.col("role").alias("__role"), (F.col("round") + 1).alias("__round"), F.col("tail_text").alias("response")
+    )
+    same = F.col("role").between(F.col("__role"), F.col("__role")) & F.col("round").between(F.col("__round"), F.col("__round"))
+    rows = answers.select("sample_index", "role", "round").alias("a").join(
+        previous.alias("p").hint("merge"), (F.col("a.sample_index") == F.col("p.sample_index")) & same, "left"
+    ).select("a.sample_index", "role", "round", "response")
     known = qa(spark, d).drop("response").join(rows.hint("merge"), "sample_index")
     told = F.concat(F.lit("Feedback of "), "role")
     prompt = F.when(F.col("round") == 0, prompts.actor_prompt()).otherwise(prompts.actor_prompt(F.col("response"), told))

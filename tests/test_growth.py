@@ -8,7 +8,7 @@ import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
-from plenum.catalog import QUERIES, inputs
+from plenum.catalog import QUERIES, inputs, prompting
 from plenum.functions import cleaning, matching
 from plenum.operators import baselines, joins, preference, quality, ranking, records as answers
 from plenum.schemas import simple
@@ -225,3 +225,21 @@ def test_rounds_that_are_not_contiguous(spark):
     df = spark.createDataFrame(made, "k string, rounds array<struct<round:bigint>>")
     assert rows(quality.rounds_not_contiguous(df, "k", count=2).select("k")) == [("empty",), ("gap",), ("none",), ("null",), ("short",)]
     assert rows(quality.rounds_not_contiguous(df, "k").select("k")) == [("empty",), ("gap",), ("none",), ("null",)]
+
+
+def test_rounds_of_a_debate_are_not_shuffled(spark, orders):
+    """Orders are dealt out by the sample, and answers meet those of the round before where they are."""
+    out = QUERIES["job_debate_rounds"](spark, orders)
+    assert "ENSURE_REQUIREMENTS" not in plan(out)
+    sizes = {(r.sample_index, r["round"]): r["count"] for r in out.groupBy("sample_index", "round").count().collect()}
+    assert sizes.pop((7, 0)) == 3 * 4 and {sizes.pop((7, i)) for i in range(1, 5)} == {3 * 8}  # the key that comes twice
+    assert len(sizes) == 8 * 5 and set(sizes.values()) == {3}
+
+
+def test_debate_prompts_hold_the_answer_of_the_same_role_one_round_before(spark, orders):
+    told = {(r.sample_index, r.role, r["round"]): r.tail_text for r in inputs.completions(spark, orders).filter("sample_index <> 7").collect()}
+    made = prompting.debate_rounds(spark, orders).filter("sample_index <> 7").collect()
+    for r in made:
+        before = told.get((r.sample_index, r.role, r["round"] - 1))
+        assert ("Person 0 said" not in r.prompt) if before is None else (f"Person 0 said: {before}\nPerson 1 said: Feedback of {r.role}" in r.prompt)
+    assert len(made) == 8 * 15
