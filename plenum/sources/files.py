@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
 LINES_AT_ONCE = 4096
 LINES_BYTES = 8 << 20
+TASKS_A_CORE = 4
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
@@ -81,8 +83,13 @@ def _blocks(root: str, path: str) -> Iterator[bytes]:
 
 
 def _spread(paths: DataFrame) -> DataFrame:
-    """Files dealt out to tasks one by one, whatever partitions the table of paths has."""
-    return paths.repartition("path")
+    """Files dealt out to tasks, whatever partitions the table of paths has.
+
+    The number of tasks is given: adaptive execution sees how short the paths are, not how
+    long the files, and would read all of them in one task.  By a hash of the path, as a
+    table that is grouped by the path itself would not be dealt out again.
+    """
+    return paths.repartition(TASKS_A_CORE * paths.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path"))
 
 
 def digests(paths: DataFrame, root: str) -> DataFrame:
@@ -127,44 +134,74 @@ def _unpacked(blocks: Iterator[bytes], packed: bool) -> Iterator[bytes]:
 
 def _split(blocks: Iterator[bytes]) -> Iterator[bytes]:
     """Lines that end at line feeds, carriage returns or both, without their ends."""
+    return (line for lines in _split_blocks(blocks) for line in lines)
+
+
+def _split_blocks(blocks: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """The same, as a list for the lines that end in a block."""
     rest, after_return = [], False
     for block in blocks:
         cut = after_return and block.startswith(b"\n")
         after_return = block.endswith(b"\r")
         block = block[1:] if cut else block  # the second half of a line end
-        lines = block.replace(b"\r\n", b"\n").replace(b"\r", b"\n").split(b"\n")
+        if b"\r" in block:
+            block = block.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+        lines = block.split(b"\n")
         rest.append(lines[0])
         if len(lines) > 1:
-            yield b"".join(rest)
-            yield from lines[1:-1]
-            rest = [lines[-1]]
+            lines[0] = b"".join(rest)
+            rest = [lines.pop()]
+            yield lines
     if last := b"".join(rest):
-        yield last
+        yield [last]
+
+
+def _text(lines: list[bytes]) -> pa.Array:
+    """Bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return pa.array(lines, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
+
+
+def _held(groups: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
+    """At most so many lines, or lines of so many bytes, at once; short groups are joined."""
+    held, size = [], 0
+    for lines in groups:
+        for at in range(0, len(lines), LINES_AT_ONCE):
+            part = lines[at : at + LINES_AT_ONCE]
+            more = sum(map(len, part))
+            if held and (len(held) + len(part) > LINES_AT_ONCE or size + more > LINES_BYTES):
+                yield held
+                held, size = [], 0
+            held, size = held + part if held else part, size + more
+    if held:
+        yield held
 
 
 def stream_lines(paths: DataFrame, root: str) -> DataFrame:
-    """(path, line_no, value) of the lines of the files of a table of paths below root.
+    """(path, line_no, value) of the lines of the files of a table of paths below root, then the table's other columns.
 
     Files whose name ends in .gz are unpacked.  Bytes that are no UTF-8 become U+FFFD.
+    What else the table says of a file goes with its lines, so that it need not be joined to them.
     """
-
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        path, number, value = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(path, pa.string()), pa.array(number, pa.int64()), pa.array(value, pa.string())], ["path", "line_no", "value"]
-        )
+    more = [c for c in paths.columns if c != "path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                for number, line in enumerate(_split(_unpacked(_blocks(root, path), path.endswith(".gz"))), 1):
-                    held.append((path, number, line.decode("utf-8", "replace")))
-                    size += len(line)
-                    if len(held) >= LINES_AT_ONCE or size >= LINES_BYTES:
-                        yield packed(held)
-                        held, size = [], 0
-        if held:
-            yield packed(held)
-
-    return _spread(paths.select("path").filter("path is not null")).mapInArrow(run, "path string, line_no bigint, value string")
+            for row, path in enumerate(batch.column("path").to_pylist()):
+                number = 1
+                for lines in _held(_split_blocks(_unpacked(_blocks(root, path), path.endswith(".gz")))):
+                    n = len(lines)
+                    same = pa.array([row] * n, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("path").take(same), pa.array(range(number, number + n), pa.int64()), _text(lines), *[batch.column(c).take(same) for c in more]],
+                        ["path", "line_no", "value", *more],
+                    )
+                    number += n
+
+    kind = T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("value", T.StringType()),
+        *[paths.schema[c] for c in more],
+    ])
+    return _spread(paths.select("path", *more).filter("path is not null")).mapInArrow(run, kind)

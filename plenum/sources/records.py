@@ -109,20 +109,22 @@ def scan_manifest_files(
     The manifest stays a table: each listed file is opened by the task that holds
     its row, and read as a stream.  A listed file that is absent is an error, and so
     is one whose sha-256 differs, where the manifest gives it.  Broken lines fail the
-    job, naming file and line, or are left out if not strict.  A file is one task, as
-    gzip cannot be split; the rows are spread afterwards.
+    job, naming file and line, or are left out if not strict.  A file is unpacked by one
+    task, as gzip cannot be split; with ``spread`` its lines are dealt out to so many
+    tasks before they are parsed.  What the manifest says of a file goes with its lines.
     """
     enforce(unlisted_files(spark, root, manifest), "file is missing")
     if "sha256" in manifest.columns:
         given = manifest.select("path", F.col("sha256").alias("given")).filter("given is not null")
         wrong = files.digests(given, root).join(given, "path").filter("sha256 <> given")
         enforce(wrong.select("path"), "hash differs")
-    lines = files.stream_lines(manifest.select("path").distinct(), root)
+    more = [c for c in manifest.columns if c not in ("path", "sha256")]
+    listed = F.struct(F.lit(True).alias("__listed"), *more)  # a file may be listed more than once
+    lines = files.stream_lines(manifest.groupBy("path").agg(F.collect_list(listed).alias("__cells")), root)
+    lines = lines.repartition(spread) if spread else lines
     rows = _checked(parsed_lines(_filled(lines.withColumn("file", F.col("path"))), schema), strict)
-    located = rows.select("path", *[F.col(f"r.{name}").alias(name) for name in schema.names])
-    # the lines, guessed to be as few as their files, are never the side that is held
-    out = located.join(manifest.drop("sha256").hint("shuffle_hash"), "path")
-    return out.repartition(spread) if spread else out
+    located = rows.select("path", *[F.col(f"r.{name}").alias(name) for name in schema.names], F.explode("__cells").alias("__cell"))
+    return located.select("path", *schema.names, *[F.col("__cell")[c].alias(c) for c in more])
 
 
 def file_hashes(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:

@@ -221,3 +221,40 @@ def test_staleness_goes_to_later_stages_only(spark):
     assert rows(hashtree.carry_staleness(status, edges)) == [
         ("a", "complete", None), ("b", "stale", None), ("c", "stale", "b"), ("d", "stale", "b"), ("e", "missing", None), ("f", "complete", None)
     ]
+
+
+def test_files_are_dealt_out_to_tasks(spark, tmp_path):
+    """Adaptive execution does not put all files into one task because their paths are short."""
+    for i in range(40):
+        put(tmp_path, f"{i}.json", "{}", "", "{")
+    listed = spark.createDataFrame([(f"{i}.json", i % 3) for i in range(40)] + [("0.json", 9), (None, 1)], "path string, cell int")
+    seen = files.stream_lines(listed.select("path").distinct(), str(tmp_path)).withColumn("task", F.spark_partition_id())
+    found = seen.groupBy("task").agg(F.countDistinct("path").alias("n")).collect()
+    assert len(found) > 8 and sum(r["n"] for r in found) == 40
+    listed = listed.filter("path is not null")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", files.TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    try:
+        grouped = files.stream_lines(listed.groupBy("path").agg(F.max("cell")), str(tmp_path))
+        assert grouped.select(F.spark_partition_id()).distinct().count() > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    out = records.scan_manifest_files(spark, str(tmp_path), ROW, listed, strict=False).select("path", "cell")
+    assert rows(out) == sorted([(f"{i}.json", i % 3) for i in range(40)] + [("0.json", 9)], key=repr)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    alone = records.scan_manifest_files(spark, str(tmp_path), ROW, listed.select("path"), spread=3, strict=False)
+    assert alone.columns == ["path", *ROW.names] and alone.count() == 41 and alone.rdd.getNumPartitions() == 3
+
+
+def test_lines_of_a_stream_keep_their_numbers(spark, tmp_path, monkeypatch):
+    """Long files, long lines, lines that are no UTF-8, and ends of all kinds; rows of the table of paths go along."""
+    lines = [b"x" * (i % 700) + bytes([255]) * (i % 50 == 0) + "é".encode() for i in range(9001)]
+    (tmp_path / "a.txt").write_bytes(b"\r\n".join(lines) + b"\r\n\r\nlast")
+    (tmp_path / "b.txt").write_bytes(b"")
+    paths = spark.createDataFrame([("a.txt", ["one", None]), ("b.txt", None)], "path string, cell array<string>")
+    got = files.stream_lines(paths, str(tmp_path)).orderBy("line_no").collect()
+    assert [r["line_no"] for r in got] == list(range(1, 9004)) and {tuple(r["cell"]) for r in got} == {("one", None)}
+    assert [r["value"] for r in got] == [x.decode("utf-8", "replace") for x in [*lines, b"", b"last"]]
+    groups = [*files._held(iter([[b"a"] * 10_000, [b"b" * (5 << 20)], [b"c" * (5 << 20)], [b""]]))]
+    assert [x for g in groups for x in g] == [b"a"] * 10_000 + [b"b" * (5 << 20), b"c" * (5 << 20), b""]
+    assert max(map(len, groups)) <= files.LINES_AT_ONCE and all(sum(map(len, g)) <= files.LINES_BYTES for g in groups)
